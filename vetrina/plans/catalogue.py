@@ -21,8 +21,7 @@ k % 17 = 0 (truncated JSON); ``@type`` is ``["Product"]`` when k % 13 = 0;
 a second, upper-case, single-quoted block holding the product again when
 k % 11 = 0. The page's own category is lower-case; the enrichment overwrites it.
 
-Offers (E8): one per lineitem, price = l_extendedprice / l_quantity as text
-with two decimals, currency 'EUR' except when l_linenumber = 4.
+Offers (E8): one per lineitem, see ``offers``.
 
 The same view is written in SQL (``*_SQL``) for the DuckDB oracle.
 """
@@ -38,7 +37,7 @@ SHOP = "http://shop.example"
 # Domains of the test shop (its categories and price caps).
 TEST_CATEGORIES = ["SMALL", "LARGE"]
 TEST_CAPS = [910, 920, 930, 940, 950, 975, 1000]
-OFFER_CAPS = [1000, 1500, 2000, 3000]
+OFFER_CAPS = [10000, 25000, 50000, 75000]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,13 +121,18 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long offer table (product id, price text, currency) from lineitem."""
+    """Long offer table (product id, price text, currency) from lineitem.
+
+    Price text is l_extendedprice; faults: l_linenumber = 4 has no currency,
+    5 writes a decimal comma, 6 an exponent (neither is an xsd:decimal).
+    """
     li = table(spark, sf_dir, "lineitem")
-    return li.select(
-        F.col("l_partkey").alias("id"),
-        F.format_string("%.2f", F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        F.when(F.col("l_linenumber") != 4, F.lit("EUR")).alias("currency"),
-    )
+    txt = F.col("l_extendedprice").cast("string")
+    ln = F.col("l_linenumber")
+    price = (F.when(ln == 5, F.replace(txt, F.lit("."), F.lit(",")))
+              .when(ln == 6, F.concat(txt, F.lit("e0"))).otherwise(txt))
+    return li.select(F.col("l_partkey").alias("id"), price.alias("price"),
+                     F.when(ln != 4, F.lit("EUR")).alias("currency"))
 
 
 # --------------------------------------------------------------------------
@@ -154,3 +158,24 @@ cat AS (
 def sql_with(*ctes: str) -> str:
     """``WITH`` prefix holding the catalogue CTE and extra CTEs."""
     return "WITH " + ",\n".join((CATALOGUE_SQL,) + ctes) + "\n"
+
+
+# Expected product nodes after extraction (one row per node copy) and the
+# enriched view of each distinct product (m = number of copies).
+PAGES_SQL = f"""
+pg AS (
+  SELECT c.*, p_retailprice, p_type,
+         (CASE WHEN id % 23 <> 0 AND id % 17 <> 0 AND id % 13 <> 0 THEN 1 ELSE 0 END)
+       + (CASE WHEN id % 11 = 0 AND id % 13 <> 0 THEN 1 ELSE 0 END) AS m
+  FROM cat c JOIN part ON part.p_partkey = c.id
+  WHERE id % 31 <> 0),
+ext AS (
+  SELECT * FROM pg WHERE id % 23 <> 0 AND id % 17 <> 0 AND id % 13 <> 0
+  UNION ALL SELECT * FROM pg WHERE id % 11 = 0 AND id % 13 <> 0),
+gp AS (
+  SELECT id, permalink, title AS name, m, brand,
+         COALESCE(CASE WHEN id % 7 <> 0 THEN p_type END, lower(p_type)) AS gcategory,
+         capacity AS gcapacity,
+         CASE WHEN id % 9 <> 0 THEN p_name END AS gscent,
+         CAST(p_retailprice AS DECIMAL(18,4)) AS gprice
+  FROM pg WHERE m > 0)"""

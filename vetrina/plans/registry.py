@@ -120,3 +120,89 @@ def _mine(n: int, min_support: int):
 # a real check (the default of the operator stays 20).
 for _n, _s in ((2, 20), (3, 20), (4, 5)):
     register(f"mine_{_n}", _mine_sql(_n, _s))(_mine(_n, _s))
+
+
+# ---------------------------------------------------------------- B1 - B9
+
+from ..functions import text as T  # noqa: E402
+from ..operators import enrich as E  # noqa: E402
+from ..operators import extract as X  # noqa: E402
+from ..operators import retrieve as R  # noqa: E402
+from . import graph as G  # noqa: E402
+
+_EXT = C.sql_with(C.PAGES_SQL)
+
+
+@register("extract_products", _EXT + """
+SELECT permalink, title AS name, lower(p_type) AS category, brand,
+       CAST(p_retailprice AS DOUBLE) AS price FROM ext""")
+def q_extract_products(spark, sf):
+    t = X.typed_products(G.products(spark, sf))
+    return t.select(T.strip_suffix("uri").alias("permalink"), "name", "category", "brand",
+                    F.col("offers")[0]["price"].cast("double").alias("price"))
+
+
+@register("extract_errors", C.sql_with() + f"""
+SELECT '{C.SHOP}/p/' || CAST(p_partkey AS VARCHAR) AS url, 'status' AS reason, '404' AS detail
+FROM part WHERE p_partkey % 31 = 0
+UNION ALL
+SELECT '{C.SHOP}/p/' || CAST(p_partkey AS VARCHAR), 'json', '0'
+FROM part WHERE p_partkey % 31 <> 0 AND p_partkey % 17 = 0 AND p_partkey % 23 <> 0""")
+def q_extract_errors(spark, sf):
+    _, errors = X.extract_products(C.product_pages(spark, sf))
+    return errors
+
+
+@register("assemble_graph", _EXT + """
+SELECT type, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'Organization' AS type, 1 AS n UNION ALL SELECT 'WebSite', 1
+  UNION ALL SELECT 'Product', count(*) FROM ext)""")
+def q_assemble_graph(spark, sf):
+    graph = X.assemble_graph(X.seed_nodes(spark, G.SEED), G.products(spark, sf))
+    return graph.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("product_facts", _EXT + """
+SELECT permalink AS link, CAST(p_retailprice AS VARCHAR) AS price, brand FROM ext""")
+def q_product_facts(spark, sf):
+    return X.product_facts(G.products(spark, sf))
+
+
+# ---------------------------------------------------------------- C12 - C14
+
+@register("attach_facts", _EXT + """
+SELECT c.id, c.permalink, e.permalink AS link, CAST(e.p_retailprice AS VARCHAR) AS price, e.brand AS brand
+FROM cat c LEFT JOIN ext e ON c.permalink = e.permalink""")
+def q_attach_facts(spark, sf):
+    cat = C.catalogue(spark, sf).select("id", "permalink")
+    return E.attach_facts(cat, X.product_facts(G.products(spark, sf)))
+
+
+@register("latest_by_key", """
+SELECT l_partkey, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC,
+  l_linenumber DESC, l_quantity DESC, l_extendedprice DESC) = 1""")
+def q_latest_by_key(spark, sf):
+    li = C.table(spark, sf, "lineitem")
+    return E.latest_by_key(li, "l_partkey",
+                           order=["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"],
+                           columns=["l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                    "l_shipdate"])
+
+
+@register("enrich_nodes", C.sql_with(C.PAGES_SQL, """
+e AS (SELECT permalink, gcategory AS category,
+             array_to_string(list_concat(
+               CASE WHEN gcapacity IS NOT NULL THEN ['Capacita=' || gcapacity] ELSE [] END,
+               CASE WHEN gscent IS NOT NULL THEN ['Gruppo Olfattivo=' || gscent] ELSE [] END), '|') AS props
+      FROM gp, range(m))""") + "SELECT permalink, category, props FROM e")
+def q_enrich_nodes(spark, sf):
+    nodes, _ = X.extract_nodes(C.product_pages(spark, sf))
+    prods = nodes.where(F.col("type") == "Product")
+    enriched = E.enrich_nodes(prods, C.attributes(spark, sf))
+    props = F.try_variant_get("node", "$.additionalProperty", "array<struct<name string, value string>>")
+    return enriched.select(
+        T.strip_suffix("id").alias("permalink"),
+        F.try_variant_get("node", "$.category", "string").alias("category"),
+        F.array_join(F.transform(F.coalesce(props, F.array().cast("array<struct<name string, value string>>")),
+                                 lambda p: F.concat(p["name"], F.lit("="), p["value"])), "|").alias("props"))
