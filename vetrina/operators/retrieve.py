@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from ..session import cut_lineage
 
 FACT_FEATURES = ["brand", "category", "capacity", "olfactory_category", "price"]
 DRIVE_ORDER = {"brand": 0, "capacity": 1, "olfactory_category": 2, "category": 3, "price": 4}
@@ -76,33 +77,52 @@ def to_sparql(brand="brand", category="category", capacity="capacity", olfactory
 
 # ---------------------------------------------------------------- facts
 
-def graph_facts(products: DataFrame) -> tuple[DataFrame, DataFrame]:
+def graph_facts(products: DataFrame, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """(names(uri, n_names), facts(uri, feature, value, price, cnt)) from typed,
-    enriched product rows (E3-E8)."""
-    p = products.where(F.col("uri").isNotNull())
-    names = (p.where(F.col("name").isNotNull()).groupBy("uri")
-              .agg(F.count_distinct("name").alias("n_names")))
+    enriched product rows (E3-E8).
+
+    One projection builds every fact of a row, one explode and one partial
+    aggregation count them: the product input is scanned once. With
+    ``materialize`` the facts are checkpointed (reliably, in the cluster's
+    checkpoint folder) because retrieval joins them four times. Literal facts
+    (name, category) collapse per node id (cnt = 1); blank-node facts (brand,
+    properties, offers) keep their multiplicity.
+    """
     nul_s, nul_d = F.lit(None).cast("string"), F.lit(None).cast("decimal(18,4)")
-    cat = (p.where(F.col("category").isNotNull())
-            .select("uri", F.lit("category").alias("feature"), F.col("category").alias("value")).distinct()
-            .select("uri", "feature", "value", nul_d.alias("price"), F.lit(1).cast("bigint").alias("cnt")))
-    brand = (p.where((F.col("brand_type") == "Brand") & F.col("brand").isNotNull())
-              .select("uri", F.lit("brand").alias("feature"), F.col("brand").alias("value"), nul_d.alias("price")))
-    props = (p.select("uri", F.explode("properties").alias("pv"))
-              .where(F.col("pv.`@type`") == "PropertyValue")
-              .select("uri",
-                      F.when(F.col("pv.name") == V.PROP_CAPACITY, F.lit("capacity"))
-                       .when(F.col("pv.name") == V.PROP_SCENT, F.lit("olfactory_category")).alias("feature"),
-                      F.col("pv.value").alias("value"), nul_d.alias("price"))
-              .where(F.col("feature").isNotNull() & F.col("value").isNotNull()))
-    offers = (p.select("uri", F.explode("offers").alias("o"))
-               .where(F.col("o.priceCurrency").isNotNull())
-               .select("uri", F.lit("price").alias("feature"), nul_s.alias("value"),
-                       T.decimal_or_null(F.col("o.price")).alias("price"))
-               .where(F.col("price").isNotNull()))
-    counted = (brand.unionByName(props).unionByName(offers)
-               .groupBy("uri", "feature", "value", "price").agg(F.count(F.lit(1)).alias("cnt")))
-    return names, cat.unionByName(counted)
+
+    def fact(feature, value, price, literal):
+        return F.struct(F.lit(feature).alias("feature"), value.alias("value"), price.alias("price"),
+                        F.lit(literal).alias("lit"))
+
+    name = F.when(F.col("name").isNotNull(), F.array(fact("name", F.col("name"), nul_d, True)))
+    cat = F.when(F.col("category").isNotNull(), F.array(fact("category", F.col("category"), nul_d, True)))
+    brand = F.when((F.col("brand_type") == "Brand") & F.col("brand").isNotNull(),
+                   F.array(fact("brand", F.col("brand"), nul_d, False)))
+    props = F.transform(
+        F.filter(F.coalesce(F.col("properties"), F.array()),
+                 lambda pv: (pv["@type"] == "PropertyValue") & pv["value"].isNotNull()
+                 & pv["name"].isin(V.PROP_CAPACITY, V.PROP_SCENT)),
+        lambda pv: F.struct(
+            F.when(pv["name"] == V.PROP_CAPACITY, F.lit("capacity")).otherwise(F.lit("olfactory_category"))
+             .alias("feature"),
+            pv["value"].alias("value"), nul_d.alias("price"), F.lit(False).alias("lit")))
+    offers = F.transform(
+        F.filter(F.coalesce(F.col("offers"), F.array()),
+                 lambda o: o["priceCurrency"].isNotNull() & T.decimal_or_null(o["price"]).isNotNull()),
+        lambda o: fact("price", nul_s, T.decimal_or_null(o["price"]), False))
+    empty = F.array().cast("array<struct<feature:string,value:string,price:decimal(18,4),lit:boolean>>")
+    all_facts = F.concat(*[F.coalesce(x, empty) for x in (name, cat, brand, props, offers)])
+    counted = (products.where(F.col("uri").isNotNull())
+               .select("uri", F.explode(all_facts).alias("f"))
+               .groupBy("uri", "f.feature", "f.value", "f.price")
+               .agg(F.count(F.lit(1)).alias("n"), F.max("f.lit").alias("lit"))
+               .select("uri", "feature", "value", "price",
+                       F.when(F.col("lit"), F.lit(1)).otherwise(F.col("n")).cast("bigint").alias("cnt")))
+    if materialize:
+        counted = cut_lineage(counted, "facts")
+    names = (counted.where(F.col("feature") == "name").groupBy("uri")
+             .agg(F.count(F.lit(1)).alias("n_names")))
+    return names, counted.where(F.col("feature") != "name")
 
 
 def query_features(queries: DataFrame) -> DataFrame:
@@ -206,8 +226,8 @@ def match_queries(queries: DataFrame, products: DataFrame, mapping: DataFrame |
     already deduplicated (C13). Without a mapping the uri (suffix-stripped,
     E11) is returned as ``id``. ``bag=False`` gives set answers (solutions=1).
     """
-    names, facts = graph_facts(products)
-    qf = query_features(queries)
+    names, facts = graph_facts(products, materialize=True)
+    qf = cut_lineage(query_features(queries), "query-features")
     rank = F.create_map(*[x for k, v in DRIVE_ORDER.items() for x in (F.lit(k), F.lit(v))])
     drive_feature = (qf.groupBy("query_id")
                        .agg(F.min_by("feature", rank[F.col("feature")]).alias("drive")))

@@ -90,13 +90,14 @@ def _items_sql(min_support: int) -> str:
 fb AS (SELECT brand FROM cat WHERE brand IS NOT NULL GROUP BY brand HAVING count(*) >= 20),
 tc AS (SELECT capacity FROM cat WHERE capacity IS NOT NULL GROUP BY capacity
        ORDER BY count(*) DESC, capacity LIMIT 5),
-items AS (
-  SELECT id, 0 AS fo, 'brand=' || brand AS kv FROM cat WHERE brand IN (SELECT brand FROM fb)
-  UNION ALL SELECT c.id, 1, 'category=' || d.v FROM cat c JOIN (VALUES {cats}) d(v) ON contains(c.category, d.v)
-  UNION ALL SELECT id, 2, 'capacity=' || capacity FROM cat WHERE capacity IN (SELECT capacity FROM tc)
-  UNION ALL SELECT id, 3, 'olfactory_category=' || l FROM lab
-  UNION ALL SELECT id, 3, 'olfactory_category=' || pair FROM rowpairs WHERE pair IN (SELECT pair FROM toppairs)
-  UNION ALL SELECT c.id, 4, 'price=<' || CAST(d.v AS VARCHAR) FROM cat c JOIN (VALUES {caps}) d(v) ON c.price < d.v)"""
+items0 AS (
+  SELECT id, 0 AS fo, 'brand' AS f, brand AS v FROM cat WHERE brand IN (SELECT brand FROM fb)
+  UNION ALL SELECT c.id, 1, 'category', d.v FROM cat c JOIN (VALUES {cats}) d(v) ON contains(c.category, d.v)
+  UNION ALL SELECT id, 2, 'capacity', capacity FROM cat WHERE capacity IN (SELECT capacity FROM tc)
+  UNION ALL SELECT id, 3, 'olfactory_category', l FROM lab
+  UNION ALL SELECT id, 3, 'olfactory_category', pair FROM rowpairs WHERE pair IN (SELECT pair FROM toppairs)
+  UNION ALL SELECT c.id, 4, 'price', '<' || CAST(d.v AS VARCHAR) FROM cat c JOIN (VALUES {caps}) d(v) ON c.price < d.v),
+items AS (SELECT *, f || '=' || v AS kv FROM items0)"""
 
 
 def _mine_sql(n: int, min_support: int) -> str:
@@ -206,3 +207,109 @@ def q_enrich_nodes(spark, sf):
         F.try_variant_get("node", "$.category", "string").alias("category"),
         F.array_join(F.transform(F.coalesce(props, F.array().cast("array<struct<name string, value string>>")),
                                  lambda p: F.concat(p["name"], F.lit("="), p["value"])), "|").alias("props"))
+
+
+# ---------------------------------------------------------------- E1 - E13
+
+_FEAT_COLS = ["brand", "category", "capacity", "olfactory_category", "price"]
+
+
+def _mined_queries_sql(n: int, min_support: int) -> str:
+    """CTE ``mq``: mined queries with one column per feature (oracle side)."""
+    joins = " ".join(f"JOIN items i{j} ON i{j}.id = i1.id AND i{j}.fo > i{j-1}.fo" for j in range(2, n + 1))
+    key = " || '&' || ".join(f"i{j}.kv" for j in range(1, n + 1))
+    feats = ", ".join(
+        "CASE " + " ".join(f"WHEN i{j}.f = '{f}' THEN i{j}.v" for j in range(1, n + 1)) + f" END AS {f}"
+        for f in _FEAT_COLS)
+    return _items_sql(min_support) + f""",
+mq0 AS (SELECT {key} AS query_id, {feats} FROM items i1 {joins}
+        QUALIFY count(*) OVER (PARTITION BY query_id) >= {min_support}),
+mq AS (SELECT DISTINCT query_id, brand, category, capacity, olfactory_category, price,
+              CAST(substr(price, 2) AS DECIMAL(18,4)) AS cap FROM mq0)"""
+
+
+def _mined(spark, sf, n=2, min_support=20):
+    q, _ = M.mine_queries(C.catalogue(spark, sf), n, categories=C.TEST_CATEGORIES, caps=C.TEST_CAPS,
+                          min_support=min_support)
+    return q
+
+
+def _single(df, feature: str):
+    """Query table with one present feature per distinct value."""
+    cols = [F.col("v").alias(f) if f == feature else F.lit(None).cast("string").alias(f) for f in _FEAT_COLS]
+    return df.select(F.col(feature).alias("v")).where(F.col("v").isNotNull()).distinct().select(
+        F.concat(F.lit(feature + "="), F.col("v")).alias("query_id"), *cols)
+
+
+def _graph_answers(spark, sf, queries):
+    return R.match_queries(queries, G.enriched_products(spark, sf), G.id_mapping(spark, sf))
+
+
+@register("match_brand", _EXT + """
+SELECT 'brand=' || b AS query_id, id, CAST(m AS BIGINT) AS solutions
+FROM (SELECT DISTINCT brand AS b FROM cat) q JOIN gp ON gp.brand = q.b""")
+def q_match_brand(spark, sf):
+    return _graph_answers(spark, sf, _single(C.catalogue(spark, sf), "brand"))
+
+
+@register("match_category", _EXT + """
+SELECT 'category=' || c AS query_id, id, CAST(1 AS BIGINT) AS solutions
+FROM (SELECT DISTINCT category AS c FROM cat) q JOIN gp ON contains(gp.gcategory, q.c)""")
+def q_match_category(spark, sf):
+    return _graph_answers(spark, sf, _single(C.catalogue(spark, sf), "category"))
+
+
+@register("match_capacity", _EXT + """
+SELECT 'capacity=' || c AS query_id, id, CAST(m AS BIGINT) AS solutions
+FROM (SELECT DISTINCT capacity AS c FROM cat WHERE capacity IS NOT NULL) q JOIN gp ON gp.gcapacity = q.c""")
+def q_match_capacity(spark, sf):
+    return _graph_answers(spark, sf, _single(C.catalogue(spark, sf), "capacity"))
+
+
+@register("match_label", C.sql_with(_PAIRS_SQL, C.PAGES_SQL) + """
+SELECT 'olfactory_category=' || v AS query_id, id, CAST(m AS BIGINT) AS solutions
+FROM (SELECT DISTINCT l AS v FROM lab UNION SELECT pair FROM toppairs) q JOIN gp ON contains(gp.gscent, q.v)""")
+def q_match_label(spark, sf):
+    cat = C.catalogue(spark, sf)
+    singles = cat.select(F.explode("labels").alias("olfactory_category"))
+    pairs = L.top_pairs(L.pair_counts(cat), 10).select(F.col("pair").alias("olfactory_category"))
+    return _graph_answers(spark, sf, _single(singles.unionByName(pairs), "olfactory_category"))
+
+
+_CAPS_VALUES = ", ".join(f"({c})" for c in C.OFFER_CAPS)
+
+
+@register("match_price", f"""
+SELECT 'price=<' || CAST(cap AS VARCHAR) AS query_id, l_partkey AS id, CAST(count(*) AS BIGINT) AS solutions
+FROM lineitem JOIN (VALUES {_CAPS_VALUES}) c(cap)
+  ON l_linenumber NOT IN (4, 5, 6) AND CAST(l_extendedprice AS DECIMAL(18,4)) < cap
+GROUP BY ALL""")
+def q_match_price(spark, sf):
+    caps = spark.createDataFrame([(f"<{c}",) for c in C.OFFER_CAPS], "price string")
+    queries = _single(caps, "price")
+    return R.match_queries(queries, G.offer_products(spark, sf), G.id_mapping(spark, sf))
+
+
+@register("match_queries", C.sql_with(_mined_queries_sql(2, 20), C.PAGES_SQL) + """
+SELECT q.query_id, g.id,
+       CAST(pow(g.m, CAST(q.brand IS NOT NULL AS INT) + CAST(q.capacity IS NOT NULL AS INT)
+                   + CAST(q.olfactory_category IS NOT NULL AS INT) + CAST(q.price IS NOT NULL AS INT)) AS BIGINT)
+         AS solutions
+FROM mq q JOIN gp g
+  ON (q.brand IS NULL OR g.brand = q.brand)
+ AND (q.category IS NULL OR contains(g.gcategory, q.category))
+ AND (q.capacity IS NULL OR g.gcapacity = q.capacity)
+ AND (q.olfactory_category IS NULL OR contains(g.gscent, q.olfactory_category))
+ AND (q.cap IS NULL OR g.gprice < q.cap)""")
+def q_match_queries(spark, sf):
+    return _graph_answers(spark, sf, _mined(spark, sf))
+
+
+@register("to_keywords", C.sql_with(_mined_queries_sql(2, 20)) + """
+SELECT query_id, concat_ws(' ', NULLIF(lower(trim(category)), ''), NULLIF(lower(trim(olfactory_category)), ''),
+                           NULLIF(lower(trim(capacity)), ''), NULLIF(lower(trim(brand)), ''),
+                           'minori di ' || NULLIF(trim(replace(price, '<', '')), '') || ' euro') AS text_query
+FROM mq""")
+def q_to_keywords(spark, sf):
+    q = _mined(spark, sf)
+    return q.select("query_id", R.to_keywords(q).alias("text_query"))

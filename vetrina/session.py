@@ -1,7 +1,8 @@
 """Session helpers.
 
 Nothing in the operators creates a session; tests and ``bench.py`` use
-``local_session``. ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the
+``local_session``. ``localCheckpoint`` is never used: lineage is cut by
+writing to the shared checkpoint folder. ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the
 running session (the shared folder a cluster names) and only falls back to a
 fresh scratch folder when none is set, as in local tests.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +48,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as Parquet in the shared checkpoint folder and read
+    it back: the lineage ends here (a lost executor re-reads files instead of
+    recomputing), the plan downstream is a plain scan, and the scan carries
+    real size statistics for AQE's join choices."""
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/vetrina-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
