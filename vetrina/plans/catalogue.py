@@ -146,6 +146,7 @@ cat0 AS (
               WHEN p_partkey % 2 = 0 THEN p_name || ' ' || CAST(p_size AS VARCHAR) || 'ML'
               ELSE p_name || ' ' || CAST(p_size AS VARCHAR) || ' ml' END AS title,
          p_name, p_type AS category, p_brand AS brand,
+         '<div><p>' || p_name || '</p><p>' || p_type || ' &amp; ' || p_brand || '</p></div>' AS content,
          CAST(p_retailprice AS DECIMAL(18,4)) AS price,
          list_distinct(string_split(p_name, ' ')) AS labels
   FROM part),

@@ -222,7 +222,7 @@ def _mined_queries_sql(n: int, min_support: int) -> str:
         "CASE " + " ".join(f"WHEN i{j}.f = '{f}' THEN i{j}.v" for j in range(1, n + 1)) + f" END AS {f}"
         for f in _FEAT_COLS)
     return _items_sql(min_support) + f""",
-mq0 AS (SELECT {key} AS query_id, {feats} FROM items i1 {joins}
+mq0 AS (SELECT {key} AS query_id, i1.id, {feats} FROM items i1 {joins}
         QUALIFY count(*) OVER (PARTITION BY query_id) >= {min_support}),
 mq AS (SELECT DISTINCT query_id, brand, category, capacity, olfactory_category, price,
               CAST(substr(price, 2) AS DECIMAL(18,4)) AS cap FROM mq0)"""
@@ -313,3 +313,200 @@ FROM mq""")
 def q_to_keywords(spark, sf):
     q = _mined(spark, sf)
     return q.select("query_id", R.to_keywords(q).alias("text_query"))
+
+
+# ---------------------------------------------------------------- SQL helpers
+
+def sql_html_to_text(x: str) -> str:
+    """The B7 regex chain in DuckDB (RE2) syntax."""
+    from ..functions import patterns as P
+    s = f"regexp_replace({x}, '{P.HTML_DROP_BLOCKS}', '<>', 'g')"
+    s = f"regexp_replace({s}, '{P.HTML_TAG_RUN}', ' ', 'g')"
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+                    ("&nbsp;", " "), ("&amp;", "&")):
+        s = f"replace({s}, '{ent}', '{ch}')"
+    return f"regexp_replace({s}, '{P.TRIM_WS}', '', 'g')"
+
+
+def sql_tokens(x: str) -> str:
+    return (f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{Nd}}#&'']+'), "
+            f"lambda t: t <> ''))")
+
+
+_PRICE_RE = r"(?i)\b(?:minori|meno)\s+di\s+(\d+)(?:\s+euro)?\b"
+_KW_SQL = """
+kw AS (SELECT query_id, concat_ws(' ', NULLIF(lower(trim(category)), ''), NULLIF(lower(trim(olfactory_category)), ''),
+                           NULLIF(lower(trim(capacity)), ''), NULLIF(lower(trim(brand)), ''),
+                           'minori di ' || NULLIF(trim(replace(price, '<', '')), '') || ' euro') AS text_query
+       FROM mq)"""
+
+
+def _text_sql() -> str:
+    return f""",
+docs AS (SELECT id, price, {sql_tokens("concat_ws(' ', title, brand, category, " + sql_html_to_text("content") + ")")}
+           AS toks FROM cat),
+kq AS (SELECT query_id, regexp_extract(text_query, '{_PRICE_RE}', 1) AS capn,
+              {sql_tokens("regexp_replace(text_query, '" + _PRICE_RE + "', ' ', 'g')")} AS qt FROM kw),
+ta AS (SELECT query_id, id FROM kq JOIN docs ON len(qt) > 0 AND list_has_all(toks, qt)
+         AND (capn = '' OR docs.price < CAST(capn AS DECIMAL(18,4))))"""
+
+
+def _slots_sql() -> str:
+    cats = ", ".join(f"('{c}')" for c in C.TEST_CATEGORIES)
+    cap_re = r"\b(\d+)\s*ml\b"
+    return f""",
+vocab AS (SELECT DISTINCT lower(brand) AS phrase, 'brand' AS slot, brand AS value FROM cat
+          UNION ALL SELECT lower(v), 'category', v FROM (VALUES {cats}) d(v)
+          UNION ALL SELECT DISTINCT l, 'olfactory_category', l FROM lab
+          UNION ALL SELECT pair, 'olfactory_category', pair FROM toppairs),
+st AS (SELECT query_id, lower(regexp_replace(trim(text_query), '\\s+', ' ', 'g')) AS norm FROM kw),
+s1 AS (SELECT query_id, regexp_extract(norm, '{_PRICE_RE}', 1) AS pn,
+              regexp_replace(norm, '{_PRICE_RE}', ' | ', 'g') AS r1 FROM st),
+s2 AS (SELECT query_id, pn, regexp_extract(r1, '{cap_re}', 1) AS cn,
+              list_filter(string_split(trim(regexp_replace(r1, '{cap_re}', ' | ', 'g')), ' '), lambda w: w <> '') AS words
+       FROM s1),
+pos AS (SELECT query_id, words, unnest(range(1, len(words) + 1)) AS start FROM s2),
+ng AS (SELECT query_id, start, L AS len, array_to_string(words[start:start + L - 1], ' ') AS phrase
+       FROM pos JOIN (VALUES (1), (2), (3), (4)) g(L) ON start + L - 1 <= len(words)),
+hm AS (SELECT ng.*, vocab.slot, vocab.value FROM ng JOIN vocab ON ng.phrase = vocab.phrase),
+sb AS (SELECT * FROM hm WHERE slot = 'brand'
+       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len DESC, start, value) = 1),
+sc AS (SELECT hm.* FROM hm LEFT JOIN sb ON hm.query_id = sb.query_id
+       WHERE hm.slot = 'category' AND (sb.query_id IS NULL OR hm.start + hm.len - 1 < sb.start
+                                       OR hm.start > sb.start + sb.len - 1)
+       QUALIFY row_number() OVER (PARTITION BY hm.query_id ORDER BY hm.len DESC, hm.start, hm.value) = 1),
+sl AS (SELECT hm.* FROM hm LEFT JOIN sb ON hm.query_id = sb.query_id LEFT JOIN sc ON hm.query_id = sc.query_id
+       WHERE hm.slot = 'olfactory_category'
+         AND (sb.query_id IS NULL OR hm.start + hm.len - 1 < sb.start OR hm.start > sb.start + sb.len - 1)
+         AND (sc.query_id IS NULL OR hm.start + hm.len - 1 < sc.start OR hm.start > sc.start + sc.len - 1)
+       QUALIFY row_number() OVER (PARTITION BY hm.query_id ORDER BY hm.len DESC, hm.start, hm.value) = 1),
+fs AS (SELECT s2.query_id, COALESCE(sb.value, '') AS brand, COALESCE(sc.value, '') AS category,
+              CASE WHEN cn <> '' THEN cn || ' ml' ELSE '' END AS capacity,
+              COALESCE(sl.value, '') AS olfactory_category,
+              CASE WHEN pn <> '' THEN '< ' || pn ELSE '' END AS price
+       FROM s2 LEFT JOIN sb ON s2.query_id = sb.query_id LEFT JOIN sc ON s2.query_id = sc.query_id
+       LEFT JOIN sl ON s2.query_id = sl.query_id)"""
+
+
+def _match_sql(src: str, out: str) -> str:
+    """CTE ``out``: graph answers (query_id, id, solutions) of query table ``src``."""
+    return f""",
+{out}q AS (SELECT query_id, NULLIF(brand, '') AS brand, NULLIF(category, '') AS category,
+                 NULLIF(capacity, '') AS capacity, NULLIF(olfactory_category, '') AS olfactory_category,
+                 CAST(NULLIF(trim(replace(price, '<', '')), '') AS DECIMAL(18,4)) AS cap FROM {src}),
+{out} AS (SELECT q.query_id, g.id,
+       CAST(pow(g.m, CAST(q.brand IS NOT NULL AS INT) + CAST(q.capacity IS NOT NULL AS INT)
+                   + CAST(q.olfactory_category IS NOT NULL AS INT) + CAST(q.cap IS NOT NULL AS INT)) AS BIGINT)
+         AS solutions
+  FROM {out}q q JOIN gp g
+    ON (q.brand IS NOT NULL OR q.category IS NOT NULL OR q.capacity IS NOT NULL
+        OR q.olfactory_category IS NOT NULL OR q.cap IS NOT NULL)
+   AND (q.brand IS NULL OR g.brand = q.brand)
+   AND (q.category IS NULL OR contains(g.gcategory, q.category))
+   AND (q.capacity IS NULL OR g.gcapacity = q.capacity)
+   AND (q.olfactory_category IS NULL OR contains(g.gscent, q.olfactory_category))
+   AND (q.cap IS NULL OR g.gprice < q.cap))"""
+
+
+_EVAL_BASE = C.sql_with(_mined_queries_sql(2, 20), C.PAGES_SQL) + _KW_SQL.join([",", ""])
+
+
+# ---------------------------------------------------------------- E14
+
+from ..operators import search as S  # noqa: E402
+from ..operators import slots as SL  # noqa: E402
+from ..operators import evaluate as EV  # noqa: E402
+
+
+def _docs(spark, sf):
+    cat = C.catalogue(spark, sf)
+    return cat.select("id", F.concat_ws(" ", "title", "brand", "category", T.html_to_text("content")).alias("text"))
+
+
+def _keywords(spark, sf):
+    q = _mined(spark, sf)
+    return q.select("query_id", R.to_keywords(q).alias("text_query"))
+
+
+@register("keyword_search", _EVAL_BASE + _text_sql() + "\nSELECT query_id, id FROM ta")
+def q_keyword_search(spark, sf):
+    return S.keyword_search(_keywords(spark, sf), _docs(spark, sf),
+                            prices=C.catalogue(spark, sf).select("id", "price"))
+
+
+# ---------------------------------------------------------------- E15 - E19
+
+def _vocab(spark, sf):
+    cat = C.catalogue(spark, sf)
+    cats = spark.createDataFrame([(c,) for c in C.TEST_CATEGORIES], "category string")
+    labels = cat.select(F.explode("labels").alias("l")).unionByName(
+        L.top_pairs(L.pair_counts(cat), 10).select(F.col("pair").alias("l")))
+    return (SL.vocabulary(cat, "brand", "brand").unionByName(SL.vocabulary(cats, "category", "category"))
+              .unionByName(SL.vocabulary(labels, "olfactory_category", "l")))
+
+
+@register("fill_slots", C.sql_with(_mined_queries_sql(2, 20)) + _KW_SQL.join([",", ""]) + _slots_sql()
+          + "\nSELECT query_id, brand, category, capacity, olfactory_category, price FROM fs")
+def q_fill_slots(spark, sf):
+    return SL.fill_slots(_keywords(spark, sf), _vocab(spark, sf))
+
+
+def _slot_answers(spark, sf):
+    filled = SL.fill_slots(_keywords(spark, sf), _vocab(spark, sf))
+    return _graph_answers(spark, sf, filled)
+
+
+@register("slot_answers", _EVAL_BASE + _slots_sql() + _match_sql("fs", "sa")
+          + "\nSELECT query_id, id, solutions FROM sa")
+def q_slot_answers(spark, sf):
+    return _slot_answers(spark, sf)
+
+
+def _replies(spark, sf):
+    """Slot replies derived from the catalogue, with deterministic faults."""
+    cat = C.catalogue(spark, sf)
+    k = F.col("id")
+    q = F.when(k % 13 == 0, F.lit("'")).otherwise(F.lit('"'))
+
+    def pair(name, v):
+        return F.concat(F.lit("["), q, F.lit(name), q, F.lit(", "), q, v, q, F.lit("]"))
+
+    cap = F.when((k % 5 == 0) & F.col("capacity").isNotNull(), F.replace("capacity", F.lit(" "), F.lit(""))) \
+        .otherwise(F.coalesce("capacity", F.lit("")))
+    price_n = F.floor("price").cast("string")
+    price = F.when(k % 7 == 0, F.concat(F.lit("<"), price_n)).otherwise(F.concat(F.lit("< "), price_n))
+    second = F.when(k % 17 == 0, pair("brand", F.upper("brand"))).otherwise(pair("category", F.lower("category")))
+    scent = F.concat(F.lit("  "), F.element_at("labels", 1), F.lit("  "), F.element_at("labels", -1), F.lit(" "))
+    parts = [pair("brand", F.col("brand")), second, pair("capacity", cap), pair("olfactory category", scent),
+             F.when(k % 11 != 0, pair("price", price))]
+    return cat.select("id", F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")).alias("reply"))
+
+
+_REPLY_SQL = """
+rp AS (SELECT id, brand, category, capacity, labels, p_name, price,
+              (id % 5 = 0 AND capacity IS NOT NULL) OR id % 7 = 0 OR id % 11 = 0 AS bad FROM cat)"""
+
+
+@register("valid_slots", C.sql_with(_REPLY_SQL) + "SELECT id, NOT bad AS valid FROM rp")
+def q_valid_slots(spark, sf):
+    r = _replies(spark, sf)
+    return r.select("id", SL.valid_slots("reply").alias("valid"))
+
+
+def _sql_cap_words(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split_regex(trim({x}), '\\s+'), "
+            f"lambda w: upper(w[1]) || lower(w[2:])), ' ')")
+
+
+@register("capitalise_slots", C.sql_with(_REPLY_SQL) + f"""
+SELECT id,
+       {_sql_cap_words("CASE WHEN id % 17 = 0 THEN upper(brand) ELSE brand END")} AS brand,
+       CASE WHEN id % 17 = 0 THEN NULL ELSE {_sql_cap_words("lower(category)")} END AS category,
+       lower(COALESCE(capacity, '')) AS capacity,
+       {_sql_cap_words("string_split(p_name, ' ')[1] || ' ' || string_split(p_name, ' ')[-1]")} AS olfactory_category,
+       '< ' || CAST(CAST(floor(price) AS BIGINT) AS VARCHAR) AS price
+FROM rp WHERE NOT bad""")
+def q_capitalise_slots(spark, sf):
+    r = _replies(spark, sf).where(SL.valid_slots("reply"))
+    pairs = SL.capitalise_slots(SL.reply_pairs("reply"))
+    return r.select("id", *SL.pairs_to_query(pairs))
