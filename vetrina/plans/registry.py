@@ -510,3 +510,86 @@ def q_capitalise_slots(spark, sf):
     r = _replies(spark, sf).where(SL.valid_slots("reply"))
     pairs = SL.capitalise_slots(SL.reply_pairs("reply"))
     return r.select("id", *SL.pairs_to_query(pairs))
+
+
+# ---------------------------------------------------------------- F1 - F10
+
+from ..session import cut_lineage  # noqa: E402
+
+SYSTEMS = ["graph", "text", "slots"]
+
+
+def _evaluation(spark, sf):
+    """Per-query scores of the three systems against the mined truth (n = 2)."""
+    cat = C.catalogue(spark, sf)
+    queries, truth = M.mine_queries(cat, 2, categories=C.TEST_CATEGORIES, caps=C.TEST_CAPS, min_support=20)
+    # The query log and its truth feed three systems: written once.
+    queries = cut_lineage(queries, "queries")
+    truth = cut_lineage(truth, "truth")
+    products, mapping = G.enriched_products(spark, sf), G.id_mapping(spark, sf)
+    kw = queries.select("query_id", R.to_keywords(queries).alias("text_query"))
+    graph = R.match_queries(queries, products, mapping)
+    text = S.keyword_search(kw, _docs(spark, sf), prices=cat.select("id", "price"))
+    slots = R.match_queries(SL.fill_slots(kw, _vocab(spark, sf)), products, mapping)
+    answers = (graph.select("query_id", F.lit("graph").alias("system"), "id")
+               .unionByName(text.select("query_id", F.lit("text").alias("system"), "id"))
+               .unionByName(slots.select("query_id", F.lit("slots").alias("system"), "id")))
+    return queries, EV.per_query(queries, truth, answers, SYSTEMS)
+
+
+def _r6(df):
+    return df.select(*[F.round(c, 6).alias(c) if c in ("precision", "recall", "f1") else F.col(c)
+                       for c in df.columns])
+
+
+_METRICS_SQL = (_EVAL_BASE + _text_sql() + _slots_sql() + _match_sql("mq", "ga") + _match_sql("fs", "sa") + """,
+truth AS (SELECT DISTINCT query_id, CAST(id AS VARCHAR) AS id FROM mq0),
+ans AS (SELECT DISTINCT query_id, 'graph' AS system, CAST(id AS VARCHAR) AS id FROM ga
+        UNION SELECT DISTINCT query_id, 'text', CAST(id AS VARCHAR) FROM ta
+        UNION SELECT DISTINCT query_id, 'slots', CAST(id AS VARCHAR) FROM sa),
+grid AS (SELECT q.query_id, q.price, s.system FROM mq q JOIN (VALUES ('graph'), ('text'), ('slots')) s(system) ON TRUE),
+nt AS (SELECT query_id, count(*) AS n FROM truth GROUP BY ALL),
+na AS (SELECT query_id, system, count(*) AS n FROM ans GROUP BY ALL),
+ntp AS (SELECT a.query_id, a.system, count(*) AS n FROM ans a JOIN truth t ON a.query_id = t.query_id AND a.id = t.id
+        GROUP BY ALL),
+pq0 AS (SELECT g.query_id, g.system, g.price, CAST(COALESCE(nt.n, 0) AS BIGINT) AS n_truth,
+               CAST(COALESCE(na.n, 0) AS BIGINT) AS n_answer, CAST(COALESCE(ntp.n, 0) AS BIGINT) AS tp
+        FROM grid g LEFT JOIN nt ON g.query_id = nt.query_id
+        LEFT JOIN na ON g.query_id = na.query_id AND g.system = na.system
+        LEFT JOIN ntp ON g.query_id = ntp.query_id AND g.system = ntp.system),
+pq1 AS (SELECT *, CASE WHEN n_answer = 0 THEN 0.0 ELSE tp / n_answer END AS precision,
+               CASE WHEN n_truth = 0 THEN 0.0 ELSE tp / n_truth END AS recall FROM pq0),
+pq AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0
+                      ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pq1)""")
+
+
+@register("metrics_per_query", _METRICS_SQL + """
+SELECT query_id, system, n_truth, n_answer, tp, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1 FROM pq""")
+def q_metrics_per_query(spark, sf):
+    return _r6(_evaluation(spark, sf)[1])
+
+
+_MACRO = """COALESCE(avg(CASE WHEN n_truth > 0 THEN precision END), 0.0) AS precision,
+       COALESCE(avg(CASE WHEN n_truth > 0 THEN recall END), 0.0) AS recall,
+       COALESCE(avg(CASE WHEN n_truth > 0 THEN f1 END), 0.0) AS f1, count(*) AS query_count"""
+
+
+@register("metrics_macro", _METRICS_SQL + f"""
+SELECT system, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, query_count
+FROM (SELECT system, {_MACRO} FROM pq GROUP BY system)""")
+def q_metrics_macro(spark, sf):
+    return _r6(EV.macro(_evaluation(spark, sf)[1]))
+
+
+@register("metrics_slices", _METRICS_SQL + f"""
+SELECT slice, system, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       query_count
+FROM (SELECT slice, system, {_MACRO}
+      FROM (SELECT *, 'all' AS slice FROM pq
+            UNION ALL SELECT *, CASE WHEN price IS NOT NULL THEN 'with' ELSE 'without' END FROM pq)
+      GROUP BY slice, system)""")
+def q_metrics_slices(spark, sf):
+    queries, scores = _evaluation(spark, sf)
+    scored = scores.join(queries.select("query_id", "price"), "query_id")
+    return _r6(EV.slices(scored, F.col("price").isNotNull()))
