@@ -593,3 +593,111 @@ def q_metrics_slices(spark, sf):
     queries, scores = _evaluation(spark, sf)
     scored = scores.join(queries.select("query_id", "price"), "query_id")
     return _r6(EV.slices(scored, F.col("price").isNotNull()))
+
+
+# ---------------------------------------------------------------- B7
+
+@register("html_to_text", f"SELECT page_id, {sql_html_to_text('html')} AS text FROM pages")
+def q_html_to_text(spark, sf):
+    return C.table(spark, sf, "pages").select("page_id", T.html_to_text("html").alias("text"))
+
+
+# ---------------------------------------------------------------- C3 - C6
+
+def _label_replies(spark, sf):
+    """Label score replies derived from the catalogue, with deterministic faults
+    keyed on the product id k: single quotes (k % 3 = 0), trailing comma
+    (k % 4 = 0), quoted score (k % 7 = 0), an empty list (k % 17 = 0), a
+    truncated reply (k % 11 = 0), a prose prefix (k % 5 = 0), '' (k % 13 = 0)."""
+    cat = C.catalogue(spark, sf)
+    k = F.col("id")
+    q = F.when(k % 3 == 0, F.lit("'")).otherwise(F.lit('"'))
+    score = F.when(k % 7 == 0, F.lit('"1"')).otherwise(F.lit("1"))
+    pairs = F.transform("labels", lambda l: F.concat(F.lit("["), q, l, q, F.lit(", "), score, F.lit("]")))
+    body = F.concat(F.lit("["), F.array_join(pairs, ", "), F.when(k % 4 == 0, F.lit(",")).otherwise(F.lit("")),
+                    F.lit("]"))
+    body = F.when(k % 17 == 0, F.lit("[]")).otherwise(body)
+    body = F.when(k % 11 == 0, body.substr(F.lit(1), F.length(body) - 1)).otherwise(body)
+    reply = (F.when(k % 13 == 0, F.lit("")).when(k % 5 == 0, F.concat(F.lit("ecco: "), body)).otherwise(body))
+    return cat.select("id", reply.alias("reply"))
+
+
+_SCORES_SQL = """
+sr AS (SELECT id, labels,
+              id % 13 <> 0 AND id % 5 <> 0 AND id % 11 <> 0 AND (id % 17 = 0 OR id % 7 <> 0) AS valid
+       FROM cat)"""
+
+
+@register("score_validation", C.sql_with(_SCORES_SQL) + "SELECT id, valid FROM sr")
+def q_score_validation(spark, sf):
+    return _label_replies(spark, sf).select("id", L.valid_scores("reply").alias("valid"))
+
+
+@register("score_repair", C.sql_with(_SCORES_SQL) + """
+SELECT id, valid, label, 1 AS score FROM (SELECT id, valid, unnest(labels) AS label FROM sr
+WHERE id % 13 <> 0 AND id % 17 <> 0 AND id % 7 <> 0)""")
+def q_score_repair(spark, sf):
+    return L.scores(_label_replies(spark, sf)).select("id", "valid", "label", "score")
+
+
+# ---------------------------------------------------------------- C2, C2b
+
+# Lexicon of the test documents: function words of each language. Fixed values.
+TEST_LEXICON = [
+    ("the", "en"), ("and", "en"), ("with", "en"), ("of", "en"), ("is", "en"),
+    ("le", "fr"), ("les", "fr"), ("des", "fr"), ("et", "fr"), ("une", "fr"),
+    ("der", "de"), ("die", "de"), ("und", "de"), ("nicht", "de"), ("von", "de"),
+    ("los", "es"), ("las", "es"), ("el", "es"), ("y", "es"), ("por", "es"),
+]
+
+
+def _lexicon(spark):
+    return spark.createDataFrame(TEST_LEXICON, "term string, label string")
+
+
+_LEX_VALUES = ", ".join(f"('{t}', '{l}')" for t, l in TEST_LEXICON)
+
+
+@register("label_tagger", f"""
+SELECT DISTINCT d.doc_id, x.label
+FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) d
+JOIN (VALUES {_LEX_VALUES}) x(term, label) ON d.term = x.term""")
+def q_label_tagger(spark, sf):
+    docs = C.table(spark, sf, "documents")
+    return L.tag_labels(docs, _lexicon(spark), key="doc_id", text="text")
+
+
+@register("unlabelled_only", """
+SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def q_unlabelled_only(spark, sf):
+    return L.unlabelled_only(C.table(spark, sf, "documents").select("doc_id"),
+                             C.table(spark, sf, "labels"), key="doc_id")
+
+
+# ---------------------------------------------------------------- E2
+
+def _sql_esc(x: str) -> str:
+    return f"replace(replace({x}, '\\', '\\\\'), '\"', '\\\"')"
+
+
+@register("to_sparql", C.sql_with(_mined_queries_sql(2, 20)) + f"""
+SELECT query_id, concat_ws('',
+  'PREFIX schema: <http://schema.org/>' || chr(10) || 'PREFIX xsd: <http://www.w3.org/2001/XMLSchema#>' || chr(10)
+    || 'SELECT ?product WHERE {{' || chr(10) || '  ?product a schema:Product ; schema:name ?name .',
+  CASE WHEN price <> '' THEN chr(10) || '  ?product schema:offers ?offer .' END,
+  CASE WHEN category <> '' THEN chr(10) || '  ?product schema:category ?category . FILTER(CONTAINS(?category, "'
+       || {_sql_esc('category')} || '"))' END,
+  CASE WHEN capacity <> '' THEN chr(10) || '  ?product schema:additionalProperty [ a schema:PropertyValue ; '
+       || 'schema:name "Capacita" ; schema:value "' || {_sql_esc('capacity')} || '" ] .' END,
+  CASE WHEN brand <> '' THEN chr(10) || '  ?product schema:brand [ a schema:Brand ; schema:name "'
+       || {_sql_esc('brand')} || '" ] .' END,
+  CASE WHEN olfactory_category <> '' THEN chr(10) || '  ?product schema:additionalProperty [ a schema:PropertyValue ; '
+       || 'schema:name "Gruppo Olfattivo" ; schema:value ?olfattivo ] . FILTER(CONTAINS(?olfattivo, "'
+       || {_sql_esc('olfactory_category')} || '"))' END,
+  CASE WHEN price <> '' THEN chr(10) || '  ?offer schema:price ?price ; schema:priceCurrency ?currency . '
+       || 'FILTER(xsd:decimal(?price) < ' || trim(replace(price, '<', '')) || ')' END,
+  chr(10) || '}}') AS sparql
+FROM mq""")
+def q_to_sparql(spark, sf):
+    q = _mined(spark, sf)
+    return q.select("query_id", R.to_sparql().alias("sparql"))
