@@ -701,3 +701,96 @@ FROM mq""")
 def q_to_sparql(spark, sf):
     q = _mined(spark, sf)
     return q.select("query_id", R.to_sparql().alias("sparql"))
+
+
+# ---------------------------------------------------------------- B10, A9
+
+from ..operators import triples as TR  # noqa: E402
+
+
+@register("triples", C.sql_with(C.PAGES_SQL) + """,
+ex AS (SELECT g.*, e.permalink || '/#richSnippet' AS uri FROM gp g JOIN ext e ON g.id = e.id),
+lit AS (SELECT DISTINCT uri, id, name, gcategory FROM ex),
+S AS ('http://schema.org/'),
+t AS (
+  SELECT uri AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://schema.org/Product' AS o,
+         'iri' AS o_kind FROM lit
+  UNION ALL SELECT uri, 'http://schema.org/name', name, 'literal' FROM lit
+  UNION ALL SELECT uri, 'http://schema.org/category', gcategory, 'literal' FROM lit
+  UNION ALL SELECT uri, 'http://schema.org/brand', '_:', 'bnode' FROM ex
+  UNION ALL SELECT '_:', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://schema.org/Brand', 'iri' FROM ex
+  UNION ALL SELECT '_:', 'http://schema.org/name', brand, 'literal' FROM ex
+  UNION ALL SELECT uri, 'http://schema.org/offers', '_:', 'bnode' FROM ex
+  UNION ALL SELECT '_:', 'http://schema.org/price', CAST(CAST(gprice AS DOUBLE) AS VARCHAR), 'literal' FROM ex
+  UNION ALL SELECT '_:', 'http://schema.org/priceCurrency', 'EUR', 'literal' FROM ex
+  UNION ALL SELECT uri, 'http://schema.org/additionalProperty', '_:', 'bnode' FROM ex WHERE gcapacity IS NOT NULL
+  UNION ALL SELECT '_:', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://schema.org/PropertyValue', 'iri'
+            FROM ex WHERE gcapacity IS NOT NULL
+  UNION ALL SELECT '_:', 'http://schema.org/name', 'Capacita', 'literal' FROM ex WHERE gcapacity IS NOT NULL
+  UNION ALL SELECT '_:', 'http://schema.org/value', gcapacity, 'literal' FROM ex WHERE gcapacity IS NOT NULL
+  UNION ALL SELECT uri, 'http://schema.org/additionalProperty', '_:', 'bnode' FROM ex WHERE gscent IS NOT NULL
+  UNION ALL SELECT '_:', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://schema.org/PropertyValue', 'iri'
+            FROM ex WHERE gscent IS NOT NULL
+  UNION ALL SELECT '_:', 'http://schema.org/name', 'Gruppo Olfattivo', 'literal' FROM ex WHERE gscent IS NOT NULL
+  UNION ALL SELECT '_:', 'http://schema.org/value', gscent, 'literal' FROM ex WHERE gscent IS NOT NULL)
+SELECT s, p, o, o_kind FROM t""".replace("S AS ('http://schema.org/'),\n", ""))
+def q_triples(spark, sf):
+    t = TR.to_triples(G.enriched_products(spark, sf))
+
+    def blank(c):
+        return F.when(F.col(c).startswith("_:"), F.lit("_:")).otherwise(F.col(c))
+
+    return t.select(blank("s").alias("s"), "p", blank("o").alias("o"), "o_kind")
+
+
+# ---------------------------------------------------------------- A3b, A8
+
+from ..session import checkpoint_dir  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+
+def _scratch(spark, name):
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/vetrina-{name}-{uuid.uuid4().hex}"
+
+
+@register("valid_entries", C.sql_with(_mined_queries_sql(2, 20)) + """
+SELECT query_id, support % 4 <> 0 AS valid
+FROM (SELECT query_id, count(*) AS support FROM mq0 GROUP BY query_id)""")
+def q_valid_entries(spark, sf):
+    cat = C.catalogue(spark, sf)
+    queries, truth = M.mine_queries(cat, 2, categories=C.TEST_CATEGORIES, caps=C.TEST_CAPS, min_support=20)
+    # A log with faults: every entry whose support is a multiple of 4 lost its query.
+    damaged = queries.withColumn("brand", F.when(F.col("support") % 4 != 0, F.col("brand")))
+    path = _scratch(spark, "log")
+    entries = damaged.select("n_features", "query_id", "support", "brand", "category", "capacity",
+                             "olfactory_category", "price")
+    log = (entries.join(truth.groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("results")),
+                        "query_id")
+           .select("n_features", "query_id",
+                   F.when(F.col("support") % 4 != 0,
+                          F.struct("brand", "category", "capacity", "olfactory_category", "price")).alias("query"),
+                   "results"))
+    log.write.mode("overwrite").partitionBy("n_features").json(path)
+    from pyspark.sql import types as TY
+    schema = TY.StructType(IO.LOG_SCHEMA.fields + [TY.StructField("query_id", TY.StringType())])
+    read = IO.read_query_log(spark, path, multi_line=False, schema=schema)
+    ok, bad = IO.valid_entries(read)
+    return (ok.select("query_id", F.lit(True).alias("valid"))
+              .unionByName(read.where(F.col("query").isNull()).select("query_id", F.lit(False).alias("valid"))))
+
+
+# ---------------------------------------------------------------- A10
+
+from ..streaming import ingest as ST  # noqa: E402
+
+
+@register("ingest_stream", C.sql_with(C.PAGES_SQL) + "SELECT permalink, title AS name FROM ext")
+def q_ingest_stream(spark, sf):
+    src, sink, ckpt = _scratch(spark, "pages"), _scratch(spark, "products"), _scratch(spark, "stream-ckpt")
+    C.product_pages(spark, sf).repartition(8).write.parquet(src)
+    q = ST.ingest_pages(spark, src, sink, ckpt, max_files=5)
+    q.awaitTermination()
+    prods = spark.read.parquet(sink)
+    return prods.select(T.strip_suffix("id").alias("permalink"),
+                        F.get_json_object("node", "$.name").alias("name"))
