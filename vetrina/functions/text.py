@@ -36,7 +36,7 @@ def trim_ws(s) -> Column:
 def html_to_text(html) -> Column:
     """Drop comments, scripts and styles; each run of tags becomes one
     space; decode the common entities; trim the ends. Non-HTML text passes."""
-    s = F.regexp_replace(_c(html), P.HTML_DROP_BLOCKS, "<>")
+    s = F.regexp_replace(_c(html), P.HTML_DROP_BLOCKS, "<!>")
     s = F.regexp_replace(s, P.HTML_TAG_RUN, " ")
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
                     ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):

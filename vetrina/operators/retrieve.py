@@ -172,13 +172,11 @@ def less_than_join(left: DataFrame, x: str, right: DataFrame, c: str) -> DataFra
     off = F.lit(1 << (DYADIC_BITS - 1))
     fx = (F.floor(F.col(x)).cast("bigint") + off)
     fc = (F.floor(F.col(c)).cast("bigint") + off)
-    levels = F.sequence(F.lit(0), F.lit(DYADIC_BITS))
-    lx = left.withColumn("_fx", fx).withColumn(
-        "_k", F.explode(F.transform(levels, lambda l: F.struct(l.alias("l"), F.shiftright(F.col("_fx"), l).alias("p")))))
-    rc = right.withColumn("_fc", fc).withColumn(
-        "_k", F.explode(F.transform(
-            F.filter(levels, lambda l: F.shiftright(F.col("_fc"), l).bitwiseAND(F.lit(1)) == 1),
-            lambda l: F.struct(l.alias("l"), (F.shiftright(F.col("_fc"), l) - 1).alias("p")))))
+    lx = left.withColumn("_fx", fx).withColumn("_k", F.explode(F.expr(
+        f"transform(sequence(0, {DYADIC_BITS}), l -> named_struct('l', l, 'p', shiftright(_fx, l)))")))
+    rc = right.withColumn("_fc", fc).withColumn("_k", F.explode(F.expr(
+        f"transform(filter(sequence(0, {DYADIC_BITS}), l -> (shiftright(_fc, l) & 1) = 1), "
+        f"l -> named_struct('l', l, 'p', shiftright(_fc, l) - 1))")))
     below = lx.join(rc, "_k").drop("_k", "_fx", "_fc")
     same = (left.withColumn("_f", F.floor(F.col(x)).cast("bigint"))
                 .join(right.withColumn("_f", F.floor(F.col(c)).cast("bigint")), "_f")

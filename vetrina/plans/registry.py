@@ -320,7 +320,7 @@ def q_to_keywords(spark, sf):
 def sql_html_to_text(x: str) -> str:
     """The B7 regex chain in DuckDB (RE2) syntax."""
     from ..functions import patterns as P
-    s = f"regexp_replace({x}, '{P.HTML_DROP_BLOCKS}', '<>', 'g')"
+    s = f"regexp_replace({x}, '{P.HTML_DROP_BLOCKS}', '<!>', 'g')"
     s = f"regexp_replace({s}, '{P.HTML_TAG_RUN}', ' ', 'g')"
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
                     ("&nbsp;", " "), ("&amp;", "&")):
