@@ -129,3 +129,15 @@ def typed_products(products: DataFrame) -> DataFrame:
         _array_or_single(n, "$.additionalProperty", NODE_PROP).alias("properties"),
         n.alias("node"),
     )
+
+
+def add_columns(df: DataFrame, *cols: Column) -> DataFrame:
+    """Derived columns side by side with the row they come from (a
+    projection; never a join on row position)."""
+    return df.select("*", *cols)
+
+
+def move_column(df: DataFrame, name: str, index: int) -> DataFrame:
+    """Put column ``name`` at position ``index`` (an ordered select)."""
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest[:index], name, *rest[index:])

@@ -154,3 +154,18 @@ def pairs_to_query(pairs) -> list[Column]:
         return lambda x: x["name"] == slot
 
     return [F.try_element_at(F.filter(norm, named(s)), F.lit(-1))["value"].alias(s) for s in SLOTS]
+
+
+def resolve_replies(replies: DataFrame, texts: DataFrame, vocab: DataFrame, key: str = "query_id",
+                    reply: str = "reply", text: str = "text_query") -> tuple[DataFrame, DataFrame]:
+    """E16-E19 with E17 re-aimed: (slots, quarantine).
+
+    Valid replies are parsed, capitalised (E18) and folded to one value per
+    slot (E19); invalid ones are not retried in a loop: they go to the
+    quarantine table and their texts are filled by the dictionary tagger (E15).
+    """
+    ok = valid_slots(reply)
+    good = replies.where(ok).select(key, *pairs_to_query(capitalise_slots(reply_pairs(reply))))
+    bad = replies.where(~ok).select(key, reply)
+    fallback = fill_slots(texts.join(bad.select(key), key, "left_semi"), vocab, key=key, text=text)
+    return good.unionByName(fallback), bad

@@ -521,20 +521,10 @@ SYSTEMS = ["graph", "text", "slots"]
 
 def _evaluation(spark, sf):
     """Per-query scores of the three systems against the mined truth (n = 2)."""
-    cat = C.catalogue(spark, sf)
-    queries, truth = M.mine_queries(cat, 2, categories=C.TEST_CATEGORIES, caps=C.TEST_CAPS, min_support=20)
-    # The query log and its truth feed three systems: written once.
-    queries = cut_lineage(queries, "queries")
-    truth = cut_lineage(truth, "truth")
-    products, mapping = G.enriched_products(spark, sf), G.id_mapping(spark, sf)
-    kw = queries.select("query_id", R.to_keywords(queries).alias("text_query"))
-    graph = R.match_queries(queries, products, mapping)
-    text = S.keyword_search(kw, _docs(spark, sf), prices=cat.select("id", "price"))
-    slots = R.match_queries(SL.fill_slots(kw, _vocab(spark, sf)), products, mapping)
-    answers = (graph.select("query_id", F.lit("graph").alias("system"), "id")
-               .unionByName(text.select("query_id", F.lit("text").alias("system"), "id"))
-               .unionByName(slots.select("query_id", F.lit("slots").alias("system"), "id")))
-    return queries, EV.per_query(queries, truth, answers, SYSTEMS)
+    from .evaluation import evaluate_catalogue
+    return evaluate_catalogue(C.catalogue(spark, sf), G.enriched_products(spark, sf), G.id_mapping(spark, sf),
+                              _docs(spark, sf), _vocab(spark, sf), 2, categories=C.TEST_CATEGORIES,
+                              caps=C.TEST_CAPS, min_support=20)
 
 
 def _r6(df):
