@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..session import cut_lineage
 from . import labels as L
 
 _STR = "string"
@@ -78,8 +79,11 @@ def feature_items(catalogue: DataFrame, *, categories: Sequence[str], caps: Sequ
     ``price`` holds the tightest cap bucket (at most one). ``labels=None`` keeps
     every label; ``pairs=None`` takes the top pairs of the data (C10).
     """
-    brands = frequent_values(catalogue, "brand", min_values).select(F.col("brand").alias("_fb"))
-    caps_top = top_values(catalogue, "capacity", top_capacities).select(F.col("capacity").alias("_tc"))
+    # Both domains are small aggregates read by every later pass: written once.
+    brands = cut_lineage(frequent_values(catalogue, "brand", min_values).select(F.col("brand").alias("_fb")),
+                         "brands")
+    caps_top = cut_lineage(top_values(catalogue, "capacity", top_capacities)
+                           .select(F.col("capacity").alias("_tc")), "capacities")
     if pairs is None:
         # Bounded by top_pair_count: the only driver-side values in the plan.
         pairs = [r["pair"] for r in L.top_pairs(L.pair_counts(catalogue), top_pair_count).collect()]
@@ -108,9 +112,10 @@ def feature_items(catalogue: DataFrame, *, categories: Sequence[str], caps: Sequ
 
 
 def _bucket_table(spark, caps: Sequence[int]) -> DataFrame:
-    """(bucket, cap) for every cap >= bucket: at most |caps|^2 / 2 rows."""
+    """(bucket, cap) for every cap >= bucket, plus ('', NULL) for combinations
+    without price: at most |caps|^2 / 2 + 1 rows."""
     cs = sorted(caps)
-    rows = [(str(b), str(c)) for i, b in enumerate(cs) for c in cs[i:]]
+    rows = [(str(b), str(c)) for i, b in enumerate(cs) for c in cs[i:]] + [("", None)]
     return spark.createDataFrame(rows, "bucket string, cap string")
 
 
@@ -129,13 +134,13 @@ def mine_queries(catalogue: DataFrame, n: int, *, categories: Sequence[str] = V.
     row_combos = items.select("id", F.explode(_combos(cols, n)).alias("c")).select("id", "c.*")
 
     buckets = F.broadcast(_bucket_table(spark, caps))
+    # One partial aggregation over the expanded rows, then the (small) counts
+    # roll up from buckets to caps through the broadcast bucket table.
     counts = row_combos.groupBy(*V.FEATURES).agg(F.count(F.lit(1)).alias("cnt"))
-    plain = counts.where(F.col("price").isNull()).withColumnRenamed("cnt", "support")
-    priced = (counts.where(F.col("price").isNotNull())
-              .join(buckets, F.col("price") == F.col("bucket"))
-              .groupBy(*[F.col(f) for f in V.FEATURES[:-1]], F.col("cap").alias("price"))
-              .agg(F.sum("cnt").alias("support")))
-    supported = plain.unionByName(priced).where(F.col("support") >= min_support)
+    supported = (counts.join(buckets, F.coalesce(F.col("price"), F.lit("")) == F.col("bucket"))
+                 .groupBy(*[F.col(f) for f in V.FEATURES[:-1]], F.col("cap").alias("price"))
+                 .agg(F.sum("cnt").alias("support"))
+                 .where(F.col("support") >= min_support))
 
     price_text = F.when(F.col("price").isNotNull(), F.concat(F.lit("<"), F.col("price")))
     queries = supported.select(
@@ -149,11 +154,11 @@ def mine_queries(catalogue: DataFrame, n: int, *, categories: Sequence[str] = V.
     # Spread each supported query over the buckets that roll up into it, then
     # gather IDs with one equi-join on (base key, bucket).
     base = query_key(*[F.col(f) for f in V.FEATURES[:-1]], F.lit(None).cast(_STR))
-    sup_keys = (supported.join(buckets, F.col("price") == F.col("cap"), "left")
+    sup_keys = (supported.join(buckets, F.col("price").eqNullSafe(F.col("cap")))
                 .select(F.concat_ws("|", base, F.col("bucket")).alias("k"),
                         query_key(*[F.col(f) for f in V.FEATURES[:-1]],
                                   F.when(F.col("price").isNotNull(), F.concat(F.lit("<"), F.col("price"))))
                         .alias("query_id")))
-    row_keys = row_combos.select("id", F.concat_ws("|", base, F.col("price")).alias("k"))
+    row_keys = row_combos.select("id", F.concat_ws("|", base, F.coalesce(F.col("price"), F.lit(""))).alias("k"))
     answers = row_keys.join(sup_keys, "k").select("query_id", "id")
     return queries, answers

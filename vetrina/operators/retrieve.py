@@ -21,6 +21,8 @@ below N) is answered for a whole query log at once, as a relational division:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,16 +79,27 @@ def to_sparql(brand="brand", category="category", capacity="capacity", olfactory
 
 # ---------------------------------------------------------------- facts
 
-def graph_facts(products: DataFrame, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(names(uri, n_names), facts(uri, feature, value, price, cnt)) from typed,
-    enriched product rows (E3-E8).
+@dataclass
+class GraphIndex:
+    """Materialised graph facts, keyed by a 96-bit hash of the node id
+    (``u1`` xxhash64, ``u2`` murmur3), so retrieval shuffles fixed-width keys
+    instead of IRIs: names(u1, u2, n_names), facts(u1, u2, feature, value,
+    price, cnt), links(u1, u2, link)."""
+
+    names: DataFrame
+    facts: DataFrame
+    links: DataFrame
+
+
+def graph_index(products: DataFrame, materialize: bool = True) -> GraphIndex:
+    """E3-E8 facts of typed, enriched product rows.
 
     One projection builds every fact of a row, one explode and one partial
-    aggregation count them: the product input is scanned once. With
-    ``materialize`` the facts are checkpointed (reliably, in the cluster's
-    checkpoint folder) because retrieval joins them four times. Literal facts
+    aggregation count them: the product input is scanned once. Literal facts
     (name, category) collapse per node id (cnt = 1); blank-node facts (brand,
-    properties, offers) keep their multiplicity.
+    properties, offers) keep their multiplicity. With ``materialize`` the facts
+    are written once to the shared checkpoint folder, because retrieval reads
+    them four times and several systems share them.
     """
     nul_s, nul_d = F.lit(None).cast("string"), F.lit(None).cast("decimal(18,4)")
 
@@ -112,17 +125,26 @@ def graph_facts(products: DataFrame, materialize: bool = False) -> tuple[DataFra
         lambda o: fact("price", nul_s, T.decimal_or_null(o["price"]), False))
     empty = F.array().cast("array<struct<feature:string,value:string,price:decimal(18,4),lit:boolean>>")
     all_facts = F.concat(*[F.coalesce(x, empty) for x in (name, cat, brand, props, offers)])
-    counted = (products.where(F.col("uri").isNotNull())
-               .select("uri", F.explode(all_facts).alias("f"))
-               .groupBy("uri", "f.feature", "f.value", "f.price")
+    keyed = (products.where(F.col("uri").isNotNull())
+             .select(F.xxhash64("uri").alias("u1"), F.hash("uri").alias("u2"), "uri", all_facts.alias("fs")))
+    counted = (keyed.select("u1", "u2", F.explode("fs").alias("f"))
+               .groupBy("u1", "u2", "f.feature", "f.value", "f.price")
                .agg(F.count(F.lit(1)).alias("n"), F.max("f.lit").alias("lit"))
-               .select("uri", "feature", "value", "price",
+               .select("u1", "u2", "feature", "value", "price",
                        F.when(F.col("lit"), F.lit(1)).otherwise(F.col("n")).cast("bigint").alias("cnt")))
+    links = keyed.select("u1", "u2", T.strip_all(F.col("uri")).alias("link")).distinct()
     if materialize:
         counted = cut_lineage(counted, "facts")
-    names = (counted.where(F.col("feature") == "name").groupBy("uri")
+        links = cut_lineage(links, "links")
+    names = (counted.where(F.col("feature") == "name").groupBy("u1", "u2")
              .agg(F.count(F.lit(1)).alias("n_names")))
-    return names, counted.where(F.col("feature") != "name")
+    return GraphIndex(names, counted.where(F.col("feature") != "name"), links)
+
+
+def graph_facts(products: DataFrame, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(names, facts) of ``graph_index``."""
+    idx = graph_index(products, materialize)
+    return idx.names, idx.facts
 
 
 def query_features(queries: DataFrame) -> DataFrame:
@@ -184,71 +206,74 @@ def less_than_join(left: DataFrame, x: str, right: DataFrame, c: str) -> DataFra
     return below.unionByName(same)
 
 
+U = ["u1", "u2"]
+
+
 def _drive(qd: DataFrame, facts: DataFrame) -> DataFrame:
-    """Candidates (query_id, uri, hits) of each query's driving feature."""
-    spark = facts.sparkSession
+    """Candidates (q, u1, u2, hits) of each query's driving feature."""
     f = facts.alias("f")
     eq = (qd.where(~F.col("feature").isin(*CONTAINS, "price")).alias("q")
           .join(f, (F.col("q.feature") == F.col("f.feature")) & (F.col("q.value") == F.col("f.value")))
-          .select("q.query_id", "f.uri", "f.cnt"))
+          .select("q.q", "f.u1", "f.u2", "f.cnt"))
     # CONTAINS: distinct fact values -> substrings, equi-joined with query values.
-    qc = qd.where(F.col("feature").isin(*CONTAINS)).select("query_id", "feature", "value")
+    qc = qd.where(F.col("feature").isin(*CONTAINS)).select("q", "feature", "value")
     qvals = qc.select("feature", "value").distinct()
     pvals = facts.where(F.col("feature").isin(*CONTAINS)).select("feature", F.col("value").alias("pvalue")).distinct()
     subs = pvals.select("feature", "pvalue", F.explode(F.array_distinct(substrings(F.col("pvalue")))).alias("value"))
     resolved = subs.join(qvals, ["feature", "value"]).select("feature", "value", "pvalue")
     ct = (qc.join(resolved, ["feature", "value"])
-            .join(facts.select("uri", "feature", F.col("value").alias("pvalue"), "cnt"), ["feature", "pvalue"])
-            .select("query_id", "uri", "cnt"))
+            .join(facts.select(*U, "feature", F.col("value").alias("pvalue"), "cnt"), ["feature", "pvalue"])
+            .select("q", *U, "cnt"))
     # Price-driven queries (price is their only feature): range join on the
-    # distinct caps, broadcast after a size check.
-    qp = qd.where(F.col("feature") == "price").select("query_id", "cap")
+    # distinct caps, broadcast after a size check; exact equi-join beyond it.
+    qp = qd.where(F.col("feature") == "price").select("q", "cap")
     caps = qp.select("cap").distinct()
-    n_caps = caps.count()
-    pf = facts.where(F.col("feature") == "price").select("uri", "price", "cnt")
-    if n_caps <= MAX_BROADCAST_CAPS:
+    pf = facts.where(F.col("feature") == "price").select(*U, "price", "cnt")
+    if caps.count() <= MAX_BROADCAST_CAPS:
         hit = pf.join(F.broadcast(caps), F.col("price") < F.col("cap"))
     else:
         hit = less_than_join(pf, "price", caps, "cap")
-    pt = hit.join(qp, "cap").select("query_id", "uri", "cnt")
-    del spark
+    pt = hit.join(qp, "cap").select("q", *U, "cnt")
     return (eq.unionByName(ct).unionByName(pt)
-              .groupBy("query_id", "uri").agg(F.sum("cnt").alias("hits")))
+              .groupBy("q", *U).agg(F.sum("cnt").alias("hits")))
 
 
-def match_queries(queries: DataFrame, products: DataFrame, mapping: DataFrame | None = None,
+def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping: DataFrame | None = None,
                   bag: bool = True) -> DataFrame:
     """Answers (query_id, id, solutions) of every query of the log.
 
-    ``products``: typed enriched product rows; ``mapping``: (permalink, id),
-    already deduplicated (C13). Without a mapping the uri (suffix-stripped,
-    E11) is returned as ``id``. ``bag=False`` gives set answers (solutions=1).
+    ``products``: typed enriched product rows, or their ``graph_index`` (to
+    share it between systems); ``mapping``: (permalink, id), already
+    deduplicated (C13). Without a mapping the suffix-stripped uri (E11) is
+    returned as ``id``. ``bag=False`` gives set answers (solutions = 1).
     """
-    names, facts = graph_facts(products, materialize=True)
-    qf = cut_lineage(query_features(queries), "query-features")
+    idx = products if isinstance(products, GraphIndex) else graph_index(products)
+    names, facts = idx.names, idx.facts
+    # Dense query keys, fixed by writing the feature table once.
+    qk = queries.select("query_id").distinct().withColumn("q", F.monotonically_increasing_id())
+    qf = cut_lineage(query_features(queries).join(qk, "query_id"), "query-features")
     rank = F.create_map(*[x for k, v in DRIVE_ORDER.items() for x in (F.lit(k), F.lit(v))])
-    drive_feature = (qf.groupBy("query_id")
-                       .agg(F.min_by("feature", rank[F.col("feature")]).alias("drive")))
-    qf = qf.join(drive_feature, "query_id")
-    qd = qf.where(F.col("feature") == F.col("drive"))
-    qo = qf.where(F.col("feature") != F.col("drive")).select("query_id", "feature", F.col("value").alias("qvalue"), "cap")
-    ks = qf.select("query_id", "k").distinct()
+    drive = qf.groupBy("q").agg(F.min_by("feature", rank[F.col("feature")]).alias("drive"))
+    qf2 = qf.join(drive, "q")
+    qd = qf2.where(F.col("feature") == F.col("drive"))
+    qo = qf2.where(F.col("feature") != F.col("drive")).select("q", "feature", F.col("value").alias("qvalue"), "cap")
+    ks = qf.select("q", "query_id", "k").distinct()
 
     cand = _drive(qd, facts)
-    other = (cand.select("query_id", "uri").join(qo, "query_id")
-             .join(facts, ["uri", "feature"])
+    other = (cand.select("q", *U).join(qo, "q")
+             .join(facts, [*U, "feature"])
              .where(_matches(F.col("feature"), F.col("value"), F.col("price"), F.col("qvalue"), F.col("cap")))
-             .groupBy("query_id", "uri", "feature").agg(F.sum("cnt").alias("hits"))
-             .groupBy("query_id", "uri")
+             .groupBy("q", *U, "feature").agg(F.sum("cnt").alias("hits"))
+             .groupBy("q", *U)
              .agg(F.count(F.lit(1)).alias("n_other"),
                   F.aggregate(F.collect_list("hits"), F.lit(1).cast("bigint"), lambda a, x: a * x).alias("mult")))
-    sol = (cand.join(ks, "query_id")
-               .join(other, ["query_id", "uri"], "left")
+    sol = (cand.join(ks, "q")
+               .join(other, ["q", *U], "left")
                .where((F.col("k") == 1) | (F.col("n_other") == F.col("k") - 1))
-               .join(names, "uri")
-               .select("query_id", "uri",
-                       (F.col("hits") * F.coalesce(F.col("mult"), F.lit(1)) * F.col("n_names")).alias("solutions")))
-    sol = sol.withColumn("link", T.strip_all(F.col("uri")))
+               .join(names, U)
+               .select("query_id", *U,
+                       (F.col("hits") * F.coalesce(F.col("mult"), F.lit(1)) * F.col("n_names")).alias("solutions"))
+               .join(idx.links, U))
     if mapping is None:
         out = sol.select("query_id", F.col("link").alias("id"), "solutions")
     else:

@@ -37,9 +37,10 @@ def evaluate_catalogue(catalogue: DataFrame, products: DataFrame, mapping: DataF
     queries = cut_lineage(queries, "queries")
     truth = cut_lineage(truth, "truth")
     kw = queries.select("query_id", R.to_keywords(queries).alias("text_query"))
-    graph = R.match_queries(queries, products, mapping)
+    index = R.graph_index(products)  # shared by the graph and slot systems
+    graph = R.match_queries(queries, index, mapping)
     text = S.keyword_search(kw, docs, prices=catalogue.select("id", "price"))
-    slots = R.match_queries(SL.fill_slots(kw, vocab), products, mapping)
+    slots = R.match_queries(SL.fill_slots(kw, vocab), index, mapping)
     answers = (graph.select("query_id", F.lit("graph").alias("system"), "id")
                .unionByName(text.select("query_id", F.lit("text").alias("system"), "id"))
                .unionByName(slots.select("query_id", F.lit("slots").alias("system"), "id")))
