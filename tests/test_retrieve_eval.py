@@ -45,6 +45,11 @@ def test_match_features(spark):
                    ("p", "u1", 2)]
 
 
+def test_no_features_every_named_product(spark):
+    got = answers(spark, [("all", "", None, None, "", None)])
+    assert got == [("all", "u1", 1), ("all", "u2", 1)]
+
+
 def test_bag_and_set(spark):
     assert answers(spark, [("p", None, None, None, None, "<30")], bag=False) == [("p", "u1", 1)]
 

@@ -274,6 +274,13 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
                .select("query_id", *U,
                        (F.col("hits") * F.coalesce(F.col("mult"), F.lit(1)) * F.col("n_names")).alias("solutions"))
                .join(idx.links, U))
+    # A query without features matches every named product (E10). Only the
+    # query ids of such queries are broadcast; the output is inherently
+    # (empty queries) x (products).
+    empty = queries.select("query_id").distinct().join(qf.select("query_id"), "query_id", "left_anti")
+    every = (idx.names.join(F.broadcast(empty), F.lit(True))
+             .join(idx.links, U).select("query_id", *U, F.col("n_names").alias("solutions"), "link"))
+    sol = sol.unionByName(every)
     if mapping is None:
         out = sol.select("query_id", F.col("link").alias("id"), "solutions")
     else:
