@@ -92,3 +92,35 @@ def test_stream_restart_equals_batch(spark, tmp):
     batch, _ = X.extract_products(spark.read.parquet(f"{tmp}/src"))
     assert first == again == sorted(r["id"] for r in batch.collect())
     assert len(first) == 12
+
+
+def test_seed_table_and_log_writers(spark, tmp):
+    with open(f"{tmp}/seed.csv", "w") as f:
+        f.write("permalink,other\nhttp://a,1\nhttp://b,2\n")
+    assert [r["permalink"] for r in IO.read_seed(spark, f"{tmp}/seed.csv").orderBy("pos").collect()] == \
+        ["http://a", "http://b"]
+    df = spark.createDataFrame([("x", " "), ("", "y")], "a string, b string")
+    IO.write_table(df, f"{tmp}/t.csv", fmt="csv")
+    back = {tuple(r) for r in IO.read_table(spark, f"{tmp}/t.csv", fmt="csv").collect()}
+    assert back == {(None, "y"), ("x", None)}
+    queries = spark.createDataFrame([("q1", 2, "A", None, None, None, "<30"), ("q2", 2, "B", "C", None, None, None)],
+                                    "query_id string, n_features int, brand string, category string, "
+                                    "capacity string, olfactory_category string, price string")
+    truth = spark.createDataFrame([("q1", 3, 1), ("q1", 1, 2)], "query_id string, id long, solutions long")
+    IO.write_query_log(queries, {"results": truth}, f"{tmp}/log")
+    from pyspark.sql.types import StringType, StructField, StructType
+    schema = StructType(IO.LOG_SCHEMA.fields + [StructField("query_id", StringType())])
+    log = IO.read_query_log(spark, f"{tmp}/log", multi_line=False, schema=schema)
+    got = {r["query_id"]: r["results"] for r in log.collect()}
+    assert got == {"q1": [1, 1, 3], "q2": []}
+
+
+def test_write_triples(spark, tmp):
+    t = spark.createDataFrame([("http://s", "http://schema.org/name", 'a "b"', "literal"),
+                               ("http://s", "http://schema.org/brand", "_:b1", "bnode")],
+                              "s string, p string, o string, o_kind string")
+    IO.write_triples(t, f"{tmp}/nt")
+    parts = sorted(os.listdir(f"{tmp}/nt"))
+    assert "p=http_schema_org_name" in parts and "p=http_schema_org_brand" in parts
+    lines = sorted(r["value"] for r in spark.read.text(f"{tmp}/nt").collect())
+    assert lines == ['<http://s> <http://schema.org/brand> _:b1 .', '<http://s> <http://schema.org/name> "a \\"b\\"" .']
