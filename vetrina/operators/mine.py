@@ -79,11 +79,10 @@ def feature_items(catalogue: DataFrame, *, categories: Sequence[str], caps: Sequ
     ``price`` holds the tightest cap bucket (at most one). ``labels=None`` keeps
     every label; ``pairs=None`` takes the top pairs of the data (C10).
     """
-    # Both domains are small aggregates read by every later pass: written once.
-    brands = cut_lineage(frequent_values(catalogue, "brand", min_values).select(F.col("brand").alias("_fb")),
-                         "brands")
-    caps_top = cut_lineage(top_values(catalogue, "capacity", top_capacities)
-                           .select(F.col("capacity").alias("_tc")), "capacities")
+    # Small aggregates; AQE reuses their broadcast stages across the count and
+    # gather passes of one plan.
+    brands = frequent_values(catalogue, "brand", min_values).select(F.col("brand").alias("_fb"))
+    caps_top = top_values(catalogue, "capacity", top_capacities).select(F.col("capacity").alias("_tc"))
     if pairs is None:
         # Bounded by top_pair_count: the only driver-side values in the plan.
         pairs = [r["pair"] for r in L.top_pairs(L.pair_counts(catalogue), top_pair_count).collect()]
@@ -121,12 +120,14 @@ def _bucket_table(spark, caps: Sequence[int]) -> DataFrame:
 
 def mine_queries(catalogue: DataFrame, n: int, *, categories: Sequence[str] = V.CATEGORIES,
                  caps: Sequence[int] = V.PRICE_CAPS, min_support: int = V.MIN_SUPPORT,
-                 **item_options) -> tuple[DataFrame, DataFrame]:
+                 materialize: bool = False, **item_options) -> tuple[DataFrame, DataFrame]:
     """(queries, answers) for queries of exactly n features.
 
     queries: (query_id, n_features, brand, category, capacity,
               olfactory_category, price, support)
     answers: (query_id, id) -- the truth, long form.
+    ``materialize`` writes the supported combinations once when both
+    outputs are consumed.
     """
     spark = catalogue.sparkSession
     items = feature_items(catalogue, categories=categories, caps=caps, **item_options)
@@ -141,6 +142,8 @@ def mine_queries(catalogue: DataFrame, n: int, *, categories: Sequence[str] = V.
                  .groupBy(*[F.col(f) for f in V.FEATURES[:-1]], F.col("cap").alias("price"))
                  .agg(F.sum("cnt").alias("support"))
                  .where(F.col("support") >= min_support))
+    if materialize:  # both outputs derive from it: count once
+        supported = cut_lineage(supported, "supported")
 
     price_text = F.when(F.col("price").isNotNull(), F.concat(F.lit("<"), F.col("price")))
     queries = supported.select(

@@ -147,8 +147,12 @@ def graph_facts(products: DataFrame, materialize: bool = False) -> tuple[DataFra
     return idx.names, idx.facts
 
 
-def query_features(queries: DataFrame) -> DataFrame:
-    """(query_id, feature, value, cap, k): one row per present feature."""
+def query_features(queries: DataFrame, keyed: bool = False) -> DataFrame:
+    """(query_id, k, feature, value, cap): one row per present feature.
+
+    ``keyed``: also a dense query key ``q`` (assigned before the explode, so
+    once per query) and one row with a NULL feature for a query without any
+    (k = 0)."""
     cols = []
     for f in FACT_FEATURES:
         v = F.col(f)
@@ -158,9 +162,11 @@ def query_features(queries: DataFrame) -> DataFrame:
                                              (F.lit(None).cast("string") if f == "price" else v).alias("value"),
                                              cap.alias("cap"))))
     arr = F.filter(F.array(*cols), lambda x: x.isNotNull())
-    return (queries.select("query_id", arr.alias("fs"))
-                   .select("query_id", F.size("fs").alias("k"), F.explode("fs").alias("f"))
-                   .select("query_id", "k", "f.feature", "f.value", "f.cap"))
+    key = [F.monotonically_increasing_id().alias("q")] if keyed else []
+    explode = F.explode_outer if keyed else F.explode
+    return (queries.select("query_id", *key, arr.alias("fs"))
+                   .select("query_id", *(["q"] if keyed else []), F.size("fs").alias("k"), explode("fs").alias("f"))
+                   .select("query_id", *(["q"] if keyed else []), "k", "f.feature", "f.value", "f.cap"))
 
 
 def substrings(s: Column) -> Column:
@@ -249,9 +255,10 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
     """
     idx = products if isinstance(products, GraphIndex) else graph_index(products)
     names, facts = idx.names, idx.facts
-    # Dense query keys, fixed by writing the feature table once.
-    qk = queries.select("query_id").distinct().withColumn("q", F.monotonically_increasing_id())
-    qf = cut_lineage(query_features(queries).join(qk, "query_id"), "query-features")
+    # Dense query keys, fixed by writing the feature table once; a query id
+    # that occurs twice in the log is answered once.
+    qf_all = cut_lineage(query_features(queries.dropDuplicates(["query_id"]), keyed=True), "query-features")
+    qf = qf_all.where(F.col("feature").isNotNull())
     rank = F.create_map(*[x for k, v in DRIVE_ORDER.items() for x in (F.lit(k), F.lit(v))])
     drive = qf.groupBy("q").agg(F.min_by("feature", rank[F.col("feature")]).alias("drive"))
     qf2 = qf.join(drive, "q")
@@ -277,7 +284,7 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
     # A query without features matches every named product (E10). Only the
     # query ids of such queries are broadcast; the output is inherently
     # (empty queries) x (products).
-    empty = queries.select("query_id").distinct().join(qf.select("query_id"), "query_id", "left_anti")
+    empty = qf_all.where(F.col("k") == 0).select("query_id")
     every = (idx.names.join(F.broadcast(empty), F.lit(True))
              .join(idx.links, U).select("query_id", *U, F.col("n_names").alias("solutions"), "link"))
     sol = sol.unionByName(every)
