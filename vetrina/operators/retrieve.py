@@ -169,12 +169,15 @@ def query_features(queries: DataFrame, keyed: bool = False) -> DataFrame:
                    .select("query_id", *(["q"] if keyed else []), "k", "f.feature", "f.value", "f.cap"))
 
 
-def substrings(s: Column) -> Column:
-    """Every non-empty substring of s (for an exact CONTAINS equi-join)."""
+def substrings(s: Column, max_len: int | None = None) -> Column:
+    """Every non-empty substring of s no longer than ``max_len`` (for an
+    exact CONTAINS equi-join): O(len(s) * max_len) per value."""
     n = F.length(s)
+    def last(i):
+        return n if max_len is None else F.least(n, i + max_len - 1)
     return F.when(n > 0, F.flatten(F.transform(
         F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1)))))
+        lambda i: F.transform(F.sequence(i, last(i)), lambda j: F.substring(s, i, j - i + 1)))))
 
 
 def _matches(feature: Column, value: Column, price: Column, qvalue: Column, cap: Column) -> Column:
@@ -225,7 +228,11 @@ def _drive(qd: DataFrame, facts: DataFrame) -> DataFrame:
     qc = qd.where(F.col("feature").isin(*CONTAINS)).select("q", "feature", "value")
     qvals = qc.select("feature", "value").distinct()
     pvals = facts.where(F.col("feature").isin(*CONTAINS)).select("feature", F.col("value").alias("pvalue")).distinct()
-    subs = pvals.select("feature", "pvalue", F.explode(F.array_distinct(substrings(F.col("pvalue")))).alias("value"))
+    # Substrings longer than the longest query value can never match: one
+    # scalar over the (small) query side bounds the index.
+    max_len = qvals.agg(F.max(F.length("value"))).first()[0] or 1
+    subs = pvals.select("feature", "pvalue",
+                        F.explode(F.array_distinct(substrings(F.col("pvalue"), max_len))).alias("value"))
     resolved = subs.join(qvals, ["feature", "value"]).select("feature", "value", "pvalue")
     ct = (qc.join(resolved, ["feature", "value"])
             .join(facts.select(*U, "feature", F.col("value").alias("pvalue"), "cnt"), ["feature", "pvalue"])
