@@ -46,3 +46,8 @@ def test_every_query_matches_its_oracle(spark):
     bad = {k: v for k, v in res.items() if v[0] not in ("ok", "rows-only")}
     assert not bad
     assert set(oracle_sql()) == set(queries())
+
+
+def test_lexicon_join_is_broadcast(spark):
+    p = plan(queries()["label_tagger"](spark, SF))
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p

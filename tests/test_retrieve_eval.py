@@ -87,3 +87,43 @@ def test_empty_truth_counted_not_averaged(spark):
     ans = spark.createDataFrame([("q1", "s", 1), ("q2", "s", 3)], "query_id string, system string, id long")
     m = EV.macro(EV.per_query(queries, truth, ans, ["s"])).first()
     assert m["query_count"] == 2 and m["precision"] == 1.0
+
+
+def test_duplicate_page_doubles_bag_not_sets(spark):
+    p = products(spark)
+    twice = p.unionByName(p.where(F.col("uri") == "u1/#richSnippet").withColumn("block", F.lit(1)))
+    q = spark.createDataFrame([("bp", "A", None, None, None, "<30"), ("c", None, "Donna", None, None, None)], Q)
+    once = {(r["query_id"], r["id"]): r["solutions"] for r in R.match_queries(q, p).collect()}
+    dup = {(r["query_id"], r["id"]): r["solutions"] for r in R.match_queries(q, twice).collect()}
+    assert once.keys() == dup.keys()
+    # brand and offers are blank nodes (x2 each), the category literal collapses.
+    assert dup[("bp", "u1")] == 4 * once[("bp", "u1")] and dup[("c", "u1")] == once[("c", "u1")]
+
+
+def test_slices_sum_to_all(spark):
+    queries = spark.createDataFrame([(f"q{i}", "<30" if i % 3 else None) for i in range(9)],
+                                    "query_id string, price string")
+    truth = spark.createDataFrame([(f"q{i}", i) for i in range(9)], "query_id string, id long")
+    ans = spark.createDataFrame([(f"q{i}", "s", i if i % 2 else 99) for i in range(9)],
+                                "query_id string, system string, id long")
+    scored = EV.per_query(queries, truth, ans, ["s"]).join(queries, "query_id")
+    n = {r["slice"]: r["query_count"] for r in EV.slices(scored, F.col("price").isNotNull()).collect()}
+    assert n["with"] + n["without"] == n["all"] == 9
+    rep = EV.report(EV.macro(scored)).first()
+    assert rep["precision"] == round(4 / 9, 3)
+
+
+def test_resolve_replies_quarantine_and_fallback(spark):
+    from vetrina.operators import slots as SL
+    vocab = spark.createDataFrame([("brand#1", "brand", "Brand#1"), ("small", "category", "SMALL"),
+                                   ("blue", "olfactory_category", "blue")], "phrase string, slot string, value string")
+    texts = spark.createDataFrame([("a", "small blue brand#1 minori di 30 euro"), ("b", "blue 50 ml")],
+                                  "query_id string, text_query string")
+    replies = spark.createDataFrame([
+        ("a", '[["brand", "x"], ["category", "y"], ["capacity", ""], ["olfactory category", "z"], ["price", "<30"]]'),
+        ("b", "[['brand', 'd&g'], ['category', ''], ['capacity', '50 ml'], ['olfactory category', ' blue '], "
+              "['price', '']]")], "query_id string, reply string")
+    slots, bad = SL.resolve_replies(replies, texts, vocab)
+    got = {r["query_id"]: tuple(r[c] for c in SL.SLOTS) for r in slots.collect()}
+    assert got == {"a": ("Brand#1", "SMALL", "", "blue", "< 30"), "b": ("D&g", "", "50 ml", "Blue", "")}
+    assert [r["query_id"] for r in bad.collect()] == ["a"]

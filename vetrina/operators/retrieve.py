@@ -280,7 +280,8 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
              .groupBy("q", *U, "feature").agg(F.sum("cnt").alias("hits"))
              .groupBy("q", *U)
              .agg(F.count(F.lit(1)).alias("n_other"),
-                  F.aggregate(F.collect_list("hits"), F.lit(1).cast("bigint"), lambda a, x: a * x).alias("mult")))
+                  # hit counts are small integers: the double product is exact
+                  F.product("hits").cast("bigint").alias("mult")))
     sol = (cand.join(ks, "q")
                .join(other, ["q", *U], "left")
                .where((F.col("k") == 1) | (F.col("n_other") == F.col("k") - 1))
