@@ -107,7 +107,10 @@ def test_seed_table_and_log_writers(spark, tmp):
                                     "query_id string, n_features int, brand string, category string, "
                                     "capacity string, olfactory_category string, price string")
     truth = spark.createDataFrame([("q1", 3, 1), ("q1", 1, 2)], "query_id string, id long, solutions long")
-    IO.write_query_log(queries, {"results": truth}, f"{tmp}/log")
+    IO.write_query_log(queries, {"results": truth}, f"{tmp}/log", lists=True)
+    IO.write_query_log(queries, {"results": truth}, f"{tmp}/long")
+    assert spark.read.json(f"{tmp}/long/queries").count() == 2
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp}/long/results").collect()) == [1, 3]
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType(IO.LOG_SCHEMA.fields + [StructField("query_id", StringType())])
     log = IO.read_query_log(spark, f"{tmp}/log", multi_line=False, schema=schema)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..session import bounded_broadcast
 
 
 def with_capacity(df: DataFrame, title: str = "title", out: str = "capacity") -> DataFrame:
@@ -144,7 +145,7 @@ def tag_labels(docs: DataFrame, lexicon: DataFrame, *, key: str = "id", text: st
         body = F.substring(body, 1, truncate)
     toks = (docs.select(key, F.explode(F.array_distinct(T.tokens(body))).alias("term")))
     lex = lexicon.select(F.lower("term").alias("term"), "label").distinct()
-    return (toks.join(F.broadcast(lex), "term")
+    return (toks.join(bounded_broadcast(lex), "term")
                 .select(key, "label").distinct())
 
 

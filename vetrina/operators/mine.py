@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..session import cut_lineage
+from ..session import bounded_broadcast, cut_lineage
 from . import labels as L
 
 _STR = "string"
@@ -163,5 +163,7 @@ def mine_queries(catalogue: DataFrame, n: int, *, categories: Sequence[str] = V.
                                   F.when(F.col("price").isNotNull(), F.concat(F.lit("<"), F.col("price"))))
                         .alias("query_id")))
     row_keys = row_combos.select("id", F.concat_ws("|", base, F.coalesce(F.col("price"), F.lit(""))).alias("k"))
-    answers = row_keys.join(sup_keys, "k").select("query_id", "id")
+    # A hot key (one combination matching a third of the rows) stays on the
+    # streamed side: the supported keys are broadcast after a size check.
+    answers = row_keys.join(bounded_broadcast(sup_keys), "k").select("query_id", "id")
     return queries, answers

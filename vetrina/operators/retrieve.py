@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
-from ..session import cut_lineage
+from ..session import bounded_broadcast, cut_lineage
 
 FACT_FEATURES = ["brand", "category", "capacity", "olfactory_category", "price"]
 DRIVE_ORDER = {"brand": 0, "capacity": 1, "olfactory_category": 2, "category": 3, "price": 4}
@@ -221,6 +221,9 @@ U = ["u1", "u2"]
 def _drive(qd: DataFrame, facts: DataFrame) -> DataFrame:
     """Candidates (q, u1, u2, hits) of each query's driving feature."""
     f = facts.alias("f")
+    # The query side is small and its values can be hot on the fact side (a
+    # brand held by a third of the products): broadcast it after a size check.
+    qd = bounded_broadcast(qd)
     eq = (qd.where(~F.col("feature").isin(*CONTAINS, "price")).alias("q")
           .join(f, (F.col("q.feature") == F.col("f.feature")) & (F.col("q.value") == F.col("f.value")))
           .select("q.q", "f.u1", "f.u2", "f.cnt"))
@@ -274,7 +277,7 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
     ks = qf.select("q", "query_id", "k").distinct()
 
     cand = _drive(qd, facts)
-    other = (cand.select("q", *U).join(qo, "q")
+    other = (cand.select("q", *U).join(bounded_broadcast(qo), "q")
              .join(facts, [*U, "feature"])
              .where(_matches(F.col("feature"), F.col("value"), F.col("price"), F.col("qvalue"), F.col("cap")))
              .groupBy("q", *U, "feature").agg(F.sum("cnt").alias("hits"))
@@ -293,7 +296,7 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
     # query ids of such queries are broadcast; the output is inherently
     # (empty queries) x (products).
     empty = qf_all.where(F.col("k") == 0).select("query_id")
-    every = (idx.names.join(F.broadcast(empty), F.lit(True))
+    every = (idx.names.join(bounded_broadcast(empty), F.lit(True))
              .join(idx.links, U).select("query_id", *U, F.col("n_names").alias("solutions"), "link"))
     sol = sol.unionByName(every)
     if mapping is None:

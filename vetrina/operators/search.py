@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..session import bounded_broadcast
 
 
 def product_postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -52,7 +53,10 @@ def keyword_search(queries: DataFrame, docs: DataFrame, prices: DataFrame | None
     ranked = ranked.withColumn("r", F.row_number().over(w))
     drive = ranked.where(F.col("r") == 1)
     rest = ranked.where(F.col("r") > 1).select("query_id", "term")
-    cand = drive.join(post, "term").select("query_id", key, "n_terms", "cap")
+    # One driving term per query: a small side, broadcast after a size check,
+    # so a term found in a third of the documents is never one hot partition.
+    cand = bounded_broadcast(drive.select("query_id", "term", "n_terms", "cap")).join(post, "term") \
+        .select("query_id", key, "n_terms", "cap")
     checked = (cand.select("query_id", key).join(rest, "query_id")
                .join(post, ["term", key])
                .groupBy("query_id", key).agg(F.count(F.lit(1)).alias("n_hit")))

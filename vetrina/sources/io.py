@@ -109,12 +109,27 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.format(fmt).save(path)
 
 
-def write_query_log(queries: DataFrame, answers: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """One JSON file set per query size (``partitionBy n_features``).
+def write_query_log(queries: DataFrame, answers: dict[str, DataFrame], path: str, mode: str = "overwrite",
+                    lists: bool = False) -> None:
+    """The query log, one file set per query size (``partitionBy n_features``).
 
     ``answers`` maps a field name (``results``, ``sparql_results`` ...) to long
-    answers (query_id, id[, solutions]); lists are built only here, at the edge.
+    answers (query_id, id[, solutions]). By default the log is written long:
+    ``{path}/queries`` (JSON, one entry per query) and ``{path}/<name>``
+    (Parquet rows query_id, id, solutions), so no answer list is ever held in
+    one row. ``lists=True`` writes the reference layout (one JSON entry with
+    an ID list per field); use it only for logs whose answers are small.
     """
+    feats = ["brand", "category", "capacity", "olfactory_category", "price"]
+    if not lists:
+        queries.select("n_features", "query_id", F.struct(*[F.col(f) for f in feats]).alias("query")) \
+            .write.mode(mode).partitionBy("n_features").json(f"{path}/queries")
+        sizes = queries.select("query_id", "n_features")
+        for name, ans in answers.items():
+            sol = ans if "solutions" in ans.columns else ans.withColumn("solutions", F.lit(1).cast("bigint"))
+            sol.select("query_id", "id", "solutions").join(sizes, "query_id") \
+                .write.mode(mode).partitionBy("n_features").parquet(f"{path}/{name}")
+        return
     out = queries
     for name, ans in answers.items():
         reps = ans
@@ -123,7 +138,6 @@ def write_query_log(queries: DataFrame, answers: dict[str, DataFrame], path: str
         lists = reps.groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias(name))
         out = out.join(lists, "query_id", "left").withColumn(
             name, F.coalesce(F.col(name), F.array().cast("array<bigint>")))
-    feats = ["brand", "category", "capacity", "olfactory_category", "price"]
     query = F.struct(*[F.col(f) for f in feats])
     cols = [c for c in answers]
     out.select("n_features", "query_id", query.alias("query"), *cols).write.mode(mode) \
