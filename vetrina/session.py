@@ -62,10 +62,11 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only after checking its size (one count of a small
     side); above ``max_rows`` it is returned as is and AQE plans the join
     (sort-merge with skew splitting, or a runtime broadcast)."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.count() <= max_rows else df
+    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    return F.broadcast(df) if df.count() <= limit else df
