@@ -120,14 +120,12 @@ def _bucket_table(spark, caps: Sequence[int]) -> DataFrame:
 
 def mine_queries(catalogue: DataFrame, n: int, *, categories: Sequence[str] = V.CATEGORIES,
                  caps: Sequence[int] = V.PRICE_CAPS, min_support: int = V.MIN_SUPPORT,
-                 materialize: bool = False, **item_options) -> tuple[DataFrame, DataFrame]:
+                 **item_options) -> tuple[DataFrame, DataFrame]:
     """(queries, answers) for queries of exactly n features.
 
     queries: (query_id, n_features, brand, category, capacity,
               olfactory_category, price, support)
     answers: (query_id, id) -- the truth, long form.
-    ``materialize`` writes the supported combinations once when both
-    outputs are consumed.
     """
     spark = catalogue.sparkSession
     items = feature_items(catalogue, categories=categories, caps=caps, **item_options)
@@ -142,8 +140,9 @@ def mine_queries(catalogue: DataFrame, n: int, *, categories: Sequence[str] = V.
                  .groupBy(*[F.col(f) for f in V.FEATURES[:-1]], F.col("cap").alias("price"))
                  .agg(F.sum("cnt").alias("support"))
                  .where(F.col("support") >= min_support))
-    if materialize:  # both outputs derive from it: count once
-        supported = cut_lineage(supported, "supported")
+    # Small, and read by the query table, the gather join and its size check:
+    # written once so the expansion and count run once.
+    supported = cut_lineage(supported, "supported")
 
     price_text = F.when(F.col("price").isNotNull(), F.concat(F.lit("<"), F.col("price")))
     queries = supported.select(

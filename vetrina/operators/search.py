@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, cut_lineage
 
 
 def product_postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -47,7 +47,7 @@ def keyword_search(queries: DataFrame, docs: DataFrame, prices: DataFrame | None
     """
     post = product_postings(docs, key, text)
     dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qt = query_terms(queries)
+    qt = cut_lineage(query_terms(queries), "query-terms")  # small; read three times
     ranked = qt.join(dfreq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     w = Window.partitionBy("query_id").orderBy(F.col("df").asc(), F.col("term").asc())
     ranked = ranked.withColumn("r", F.row_number().over(w))

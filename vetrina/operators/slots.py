@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, cut_lineage
 
 SLOT_ORDER = ["brand", "category", "olfactory_category"]
 SLOTS = ["brand", "category", "capacity", "olfactory_category", "price"]
@@ -62,6 +62,7 @@ def fill_slots(texts: DataFrame, vocab: DataFrame, key: str = "query_id", text:
         F.filter(F.split(F.trim(rest), " "), lambda w: w != "").alias("words"))
     grams = base.select(key, F.explode(_ngrams(F.col("words"), max_n)).alias("g")).select(key, "g.*")
     rank = F.create_map(*[x for i, s in enumerate(SLOT_ORDER) for x in (F.lit(s), F.lit(i))])
+    vocab = cut_lineage(vocab.select("phrase", "slot", "value"), "vocabulary")  # counted, then joined
     hits = (grams.join(bounded_broadcast(vocab), "phrase")
                  .select(key, F.struct(rank[F.col("slot")].alias("r"), (-F.col("len")).alias("nl"),
                                        F.col("start").alias("start"), F.col("len").alias("len"),

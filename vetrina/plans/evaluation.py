@@ -33,7 +33,7 @@ def evaluate_catalogue(catalogue: DataFrame, products: DataFrame, mapping: DataF
                        min_support: int = 20, **mine_options) -> tuple[DataFrame, DataFrame]:
     """(queries, per-query scores) of the three systems for queries of size n."""
     queries, truth = M.mine_queries(catalogue, n, categories=categories, caps=caps, min_support=min_support,
-                                    materialize=True, **mine_options)
+                                    **mine_options)
     truth = cut_lineage(truth, "truth")
     kw = queries.select("query_id", R.to_keywords(queries).alias("text_query"))
     index = R.graph_index(products)  # shared by the graph and slot systems
