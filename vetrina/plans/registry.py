@@ -333,7 +333,7 @@ def sql_tokens(x: str) -> str:
             f"lambda t: t <> ''))")
 
 
-_PRICE_RE = r"(?i)\b(?:minori|meno)\s+di\s+(\d+)(?:\s+euro)?\b"
+from ..functions.patterns import PRICE_PHRASE as _PRICE_RE  # noqa: E402  (same syntax in RE2)
 _KW_SQL = """
 kw AS (SELECT query_id, concat_ws(' ', NULLIF(lower(trim(category)), ''), NULLIF(lower(trim(olfactory_category)), ''),
                            NULLIF(lower(trim(capacity)), ''), NULLIF(lower(trim(brand)), ''),
@@ -699,7 +699,6 @@ from ..operators import triples as TR  # noqa: E402
 @register("triples", C.sql_with(C.PAGES_SQL) + """,
 ex AS (SELECT g.*, e.permalink || '/#richSnippet' AS uri FROM gp g JOIN ext e ON g.id = e.id),
 lit AS (SELECT DISTINCT uri, id, name, gcategory FROM ex),
-S AS ('http://schema.org/'),
 t AS (
   SELECT uri AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://schema.org/Product' AS o,
          'iri' AS o_kind FROM lit
@@ -721,7 +720,7 @@ t AS (
             FROM ex WHERE gscent IS NOT NULL
   UNION ALL SELECT '_:', 'http://schema.org/name', 'Gruppo Olfattivo', 'literal' FROM ex WHERE gscent IS NOT NULL
   UNION ALL SELECT '_:', 'http://schema.org/value', gscent, 'literal' FROM ex WHERE gscent IS NOT NULL)
-SELECT s, p, o, o_kind FROM t""".replace("S AS ('http://schema.org/'),\n", ""))
+SELECT s, p, o, o_kind FROM t""")
 def q_triples(spark, sf):
     t = TR.to_triples(G.enriched_products(spark, sf))
 
