@@ -10,8 +10,8 @@ below N) is answered for a whole query log at once, as a relational division:
   brand, property and offer objects are blank nodes, so duplicates count
   (``cnt``): the bag multiplicity of the SPARQL answer is the product of the
   per-feature counts times the number of names.
-* Each query is driven by one feature (the most selective kind: brand, then
-  capacity, scent, category, price) to get candidates; the remaining features
+* Each query is driven by its most selective feature (fewest matching
+  products, from one aggregation over the facts) to get candidates; the remaining features
   are checked against the candidate's own facts by an equi-join on
   (uri, feature) and a row-level predicate -- the fan-out is bounded by the
   candidate count, never by |queries| x |products|.
@@ -218,7 +218,38 @@ def less_than_join(left: DataFrame, x: str, right: DataFrame, c: str) -> DataFra
 U = ["u1", "u2"]
 
 
-def _drive(qd: DataFrame, facts: DataFrame) -> DataFrame:
+def _resolve_contains(qf: DataFrame, facts: DataFrame) -> DataFrame:
+    """(feature, value, pvalue): the distinct fact values that CONTAIN each
+    distinct query value, by an equi-join on substrings (no cross join)."""
+    qvals = qf.where(F.col("feature").isin(*CONTAINS)).select("feature", "value").distinct()
+    pvals = facts.where(F.col("feature").isin(*CONTAINS)).select("feature", F.col("value").alias("pvalue")).distinct()
+    # Substrings longer than the longest query value can never match: one
+    # scalar over the (small) query side bounds the index.
+    max_len = qvals.agg(F.max(F.length("value"))).first()[0] or 1
+    subs = pvals.select("feature", "pvalue",
+                        F.explode(F.array_distinct(substrings(F.col("pvalue"), max_len))).alias("value"))
+    return subs.join(qvals, ["feature", "value"]).select("feature", "value", "pvalue")
+
+
+def _drive_features(qf: DataFrame, facts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(q, drive): each query's most selective feature, by the number of
+    products its value matches (one aggregation over the facts). Price is
+    estimated as unbounded (its count needs the range join itself), so it
+    drives only price-only queries; ties go to the feature kind order."""
+    per_value = (facts.where(F.col("feature") != "price").groupBy("feature", "value")
+                 .agg(F.count(F.lit(1)).alias("n")))
+    eq = (qf.where(~F.col("feature").isin(*CONTAINS, "price")).select("feature", "value").distinct()
+          .join(per_value, ["feature", "value"]))
+    ct = (resolved.join(per_value.withColumnRenamed("value", "pvalue"), ["feature", "pvalue"])
+          .groupBy("feature", "value").agg(F.sum("n").alias("n")))
+    est = eq.unionByName(ct)
+    rank = F.create_map(*[x for k, v in DRIVE_ORDER.items() for x in (F.lit(k), F.lit(v))])
+    cost = F.when(F.col("feature") == "price", F.lit(1 << 62)).otherwise(F.coalesce(F.col("n"), F.lit(0)))
+    return (qf.join(est, ["feature", "value"], "left")
+              .groupBy("q").agg(F.min_by("feature", F.struct(cost, rank[F.col("feature")])).alias("drive")))
+
+
+def _drive(qd: DataFrame, facts: DataFrame, resolved: DataFrame) -> DataFrame:
     """Candidates (q, u1, u2, hits) of each query's driving feature."""
     f = facts.alias("f")
     # The query side is small and its values can be hot on the fact side (a
@@ -227,16 +258,7 @@ def _drive(qd: DataFrame, facts: DataFrame) -> DataFrame:
     eq = (qd.where(~F.col("feature").isin(*CONTAINS, "price")).alias("q")
           .join(f, (F.col("q.feature") == F.col("f.feature")) & (F.col("q.value") == F.col("f.value")))
           .select("q.q", "f.u1", "f.u2", "f.cnt"))
-    # CONTAINS: distinct fact values -> substrings, equi-joined with query values.
     qc = qd.where(F.col("feature").isin(*CONTAINS)).select("q", "feature", "value")
-    qvals = qc.select("feature", "value").distinct()
-    pvals = facts.where(F.col("feature").isin(*CONTAINS)).select("feature", F.col("value").alias("pvalue")).distinct()
-    # Substrings longer than the longest query value can never match: one
-    # scalar over the (small) query side bounds the index.
-    max_len = qvals.agg(F.max(F.length("value"))).first()[0] or 1
-    subs = pvals.select("feature", "pvalue",
-                        F.explode(F.array_distinct(substrings(F.col("pvalue"), max_len))).alias("value"))
-    resolved = subs.join(qvals, ["feature", "value"]).select("feature", "value", "pvalue")
     ct = (qc.join(resolved, ["feature", "value"])
             .join(facts.select(*U, "feature", F.col("value").alias("pvalue"), "cnt"), ["feature", "pvalue"])
             .select("q", *U, "cnt"))
@@ -269,14 +291,15 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
     # that occurs twice in the log is answered once.
     qf_all = cut_lineage(query_features(queries.dropDuplicates(["query_id"]), keyed=True), "query-features")
     qf = qf_all.where(F.col("feature").isNotNull())
-    rank = F.create_map(*[x for k, v in DRIVE_ORDER.items() for x in (F.lit(k), F.lit(v))])
-    drive = qf.groupBy("q").agg(F.min_by("feature", rank[F.col("feature")]).alias("drive"))
+    # Small tables read several times below: written once.
+    resolved = cut_lineage(_resolve_contains(qf, facts), "contains")
+    drive = cut_lineage(_drive_features(qf, facts, resolved), "drive")
     qf2 = qf.join(drive, "q")
     qd = qf2.where(F.col("feature") == F.col("drive"))
     qo = qf2.where(F.col("feature") != F.col("drive")).select("q", "feature", F.col("value").alias("qvalue"), "cap")
     ks = qf.select("q", "query_id", "k").distinct()
 
-    cand = _drive(qd, facts)
+    cand = _drive(qd, facts, resolved)
     other = (cand.select("q", *U).join(bounded_broadcast(qo), "q")
              .join(facts, [*U, "feature"])
              .where(_matches(F.col("feature"), F.col("value"), F.col("price"), F.col("qvalue"), F.col("cap")))
