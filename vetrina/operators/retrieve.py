@@ -249,12 +249,12 @@ def _drive_features(qf: DataFrame, facts: DataFrame, resolved: DataFrame) -> Dat
               .groupBy("q").agg(F.min_by("feature", F.struct(cost, rank[F.col("feature")])).alias("drive")))
 
 
-def _drive(qd: DataFrame, facts: DataFrame, resolved: DataFrame) -> DataFrame:
+def _drive(qd: DataFrame, facts: DataFrame, resolved: DataFrame, n_query_rows: int | None = None) -> DataFrame:
     """Candidates (q, u1, u2, hits) of each query's driving feature."""
     f = facts.alias("f")
     # The query side is small and its values can be hot on the fact side (a
     # brand held by a third of the products): broadcast it after a size check.
-    qd = bounded_broadcast(qd)
+    qd = bounded_broadcast(qd, upper_bound=n_query_rows)
     eq = (qd.where(~F.col("feature").isin(*CONTAINS, "price")).alias("q")
           .join(f, (F.col("q.feature") == F.col("f.feature")) & (F.col("q.value") == F.col("f.value")))
           .select("q.q", "f.u1", "f.u2", "f.cnt"))
@@ -267,7 +267,8 @@ def _drive(qd: DataFrame, facts: DataFrame, resolved: DataFrame) -> DataFrame:
     qp = qd.where(F.col("feature") == "price").select("q", "cap")
     caps = qp.select("cap").distinct()
     pf = facts.where(F.col("feature") == "price").select(*U, "price", "cnt")
-    if caps.count() <= MAX_BROADCAST_CAPS:
+    n_caps = n_query_rows if n_query_rows is not None and n_query_rows <= MAX_BROADCAST_CAPS else caps.count()
+    if n_caps <= MAX_BROADCAST_CAPS:
         hit = pf.join(F.broadcast(caps), F.col("price") < F.col("cap"))
     else:
         hit = less_than_join(pf, "price", caps, "cap")
@@ -299,8 +300,10 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
     qo = qf2.where(F.col("feature") != F.col("drive")).select("q", "feature", F.col("value").alias("qvalue"), "cap")
     ks = qf.select("q", "query_id", "k").distinct()
 
-    cand = _drive(qd, facts, resolved)
-    other = (cand.select("q", *U).join(bounded_broadcast(qo), "q")
+    # One count of the written feature table bounds every query-side subset.
+    n_rows = qf_all.count()
+    cand = _drive(qd, facts, resolved, n_rows)
+    other = (cand.select("q", *U).join(bounded_broadcast(qo, upper_bound=n_rows), "q")
              .join(facts, [*U, "feature"])
              .where(_matches(F.col("feature"), F.col("value"), F.col("price"), F.col("qvalue"), F.col("cap")))
              .groupBy("q", *U, "feature").agg(F.sum("cnt").alias("hits"))
@@ -319,7 +322,7 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
     # query ids of such queries are broadcast; the output is inherently
     # (empty queries) x (products).
     empty = qf_all.where(F.col("k") == 0).select("query_id")
-    every = (idx.names.join(bounded_broadcast(empty), F.lit(True))
+    every = (idx.names.join(bounded_broadcast(empty, upper_bound=n_rows), F.lit(True))
              .join(idx.links, U).select("query_id", *U, F.col("n_names").alias("solutions"), "link"))
     sol = sol.unionByName(every)
     if mapping is None:

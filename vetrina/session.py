@@ -62,11 +62,13 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None, upper_bound: int | None = None) -> DataFrame:
     """Broadcast ``df`` only after checking its size (one count of a small
-    side); above ``max_rows`` it is returned as is and AQE plans the join
-    (sort-merge with skew splitting, or a runtime broadcast)."""
+    side, or a known ``upper_bound`` such as the row count of the table it
+    was filtered from); above ``max_rows`` it is returned as is and AQE plans
+    the join (sort-merge with skew splitting, or a runtime broadcast)."""
     from pyspark.sql import functions as F
 
     limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    return F.broadcast(df) if df.count() <= limit else df
+    n = upper_bound if upper_bound is not None else df.count()
+    return F.broadcast(df) if n <= limit else df
