@@ -72,3 +72,29 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None, upper_bound: i
     limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     n = upper_bound if upper_bound is not None else df.count()
     return F.broadcast(df) if n <= limit else df
+
+
+def cluster_conf(input_bytes: int, executor_cores: int = 1000 * 4) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of input.
+
+    Shuffle partitions start at ~128 MB of input each (at least twice the
+    cores) and AQE coalesces the small ones at run time, so a shuffle never
+    holds more than one partition-sized block per task and spills stay
+    bounded. Scans split at 256 MB. Skewed partitions (5x the median and over
+    256 MB) are split by AQE. Broadcasts above 64 MB are left to sort-merge
+    joins; the operators' own broadcasts are size-checked
+    (``bounded_broadcast``). The checkpoint folder must be shared storage.
+    """
+    partitions = max(2 * executor_cores, input_bytes // (128 << 20))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
