@@ -116,3 +116,10 @@ def test_pairs_to_query_e19(spark):
 def test_html_to_text_b7(spark):
     html = "<p>a</p><!-- c --><script>x<y</script><p> b &amp; c</p>\n<b>d</b>"
     assert one(spark, T.html_to_text, [html, "plain", None]) == ["a  b & c \n d", "plain", None]
+
+
+def test_html_to_text_exact_b7(spark):
+    df = spark.createDataFrame([(1, "<p>a</p><!-- c --><script>x<y</script><p> b &amp; c &eacute;</p>"),
+                                (2, None)], "id int, html string")
+    got = {r["id"]: r["text"] for r in X.html_to_text_exact(df, "html").collect()}
+    assert got == {1: "a  b & c é", 2: None}
