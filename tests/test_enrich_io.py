@@ -127,3 +127,12 @@ def test_write_triples(spark, tmp):
     assert "p=http_schema_org_name" in parts and "p=http_schema_org_brand" in parts
     lines = sorted(r["value"] for r in spark.read.text(f"{tmp}/nt").collect())
     assert lines == ['<http://s> <http://schema.org/brand> _:b1 .', '<http://s> <http://schema.org/name> "a \\"b\\"" .']
+
+
+def test_hot_key_left_join_equals_plain(spark):
+    cat = spark.createDataFrame([(i, f"p{i}") for i in range(6)] + [(9, None)], "id long, permalink string")
+    facts = spark.createDataFrame([("p1", "x")] * 50 + [("p2", "y"), ("p2", "z"), ("q", "w"), (None, "n")],
+                                  "link string, brand string")
+    plain = sorted(tuple(r) for r in cat.join(facts, cat.permalink == facts.link, "left").collect())
+    split = sorted(tuple(r) for r in E.attach_facts(cat, facts, hot_rows=10).collect())
+    assert split == plain and len(plain) == 57

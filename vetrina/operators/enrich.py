@@ -17,11 +17,38 @@ from ..functions import vocab as V
 from .extract import node_id
 
 
+HOT_KEY_ROWS = 1_000_000
+
+
+def left_join_split_hot(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
+                        hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """``left ⟕ right`` when the right side may hold huge groups of copies.
+
+    AQE can split a skewed *left* side of a left join, not the right one. Keys
+    with at least ``hot_rows`` right rows (at most |right| / hot_rows of them:
+    a proven bound) are joined with their few left rows broadcast, so the hot
+    right rows stream in place over all tasks; every other key takes the
+    normal join. Same rows as the plain left join.
+    """
+    hot = (right.where(F.col(right_on).isNotNull()).groupBy(right_on).agg(F.count(F.lit(1)).alias("_n"))
+                .where(F.col("_n") >= hot_rows).select(F.col(right_on).alias("_hot")))
+    hot = F.broadcast(hot)
+    is_hot_l = left.join(hot, left[left_on] == hot["_hot"], "left_semi")
+    cold_l = left.join(hot, left[left_on] == hot["_hot"], "left_anti")
+    hot_r = right.join(hot, right[right_on] == hot["_hot"], "left_semi")
+    cold_r = right.join(hot, right[right_on] == hot["_hot"], "left_anti")
+    part_hot = hot_r.join(F.broadcast(is_hot_l), is_hot_l[left_on] == hot_r[right_on])
+    part_cold = cold_l.join(cold_r, cold_l[left_on] == cold_r[right_on], "left")
+    cols = left.columns + [c for c in right.columns]
+    return part_hot.select(*cols).unionByName(part_cold.select(*cols))
+
+
 def attach_facts(catalogue: DataFrame, facts: DataFrame, left_on: str = "permalink",
-                 right_on: str = "link") -> DataFrame:
+                 right_on: str = "link", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Catalogue left join facts; duplicate facts multiply rows; NULL
-    keys never join (SQL semantics)."""
-    return catalogue.join(facts, catalogue[left_on] == facts[right_on], "left")
+    keys never join (SQL semantics). A page crawled into a huge group of
+    copies is split out (``left_join_split_hot``)."""
+    return left_join_split_hot(catalogue, facts, left_on, right_on, hot_rows)
 
 
 def latest_by_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
