@@ -311,7 +311,7 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
              .agg(F.count(F.lit(1)).alias("n_other"),
                   # hit counts are small integers: the double product is exact
                   F.product("hits").cast("bigint").alias("mult")))
-    sol = (cand.join(ks, "q")
+    sol = (cand.join(bounded_broadcast(ks, upper_bound=n_rows), "q")
                .join(other, ["q", *U], "left")
                .where((F.col("k") == 1) | (F.col("n_other") == F.col("k") - 1))
                .join(names, U)

@@ -55,9 +55,11 @@ def keyword_search(queries: DataFrame, docs: DataFrame, prices: DataFrame | None
     rest = ranked.where(F.col("r") > 1).select("query_id", "term")
     # One driving term per query: a small side, broadcast after a size check,
     # so a term found in a third of the documents is never one hot partition.
-    cand = bounded_broadcast(drive.select("query_id", "term", "n_terms", "cap")).join(post, "term") \
-        .select("query_id", key, "n_terms", "cap")
-    checked = (cand.select("query_id", key).join(rest, "query_id")
+    n_qt = qt.count()  # bounds every query-side subset below
+    cand = bounded_broadcast(drive.select("query_id", "term", "n_terms", "cap"), upper_bound=n_qt) \
+        .join(post, "term").select("query_id", key, "n_terms", "cap")
+    # A query with a huge candidate set is a hot key: its terms are broadcast.
+    checked = (cand.select("query_id", key).join(bounded_broadcast(rest, upper_bound=n_qt), "query_id")
                .join(post, ["term", key])
                .groupBy("query_id", key).agg(F.count(F.lit(1)).alias("n_hit")))
     out = (cand.join(checked, ["query_id", key], "left")
