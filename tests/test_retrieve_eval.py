@@ -127,3 +127,12 @@ def test_resolve_replies_quarantine_and_fallback(spark):
     got = {r["query_id"]: tuple(r[c] for c in SL.SLOTS) for r in slots.collect()}
     assert got == {"a": ("Brand#1", "SMALL", "", "blue", "< 30"), "b": ("D&g", "", "50 ml", "Blue", "")}
     assert [r["query_id"] for r in bad.collect()] == ["a"]
+
+
+def test_slices_feature_absent_f8(spark):
+    queries = spark.createDataFrame([("q1", None), ("q2", None)], "query_id string, price string")
+    truth = spark.createDataFrame([("q1", 1), ("q2", 2)], "query_id string, id long")
+    ans = spark.createDataFrame([("q1", "s", 1)], "query_id string, system string, id long")
+    scored = EV.per_query(queries, truth, ans, ["s"]).join(queries, "query_id")
+    sl = {r["slice"]: (r["query_count"], r["f1"]) for r in EV.slices(scored, F.col("price").isNotNull()).collect()}
+    assert sl == {"all": (2, 0.5), "without": (2, 0.5), "with": (0, 0.0)}

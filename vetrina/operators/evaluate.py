@@ -69,7 +69,13 @@ def slices(scores: DataFrame, has_feature: Column, group: Sequence[str] = ("syst
     tagged = scores.withColumn("slice", F.explode(F.array(
         F.lit("all"), F.when(F.coalesce(has_feature, F.lit(False)), F.lit("with")).otherwise(F.lit("without")))))
     out = macro(tagged, ["slice", *group])
-    return out
+    # Every group shows all three slices; an empty slice has 0 queries and 0s.
+    grid = (scores.select(*group).distinct()
+            .withColumn("slice", F.explode(F.array(F.lit("all"), F.lit("with"), F.lit("without")))))
+    return (grid.join(out, ["slice", *group], "left")
+                .select("slice", *group,
+                        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")],
+                        F.coalesce(F.col("query_count"), F.lit(0)).cast("bigint").alias("query_count")))
 
 
 def report(metrics: DataFrame, digits: int = 3) -> DataFrame:
