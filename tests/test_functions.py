@@ -123,3 +123,11 @@ def test_html_to_text_exact_b7(spark):
                                 (2, None)], "id int, html string")
     got = {r["id"]: r["text"] for r in X.html_to_text_exact(df, "html").collect()}
     assert got == {1: "a  b & c é", 2: None}
+
+
+def test_top_pairs_tie_c10(spark):
+    # Eleven pairs with one row each: the 10 kept are the first 10 in pair order.
+    labels = [["a", chr(ord("b") + i)] for i in range(11)]
+    df = spark.createDataFrame([(i, l) for i, l in enumerate(labels)], "id long, labels array<string>")
+    got = [r["pair"] for r in L.top_pairs(L.pair_counts(df), 10).collect()]
+    assert got == [f"a {chr(ord('b') + i)}" for i in range(10)]
