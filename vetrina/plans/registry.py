@@ -571,12 +571,14 @@ def q_metrics_macro(spark, sf):
 
 
 @register("metrics_slices", _METRICS_SQL + f"""
-SELECT slice, system, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
-       query_count
-FROM (SELECT slice, system, {_MACRO}
+SELECT g.slice, g.system, round(COALESCE(m.precision, 0.0), 6) AS precision,
+       round(COALESCE(m.recall, 0.0), 6) AS recall, round(COALESCE(m.f1, 0.0), 6) AS f1,
+       CAST(COALESCE(m.query_count, 0) AS BIGINT) AS query_count
+FROM (SELECT DISTINCT system, s.slice FROM pq JOIN (VALUES ('all'), ('with'), ('without')) s(slice) ON TRUE) g
+LEFT JOIN (SELECT slice, system, {_MACRO}
       FROM (SELECT *, 'all' AS slice FROM pq
             UNION ALL SELECT *, CASE WHEN price IS NOT NULL THEN 'with' ELSE 'without' END FROM pq)
-      GROUP BY slice, system)""")
+      GROUP BY slice, system) m ON g.slice = m.slice AND g.system = m.system""")
 def q_metrics_slices(spark, sf):
     queries, scores = _evaluation(spark, sf)
     scored = scores.join(queries.select("query_id", "price"), "query_id")
