@@ -1,0 +1,31 @@
+"""Queries of the operators and the SQL that can express them."""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vetrina.llm import decontaminate
+
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Python workers that see this folder can import the package, wherever
+    the driver was started. On a cluster without it, use --py-files."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        paths = env.get("PYTHONPATH", "").split(os.pathsep)
+        if _ROOT not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {name: importable(query) for name, query in {
+    "op10_decontaminate": decontaminate.query,
+}.items()}
+
+ORACLES: dict[str, str] = {}
