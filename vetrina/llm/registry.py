@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetrina.llm import decontaminate
+from vetrina.llm import decontaminate, langid, pii, quality, simhash
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -25,6 +25,10 @@ def importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spa
 
 
 QUERIES = {name: importable(query) for name, query in {
+    "op2_langid": langid.query,
+    "op3_quality": quality.query,
+    "op4_simhash": simhash.query,
+    "op9_pii": pii.query,
     "op10_decontaminate": decontaminate.query,
 }.items()}
 
