@@ -10,7 +10,7 @@ import numpy as np
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -111,7 +111,7 @@ class Tagger:
             self._back(way, x.T, mask, keep[k], into[:, :, k * self.hidden:(k + 1) * self.hidden], grad)
         return -gold.mean(), {k: v / rows for k, v in grad.items()}
 
-    def fit(self, x: np.ndarray, tags: np.ndarray, steps: int, rows: int = 48, rate: float = 0.02, seed: int = 7) -> None:
+    def fit(self, x: np.ndarray, tags: np.ndarray, steps: int, rows: int = 32, rate: float = 0.05, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -120,8 +120,9 @@ class Tagger:
             used = max(int((x[pick] > 0).sum(axis=1).max()), 1)
             _, grad = self.gradient(x[pick, :used], tags[pick, :used])
             norm = np.sqrt(sum((g * g).sum() for g in grad.values()))
-            speed = rate * min(1.0, 5 / (norm + 1e-9)) * (1 - 0.9 * step / steps)
+            speed = rate * (1 - 0.9 * step / steps)
             for k, g in grad.items():
+                g = g * min(1.0, 5 / (norm + 1e-9))
                 mean[k] = 0.9 * mean[k] + 0.1 * g
                 square[k] = 0.99 * square[k] + 0.01 * g * g
                 self.p[k] -= speed * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)

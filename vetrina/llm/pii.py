@@ -31,7 +31,7 @@ from vetrina.llm.text import chunks
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS = 400
-FIT_STEPS = 260
+FIT_STEPS = 320
 WINDOW = 96
 STRIDE = 48
 CONTEXT = 24
