@@ -28,7 +28,7 @@ WORD_BITS = 15
 BINS = 12
 RANK = 8
 FIT_ROWS = 8000
-EPOCHS = 8
+STEPS = 400
 THRESHOLD = 0.7
 
 # kinds of bytes
@@ -131,31 +131,30 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(first, feature, x)[0], -500, 500)))
 
     def fit(self, n: np.ndarray, bucket: np.ndarray, value: np.ndarray, stats: np.ndarray, y: np.ndarray,
-            epochs: int = EPOCHS, batch: int = 200, rate: float = 0.02, decay: float = 1e-5, seed: int = 5) -> None:
+            steps: int = STEPS, batch: int = 200, rate: float = 0.02, decay: float = 1e-5, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         offsets = np.concatenate(([0], np.cumsum(n)))
         params = {"bias": self.bias, "w": self.w, "v": self.v}
         mean = {k: np.zeros_like(p) for k, p in params.items()}
         square = {k: np.zeros_like(p) for k, p in params.items()}
-        step, total = 0, epochs * -(-len(y) // batch)
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for s in range(0, len(y), batch):
-                pick = order[s:s + batch]
-                at = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in pick])
-                first, feature, x = self.rows(n[pick], bucket[at], value[at], stats[pick])
-                margin, sums = self.margin(first, feature, x)
-                err = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y[pick]) / len(pick)
-                row = np.repeat(np.arange(len(pick)), np.diff(np.append(first, len(feature))))
-                ex = err[row] * x
-                grad = {"bias": np.array([err.sum()]), "w": np.bincount(feature, ex, minlength=self.size), "v": np.zeros_like(self.v)}
-                np.add.at(grad["v"], feature, ex[:, None] * (sums[row] - self.v[feature] * x[:, None]))
-                step += 1
-                for k, p in params.items():
-                    g = grad[k] + decay * p
-                    mean[k] = 0.9 * mean[k] + 0.1 * g
-                    square[k] = 0.99 * square[k] + 0.01 * g * g
-                    p -= rate * (1 - 0.9 * step / total) * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)
+        order = np.zeros(0, dtype=np.int64)
+        for step in range(1, steps + 1):
+            if not len(order):
+                order = rng.permutation(len(y))
+            pick, order = order[:batch], order[batch:]
+            at = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in pick])
+            first, feature, x = self.rows(n[pick], bucket[at], value[at], stats[pick])
+            margin, sums = self.margin(first, feature, x)
+            err = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y[pick]) / len(pick)
+            row = np.repeat(np.arange(len(pick)), np.diff(np.append(first, len(feature))))
+            ex = err[row] * x
+            grad = {"bias": np.array([err.sum()]), "w": np.bincount(feature, ex, minlength=self.size), "v": np.zeros_like(self.v)}
+            np.add.at(grad["v"], feature, ex[:, None] * (sums[row] - self.v[feature] * x[:, None]))
+            for k, p in params.items():
+                g = grad[k] + decay * p
+                mean[k] = 0.9 * mean[k] + 0.1 * g
+                square[k] = 0.99 * square[k] + 0.01 * g * g
+                p -= rate * (1 - 0.9 * step / steps) * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)
 
 
 def _of_batch(batch: pa.RecordBatch) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
@@ -177,17 +176,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(list(stats), pa.list_(pa.float64()))], names=["y", "bucket", "value", "stats"])
 
 
-def train(n: np.ndarray, bucket: np.ndarray, value: np.ndarray, stats: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Machine:
+def train(n: np.ndarray, bucket: np.ndarray, value: np.ndarray, stats: np.ndarray, y: np.ndarray, steps: int = STEPS) -> Machine:
     known = np.where(np.isnan(stats), np.nanmedian(np.vstack((stats, np.zeros(stats.shape[1]))), axis=0), stats)
     edges = np.quantile(known, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(y) else np.zeros((N_STATS, BINS - 1))
     machine = Machine(edges)
     if len(y):
         machine.bias[0] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-        machine.fit(n, bucket, value, stats, y, epochs)
+        machine.fit(n, bucket, value, stats, y, steps)
     return machine
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: int = EPOCHS) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, steps: int = STEPS) -> Machine:
     """A machine for ``docs(doc_id, text, n_chars)`` from
     ``labels(doc_id, quality)``; held-out ids are left out, as are null
     labels. Features of ``rows`` labelled rows at most reach the driver."""
@@ -200,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: int
         return np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in found.column(name).chunks)])
 
     n = np.diff(np.concatenate([[0], *(np.cumsum(c.value_lengths().to_numpy()) for c in found.column("bucket").chunks)])).astype(np.int64) if found.num_rows else np.zeros(0, np.int64)
-    return train(n, flat("bucket").astype(np.int64), flat("value"), flat("stats").reshape(-1, N_STATS), found.column("y").to_numpy(), epochs)
+    return train(n, flat("bucket").astype(np.int64), flat("value"), flat("stats").reshape(-1, N_STATS), found.column("y").to_numpy(), steps)
 
 
 def _score(machine: Machine):
