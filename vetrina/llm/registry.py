@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetrina.llm import decontaminate, extract_html, langid, pii, quality, simhash
+from vetrina.llm import decontaminate, extract_html, langid, pii, quality, simhash, warc
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -29,6 +29,7 @@ QUERIES = {name: importable(query) for name, query in {
     "op2_langid": langid.query,
     "op3_quality": quality.query,
     "op4_simhash": simhash.query,
+    "op6_warc": warc.query,
     "op9_pii": pii.query,
     "op10_decontaminate": decontaminate.query,
 }.items()}
