@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetrina.llm import decontaminate, extract_html, langid, pii, quality, simhash, warc
+from vetrina.llm import decontaminate, embeddings, extract_html, langid, packing, pii, quality, shard, simhash, warc
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -29,9 +29,12 @@ QUERIES = {name: importable(query) for name, query in {
     "op2_langid": langid.query,
     "op3_quality": quality.query,
     "op4_simhash": simhash.query,
+    "op5_packing": packing.query,
     "op6_warc": warc.query,
+    "op7_shard": shard.query,
+    "op8_embeddings": embeddings.query,
     "op9_pii": pii.query,
     "op10_decontaminate": decontaminate.query,
 }.items()}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_embeddings": embeddings.ORACLE}
