@@ -7,14 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetrina.llm import decontaminate
+from vetrina.llm import decontaminate, packing, pii, quality, simhash
 from vetrina.session import checkpoint_dir
 
 STAGES = [
+    ("quality", quality.stage),
+    ("near_duplicates", simhash.stage),
     ("decontamination", decontaminate.stage),
+    ("personal_data", pii.stage),
+    ("packing", packing.stage),
 ]
 
-#: SQL cannot express trained models and packing; tests/llm has brute-force checks.
+#: SQL cannot express the trained stages and best-fit packing; tests/llm has brute-force checks.
 ORACLE_SQL = None
 
 
