@@ -171,4 +171,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.expr("doc_id <=> bad_id"), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
