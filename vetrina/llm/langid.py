@@ -41,36 +41,30 @@ def _points(text: str) -> np.ndarray:
     return out[np.concatenate(([True], (out[1:] != 32) | (out[:-1] != 32)))]
 
 
-def grams(points: np.ndarray) -> np.ndarray:
-    """Codes (21 bits a character) of all n-grams but those of spaces alone."""
-    out = [points[points != 32]]
+def grams(points: np.ndarray, starts: int | None = None) -> np.ndarray:
+    """Codes (21 bits a character) of all n-grams, of the first ``starts``
+    positions alone if given. Spaces stand only at an n-gram's ends."""
+    out = [points[:starts][points[:starts] != 32]]
     for n in range(2, LONGEST + 1):
-        code = points[:len(points) - n + 1]
+        parts = [points[i:max(len(points) - n + 1 + i, 0)] for i in range(n)]
+        code, good = parts[0], (parts[0] != 32) | (parts[1] != 32)
         for i in range(1, n):
-            code = code << 21 | points[i:len(points) - n + 1 + i]
-        # a space stands only at an n-gram's ends
-        inner = np.ones(len(code), dtype=bool)
-        for i in range(1, n - 1):
-            inner &= points[i:len(points) - n + 1 + i] != 32
-        out.append(code[inner])
+            code = code << 21 | parts[i]
+            if i < n - 1:
+                good &= parts[i] != 32
+        out.append(code[:starts][good[:starts]])
     return np.concatenate(out)
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def counted(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and their counts, by pieces of a very long text."""
+    parts = [np.unique(grams(points[s:s + PIECE + LONGEST - 1], PIECE), return_counts=True) for s in range(0, max(len(points), 1), PIECE)]
     if len(parts) == 1:
         return parts[0]
     codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
     return codes, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def counted(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and their counts, by pieces of a very long text."""
-    parts = [np.unique(grams(points[s:s + PIECE + LONGEST - 1]), return_counts=True)
-             for s in range(0, max(len(points) - LONGEST + 1, 1), PIECE)] if len(points) > PIECE + LONGEST else [
-        np.unique(grams(points), return_counts=True)]
-    return _merged(parts)
-
-
 def top(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` most frequent n-grams by rank; ties by code."""
     if len(codes) > size:
