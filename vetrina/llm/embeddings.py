@@ -85,9 +85,9 @@ def _join(cosine: float):
     """Of one pair of blocks: (cls, null, links) and spanning edges (a, b, 0)."""
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["left"]], group[~group["left"]]
-        same = not len(right)
+        same = key[3] == key[4]
         right = left if same else right
-        if not len(left):
+        if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype({"a": "int64", "b": "Int64", "n": "int64"})
         x, y = unit(left["embedding"].tolist()), unit(right["embedding"].tolist())
         i, j = np.nonzero(x @ y.T >= cosine)
@@ -185,8 +185,8 @@ ORACLE = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), g AS (
-  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93
