@@ -137,7 +137,7 @@ def classes(text: str) -> np.ndarray:
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
     """Overlapping windows that cover every mark with CONTEXT around it."""
-    start = end = -1
+    start, end = 0, -CONTEXT - 1  # nothing yet
     for m in _MARK.finditer(text):
         if m.start() - CONTEXT > end:
             yield from _cut(start, end)
@@ -147,7 +147,7 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _cut(start: int, end: int) -> Iterator[tuple[int, int]]:
-    while start >= 0:
+    while start < end:
         yield start, min(start + WINDOW, end)
         if start + WINDOW >= end:
             return

@@ -180,7 +180,9 @@ def train(n: np.ndarray, bucket: np.ndarray, value: np.ndarray, stats: np.ndarra
     known = np.where(np.isnan(stats), np.nanmedian(np.vstack((stats, np.zeros(stats.shape[1]))), axis=0), stats)
     edges = np.quantile(known, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(y) else np.zeros((N_STATS, BINS - 1))
     machine = Machine(edges)
-    if len(y):
+    if not len(y):
+        machine.v[:] = 0
+    else:
         machine.bias[0] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
         machine.fit(n, bucket, value, stats, y, steps)
     return machine

@@ -371,21 +371,25 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
         F.when(revisit, F.col("first").cast("bigint")).alias("refers_to"), "sha1", "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"))
 
 
+def register(spark: SparkSession) -> None:
+    """Makes format ``warc`` known to the session, with filters pushed down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(WarcSource)
+
+
 def write(rows: DataFrame, path: str, **options: str) -> None:
-    rows.sparkSession.dataSource.register(WarcSource)
+    register(rows.sparkSession)
     rows.write.format("warc").options(**options).mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Rows of all archives below ``path``; see ``SCHEMA``. Pushes filters
-    down where ``spark.sql.python.filterPushdown.enabled`` is on."""
-    spark.dataSource.register(WarcSource)
+    """Rows of all archives below ``path``; see ``SCHEMA``."""
+    register(spark)
     return spark.read.format("warc").options(**options).load(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write(records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     found = read(spark, path, payload="false").where(F.col("record_type").isin("response", "revisit"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
