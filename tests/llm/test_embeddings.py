@@ -68,6 +68,14 @@ def test_few_pivots(spark, monkeypatch):
     assert run(spark, rows, cosine=0.8) == expected(rows, 0.8)
 
 
+def test_cells_that_hold_their_pivot_alone(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 1)
+    rows = [(i, [float(i % 7 == k) + 0.01 * (i > 6 and k == (i + 1) % 7) for k in range(7)], 1) for i in range(14)]
+    want = expected(rows)
+    assert sum(x[1] for x in want) == 14
+    assert run(spark, rows) == want
+
+
 def test_large_group_of_copies(spark):
     rows = [(i, [1.0, 2.0, 3.0], 1) for i in range(50, 2050)] + [(1, [1.0, 2.0, 3.1], 1)]
     got = embeddings.near_duplicates(table(spark, rows)).collect()

@@ -52,7 +52,7 @@ def _assign(pivots: Pivots):
     """mapInPandas function: cell and distance of each class."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cell, near = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            cell, near = np.zeros(len(batch), np.int64), np.full(len(batch), -1.0)  # -1: the label has no pivots
             for key, rows in batch.groupby(["label", "dim"]).indices.items():
                 if key in pivots:
                     d = _distances(unit(batch["embedding"].iloc[rows].tolist()), pivots[key])
@@ -160,9 +160,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     assigned = cut_lineage(classes.select("label", "dim", "cls", "copies", "embedding").mapInPandas(_assign(pivots), f"{kinds}, near double"), "cells")
     radius = {k: np.full(len(p), -1.0) for k, p in pivots.items()}
     if pivots:
-        for label, dim, cell, near in assigned.groupBy("label", "dim", "cell").agg(F.max("near")).where(F.col("max(near)") > 0).collect():
-            if (label, dim) in radius:  # as many rows as there are pivots, at most one more a small label
-                radius[label, dim][cell] = near
+        for label, dim, cell, near in assigned.groupBy("label", "dim", "cell").agg(F.max("near")).where(F.col("max(near)") >= 0).collect():
+            radius[label, dim][cell] = near  # as many rows as there are pivots
     dealt = cut_lineage(assigned.mapInPandas(_visit(pivots, radius, math.sqrt(2 - 2 * cosine)), f"{kinds}, visitor boolean"), "dealt")
     found = cut_lineage(_blocks(dealt).groupBy("label", "dim", "cell", "i", "j").applyInPandas(_join(cosine), "a long, b long, n long"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
