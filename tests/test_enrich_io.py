@@ -129,10 +129,22 @@ def test_write_triples(spark, tmp):
     assert lines == ['<http://s> <http://schema.org/brand> _:b1 .', '<http://s> <http://schema.org/name> "a \\"b\\"" .']
 
 
-def test_hot_key_left_join_equals_plain(spark):
+def test_attach_facts_equals_left_join(spark):
     cat = spark.createDataFrame([(i, f"p{i}") for i in range(6)] + [(9, None)], "id long, permalink string")
     facts = spark.createDataFrame([("p1", "x")] * 50 + [("p2", "y"), ("p2", "z"), ("q", "w"), (None, "n")],
                                   "link string, brand string")
-    plain = sorted(tuple(r) for r in cat.join(facts, cat.permalink == facts.link, "left").collect())
-    split = sorted(tuple(r) for r in E.attach_facts(cat, facts, hot_rows=10).collect())
-    assert split == plain and len(plain) == 57
+    plain = sorted(map(str, cat.join(facts, cat.permalink == facts.link, "left").collect()))
+    assert sorted(map(str, E.attach_facts(cat, facts).collect())) == plain and len(plain) == 57
+
+
+def test_duplicate_attributes_keep_one_node(spark, tmp):
+    docs = [{"@graph": [{"@type": "Product", "@id": "p1", "category": "old"}]}]
+    rows = [("p1", "50 ml", "A", "First"), ("p1", "30 ml", None, "Last"), (None, "1 ml", None, None)]
+    attrs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "permalink string, capacity string, scent_group string, category string, pos int")
+    out = E.enrich_nodes(_nodes(spark, docs), attrs, order=["pos"]).select(F.to_json("node")).collect()
+    assert len(out) == 1 and json.loads(out[0][0])["category"] == "Last" and len(json.loads(out[0][0])["additionalProperty"]) == 1
+    attrs.drop("pos").coalesce(1).write.parquet(f"{tmp}/a")  # by file position
+    filed = E.with_position(spark.read.parquet(f"{tmp}/a"))
+    out = E.enrich_typed(X.typed_products(_nodes(spark, docs)), filed).collect()
+    assert [(r["category"], r["properties"][0]["value"]) for r in out] == [("Last", "30 ml")]
+    assert E.enrich_nodes(_nodes(spark, docs), attrs.drop("pos")).count() == 1

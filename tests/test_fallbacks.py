@@ -1,6 +1,6 @@
 """The non-broadcast plans give the same answers: every size check forced to
 fail, automatic broadcasts off, so joins are sort-merge (with AQE skew
-splitting) and price-only queries use the dyadic range join."""
+splitting)."""
 
 import pytest
 
@@ -14,8 +14,7 @@ from .test_retrieve_eval import Q, products
 
 @pytest.fixture()
 def no_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", -1)
-    monkeypatch.setattr(R, "MAX_BROADCAST_CAPS", -1)
+    monkeypatch.setattr(session, "BROADCAST_MAX_BYTES", -1)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
@@ -42,3 +41,38 @@ def test_matching_without_broadcast(spark, no_broadcast):
                                ("l", None, None, None, "Fruttato", None)], Q)
     got = sorted((r["query_id"], r["id"], r["solutions"]) for r in R.match_queries(q, products(spark)).collect())
     assert got == [("bp", "u1", 2), ("l", "u1", 1), ("p", "u1", 2)]
+
+
+def test_only_a_local_master_gets_a_scratch_folder(spark, monkeypatch):
+    class Conf:
+        def __init__(self, master):
+            self.values = {"spark.master": master}
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    class Session:
+        sparkContext = None
+
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    assert session.checkpoint_dir(Session("local[4]"))
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.checkpoint_dir(Session(master))
+
+
+def test_intermediates_are_removed(spark):
+    session.drop_intermediates(spark)
+    q = spark.createDataFrame([("b", "A", None, None, None, None)], Q)
+    assert R.match_queries(q, products(spark)).count() == 1
+    assert session.drop_intermediates(spark) > 3
+    assert session.drop_intermediates(spark) == 0
+
+
+def test_cluster_conf_is_bounded():
+    assert int(session.cluster_conf(100 << 40)["spark.sql.shuffle.partitions"]) == session.MAX_SHUFFLE_PARTITIONS

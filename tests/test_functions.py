@@ -79,13 +79,30 @@ def test_score_validation_c3(spark):
     assert one(spark, L.valid_scores, [long]) == [True]
 
 
-def test_score_repair_c5_c6(spark):
-    df = spark.createDataFrame([(1, 'ecco: [["Dolce", 1]'), (2, ""), (3, "[['A', 1], ['B', 0],]")],
-                               "id long, reply string")
-    rows = sorted((r["id"], r["valid"], r["label"], r["score"]) for r in L.scores(df).collect())
-    assert rows == [(1, False, "Dolce", 1), (3, True, "A", 1), (3, True, "B", 0)]
-    wide = L.one_hot(L.scores(df), ["Dolce", "A", "B"]).orderBy("id").collect()
-    assert [tuple(r) for r in wide] == [(1, 1, 0, 0), (3, 0, 1, 0)]
+def test_score_vectors_c5_c6_c7(spark):
+    """Every reply gives every label of the domain, also the unusable ones."""
+    df = spark.createDataFrame([(1, 'ecco: [["Dolce", 1]'), (2, ""), (3, "[['A', 1], ['B', 0],]"), (4, '[["A", +1]]'),
+                                (5, '[["A", "1"]]'), (6, "[]"), (7, None), (8, '[["B", 1], ["B", 0], ["Z", 1]]')], "id long, reply string")
+    rows = sorted((r["id"], r["valid"], r["label"], r["score"]) for r in L.scores(df, ["Dolce", "A", "B"]).collect())
+    ones = {(1, "Dolce"), (3, "A"), (4, "A"), (5, "A")}
+    valid = {3, 4, 6, 8}
+    assert rows == sorted((i, i in valid, x, int((i, x) in ones)) for i in range(1, 9) for x in ("Dolce", "A", "B"))
+    wide = {r["id"]: tuple(r)[1:] for r in L.one_hot(df, ["Dolce", "A", "B"]).collect()}
+    assert wide == {i: tuple(int((i, x) in ones) for x in ("Dolce", "A", "B")) for i in range(1, 9)}
+    assert sorted(r["id"] for r in L.malformed(df).collect()) == [1, 2, 5, 7]
+
+
+def test_tagger_zero_vectors_c2(spark):
+    docs = spark.createDataFrame([(1, "The cat"), (2, ""), (3, None), (4, "le chat " * 200 + "the")], "id long, text string")
+    lex = spark.createDataFrame([("the", "en"), ("le", "fr"), ("x", "other")], "term string, label string")
+    got = sorted(tuple(r) for r in L.tag_labels(docs, lex, ["en", "fr"]).collect())
+    assert got == [(1, "en", 1), (1, "fr", 0), (2, "en", 0), (2, "fr", 0), (3, "en", 0), (3, "fr", 0), (4, "en", 1), (4, "fr", 1)]
+
+
+def test_zero_pairs_c9(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "q"]), (2, None)], "id long, labels array<string>")
+    got = {(r["a"], r["b"]): r["n"] for r in L.pair_counts(df, domain=["a", "b", "c"]).collect()}
+    assert got == {("a", "b"): 1, ("a", "c"): 0, ("b", "c"): 0}
 
 
 def test_label_pairs_c8(spark):
@@ -118,16 +135,43 @@ def test_html_to_text_b7(spark):
     assert one(spark, T.html_to_text, [html, "plain", None]) == ["a  b & c \n d", "plain", None]
 
 
-def test_html_to_text_exact_b7(spark):
-    df = spark.createDataFrame([(1, "<p>a</p><!-- c --><script>x<y</script><p> b &amp; c &eacute;</p>"),
-                                (2, None)], "id int, html string")
-    got = {r["id"]: r["text"] for r in X.html_to_text_exact(df, "html").collect()}
-    assert got == {1: "a  b & c é", 2: None}
+def test_html_to_text_many_tags_b7(spark):
+    pages = ["<p>" * 20000 + "x" + "</p>" * 20000, "a<script>if (x<y) z", "<style>p{}", "x<!-- open", "<" * 3000]
+    assert one(spark, T.html_to_text, pages) == ["x", "a", "", "x", "<" * 3000]
+
+
+def test_character_references_b7(spark):
+    text = ["perch&eacute; &euro;5 l&#8217;&#x41;", "&amp;lt; &bogus; & &", "&#0;&#xD800;&#1114112;", "&NotEqualTilde;", "no", None]
+    want = ["perch\u00e9 \u20ac5 l\u2019A", "&lt; &bogus; & &", "\ufffd\ufffd\ufffd", "\u2242\u0338", "no", None]
+    assert one(spark, T.html_to_text, text) == want
+
+
+def test_prices_keep_digits_e8(spark):
+    got = one(spark, T.decimal_or_null, ["29.99999", "123456789012345.25"])
+    assert [str(g.normalize()) for g in got] == ["29.99999", "123456789012345.25"]
+
+
+def test_reply_escapes_e16(spark):
+    df = spark.createDataFrame([('a "b" c', "x\\y")], "brand string, category string")
+    df = df.selectExpr("*", "'' capacity", "'' olfactory_category", "'' price")
+    reply = df.select(SL.to_reply().alias("reply"))
+    r = reply.select(SL.valid_slots("reply").alias("ok"), *SL.pairs_to_query(SL.reply_pairs("reply"))).first()
+    assert r["ok"] and (r["brand"], r["category"]) == ('a "b" c', "x\\y")
+    long = '[' + ', '.join(['["brand", "' + "\\\\" * 20000 + '"]'] * 5) + ']'
+    assert one(spark, SL.valid_slots, [long]) == [True]
+
+
+def test_long_phrase_e15(spark):
+    vocab = spark.createDataFrame([("casa di moda del nord", "brand", "Casa di Moda del Nord"), ("moda", "category", "Moda")],
+                                  "phrase string, slot string, value string")
+    texts = spark.createDataFrame([("q", "moda Casa di moda del nord 50 ml")], "query_id string, text_query string")
+    r = SL.fill_slots(texts, vocab).first()
+    assert (r["brand"], r["category"], r["capacity"]) == ("Casa di Moda del Nord", "Moda", "50 ml")
 
 
 def test_top_pairs_tie_c10(spark):
     # Eleven pairs with one row each: the 10 kept are the first 10 in pair order.
     labels = [["a", chr(ord("b") + i)] for i in range(11)]
     df = spark.createDataFrame([(i, l) for i, l in enumerate(labels)], "id long, labels array<string>")
-    got = [r["pair"] for r in L.top_pairs(L.pair_counts(df), 10).collect()]
+    got = [r["pair"] for r in L.top_pairs(L.pair_counts(df, domain=None), 10).collect()]
     assert got == [f"a {chr(ord('b') + i)}" for i in range(10)]

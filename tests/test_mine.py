@@ -60,6 +60,7 @@ def brute(rows, n, cats, caps, pairs, min_values, top_k, min_support):
 @pytest.mark.parametrize("n", [2, 3, 4])
 def test_mine_matches_brute_force(spark, n):
     rows = fixture_rows()
+    rows[0]["labels"] = ["Dolce", "Dolce", "Agrumato", "Dolce"]  # counts once
     cats, caps, pairs = ["Fragranze Donna", "Fragranze Uomo"], [30, 50, 100], ["Agrumato Dolce", "Dolce Floreale"]
     df = spark.createDataFrame(
         [(r["id"], r["brand"], r["category"], r["capacity"], None if r["price"] is None else str(r["price"]),

@@ -54,15 +54,54 @@ def test_bag_and_set(spark):
     assert answers(spark, [("p", None, None, None, None, "<30")], bag=False) == [("p", "u1", 1)]
 
 
-def test_less_than_join(spark):
+def test_prices_by_cap(spark):
+    """Caps, prices on and beside them, many offers of one product; alone and with other features."""
     rnd = random.Random(3)
-    xs = [(i, rnd.choice([-5.5, 0.0, 0.2, 3.0, 7.99, 8.0, 1000.25, 2 ** 20 + 0.5])) for i in range(40)]
-    cs = [(j, float(c)) for j, c in enumerate([-5.0, 0.2, 8, 8.5, 1000.25, 2 ** 21])]
-    left = spark.createDataFrame(xs, "i int, x double").selectExpr("i", "cast(x as decimal(18,4)) x")
-    right = spark.createDataFrame(cs, "j int, c double").selectExpr("j", "cast(c as decimal(18,4)) c")
-    got = sorted((r["i"], r["j"]) for r in R.less_than_join(left, "x", right, "c").collect())
-    want = sorted((i, j) for i, x in xs for j, c in cs if x < c)
-    assert got == want
+    prices = ["0", "7.99", "8", "8.000001", "29.99999", "30", "1000.25", "99999999999999.5", "-5"]
+    rows = [("s", 0, i, f"u{i % 7}", "N", "c", "Brand", "AB"[i % 2], [(rnd.choice(prices), "EUR")], []) for i in range(60)]
+    prods = spark.createDataFrame(rows, PROD)
+    caps = ["8", "30", "30.0", "1000", "100000000000000", "-6", "x"]
+    asked = [(f"{b}|{c}", b, None, None, None, f"< {c}") for b in (None, "A") for c in caps] + [("A|", "A", None, None, None, None)]
+    want = {}
+    for q, b, *_, cap in asked:
+        for u in {r[3] for r in rows}:
+            mine = [r for r in rows if r[3] == u]
+            brands = sum(r[7] == b for r in mine) if b else 1
+            try:
+                n = sum(float(r[8][0][0]) < float(cap[2:]) for r in mine) if cap else 1
+            except ValueError:
+                n = 0
+            if brands * n:
+                want[q, u] = brands * n
+    got = R.match_queries(spark.createDataFrame(asked, Q), prods)
+    assert {(r["query_id"], r["id"]): r["solutions"] for r in got.collect()} == want and len(want) > 20
+
+
+def test_matching_against_brute_force(spark):
+    rnd = random.Random(8)
+    pick = lambda *x: rnd.choice(x)
+    rows = []
+    for i in range(80):
+        props = [("PropertyValue", "Capacita", pick("30 ml", "50 ml")) for _ in range(rnd.randint(0, 2))]
+        props += [("PropertyValue", "Gruppo Olfattivo", pick("Dolce", "Floreale Dolce", "Legnoso", "olce")) for _ in range(rnd.randint(0, 2))]
+        rows.append(("s", 0, i, f"u{rnd.randint(0, 30)}", pick("N", "M", None), pick("Donna", "Uomo Donna", None), "Brand", pick("A", "B"),
+                     [(pick("5", "15", "25"), "EUR") for _ in range(rnd.randint(0, 2))], props))
+    asked = [(f"q{i}", pick("A", "B", "C", None), pick("Donna", "omo", None, ""), pick("30 ml", None, None), pick("Dolce", "ol", None, None),
+              pick("<10", "< 20", "<30", None)) for i in range(60)]
+    want = {}
+    for q, b, c, k, o, p in asked:
+        for u in {r[3] for r in rows}:
+            mine = [r for r in rows if r[3] == u]
+            n = len({r[4] for r in mine if r[4]})
+            n *= sum(r[7] == b for r in mine) if b else 1
+            n *= len({r[5] for r in mine if r[5] and c in r[5]}) if c else 1
+            n *= sum(v[1] == "Capacita" and v[2] == k for r in mine for v in r[9]) if k else 1
+            n *= sum(v[1] == "Gruppo Olfattivo" and o in v[2] for r in mine for v in r[9]) if o else 1
+            n *= sum(float(v[0]) < float(p.strip("< ")) for r in mine for v in r[8]) if p else 1
+            if n:
+                want[q, u] = n
+    got = R.match_queries(spark.createDataFrame(asked, Q), spark.createDataFrame(rows, PROD))
+    assert {(r["query_id"], r["id"]): r["solutions"] for r in got.collect()} == want and len(want) > 100
 
 
 def test_metrics_edges(spark):

@@ -19,8 +19,8 @@ SCORE_LIST = (
     r'''\s*(?:,\s*(?=[\[\]])|(?=\])))*+\]\s*\z'''
 )
 
-# One ("name", 0|1) pair anywhere in a damaged reply.
-SCORE_PAIR = r'''["']([^"']+)["']\s*,\s*([01])\b'''
+# One ("name", 0|1) pair anywhere in a damaged reply; the score may be quoted or signed.
+SCORE_PAIR = r'''["']([^"']+)["']\s*,\s*["']?\+?([01])\b'''
 
 # Decimal literal without exponent (xsd:decimal lexical space).
 DECIMAL_TEXT = r"\A\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\s*\z"
@@ -32,9 +32,12 @@ SLOT_PRICE = r"\A< \d+\z"
 # Price phrase of a keyword query ("minori di 30 euro", "meno di 30 euro").
 PRICE_PHRASE = r"(?i)\b(?:minori|meno)\s+di\s+(\d+)(?:\s+euro)?\b"
 
-# HTML to text.
-HTML_DROP_BLOCKS = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-HTML_TAG_RUN = r"(?:<[A-Za-z/!?][^>]*>)+"
+# HTML to text. A block that isn't closed runs to the end of the page. The
+# possessive run of tags keeps the JVM stack flat on pages with many tags.
+HTML_DROP_BLOCKS = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+HTML_TAG_RUN = r"(?:<[A-Za-z/!?][^>]*>)++"
+# A character reference at the start of what follows an ampersand.
+CHAR_REFERENCE = r"\A(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 TRIM_WS = r"\A[ \t\n\r\f]+|[ \t\n\r\f]+\z"
 
 # Suffix that the shop appends to product node ids.

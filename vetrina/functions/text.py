@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
 
 
+#: Prices keep every digit: 20 before the point, 18 behind it.
+DECIMAL = "decimal(38,18)"
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -33,27 +40,47 @@ def trim_ws(s) -> Column:
     return F.regexp_replace(_c(s), P.TRIM_WS, "")
 
 
+def _code_point(number: Column) -> Column:
+    """The character of a code point; U+FFFD for one that has none."""
+    good = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    raw = F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(F.lit(0xFFFD))), 8, "0"))
+    return F.decode(raw, "UTF-32")
+
+
+def char_references(s) -> Column:
+    """Decimal, hexadecimal and named (HTML5) character references decoded,
+    each once; anything else after an ampersand stays. The names are the
+    standard table; it is one constant of the plan."""
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def part(x):
+        ref = F.regexp_extract(x, P.CHAR_REFERENCE, 1)
+        char = (F.when(ref.rlike("^#[xX]"), _code_point(F.conv(F.substring(ref, 3, 8), 16, 10).cast("long")))
+                 .when(ref.startswith("#"), _code_point(F.substring(ref, 2, 8).cast("long")))
+                 .when(ref != "", F.try_element_at(names, ref)))
+        return F.coalesce(F.concat(char, F.substring(x, F.length(ref) + 2, F.length(x))), F.concat(F.lit("&"), x))
+
+    parts = F.split(_c(s), "&", -1)
+    return F.when(_c(s).contains("&"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), part), ""))).otherwise(_c(s))
+
+
 def html_to_text(html) -> Column:
     """Drop comments, scripts and styles; each run of tags becomes one
-    space; decode the common entities; trim the ends. Non-HTML text passes."""
+    space; decode character references; trim the ends. Non-HTML text passes."""
     s = F.regexp_replace(_c(html), P.HTML_DROP_BLOCKS, "<!>")
-    s = F.regexp_replace(s, P.HTML_TAG_RUN, " ")
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    return trim_ws(s)
+    return trim_ws(char_references(F.regexp_replace(s, P.HTML_TAG_RUN, " ")))
 
 
 def parse_cap(price) -> Column:
-    """``'<30'`` or ``'< 30'`` -> 30 as DECIMAL(18,4); anything else NULL."""
+    """``'<30'`` or ``'< 30'`` -> 30 as a decimal; anything else NULL."""
     body = F.trim(F.replace(_c(price), F.lit("<"), F.lit("")))
-    return F.when(body.rlike(P.DECIMAL_TEXT), body.try_cast("decimal(18,4)"))
+    return F.when(body.rlike(P.DECIMAL_TEXT), body.try_cast(DECIMAL))
 
 
 def decimal_or_null(text) -> Column:
     """Xsd:decimal cast; exponents, commas and blanks give NULL."""
     t = _c(text)
-    return F.when(t.rlike(P.DECIMAL_TEXT), F.trim(t).try_cast("decimal(18,4)"))
+    return F.when(t.rlike(P.DECIMAL_TEXT), F.trim(t).try_cast(DECIMAL))
 
 
 def collapse_spaces(s) -> Column:

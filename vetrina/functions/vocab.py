@@ -11,21 +11,12 @@ LABELS = [
     "Fruttato", "Gourmand", "Legnoso", "Muschiato", "Senza Profumo", "Speziato Leggero",
 ]
 
-# Ten label pairs used as query values (normally taken from top_pairs).
-TOP_PAIRS = [
-    "Aromatico Legnoso", "Floreale Fruttato", "Floreale Legnoso", "Agrumato Legnoso",
-    "Agrumato Aromatico", "Agrumato Fruttato", "Agrumato Floreale", "Floreale Muschiato",
-    "Ambrato Floreale", "Agrumato Muschiato",
-]
-
 CATEGORIES = ["Fragranze Donna", "Fragranze Uomo"]
 PRICE_CAPS = [20, 30, 40, 50, 75, 100]
 TOP_CAPACITIES = 5
 MIN_VALUES = 20
 MIN_SUPPORT = 20
-QUERY_SIZES = [2, 3, 4]
 TOP_PAIR_COUNT = 10
-TRUNCATE_CHARS = 300
 
 # Feature names of a structured query, in the order queries are written.
 FEATURES = ["brand", "category", "capacity", "olfactory_category", "price"]

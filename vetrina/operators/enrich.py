@@ -14,41 +14,26 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from ..session import cut_lineage
 from .extract import node_id
 
-
-HOT_KEY_ROWS = 1_000_000
-
-
-def left_join_split_hot(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
-                        hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """``left ⟕ right`` when the right side may hold huge groups of copies.
-
-    AQE can split a skewed *left* side of a left join, not the right one. Keys
-    with at least ``hot_rows`` right rows (at most |right| / hot_rows of them:
-    a proven bound) are joined with their few left rows broadcast, so the hot
-    right rows stream in place over all tasks; every other key takes the
-    normal join. Same rows as the plain left join.
-    """
-    hot = (right.where(F.col(right_on).isNotNull()).groupBy(right_on).agg(F.count(F.lit(1)).alias("_n"))
-                .where(F.col("_n") >= hot_rows).select(F.col(right_on).alias("_hot")))
-    hot = F.broadcast(hot)
-    is_hot_l = left.join(hot, left[left_on] == hot["_hot"], "left_semi")
-    cold_l = left.join(hot, left[left_on] == hot["_hot"], "left_anti")
-    hot_r = right.join(hot, right[right_on] == hot["_hot"], "left_semi")
-    cold_r = right.join(hot, right[right_on] == hot["_hot"], "left_anti")
-    part_hot = hot_r.join(F.broadcast(is_hot_l), is_hot_l[left_on] == hot_r[right_on])
-    part_cold = cold_l.join(cold_r, cold_l[left_on] == cold_r[right_on], "left")
-    cols = left.columns + [c for c in right.columns]
-    return part_hot.select(*cols).unionByName(part_cold.select(*cols))
-
-
 def attach_facts(catalogue: DataFrame, facts: DataFrame, left_on: str = "permalink",
-                 right_on: str = "link", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                 right_on: str = "link") -> DataFrame:
     """Catalogue left join facts; duplicate facts multiply rows; NULL
-    keys never join (SQL semantics). A page crawled into a huge group of
-    copies is split out (``left_join_split_hot``)."""
-    return left_join_split_hot(catalogue, facts, left_on, right_on, hot_rows)
+    keys never join (SQL semantics).
+
+    The facts, which are extracted from pages, are written once. Matches are
+    an inner join, where AQE may split either side, so a page crawled into a
+    huge group of copies is no single task (a left join's right side can't be
+    split); rows without a match come from an anti join with the distinct
+    links, a partial aggregation.
+    """
+    facts = cut_lineage(facts, "page-facts")
+    matched = catalogue.join(facts, catalogue[left_on] == facts[right_on])
+    links = facts.select(F.col(right_on).alias("_link")).distinct()
+    alone = catalogue.join(links, catalogue[left_on] == links["_link"], "left_anti")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema.fields]
+    return matched.unionByName(alone.select("*", *empty))
 
 
 def latest_by_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
@@ -73,20 +58,32 @@ def with_position(df: DataFrame) -> DataFrame:
                                           F.col("_metadata.row_index").alias("row")))
 
 
+def _attributes(attrs: DataFrame, key: str, capacity: str, scent: str, category: str,
+                order: Sequence[str] | None) -> DataFrame:
+    """The attributes of each key, its last row by ``order`` (C13): by
+    default the file position of ``with_position`` if the table has it, else
+    the values themselves, so that a node never gets two rows."""
+    cols = [F.col(key).alias("_k"), F.col(capacity).alias("_cap"), F.col(scent).alias("_scent"), F.col(category).alias("_cat")]
+    by = list(order or (["_pos"] if "_pos" in attrs.columns else []))
+    last = attrs.where(F.col(key).isNotNull()).select(*cols, F.struct(*by, capacity, scent, category).alias("_order"))
+    return latest_by_key(last, "_k", ["_order"], ["_cap", "_scent", "_cat"])
+
+
 def _prop(name: str, value: Column) -> Column:
     return F.struct(F.lit("PropertyValue").alias("@type"), F.lit(name).alias("name"), value.alias("value"))
 
 
 def enrich_typed(products: DataFrame, attrs: DataFrame, *, key: str = "permalink",
-                 capacity: str = "capacity", scent: str = "scent_group", category: str = "category") -> DataFrame:
-    """C14 on typed product rows (uri, category, properties, ...).
+                 capacity: str = "capacity", scent: str = "scent_group", category: str = "category",
+                 order: Sequence[str] | None = None) -> DataFrame:
+    """C14 on typed product rows (uri, category, properties, ...). Of several
+    attribute rows of one permalink the last by ``order`` counts (C13).
 
     C14a appends {PropertyValue, Capacita, v} when v is not NULL; C14b appends
     {PropertyValue, Gruppo Olfattivo, v} when v is neither NULL nor ''; C14c
     replaces the category when the new one is not NULL. Unmatched rows pass.
     """
-    a = attrs.select(F.col(key).alias("_k"), F.col(capacity).alias("_cap"),
-                     F.col(scent).alias("_scent"), F.col(category).alias("_cat"))
+    a = _attributes(attrs, key, capacity, scent, category, order)
     j = products.join(a, T.strip_suffix(F.col("uri")) == F.col("_k"), "left")
     prop_t = "struct<`@type` string, name string, value string>"
     add_cap = F.when(F.col("_cap").isNotNull(), F.array(_prop(V.PROP_CAPACITY, F.col("_cap"))))
@@ -101,11 +98,12 @@ def enrich_typed(products: DataFrame, attrs: DataFrame, *, key: str = "permalink
 
 
 def enrich_nodes(nodes: DataFrame, attrs: DataFrame, *, key: str = "permalink", capacity: str = "capacity",
-                 scent: str = "scent_group", category: str = "category") -> DataFrame:
+                 scent: str = "scent_group", category: str = "category",
+                 order: Sequence[str] | None = None) -> DataFrame:
     """C14 on VARIANT nodes: product nodes ⟕ attributes; every other node and
-    every unknown key unchanged; node count and order columns kept."""
-    a = attrs.select(F.col(key).alias("_k"), F.col(capacity).alias("_cap"),
-                     F.col(scent).alias("_scent"), F.col(category).alias("_cat"))
+    every unknown key unchanged; node count and order columns kept. Of several
+    attribute rows of one permalink the last by ``order`` counts (C13)."""
+    a = _attributes(attrs, key, capacity, scent, category, order)
     is_prod = F.col("type") == "Product"
     j = nodes.join(a, is_prod & (T.strip_suffix(node_id()) == F.col("_k")), "left")
     n = F.col("node")

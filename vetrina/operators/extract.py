@@ -39,9 +39,10 @@ def parse_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parsed documents, errors). A block that is not a JSON object
     (truncated, empty, a top-level list) is reported and skipped."""
     doc = F.try_parse_json(F.col("body"))
-    parsed = blocks.select("url", "block", doc.alias("doc"))
-    is_obj = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
-    good = parsed.where(is_obj)
+    parsed = blocks.select("url", "block", "body", doc.alias("doc"))
+    # The first character tells an object from a list or scalar; no walk over the document.
+    is_obj = F.coalesce(F.col("doc").isNotNull() & F.regexp_like("body", F.lit(r"\A\s*\{")), F.lit(False))
+    good = parsed.where(is_obj).select("url", "block", "doc")
     bad = parsed.where(~is_obj).select("url", F.lit("json").alias("reason"),
                                        F.col("block").cast("string").alias("detail"))
     return good, bad
@@ -141,47 +142,3 @@ def move_column(df: DataFrame, name: str, index: int) -> DataFrame:
     """Put column ``name`` at position ``index`` (an ordered select)."""
     rest = [c for c in df.columns if c != name]
     return df.select(*rest[:index], name, *rest[index:])
-
-
-def html_to_text_exact(df: DataFrame, column: str, out: str = "text") -> DataFrame:
-    """B7, opt-in exact mode: text nodes of an HTML parser joined by one space
-    and trimmed (comments, scripts and styles dropped; every HTML5 entity
-    decoded). Runs the stdlib parser per row inside ``mapInPandas`` batches;
-    the built-in ``functions.text.html_to_text`` is the fast default."""
-    from pyspark.sql import types as Ty
-
-    schema = Ty.StructType(df.schema.fields + [Ty.StructField(out, Ty.StringType())])
-
-    def batches(it):
-        from html.parser import HTMLParser
-
-        class _Text(HTMLParser):
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.parts, self.skip = [], 0
-
-            def handle_starttag(self, tag, attrs):
-                if tag in ("script", "style"):
-                    self.skip += 1
-
-            def handle_endtag(self, tag):
-                if tag in ("script", "style") and self.skip:
-                    self.skip -= 1
-
-            def handle_data(self, data):
-                if not self.skip:
-                    self.parts.append(data)
-
-        def text(h):
-            if not isinstance(h, str):
-                return h
-            p = _Text()
-            p.feed(h)
-            p.close()
-            return " ".join(p.parts).strip()
-
-        for pdf in it:
-            pdf[out] = pdf[column].map(text)
-            yield pdf
-
-    return df.mapInPandas(batches, schema)

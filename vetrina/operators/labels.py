@@ -7,6 +7,7 @@ row-wise passes; counts are plain partial aggregations.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions import vocab as V
 from ..session import bounded_broadcast
 
 
@@ -41,12 +43,21 @@ def _pair_structs(labels) -> Column:
     ))
 
 
-def pair_counts(df: DataFrame, labels: str = "labels") -> DataFrame:
-    """(a, b, pair, n) for every pair that occurs."""
-    return (df.select(F.explode(_pair_structs(labels)).alias("p"))
-              .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-              .agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("pair", F.concat_ws(" ", "a", "b")))
+def pair_counts(df: DataFrame, labels: str = "labels", domain: Sequence[str] | None = tuple(V.LABELS)) -> DataFrame:
+    """(a, b, pair, n) for every pair a < b of the label domain, with 0
+    where no row has it. ``domain=None`` counts just the pairs that occur.
+
+    The domain's pairs are a table of |domain|^2 / 2 rows; counts are a
+    partial aggregation, so a hot pair costs one row per task.
+    """
+    counts = (df.select(F.explode(_pair_structs(labels)).alias("p"))
+                .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+                .agg(F.count(F.lit(1)).alias("n")))
+    if domain is not None:
+        pairs = list(itertools.combinations(sorted(set(domain)), 2))
+        every = df.sparkSession.createDataFrame(pairs, "a string, b string")
+        counts = every.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return counts.withColumn("pair", F.concat_ws(" ", "a", "b"))
 
 
 def top_pairs(counts: DataFrame, k: int = 10) -> DataFrame:
@@ -87,16 +98,18 @@ def malformed(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
 
 def parse_scores(reply) -> Column:
-    """Reply -> ARRAY<STRUCT<label, score>>; NULL when not a score list."""
+    """Reply -> ARRAY<STRUCT<label, score>>; NULL when not a score list.
+    A score may carry a sign."""
     r = F.col(reply) if isinstance(reply, str) else reply
-    cleaned = F.regexp_replace(r, r",\s*\]", "]")
+    cleaned = F.regexp_replace(F.regexp_replace(r, r",\s*\]", "]"), r",\s*\+(\d)", ", $1")
     arr = F.from_json(cleaned, "array<array<string>>", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
     return F.when(valid_scores(r), F.transform(
         arr, lambda p: F.struct(p[0].alias("label"), p[1].try_cast("int").alias("score"))))
 
 
 def repair_scores(reply) -> Column:
-    """Every ("name", 0|1) pair found anywhere in a damaged reply."""
+    """Every ("name", 0|1) pair found anywhere in a damaged reply; the
+    score may be quoted or signed."""
     r = F.col(reply) if isinstance(reply, str) else reply
     names = F.regexp_extract_all(r, F.lit(P.SCORE_PAIR), 1)
     scores = F.regexp_extract_all(r, F.lit(P.SCORE_PAIR), 2)
@@ -104,49 +117,56 @@ def repair_scores(reply) -> Column:
                        lambda z: F.struct(z["label"].alias("label"), z["score"].cast("int").alias("score")))
 
 
-def scores(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """C3-C6 in one pass: valid replies parsed, invalid ones repaired.
+def score_vector(pairs: Column, labels: Sequence[str]) -> Column:
+    """ARRAY<STRUCT<label, score>> over the label domain, in its order: the
+    last score that ``pairs`` has for a label, 0 without one. Other labels
+    are left out."""
+    def last(label):
+        scores = F.filter(pairs, lambda p: (p["label"] == label) & p["score"].isNotNull())
+        return F.coalesce(F.try_element_at(scores, F.lit(-1))["score"], F.lit(0))
 
-    Returns (id, valid, label, score) long rows; the last duplicate label in a
-    reply wins (``map_from_entries`` with LAST_WIN is avoided by a max_by).
-    """
-    parsed = replies.select(
-        "id", valid_scores(reply).alias("valid"),
-        F.when(valid_scores(reply), parse_scores(reply)).otherwise(repair_scores(reply)).alias("pairs"))
-    return (parsed.select("id", "valid", F.posexplode("pairs").alias("pos", "p"))
-                  .groupBy("id", "valid", F.col("p.label").alias("label"))
-                  .agg(F.max_by(F.col("p.score"), F.col("pos")).alias("score")))
+    return F.array(*[F.struct(F.lit(x).alias("label"), last(x).alias("score")) for x in labels])
 
 
-def one_hot(long: DataFrame, labels: Sequence[str], key: str = "id") -> DataFrame:
-    """Long (id, label, score) -> one 0/1 column per label; absent -> 0."""
-    wide = long.groupBy(key).pivot("label", list(labels)).agg(F.max("score"))
-    return wide.select(key, *[F.coalesce(F.col(f"`{l}`"), F.lit(0)).alias(l) for l in labels])
+def scores(replies: DataFrame, labels: Sequence[str] = tuple(V.LABELS), reply: str = "reply") -> DataFrame:
+    """C3-C6 in one projection: valid replies parsed, invalid ones repaired.
+
+    (id, valid, label, score), one row per reply and label of the domain: a
+    reply without usable pairs (empty, an empty list, NULL) is the zero vector.
+    """
+    pairs = F.when(valid_scores(reply), parse_scores(reply)).otherwise(repair_scores(reply))
+    return (replies.select("id", valid_scores(reply).alias("valid"), score_vector(pairs, labels).alias("v"))
+                   .select("id", "valid", F.inline("v")))
 
 
-def zero_vector(labels: Sequence[str]) -> Column:
-    return F.array(*[F.struct(F.lit(l).alias("label"), F.lit(0).alias("score")) for l in labels])
+def one_hot(replies: DataFrame, labels: Sequence[str] = tuple(V.LABELS), reply: str = "reply") -> DataFrame:
+    """One row per reply, one 0/1 column per label; a reply without
+    labels has zeros. A projection, no pivot."""
+    pairs = F.when(valid_scores(reply), parse_scores(reply)).otherwise(repair_scores(reply))
+    vector = replies.select("id", score_vector(pairs, labels).alias("v"))
+    return vector.select("id", *[F.col("v")[i]["score"].alias(x) for i, x in enumerate(labels)])
 
 
 # ---------------------------------------------------------------- C2, C2b
 
-def tag_labels(docs: DataFrame, lexicon: DataFrame, *, key: str = "id", text: str = "text",
-               truncate: int | None = None) -> DataFrame:
+def tag_labels(docs: DataFrame, lexicon: DataFrame, labels: Sequence[str] = tuple(V.LABELS), *, key: str = "id",
+               text: str = "text") -> DataFrame:
     """C2 (re-aimed): lexicon multi-label tagger.
 
-    ``lexicon`` is (term, label); a document gets a label when any of the
-    label's terms is one of its tokens. Output (key, label) long rows; a
-    document without hits gets none (its zero vector). The lexicon is a fixed
-    vocabulary, broadcast; documents are tokenised in place, deduplicated per
-    document before the join so a long text costs one row per distinct term.
+    ``lexicon`` is (term, label); a document has a label when any of the
+    label's terms is one of its tokens. (key, label, score), one row per
+    document and label of the domain: a document without hits, also one
+    without any text, is the zero vector. The lexicon is a fixed vocabulary,
+    broadcast after a size check; a text costs one row per distinct term, and
+    its labels (bounded by the domain) are gathered by a partial aggregation.
     """
-    body = F.col(text)
-    if truncate:
-        body = F.substring(body, 1, truncate)
-    toks = (docs.select(key, F.explode(F.array_distinct(T.tokens(body))).alias("term")))
-    lex = lexicon.select(F.lower("term").alias("term"), "label").distinct()
-    return (toks.join(bounded_broadcast(lex), "term")
-                .select(key, "label").distinct())
+    toks = docs.select(key, F.explode_outer(F.array_distinct(T.tokens(F.col(text)))).alias("term"))
+    lex = lexicon.select(F.lower("term").alias("term"), "label").where(F.col("label").isin(*labels)).distinct()
+    found = (toks.join(bounded_broadcast(lex), "term", "left")
+                 .groupBy(key).agg(F.collect_set("label").alias("found")))
+    vector = F.array(*[F.struct(F.lit(x).alias("label"), F.array_contains("found", x).cast("int").alias("score"))
+                       for x in labels])
+    return found.select(key, F.inline(vector))
 
 
 def unlabelled_only(products: DataFrame, labelled: DataFrame, key: str = "id") -> DataFrame:

@@ -72,12 +72,13 @@ def _combos(items: dict[str, Column], n: int) -> Column:
 
 def feature_items(catalogue: DataFrame, *, categories: Sequence[str], caps: Sequence[int],
                   min_values: int = V.MIN_VALUES, top_capacities: int = V.TOP_CAPACITIES,
-                  labels: Sequence[str] | None = None, pairs: Sequence[str] | None = None,
+                  labels: Sequence[str] | None = tuple(V.LABELS), pairs: Sequence[str] | None = None,
                   top_pair_count: int = V.TOP_PAIR_COUNT) -> DataFrame:
     """Per row: (id, brand, category, capacity, olfactory_category, price) item arrays.
 
-    ``price`` holds the tightest cap bucket (at most one). ``labels=None`` keeps
-    every label; ``pairs=None`` takes the top pairs of the data (C10).
+    ``price`` holds the tightest cap bucket (at most one). ``labels`` is the
+    label domain (None: every label of the data); ``pairs=None`` takes the top
+    pairs of the domain (C10). A label counts once a row.
     """
     # Small aggregates; AQE reuses their broadcast stages across the count and
     # gather passes of one plan.
@@ -85,10 +86,10 @@ def feature_items(catalogue: DataFrame, *, categories: Sequence[str], caps: Sequ
     caps_top = top_values(catalogue, "capacity", top_capacities).select(F.col("capacity").alias("_tc"))
     if pairs is None:
         # Bounded by top_pair_count: the only driver-side values in the plan.
-        pairs = [r["pair"] for r in L.top_pairs(L.pair_counts(catalogue), top_pair_count).collect()]
+        pairs = [r["pair"] for r in L.top_pairs(L.pair_counts(catalogue, domain=labels), top_pair_count).collect()]
     cats = F.array(*[F.lit(c) for c in categories])
     caps_sorted = F.array(*[F.lit(c) for c in sorted(caps)])
-    singles = F.col("labels")
+    singles = F.array_distinct(F.coalesce("labels", F.array().cast("array<string>")))
     if labels is not None:
         dom = F.array(*[F.lit(x) for x in labels])
         singles = F.filter(singles, lambda x: F.array_contains(dom, x))

@@ -5,22 +5,30 @@ CONTAINS v; a ``Capacita`` property equal to v; a typed Brand named v; a
 ``Gruppo Olfattivo`` property CONTAINS v; an offer with price and currency
 below N) is answered for a whole query log at once, as a relational division:
 
-* Product nodes become long *facts* ``(uri, feature, value, price, cnt)``.
+* Product nodes become long *facts* ``(node, feature, value, price, cnt)``.
   Literal values collapse per node id (RDF set semantics for literals);
   brand, property and offer objects are blank nodes, so duplicates count
   (``cnt``): the bag multiplicity of the SPARQL answer is the product of the
   per-feature counts times the number of names.
-* Each query is driven by its most selective feature (fewest matching
-  products, from one aggregation over the facts) to get candidates; the remaining features
-  are checked against the candidate's own facts by an equi-join on
-  (uri, feature) and a row-level predicate -- the fan-out is bounded by the
-  candidate count, never by |queries| x |products|.
-* CONTAINS is resolved without a cross join: each distinct fact value emits
-  its substrings, and those are equi-joined with the distinct query values.
+* The log's distinct values are resolved against the facts once: equal values,
+  and for CONTAINS the fact values that hold a query value (an equi-join on
+  substrings of just those lengths that query values have). What is left is
+  *hits* ``(node, vid, cnt)``, the facts of the log's values only.
+* Prices go to the tightest cap of the log above them and add up per node and
+  cap by a partial aggregation, so a node has at most one row per cap however
+  many offers it has.
+* Each query is driven by its most selective feature, price included, by the
+  number of nodes that have it. One chain checks the others: a candidate's
+  other values are joined with hits by (node, vid), its cap with its node's
+  price rows. The fan-out is bounded by the candidates.
+* Queries without features are set apart, and only where there are any: each
+  gets every named product.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,13 +36,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
-from ..session import bounded_broadcast, cut_lineage
+from ..session import bounded_broadcast, cut_lineage, table_bytes
 
 FACT_FEATURES = ["brand", "category", "capacity", "olfactory_category", "price"]
 DRIVE_ORDER = {"brand": 0, "capacity": 1, "olfactory_category": 2, "category": 3, "price": 4}
 CONTAINS = ("category", "olfactory_category")
-# Above this many distinct caps the price-driven join is not broadcast.
-MAX_BROADCAST_CAPS = 100_000
 
 
 # ---------------------------------------------------------------- E1, E2
@@ -81,27 +87,26 @@ def to_sparql(brand="brand", category="category", capacity="capacity", olfactory
 
 @dataclass
 class GraphIndex:
-    """Materialised graph facts, keyed by a 96-bit hash of the node id
-    (``u1`` xxhash64, ``u2`` murmur3), so retrieval shuffles fixed-width keys
-    instead of IRIs: names(u1, u2, n_names), facts(u1, u2, feature, value,
-    price, cnt), links(u1, u2, link)."""
+    """Written graph facts, keyed by a 96-bit hash of the node id (``u1``
+    xxhash64, ``u2`` murmur3), so retrieval shuffles fixed-width keys instead
+    of IRIs: nodes(u1, u2, link, n_names) of named products, facts(u1, u2,
+    feature, value, price, cnt)."""
 
-    names: DataFrame
+    nodes: DataFrame
     facts: DataFrame
-    links: DataFrame
 
 
-def graph_index(products: DataFrame, materialize: bool = True) -> GraphIndex:
+def graph_index(products: DataFrame) -> GraphIndex:
     """E3-E8 facts of typed, enriched product rows.
 
     One projection builds every fact of a row, one explode and one partial
     aggregation count them: the product input is scanned once. Literal facts
     (name, category) collapse per node id (cnt = 1); blank-node facts (brand,
-    properties, offers) keep their multiplicity. With ``materialize`` the facts
-    are written once to the shared checkpoint folder, because retrieval reads
-    them four times and several systems share them.
+    properties, offers) keep their multiplicity. The link travels with the
+    name facts. Both tables are written once to the shared checkpoint folder;
+    retrieval reads them several times and systems share them.
     """
-    nul_s, nul_d = F.lit(None).cast("string"), F.lit(None).cast("decimal(18,4)")
+    nul_s, nul_d = F.lit(None).cast("string"), F.lit(None).cast(T.DECIMAL)
 
     def fact(feature, value, price, literal):
         return F.struct(F.lit(feature).alias("feature"), value.alias("value"), price.alias("price"),
@@ -123,28 +128,21 @@ def graph_index(products: DataFrame, materialize: bool = True) -> GraphIndex:
         F.filter(F.coalesce(F.col("offers"), F.array()),
                  lambda o: o["priceCurrency"].isNotNull() & T.decimal_or_null(o["price"]).isNotNull()),
         lambda o: fact("price", nul_s, T.decimal_or_null(o["price"]), False))
-    empty = F.array().cast("array<struct<feature:string,value:string,price:decimal(18,4),lit:boolean>>")
+    empty = F.array().cast(f"array<struct<feature:string,value:string,price:{T.DECIMAL},lit:boolean>>")
     all_facts = F.concat(*[F.coalesce(x, empty) for x in (name, cat, brand, props, offers)])
     keyed = (products.where(F.col("uri").isNotNull())
-             .select(F.xxhash64("uri").alias("u1"), F.hash("uri").alias("u2"), "uri", all_facts.alias("fs")))
-    counted = (keyed.select("u1", "u2", F.explode("fs").alias("f"))
-               .groupBy("u1", "u2", "f.feature", "f.value", "f.price")
+             .select(F.xxhash64("uri").alias("u1"), F.hash("uri").alias("u2"),
+                     T.strip_all(F.col("uri")).alias("link"), all_facts.alias("fs")))
+    counted = (keyed.select("u1", "u2", "link", F.explode("fs").alias("f"))
+               .groupBy("u1", "u2", "f.feature", "f.value", "f.price",
+                        F.when(F.col("f.feature") == "name", F.col("link")).alias("link"))
                .agg(F.count(F.lit(1)).alias("n"), F.max("f.lit").alias("lit"))
-               .select("u1", "u2", "feature", "value", "price",
+               .select("u1", "u2", "feature", "value", "price", "link",
                        F.when(F.col("lit"), F.lit(1)).otherwise(F.col("n")).cast("bigint").alias("cnt")))
-    links = keyed.select("u1", "u2", T.strip_all(F.col("uri")).alias("link")).distinct()
-    if materialize:
-        counted = cut_lineage(counted, "facts")
-        links = cut_lineage(links, "links")
-    names = (counted.where(F.col("feature") == "name").groupBy("u1", "u2")
-             .agg(F.count(F.lit(1)).alias("n_names")))
-    return GraphIndex(names, counted.where(F.col("feature") != "name"), links)
-
-
-def graph_facts(products: DataFrame, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(names, facts) of ``graph_index``."""
-    idx = graph_index(products, materialize)
-    return idx.names, idx.facts
+    facts = cut_lineage(counted, "facts")
+    nodes = cut_lineage(facts.where(F.col("feature") == "name").groupBy("u1", "u2")
+                        .agg(F.first("link").alias("link"), F.count(F.lit(1)).alias("n_names")), "nodes")
+    return GraphIndex(nodes, facts.where(F.col("feature") != "name").drop("link"))
 
 
 def query_features(queries: DataFrame, keyed: bool = False) -> DataFrame:
@@ -157,7 +155,7 @@ def query_features(queries: DataFrame, keyed: bool = False) -> DataFrame:
     for f in FACT_FEATURES:
         v = F.col(f)
         present = v.isNotNull() & (F.trim(v) != "")
-        cap = T.parse_cap(v) if f == "price" else F.lit(None).cast("decimal(18,4)")
+        cap = T.parse_cap(v) if f == "price" else F.lit(None).cast(T.DECIMAL)
         cols.append(F.when(present, F.struct(F.lit(f).alias("feature"),
                                              (F.lit(None).cast("string") if f == "price" else v).alias("value"),
                                              cap.alias("cap"))))
@@ -169,112 +167,41 @@ def query_features(queries: DataFrame, keyed: bool = False) -> DataFrame:
                    .select("query_id", *(["q"] if keyed else []), "k", "f.feature", "f.value", "f.cap"))
 
 
-def substrings(s: Column, max_len: int | None = None) -> Column:
-    """Every non-empty substring of s no longer than ``max_len`` (for an
-    exact CONTAINS equi-join): O(len(s) * max_len) per value."""
+def substrings(s: Column, lengths: Sequence[int]) -> Column:
+    """The substrings of s of the given lengths (for an exact CONTAINS
+    equi-join): O(len(s)) of each length."""
     n = F.length(s)
-    def last(i):
-        return n if max_len is None else F.least(n, i + max_len - 1)
-    return F.when(n > 0, F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(i, last(i)), lambda j: F.substring(s, i, j - i + 1)))))
-
-
-def _matches(feature: Column, value: Column, price: Column, qvalue: Column, cap: Column) -> Column:
-    return (F.when(feature.isin(*CONTAINS), value.contains(qvalue))
-             .when(feature == "price", price < cap)
-             .otherwise(value == qvalue))
-
+    empty = F.array().cast("array<string>")
 
-DYADIC_BITS = 48
+    def of(size):
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(s, i, F.lit(size)))).otherwise(empty)
 
+    return F.concat(empty, *[of(x) for x in lengths])
 
-def less_than_join(left: DataFrame, x: str, right: DataFrame, c: str) -> DataFrame:
-    """Exact ``left.x < right.c`` as equi-joins (no nested loop, no broadcast).
 
-    On integer parts: x < c iff floor(x) < floor(c), or they are equal and
-    x < c. The first case is a dyadic decomposition: for the highest bit l
-    where floor(x) and floor(c) differ, c has 1 and x has 0, so
-    floor(x) >> l == (floor(c) >> l) - 1. Each x emits its DYADIC_BITS
-    prefixes, each c one key per set bit; every pair meets exactly once.
-    The second case is an equi-join on the floor. Values are shifted to be
-    non-negative (|values| < 2**47).
-    """
-    off = F.lit(1 << (DYADIC_BITS - 1))
-    fx = (F.floor(F.col(x)).cast("bigint") + off)
-    fc = (F.floor(F.col(c)).cast("bigint") + off)
-    lx = left.withColumn("_fx", fx).withColumn("_k", F.explode(F.expr(
-        f"transform(sequence(0, {DYADIC_BITS}), l -> named_struct('l', l, 'p', shiftright(_fx, l)))")))
-    rc = right.withColumn("_fc", fc).withColumn("_k", F.explode(F.expr(
-        f"transform(filter(sequence(0, {DYADIC_BITS}), l -> (shiftright(_fc, l) & 1) = 1), "
-        f"l -> named_struct('l', l, 'p', shiftright(_fc, l) - 1))")))
-    below = lx.join(rc, "_k").drop("_k", "_fx", "_fc")
-    same = (left.withColumn("_f", F.floor(F.col(x)).cast("bigint"))
-                .join(right.withColumn("_f", F.floor(F.col(c)).cast("bigint")), "_f")
-                .where(F.col(x) < F.col(c)).drop("_f"))
-    return below.unionByName(same)
+U = ["u1", "u2"]
 
 
-U = ["u1", "u2"]
+def _resolve(values: DataFrame, facts: DataFrame) -> DataFrame:
+    """(feature, value, vid): the fact values that each query value matches,
+    for ``values(vid, feature, value)``, without a cross join."""
+    equal = values.where(~F.col("feature").isin(*CONTAINS)).select("feature", "value", "vid")
+    parts = values.where(F.col("feature").isin(*CONTAINS)).select("feature", F.col("value").alias("part"), "vid")
+    lengths = sorted(r[0] for r in parts.select(F.length("part")).distinct().collect())  # one number per length
+    if not lengths:
+        return equal
+    held = facts.where(F.col("feature").isin(*CONTAINS)).select("feature", "value").distinct()
+    subs = held.select("feature", "value", F.explode(F.array_distinct(substrings(F.col("value"), lengths))).alias("part"))
+    return equal.unionByName(subs.join(bounded_broadcast(parts), ["feature", "part"]).select("feature", "value", "vid"))
 
 
-def _resolve_contains(qf: DataFrame, facts: DataFrame) -> DataFrame:
-    """(feature, value, pvalue): the distinct fact values that CONTAIN each
-    distinct query value, by an equi-join on substrings (no cross join)."""
-    qvals = qf.where(F.col("feature").isin(*CONTAINS)).select("feature", "value").distinct()
-    pvals = facts.where(F.col("feature").isin(*CONTAINS)).select("feature", F.col("value").alias("pvalue")).distinct()
-    # Substrings longer than the longest query value can never match: one
-    # scalar over the (small) query side bounds the index.
-    max_len = qvals.agg(F.max(F.length("value"))).first()[0] or 1
-    subs = pvals.select("feature", "pvalue",
-                        F.explode(F.array_distinct(substrings(F.col("pvalue"), max_len))).alias("value"))
-    return subs.join(qvals, ["feature", "value"]).select("feature", "value", "pvalue")
-
-
-def _drive_features(qf: DataFrame, facts: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(q, drive): each query's most selective feature, by the number of
-    products its value matches (one aggregation over the facts). Price is
-    estimated as unbounded (its count needs the range join itself), so it
-    drives only price-only queries; ties go to the feature kind order."""
-    per_value = (facts.where(F.col("feature") != "price").groupBy("feature", "value")
-                 .agg(F.count(F.lit(1)).alias("n")))
-    eq = (qf.where(~F.col("feature").isin(*CONTAINS, "price")).select("feature", "value").distinct()
-          .join(per_value, ["feature", "value"]))
-    ct = (resolved.join(per_value.withColumnRenamed("value", "pvalue"), ["feature", "pvalue"])
-          .groupBy("feature", "value").agg(F.sum("n").alias("n")))
-    est = eq.unionByName(ct)
-    rank = F.create_map(*[x for k, v in DRIVE_ORDER.items() for x in (F.lit(k), F.lit(v))])
-    cost = F.when(F.col("feature") == "price", F.lit(1 << 62)).otherwise(F.coalesce(F.col("n"), F.lit(0)))
-    return (qf.join(est, ["feature", "value"], "left")
-              .groupBy("q").agg(F.min_by("feature", F.struct(cost, rank[F.col("feature")])).alias("drive")))
-
-
-def _drive(qd: DataFrame, facts: DataFrame, resolved: DataFrame, n_query_rows: int | None = None) -> DataFrame:
-    """Candidates (q, u1, u2, hits) of each query's driving feature."""
-    f = facts.alias("f")
-    # The query side is small and its values can be hot on the fact side (a
-    # brand held by a third of the products): broadcast it after a size check.
-    qd = bounded_broadcast(qd, upper_bound=n_query_rows)
-    eq = (qd.where(~F.col("feature").isin(*CONTAINS, "price")).alias("q")
-          .join(f, (F.col("q.feature") == F.col("f.feature")) & (F.col("q.value") == F.col("f.value")))
-          .select("q.q", "f.u1", "f.u2", "f.cnt"))
-    qc = qd.where(F.col("feature").isin(*CONTAINS)).select("q", "feature", "value")
-    ct = (qc.join(resolved, ["feature", "value"])
-            .join(facts.select(*U, "feature", F.col("value").alias("pvalue"), "cnt"), ["feature", "pvalue"])
-            .select("q", *U, "cnt"))
-    # Price-driven queries (price is their only feature): range join on the
-    # distinct caps, broadcast after a size check; exact equi-join beyond it.
-    qp = qd.where(F.col("feature") == "price").select("q", "cap")
-    caps = qp.select("cap").distinct()
-    pf = facts.where(F.col("feature") == "price").select(*U, "price", "cnt")
-    n_caps = n_query_rows if n_query_rows is not None and n_query_rows <= MAX_BROADCAST_CAPS else caps.count()
-    if n_caps <= MAX_BROADCAST_CAPS:
-        hit = pf.join(F.broadcast(caps), F.col("price") < F.col("cap"))
-    else:
-        hit = less_than_join(pf, "price", caps, "cap")
-    pt = hit.join(qp, "cap").select("q", *U, "cnt")
-    return (eq.unionByName(ct).unionByName(pt)
-              .groupBy("q", *U).agg(F.sum("cnt").alias("hits")))
+def _price_rows(facts: DataFrame, caps: Sequence) -> DataFrame:
+    """(u1, u2, rank, cnt): offers by the place of the tightest cap above
+    their price; ``caps`` in rising order."""
+    edges = F.array(*[F.lit(c).cast(T.DECIMAL) for c in caps]) if caps else F.array().cast(f"array<{T.DECIMAL}>")
+    rank = F.size(F.filter(edges, lambda c: c <= F.col("price")))
+    return (facts.where(F.col("feature") == "price").select(*U, rank.alias("rank"), "cnt").where(F.col("rank") < len(caps))
+                 .groupBy(*U, "rank").agg(F.sum("cnt").alias("cnt")))
 
 
 def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping: DataFrame | None = None,
@@ -284,60 +211,86 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
     ``products``: typed enriched product rows, or their ``graph_index`` (to
     share it between systems); ``mapping``: (permalink, id), already
     deduplicated (C13). Without a mapping the suffix-stripped uri (E11) is
-    returned as ``id``. ``bag=False`` gives set answers (solutions = 1).
+    returned as ``id``. ``bag=False`` gives set answers (solutions = 1). Equal
+    queries of one id are answered once; different ones add up.
+
+    Small tables are written while the plan is built (the log's features, its
+    values' hits); ``session.drop_intermediates`` removes them. Driver-side
+    values are the log's distinct caps and value lengths, and counts.
     """
     idx = products if isinstance(products, GraphIndex) else graph_index(products)
-    names, facts = idx.names, idx.facts
-    # Dense query keys, fixed by writing the feature table once; a query id
-    # that occurs twice in the log is answered once.
-    qf_all = cut_lineage(query_features(queries.dropDuplicates(["query_id"]), keyed=True), "query-features")
-    qf = qf_all.where(F.col("feature").isNotNull())
-    # Small tables read several times below: written once.
-    resolved = cut_lineage(_resolve_contains(qf, facts), "contains")
-    drive = cut_lineage(_drive_features(qf, facts, resolved), "drive")
-    qf2 = qf.join(drive, "q")
-    qd = qf2.where(F.col("feature") == F.col("drive"))
-    qo = qf2.where(F.col("feature") != F.col("drive")).select("q", "feature", F.col("value").alias("qvalue"), "cap")
-    ks = qf.select("q", "query_id", "k").distinct()
-
-    # One count of the written feature table bounds every query-side subset.
-    n_rows = qf_all.count()
-    cand = _drive(qd, facts, resolved, n_rows)
-    other = (cand.select("q", *U).join(bounded_broadcast(qo, upper_bound=n_rows), "q")
-             .join(facts, [*U, "feature"])
-             .where(_matches(F.col("feature"), F.col("value"), F.col("price"), F.col("qvalue"), F.col("cap")))
-             .groupBy("q", *U, "feature").agg(F.sum("cnt").alias("hits"))
-             .groupBy("q", *U)
-             .agg(F.count(F.lit(1)).alias("n_other"),
-                  # hit counts are small integers: the double product is exact
-                  F.product("hits").cast("bigint").alias("mult")))
-    sol = (cand.join(bounded_broadcast(ks, upper_bound=n_rows), "q")
-               .join(other, ["q", *U], "left")
-               .where((F.col("k") == 1) | (F.col("n_other") == F.col("k") - 1))
-               .join(names, U)
-               .select("query_id", *U,
-                       (F.col("hits") * F.coalesce(F.col("mult"), F.lit(1)) * F.col("n_names")).alias("solutions"))
-               .join(idx.links, U))
-    # A query without features matches every named product (E10). Only the
-    # query ids of such queries are broadcast; the output is inherently
-    # (empty queries) x (products).
-    empty = qf_all.where(F.col("k") == 0).select("query_id")
-    every = (idx.names.join(bounded_broadcast(empty, upper_bound=n_rows), F.lit(True))
-             .join(idx.links, U).select("query_id", *U, F.col("n_names").alias("solutions"), "link"))
-    sol = sol.unionByName(every)
+    features = cut_lineage(query_features(queries.select("query_id", *FACT_FEATURES).distinct(), keyed=True), "query-features")
+    log_bytes = table_bytes(features)  # bounds every query-side table below
+
+    # The log's distinct values, and the facts that match them.
+    plain = features.where(F.col("feature").isNotNull() & (F.col("feature") != "price"))
+    values = cut_lineage(plain.select("feature", "value").distinct().withColumn("vid", F.monotonically_increasing_id()), "values")
+    resolved = bounded_broadcast(cut_lineage(_resolve(values, idx.facts), "resolved"))
+    hits = cut_lineage(idx.facts.where(F.col("feature") != "price").join(resolved, ["feature", "value"])
+                       .groupBy(*U, "vid").agg(F.sum("cnt").alias("cnt")), "hits")
+    caps = [r[0] for r in features.select("cap").where(F.col("cap").isNotNull()).distinct().orderBy("cap").collect()]
+    prices = cut_lineage(_price_rows(idx.facts, caps), "prices") if caps else None
+    capped = features.where((F.col("feature") == "price") & F.col("cap").isNotNull())
+    rank = F.array_position(F.array(*[F.lit(c).cast(T.DECIMAL) for c in caps]), F.col("cap")).cast("int") - 1 if caps else F.lit(None).cast("int")
+
+    # The driving feature: the one that fewest nodes have.
+    each = plain.join(values, ["feature", "value"]).select("q", "feature", "vid", F.lit(None).cast("int").alias("cap_rank"))
+    each = each.unionByName(capped.select("q", "feature", F.lit(None).cast("bigint").alias("vid"), rank.alias("cap_rank")))
+    n_vid = hits.groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
+    each = each.join(n_vid, "vid", "left")
+    if caps:
+        at = {r[0]: r[1] for r in prices.groupBy("rank").agg(F.count(F.lit(1))).collect()}  # a row a cap
+        below = list(itertools.accumulate(at.get(i, 0) for i in range(len(caps))))
+        each = each.withColumn("n", F.when(F.col("vid").isNull(), F.try_element_at(F.array(*map(F.lit, below)), F.col("cap_rank") + 1)).otherwise(F.col("n")))
+    order = F.create_map(*[x for k, v in DRIVE_ORDER.items() for x in (F.lit(k), F.lit(v))])
+    one = F.struct(F.coalesce("n", F.lit(0)).alias("n"), order[F.col("feature")].alias("o"), "vid", "cap_rank")
+    asked = features.where(F.col("feature").isNotNull()).groupBy("q").agg(F.first("query_id").alias("query_id"), F.first("k").alias("k"))
+    plan = (each.groupBy("q").agg(F.array_sort(F.collect_list(one)).alias("fs"))
+                .join(asked, "q").where(F.size("fs") == F.col("k"))  # a price that is no number matches nothing
+                .select("q", "query_id", "k", F.col("fs")[0]["vid"].alias("vid"), F.col("fs")[0]["cap_rank"].alias("drive_rank"),
+                        F.transform(F.filter(F.slice("fs", 2, F.size("fs")), lambda f: f["vid"].isNotNull()), lambda f: f["vid"]).alias("others"),
+                        F.array_max(F.transform(F.slice("fs", 2, F.size("fs")), lambda f: f["cap_rank"])).alias("cap_rank")))
+    plan = bounded_broadcast(cut_lineage(plan, "plan"), log_bytes)
+
+    # Candidates, then one chain of checks.
+    cand = hits.join(plan.where(F.col("vid").isNotNull()), "vid").select(*U, "q", "others", "cap_rank", "cnt")
+    if caps:
+        driving = plan.where(F.col("vid").isNull()).select("q", "others", "cap_rank", "drive_rank")
+        reach = prices.select(*U, "cnt", F.explode(F.sequence("rank", F.lit(len(caps) - 1))).alias("drive_rank"))
+        cand = cand.unionByName(reach.join(driving, "drive_rank").groupBy(*U, "q", "others", "cap_rank").agg(F.sum("cnt").alias("cnt")))
+    # One row a candidate and other value; none of them is lost if it has no others.
+    asked_of = cand.select(*U, "q", "cap_rank", "cnt", F.size("others").alias("n_others"), F.explode_outer("others").alias("vid"))
+    found = hits.select(*U, "vid", F.col("cnt").alias("hit"))
+    good = (asked_of.join(found, [*U, "vid"], "left")
+            .groupBy(*U, "q", "cap_rank", "n_others", "cnt")
+            # counts are small integers: the double product is exact
+            .agg(F.count("hit").alias("n_hit"), F.coalesce(F.product("hit"), F.lit(1.0)).cast("bigint").alias("mult"))
+            .where(F.col("n_hit") == F.col("n_others"))
+            .select(*U, "q", "cap_rank", (F.col("cnt") * F.col("mult")).alias("mult")))
+    if caps:
+        within = prices.select(*U, "rank", F.col("cnt").alias("offers"))
+        good = (good.join(within, U, "left").groupBy(*U, "q", "cap_rank", "mult")
+                .agg(F.sum(F.when(F.col("rank") <= F.col("cap_rank"), F.col("offers"))).alias("offers"))
+                .where(F.col("cap_rank").isNull() | (F.col("offers") > 0))
+                .select(*U, "q", (F.col("mult") * F.when(F.col("cap_rank").isNull(), 1).otherwise(F.col("offers"))).alias("mult")))
+    names = bounded_broadcast(asked.select("q", "query_id"), log_bytes)
+    sol = good.join(names, "q").join(idx.nodes, U).select("query_id", "link", (F.col("mult") * F.col("n_names")).alias("solutions"))
+    empty = features.where(F.col("k") == 0).select("query_id", F.lit(1).alias("one"))
+    if empty.limit(1).count():  # every named product, for each such query
+        every = idx.nodes.withColumn("one", F.lit(1)).join(bounded_broadcast(empty, log_bytes), "one")
+        sol = sol.unionByName(every.select("query_id", "link", F.col("n_names").alias("solutions")))
     if mapping is None:
-        out = sol.select("query_id", F.col("link").alias("id"), "solutions")
+        out = sol.withColumnRenamed("link", "id")
     else:
-        out = (sol.join(mapping.select(F.col("permalink").alias("link"), "id"), "link")
-                  .groupBy("query_id", "id").agg(F.sum("solutions").alias("solutions")))
-    if not bag:
-        out = out.select("query_id", "id", F.lit(1).cast("bigint").alias("solutions")).distinct()
-    return out.select("query_id", "id", F.col("solutions").cast("bigint").alias("solutions"))
+        out = sol.join(mapping.select(F.col("permalink").alias("link"), "id"), "link")
+    out = out.groupBy("query_id", "id").agg(F.sum("solutions").cast("bigint").alias("solutions"))
+    return out if bag else out.select("query_id", "id", F.lit(1).cast("bigint").alias("solutions"))
 
 
 def answers_to_lists(answers: DataFrame, queries: DataFrame, system: str) -> DataFrame:
-    """E12/E13 at the edge: (query_id, ids ARRAY<BIGINT> sorted, duplicates
-    kept by multiplicity); queries with no answer keep an empty list."""
+    """E12/E13 at the edge, for small logs: (query_id, ids ARRAY<BIGINT>
+    sorted, duplicates kept by multiplicity); queries with no answer keep an
+    empty list."""
     reps = answers.select("query_id", F.explode(F.array_repeat("id", F.col("solutions").cast("int"))).alias("id"))
     lists = reps.groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias(system))
     return (queries.select("query_id").join(lists, "query_id", "left")

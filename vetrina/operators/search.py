@@ -5,20 +5,21 @@ with the products whose text (title, brand, category, description) holds every
 query term, and, when the string carries a price phrase ("minori di N euro"),
 whose price is below N.
 
-Plan: postings (term, id) and document frequencies come from one explode and
-one aggregation. Each query is driven by its rarest term: its postings give
-the candidates; the other terms are checked by an equi-join on (term, id)
-with the postings, so a very common term never fans out across queries.
+Plan: only terms of the log matter, so the texts are tokenised once, their
+tokens semi-joined with the log's distinct terms, and that is written. Each
+query is driven by its rarest term; its other terms travel with the candidate
+and are checked by one equi-join on (term, id), so a very common term never
+fans out across queries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..session import bounded_broadcast, cut_lineage
+from ..session import bounded_broadcast, cut_lineage, table_bytes
 
 
 def product_postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -33,7 +34,7 @@ def query_terms(queries: DataFrame, text: str = "text_query") -> DataFrame:
     body = F.regexp_replace(t, P.PRICE_PHRASE, " ")
     terms = F.array_distinct(T.tokens(body))
     return (queries.select("query_id", terms.alias("terms"),
-                           F.when(cap != "", cap.cast("decimal(18,4)")).alias("cap"))
+                           F.when(cap != "", cap.cast(T.DECIMAL)).alias("cap"))
                    .select("query_id", "cap", F.size("terms").alias("n_terms"),
                            F.explode("terms").alias("term")))
 
@@ -45,25 +46,20 @@ def keyword_search(queries: DataFrame, docs: DataFrame, prices: DataFrame | None
     ``docs``: (id, text); ``prices``: (id, price) for the price phrase. A query
     without terms matches nothing (an empty search).
     """
-    post = product_postings(docs, key, text)
+    qt = cut_lineage(query_terms(queries), "query-terms")  # small; read several times
+    log_bytes = table_bytes(qt)  # bounds every query-side table below
+    asked = bounded_broadcast(qt.select("term").distinct(), log_bytes)
+    post = cut_lineage(product_postings(docs, key, text).join(asked, "term", "left_semi"), "postings")
     dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qt = cut_lineage(query_terms(queries), "query-terms")  # small; read three times
-    ranked = qt.join(dfreq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    w = Window.partitionBy("query_id").orderBy(F.col("df").asc(), F.col("term").asc())
-    ranked = ranked.withColumn("r", F.row_number().over(w))
-    drive = ranked.where(F.col("r") == 1)
-    rest = ranked.where(F.col("r") > 1).select("query_id", "term")
-    # One driving term per query: a small side, broadcast after a size check,
-    # so a term found in a third of the documents is never one hot partition.
-    n_qt = qt.count()  # bounds every query-side subset below
-    cand = bounded_broadcast(drive.select("query_id", "term", "n_terms", "cap"), upper_bound=n_qt) \
-        .join(post, "term").select("query_id", key, "n_terms", "cap")
-    # A query with a huge candidate set is a hot key: its terms are broadcast.
-    checked = (cand.select("query_id", key).join(bounded_broadcast(rest, upper_bound=n_qt), "query_id")
-               .join(post, ["term", key])
-               .groupBy("query_id", key).agg(F.count(F.lit(1)).alias("n_hit")))
-    out = (cand.join(checked, ["query_id", key], "left")
-               .where((F.col("n_terms") == 1) | (F.col("n_hit") == F.col("n_terms") - 1)))
+    rarest = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")))
+    plan = (qt.join(dfreq, "term", "left").groupBy("query_id", "cap").agg(rarest.alias("ts"))
+              .select("query_id", "cap", F.col("ts")[0]["term"].alias("term"),
+                      F.transform(F.slice("ts", 2, F.size("ts")), lambda t: t["term"]).alias("rest")))
+    cand = post.join(bounded_broadcast(plan, log_bytes), "term")
+    rows = cand.select("query_id", key, "cap", F.size("rest").alias("n_rest"), F.explode_outer("rest").alias("term"))
+    out = (rows.join(post.withColumn("has", F.lit(1)), ["term", key], "left")
+               .groupBy("query_id", key, "cap", "n_rest").agg(F.count("has").alias("n_has"))
+               .where(F.col("n_has") == F.col("n_rest")))
     if prices is not None:
         out = (out.join(prices.select(key, F.col("price").alias("_price")), key, "left")
                   .where(F.col("cap").isNull() | (F.col("_price") < F.col("cap"))))

@@ -15,6 +15,8 @@ text's matches are bounded by its length) and resolved by a fold
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,6 @@ from ..session import bounded_broadcast, cut_lineage
 
 SLOT_ORDER = ["brand", "category", "olfactory_category"]
 SLOTS = ["brand", "category", "capacity", "olfactory_category", "price"]
-MAX_NGRAM = 4
 CAPACITY_WORDS = r"(?U)\b(\d+)\s*ml\b"
 
 
@@ -34,22 +35,25 @@ def vocabulary(values: DataFrame, slot: str, column: str) -> DataFrame:
                   .select(T.collapse_spaces(F.lower("value")).alias("phrase"), F.lit(slot).alias("slot"), "value"))
 
 
-def _ngrams(words: Column, max_n: int) -> Column:
+def _ngrams(words: Column, lengths: Sequence[int]) -> Column:
     n = F.size(words)
 
     def gram(length):
         return lambda i: F.struct(i.alias("start"), F.lit(length).alias("len"),
                                   F.array_join(F.slice(words, i, length), " ").alias("phrase"))
 
-    per_len = [F.when(n >= L, F.transform(F.sequence(F.lit(1), n - L + 1), gram(L))) for L in range(1, max_n + 1)]
+    per_len = [F.when(n >= L, F.transform(F.sequence(F.lit(1), n - L + 1), gram(L))) for L in lengths]
     empty = F.array().cast("array<struct<start:int,len:int,phrase:string>>")
-    return F.concat(*[F.coalesce(x, empty) for x in per_len])
+    return F.concat(empty, *[F.coalesce(x, empty) for x in per_len])
 
 
-def fill_slots(texts: DataFrame, vocab: DataFrame, key: str = "query_id", text: str = "text_query",
-               max_n: int = MAX_NGRAM) -> DataFrame:
+def fill_slots(texts: DataFrame, vocab: DataFrame, key: str = "query_id", text: str = "text_query") -> DataFrame:
     """(key, brand, category, capacity, olfactory_category, price);
-    an unmatched slot is ''."""
+    an unmatched slot is ''. N-grams are made of just those lengths that the
+    vocabulary's phrases have, however long (one row per length reaches the
+    driver)."""
+    vocab = cut_lineage(vocab.select("phrase", "slot", "value"), "vocabulary")  # measured, then joined
+    lengths = sorted(r[0] for r in vocab.select(F.size(F.split("phrase", " "))).distinct().collect())
     norm = T.collapse_spaces(F.lower(F.col(text)))
     price_n = F.regexp_extract(norm, P.PRICE_PHRASE, 1)
     rest = F.regexp_replace(norm, P.PRICE_PHRASE, " | ")
@@ -60,9 +64,8 @@ def fill_slots(texts: DataFrame, vocab: DataFrame, key: str = "query_id", text:
         F.when(price_n != "", F.concat(F.lit("< "), price_n)).otherwise(F.lit("")).alias("price"),
         F.when(cap_n != "", F.concat(cap_n, F.lit(" ml"))).otherwise(F.lit("")).alias("capacity"),
         F.filter(F.split(F.trim(rest), " "), lambda w: w != "").alias("words"))
-    grams = base.select(key, F.explode(_ngrams(F.col("words"), max_n)).alias("g")).select(key, "g.*")
+    grams = base.select(key, F.explode(_ngrams(F.col("words"), lengths)).alias("g")).select(key, "g.*")
     rank = F.create_map(*[x for i, s in enumerate(SLOT_ORDER) for x in (F.lit(s), F.lit(i))])
-    vocab = cut_lineage(vocab.select("phrase", "slot", "value"), "vocabulary")  # counted, then joined
     hits = (grams.join(bounded_broadcast(vocab), "phrase")
                  .select(key, F.struct(rank[F.col("slot")].alias("r"), (-F.col("len")).alias("nl"),
                                        F.col("start").alias("start"), F.col("len").alias("len"),
@@ -96,17 +99,20 @@ def to_reply(brand="brand", category="category", capacity="capacity", olfactory=
     """The five slots written as a reply: [["brand", "v"], ...]."""
     def pair(name, c):
         v = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-        return F.concat(F.lit(f'["{name}", "'), F.replace(v, F.lit('"'), F.lit('\\"')), F.lit('"]'))
+        v = F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        return F.concat(F.lit(f'["{name}", "'), v, F.lit('"]'))
     return F.concat(F.lit("["), F.concat_ws(", ", pair("brand", brand), pair("category", category),
                                             pair("capacity", capacity), pair("olfactory category", olfactory),
                                             pair("price", price)), F.lit("]"))
 
 
-# A reply: a list of [string, string] pairs (single or double quotes).
-_Q = r'''(?:"[^"]*"|'[^']*')'''
+# A reply: a list of [string, string] pairs (single or double quotes; a
+# backslash keeps the next character).
+_Q = r'''(?:"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+')'''
 REPLY_LIST = (r"(?s)\A\s*\[\s*(?:\[\s*" + _Q + r"\s*,\s*" + _Q + r"\s*\]"
               r"\s*(?:,\s*(?=\[)|(?=\])))*+\]\s*\z")
-REPLY_PAIR = r'''\[\s*(?:"([^"]*)"|'([^']*)')\s*,\s*(?:"([^"]*)"|'([^']*)')\s*\]'''
+REPLY_PAIR = (r'''(?s)\[\s*(?:"((?:[^"\\]|\\.)*+)"|'((?:[^'\\]|\\.)*+)')'''
+              r'''\s*,\s*(?:"((?:[^"\\]|\\.)*+)"|'((?:[^'\\]|\\.)*+)')\s*\]''')
 
 
 def reply_pairs(reply) -> Column:
@@ -119,8 +125,11 @@ def reply_pairs(reply) -> Column:
     v2 = F.regexp_extract_all(r, F.lit(REPLY_PAIR), 4)
     z = F.arrays_zip(n1.alias("n1"), n2.alias("n2"), v1.alias("v1"), v2.alias("v2"))
     # The quote that matched decides: an empty group of the other alternative is ''.
-    pairs = F.transform(z, lambda p: F.struct(F.concat(p["n1"], p["n2"]).alias("name"),
-                                              F.concat(p["v1"], p["v2"]).alias("value")))
+    def plain(c):
+        return F.regexp_replace(c, r"(?s)\\(.)", "$1")
+
+    pairs = F.transform(z, lambda p: F.struct(plain(F.concat(p["n1"], p["n2"])).alias("name"),
+                                              plain(F.concat(p["v1"], p["v2"])).alias("value")))
     return F.when(F.coalesce(r.rlike(REPLY_LIST), F.lit(False)), pairs)
 
 

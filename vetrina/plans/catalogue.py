@@ -38,23 +38,23 @@ SHOP = "http://shop.example"
 TEST_CATEGORIES = ["SMALL", "LARGE"]
 TEST_CAPS = [910, 920, 930, 940, 950, 975, 1000]
 OFFER_CAPS = [10000, 25000, 50000, 75000]
+# Label domain of the test shop: the words that part names are made of.
+TEST_LABELS = ["anvil", "blue", "bolt", "cold", "gear", "gizmo", "hot", "large", "new", "old", "plate", "red", "ring",
+               "rod", "small", "widget"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. A single small file scans as one partition, which would
-    run every CPU-heavy step (HTML regexes, JSON parsing, combination
-    expansion) in one task; such inputs are spread over the default
-    parallelism. Tables already split into enough partitions (the normal case
-    at scale) are left as they are: no extra shuffle."""
+    """A test table. One that is a single scan task, as small files are, is
+    spread over the default parallelism, else every CPU-heavy step (HTML
+    patterns, JSON parsing, combination expansion) would be one task; that
+    moves one split's bytes at most. A table of several splits stays as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     try:
         n = spark.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
+        alone = df.rdd.getNumPartitions() == 1
     except Exception:  # Spark Connect: no RDD view, leave the scan as it is
         return df
-    if parts < n:
-        df = df.repartition(n)
-    return df
+    return df.repartition(n) if alone and n > 1 else df
 
 
 def _title(k, name, size):

@@ -10,11 +10,9 @@ from ..operators import enrich as E
 from ..operators import extract as X
 from . import catalogue as C
 
-SEED = [
-    {"@type": "Organization", "@id": C.SHOP + "/#organization", "name": "Shop", "url": C.SHOP},
-    {"@type": "WebSite", "@id": C.SHOP + "/#website", "url": C.SHOP,
-     "publisher": {"@id": C.SHOP + "/#organization"}, "inLanguage": "it-IT"},
-]
+#: Fixed nodes of the test shop's graph; any list of nodes may take their place.
+SEED = [{"@type": "Organization", "@id": C.SHOP + "/#organization", "name": "Shop"},
+        {"@type": "WebSite", "@id": C.SHOP + "/#website", "url": C.SHOP}]
 
 
 def products(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,11 +32,12 @@ def id_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return E.latest_by_key(cat, "permalink", order=["id"])
 
 
-def offer_products(spark: SparkSession, sf: str) -> DataFrame:
-    """Typed product rows whose offers come from lineitem, one offer per row
-    (long form: a hot product is many rows, never one big array)."""
+def offer_products(spark: SparkSession, sf: str, offers: DataFrame | None = None) -> DataFrame:
+    """Typed product rows whose offers (id, price, currency) come from
+    lineitem, one offer per row (long form: a hot product is many rows, never
+    one big array)."""
     cat = C.catalogue(spark, sf).select("id", "permalink", "title")
-    off = C.offers(spark, sf)
+    off = C.offers(spark, sf) if offers is None else offers
     return (off.join(cat, "id").select(
         F.concat("permalink", F.lit("/#richSnippet")).alias("uri"),
         F.col("title").alias("name"),

@@ -57,18 +57,21 @@ _PAIRS_SQL = """
 lab AS (SELECT id, unnest(labels) AS l FROM cat),
 rowpairs AS (SELECT a.id, a.l AS a, b.l AS b, a.l || ' ' || b.l AS pair
              FROM lab a JOIN lab b ON a.id = b.id AND a.l < b.l),
-paircounts AS (SELECT a, b, pair, CAST(count(*) AS BIGINT) AS n FROM rowpairs GROUP BY a, b, pair),
+dom AS (SELECT unnest([""" + ", ".join(f"'{x}'" for x in C.TEST_LABELS) + """]) AS l),
+paircounts AS (SELECT x.l AS a, y.l AS b, x.l || ' ' || y.l AS pair, CAST(count(r.id) AS BIGINT) AS n
+               FROM dom x JOIN dom y ON x.l < y.l LEFT JOIN rowpairs r ON r.a = x.l AND r.b = y.l
+               GROUP BY ALL),
 toppairs AS (SELECT * FROM paircounts ORDER BY n DESC, a, b LIMIT 10)"""
 
 
 @register("pair_counts", C.sql_with(_PAIRS_SQL) + "SELECT a, b, pair, n FROM paircounts")
 def q_pair_counts(spark, sf):
-    return L.pair_counts(C.catalogue(spark, sf)).select("a", "b", "pair", "n")
+    return L.pair_counts(C.catalogue(spark, sf), domain=C.TEST_LABELS).select("a", "b", "pair", "n")
 
 
 @register("top_pairs", C.sql_with(_PAIRS_SQL) + "SELECT a, b, pair, n FROM toppairs")
 def q_top_pairs(spark, sf):
-    return L.top_pairs(L.pair_counts(C.catalogue(spark, sf)), 10).select("a", "b", "pair", "n")
+    return L.top_pairs(L.pair_counts(C.catalogue(spark, sf), domain=C.TEST_LABELS), 10).select("a", "b", "pair", "n")
 
 
 @register("keep_top_pairs", C.sql_with(_PAIRS_SQL) + """
@@ -77,7 +80,7 @@ FROM cat c LEFT JOIN (SELECT * FROM rowpairs WHERE pair IN (SELECT pair FROM top
 GROUP BY c.id""")
 def q_keep_top_pairs(spark, sf):
     cat = C.catalogue(spark, sf)
-    top = L.top_pairs(L.pair_counts(cat), 10)
+    top = L.top_pairs(L.pair_counts(cat, domain=C.TEST_LABELS), 10)
     return L.keep_top_pairs(cat, top).select("id", F.array_join("pairs", ",").alias("pairs"))
 
 
@@ -112,7 +115,7 @@ QUALIFY count(*) OVER (PARTITION BY query_id) >= {min_support}"""
 def _mine(n: int, min_support: int):
     def run(spark, sf):
         _, answers = M.mine_queries(C.catalogue(spark, sf), n, categories=C.TEST_CATEGORIES,
-                                    caps=C.TEST_CAPS, min_support=min_support)
+                                    caps=C.TEST_CAPS, min_support=min_support, labels=C.TEST_LABELS)
         return answers
     return run
 
@@ -230,7 +233,7 @@ mq AS (SELECT DISTINCT query_id, brand, category, capacity, olfactory_category,
 
 def _mined(spark, sf, n=2, min_support=20):
     q, _ = M.mine_queries(C.catalogue(spark, sf), n, categories=C.TEST_CATEGORIES, caps=C.TEST_CAPS,
-                          min_support=min_support)
+                          min_support=min_support, labels=C.TEST_LABELS)
     return q
 
 
@@ -272,7 +275,7 @@ FROM (SELECT DISTINCT l AS v FROM lab UNION SELECT pair FROM toppairs) q JOIN gp
 def q_match_label(spark, sf):
     cat = C.catalogue(spark, sf)
     singles = cat.select(F.explode("labels").alias("olfactory_category"))
-    pairs = L.top_pairs(L.pair_counts(cat), 10).select(F.col("pair").alias("olfactory_category"))
+    pairs = L.top_pairs(L.pair_counts(cat, domain=C.TEST_LABELS), 10).select(F.col("pair").alias("olfactory_category"))
     return _graph_answers(spark, sf, _single(singles.unionByName(pairs), "olfactory_category"))
 
 
@@ -290,7 +293,8 @@ def q_match_price(spark, sf):
     return R.match_queries(queries, G.offer_products(spark, sf), G.id_mapping(spark, sf))
 
 
-@register("match_queries", C.sql_with(_mined_queries_sql(2, 20), C.PAGES_SQL) + """
+def _match_queries_sql(n: int, min_support: int) -> str:
+    return C.sql_with(_mined_queries_sql(n, min_support), C.PAGES_SQL) + """
 SELECT q.query_id, g.id,
        CAST(pow(g.m, CAST(q.brand IS NOT NULL AS INT) + CAST(q.capacity IS NOT NULL AS INT)
                    + CAST(q.olfactory_category IS NOT NULL AS INT) + CAST(q.price IS NOT NULL AS INT)) AS BIGINT)
@@ -300,9 +304,27 @@ FROM mq q JOIN gp g
  AND (q.category IS NULL OR contains(g.gcategory, q.category))
  AND (q.capacity IS NULL OR g.gcapacity = q.capacity)
  AND (q.olfactory_category IS NULL OR contains(g.gscent, q.olfactory_category))
- AND (q.cap IS NULL OR g.gprice < q.cap)""")
-def q_match_queries(spark, sf):
-    return _graph_answers(spark, sf, _mined(spark, sf))
+ AND (q.cap IS NULL OR g.gprice < q.cap)"""
+
+
+def _match_queries(n: int, min_support: int):
+    return lambda spark, sf: _graph_answers(spark, sf, _mined(spark, sf, n, min_support))
+
+
+for _name, _n, _s in (("match_queries", 2, 20), ("match_queries_3", 3, 20), ("match_queries_4", 4, 5)):
+    register(_name, _match_queries_sql(_n, _s))(_match_queries(_n, _s))
+
+
+@register("match_price_digits", f"""
+SELECT 'price=<' || CAST(cap AS VARCHAR) AS query_id, l_partkey AS id, CAST(count(*) AS BIGINT) AS solutions
+FROM lineitem JOIN (VALUES {_CAPS_VALUES}) c(cap) ON floor(l_extendedprice / 1000) < cap / 1000
+GROUP BY ALL""")
+def q_match_price_digits(spark, sf):
+    """Prices a hundred-thousandth below a multiple of 1000: no digit may be rounded off."""
+    thousand = (F.floor(F.col("l_extendedprice") / 1000) * 1000 + 999).cast("string")
+    off = C.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(thousand, F.lit(".99999")).alias("price"), F.lit("EUR").alias("currency"))
+    caps = spark.createDataFrame([(f"<{c}",) for c in C.OFFER_CAPS], "price string")
+    return R.match_queries(_single(caps, "price"), G.offer_products(spark, sf, off), G.id_mapping(spark, sf))
 
 
 @register("to_keywords", C.sql_with(_mined_queries_sql(2, 20)) + """
@@ -318,14 +340,14 @@ def q_to_keywords(spark, sf):
 # ---------------------------------------------------------------- SQL helpers
 
 def sql_html_to_text(x: str) -> str:
-    """The B7 regex chain in DuckDB (RE2) syntax."""
-    from ..functions import patterns as P
-    s = f"regexp_replace({x}, '{P.HTML_DROP_BLOCKS}', '<!>', 'g')"
-    s = f"regexp_replace({s}, '{P.HTML_TAG_RUN}', ' ', 'g')"
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
-                    ("&nbsp;", " "), ("&amp;", "&")):
-        s = f"replace({s}, '{ent}', '{ch}')"
-    return f"regexp_replace({s}, '{P.TRIM_WS}', '', 'g')"
+    """Text of a test page by its shape (closed blocks, four named references), in the oracle's own patterns."""
+    s = f"regexp_replace({x}, '<!--[^>]*-->', '<i>', 'g')"
+    for tag in ("script", "style"):
+        s = f"regexp_replace({s}, '<{tag}>.*?</{tag}>', '<i>', 'gs')"
+    s = f"regexp_replace({s}, '(<[a-zA-Z/!][^>]*>)+', ' ', 'g')"
+    for ref, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        s = f"replace({s}, '&{ref};', '{char}')"
+    return f"trim({s}, E' \\t\\n\\r\\f')"
 
 
 def sql_tokens(x: str) -> str:
@@ -333,7 +355,9 @@ def sql_tokens(x: str) -> str:
             f"lambda t: t <> ''))")
 
 
-from ..functions.patterns import PRICE_PHRASE as _PRICE_RE  # noqa: E402  (same syntax in RE2)
+#: The keyword strings of this module write prices in this one way.
+_PRICE_RE = r"\bminori di (\d+) euro\b"
+
 _KW_SQL = """
 kw AS (SELECT query_id, concat_ws(' ', NULLIF(lower(trim(category)), ''), NULLIF(lower(trim(olfactory_category)), ''),
                            NULLIF(lower(trim(capacity)), ''), NULLIF(lower(trim(brand)), ''),
@@ -367,7 +391,7 @@ s2 AS (SELECT query_id, pn, regexp_extract(r1, '{cap_re}', 1) AS cn,
        FROM s1),
 pos AS (SELECT query_id, words, unnest(range(1, len(words) + 1)) AS start FROM s2),
 ng AS (SELECT query_id, start, L AS len, array_to_string(words[start:start + L - 1], ' ') AS phrase
-       FROM pos JOIN (VALUES (1), (2), (3), (4)) g(L) ON start + L - 1 <= len(words)),
+       FROM pos JOIN range(1, 20) g(L) ON start + L - 1 <= len(words)),
 hm AS (SELECT ng.*, vocab.slot, vocab.value FROM ng JOIN vocab ON ng.phrase = vocab.phrase),
 sb AS (SELECT * FROM hm WHERE slot = 'brand'
        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len DESC, start, value) = 1),
@@ -438,7 +462,7 @@ def _vocab(spark, sf):
     cat = C.catalogue(spark, sf)
     cats = spark.createDataFrame([(c,) for c in C.TEST_CATEGORIES], "category string")
     labels = cat.select(F.explode("labels").alias("l")).unionByName(
-        L.top_pairs(L.pair_counts(cat), 10).select(F.col("pair").alias("l")))
+        L.top_pairs(L.pair_counts(cat, domain=C.TEST_LABELS), 10).select(F.col("pair").alias("l")))
     return (SL.vocabulary(cat, "brand", "brand").unionByName(SL.vocabulary(cats, "category", "category"))
               .unionByName(SL.vocabulary(labels, "olfactory_category", "l")))
 
@@ -522,7 +546,7 @@ def _evaluation(spark, sf):
     from .evaluation import evaluate_catalogue
     return evaluate_catalogue(C.catalogue(spark, sf), G.enriched_products(spark, sf), G.id_mapping(spark, sf),
                               _docs(spark, sf), _vocab(spark, sf), 2, categories=C.TEST_CATEGORIES,
-                              caps=C.TEST_CAPS, min_support=20)
+                              caps=C.TEST_CAPS, min_support=20, labels=C.TEST_LABELS)
 
 
 def _r6(df):
@@ -623,11 +647,27 @@ def q_score_validation(spark, sf):
     return _label_replies(spark, sf).select("id", L.valid_scores("reply").alias("valid"))
 
 
-@register("score_repair", C.sql_with(_SCORES_SQL) + """
-SELECT id, valid, label, 1 AS score FROM (SELECT id, valid, unnest(labels) AS label FROM sr
-WHERE id % 13 <> 0 AND id % 17 <> 0 AND id % 7 <> 0)""")
+_LABEL_VALUES = ", ".join(f"('{x}')" for x in C.TEST_LABELS)
+#: Every reply gives every label; only empty replies and empty lists lost theirs.
+_VECTOR_SQL = C.sql_with(_SCORES_SQL) + f"""
+SELECT id, valid, d.label, CAST(id % 13 <> 0 AND id % 17 <> 0 AND list_contains(labels, d.label) AS INT) AS score
+FROM sr JOIN (VALUES {_LABEL_VALUES}) d(label) ON TRUE"""
+
+
+@register("score_repair", _VECTOR_SQL)
 def q_score_repair(spark, sf):
-    return L.scores(_label_replies(spark, sf)).select("id", "valid", "label", "score")
+    return L.scores(_label_replies(spark, sf), C.TEST_LABELS)
+
+
+@register("one_hot", "SELECT id, " + ", ".join(f"max(score) FILTER (label = '{x}') AS {x}" for x in C.TEST_LABELS)
+          + f" FROM ({_VECTOR_SQL}) GROUP BY id")
+def q_one_hot(spark, sf):
+    return L.one_hot(_label_replies(spark, sf), C.TEST_LABELS)
+
+
+@register("malformed", C.sql_with(_SCORES_SQL) + "SELECT id FROM sr WHERE NOT valid")
+def q_malformed(spark, sf):
+    return L.malformed(_label_replies(spark, sf)).select("id")
 
 
 # ---------------------------------------------------------------- C2, C2b
@@ -649,12 +689,12 @@ _LEX_VALUES = ", ".join(f"('{t}', '{l}')" for t, l in TEST_LEXICON)
 
 
 @register("label_tagger", f"""
-SELECT DISTINCT d.doc_id, x.label
-FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) d
-JOIN (VALUES {_LEX_VALUES}) x(term, label) ON d.term = x.term""")
+SELECT d.doc_id, x.label, max(CAST(list_contains(toks, x.term) AS INT)) AS score
+FROM (SELECT doc_id, {sql_tokens('text')} AS toks FROM documents) d
+JOIN (VALUES {_LEX_VALUES}) x(term, label) ON TRUE GROUP BY d.doc_id, x.label""")
 def q_label_tagger(spark, sf):
     docs = C.table(spark, sf, "documents")
-    return L.tag_labels(docs, _lexicon(spark), key="doc_id", text="text")
+    return L.tag_labels(docs, _lexicon(spark), ["en", "fr", "de", "es"], key="doc_id", text="text")
 
 
 @register("unlabelled_only", """
@@ -748,7 +788,7 @@ SELECT query_id, support % 4 <> 0 AS valid
 FROM (SELECT query_id, count(*) AS support FROM mq0 GROUP BY query_id)""")
 def q_valid_entries(spark, sf):
     cat = C.catalogue(spark, sf)
-    queries, _ = M.mine_queries(cat, 2, categories=C.TEST_CATEGORIES, caps=C.TEST_CAPS, min_support=20)
+    queries, _ = M.mine_queries(cat, 2, categories=C.TEST_CATEGORIES, caps=C.TEST_CAPS, min_support=20, labels=C.TEST_LABELS)
     # A log with faults: every entry whose support is a multiple of 4 lost its query.
     damaged = queries.withColumn("brand", F.when(F.col("support") % 4 != 0, F.col("brand")))
     path = _scratch(spark, "log")

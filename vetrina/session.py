@@ -2,18 +2,22 @@
 
 Nothing in the operators creates a session; tests and ``bench.py`` use
 ``local_session``. ``localCheckpoint`` is never used: lineage is cut by
-writing to the shared checkpoint folder. ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the
-running session (the shared folder a cluster names) and only falls back to a
-fresh scratch folder when none is set, as in local tests.
+writing to the shared checkpoint folder. ``checkpoint_dir`` reads
+``spark.checkpoint.dir`` from the running session (the shared folder a cluster
+names). Only a ``local`` master, whose tasks share the driver's disk, gets a
+scratch folder where none is set; any other master gets an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "vetrina") -> SparkSession:
@@ -27,7 +31,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("VETRINA_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("VETRINA_DRIVER_MEMORY", "6g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -36,7 +40,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder only when unset."""
+    """The cluster's shared checkpoint folder; a scratch folder only on a
+    ``local`` master with none set."""
     try:  # a Spark Connect session has no SparkContext
         sc = spark.sparkContext
     except Exception:
@@ -45,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="vetrina-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None and not sc.getCheckpointDir():
@@ -52,49 +59,86 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_written: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; ``drop_intermediates`` removes it."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vetrina-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as Parquet in the shared checkpoint folder and read
     it back: the lineage ends here (a lost executor re-reads files instead of
     recomputing), the plan downstream is a plain scan, and the scan carries
     real size statistics for AQE's join choices."""
-    base = checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/vetrina-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-BROADCAST_MAX_ROWS = 2_000_000
+def drop_intermediates(spark: SparkSession) -> int:
+    """Remove every intermediate table that this driver has written, and count
+    them. Operators such as ``match_queries``, ``keyword_search`` and
+    ``mine_queries`` write such tables while they build their result, which
+    reads them; the caller removes them once the result is saved."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
+
+
+BROADCAST_MAX_BYTES = 64 << 20
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of ``df``'s values (16 a row and 8 a column, and its texts), by
+    one aggregation. Meant for small written tables."""
+    row = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, StringType):
+            row = row + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, ArrayType):
+            row = row + F.coalesce(F.octet_length(F.to_json(F.col(f"`{f.name}`"))), F.lit(0))
+    return df.agg(F.sum(row)).first()[0] or 0
+
 
+def bounded_broadcast(df: DataFrame, nbytes: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only after checking its size in bytes (measured, or a
+    known bound such as the table it was selected from); beyond
+    ``BROADCAST_MAX_BYTES`` it is returned as is and AQE plans the join
+    (sort-merge, with skewed partitions split)."""
+    size = table_bytes(df) if nbytes is None else nbytes
+    return F.broadcast(df) if size <= BROADCAST_MAX_BYTES else df
 
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None, upper_bound: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only after checking its size (one count of a small
-    side, or a known ``upper_bound`` such as the row count of the table it
-    was filtered from); above ``max_rows`` it is returned as is and AQE plans
-    the join (sort-merge with skew splitting, or a runtime broadcast)."""
-    from pyspark.sql import functions as F
 
-    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    n = upper_bound if upper_bound is not None else df.count()
-    return F.broadcast(df) if n <= limit else df
+#: More blocks than this squared would weigh on the driver's map status; AQE
+#: and spilling take what is over.
+MAX_SHUFFLE_PARTITIONS = 20_000
 
 
 def cluster_conf(input_bytes: int, executor_cores: int = 1000 * 4) -> dict[str, str]:
     """Settings for a cluster run over ``input_bytes`` of input.
 
-    Shuffle partitions start at ~128 MB of input each (at least twice the
-    cores) and AQE coalesces the small ones at run time, so a shuffle never
-    holds more than one partition-sized block per task and spills stay
-    bounded. Scans split at 256 MB. Skewed partitions (5x the median and over
-    256 MB) are split by AQE. Broadcasts above 64 MB are left to sort-merge
+    Shuffle partitions start at ~128 MB of input each, at least twice the
+    cores and ``MAX_SHUFFLE_PARTITIONS`` at most; AQE coalesces small ones at
+    run time and large ones spill. Scans split at 256 MB. Skewed partitions
+    (5x the median and over 256 MB) are split by AQE, also where that costs
+    another shuffle. Broadcasts above 64 MB are left to sort-merge
     joins; the operators' own broadcasts are size-checked
     (``bounded_broadcast``). The checkpoint folder must be shared storage.
     """
-    partitions = max(2 * executor_cores, input_bytes // (128 << 20))
+    partitions = min(max(2 * executor_cores, input_bytes // (128 << 20)), MAX_SHUFFLE_PARTITIONS)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
         "spark.sql.shuffle.partitions": str(partitions),
