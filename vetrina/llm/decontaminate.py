@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetrina.llm.text import ALNUM, Words, chunks, grams, utf8
+from vetrina.llm.text import ALNUM, Words, chunks, grams, small_batches, utf8
 from vetrina.session import cut_lineage
 
 SPAN = 10
@@ -112,6 +112,7 @@ def shared_windows(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     document (doc_id, th = hash of the text, n_words), repeated rows kept, and
     a row per shared window (doc_id, th, item_id, start, span): words
     start .. start + span - 1 of the document are in the item."""
+    small_batches(docs.sparkSession)
     windows = _item_windows(items, span, k)
     lengths = [r[0] for r in windows.select("span").where(F.col("span") < span).distinct().collect()]  # under ``span`` many
     plan = [(k, span), *((n, n) for n in sorted(lengths))]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vetrina.llm.text import chunks
+from vetrina.llm.text import chunks, small_batches
 
 #: N-grams in a language's and in a text's profile.
 PROFILE = 400
@@ -143,6 +143,7 @@ def identify(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     there is nothing to learn from. Repeated rows each get their row; other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
     profiles = learn(rows.where("not held_out"), size)
     kind = docs.schema["doc_id"].dataType.simpleString()

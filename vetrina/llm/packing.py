@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetrina.llm.text import chunks, utf8
+from vetrina.llm.text import chunks, small_batches, utf8
 
 CAPACITIES = (2048, 4096, 8192, 16384)
 #: Pieces in an average block. Each block leaves a few bins unfilled at most.
@@ -138,6 +138,7 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, with_text: b
     Null and empty texts are one piece, the end mark. Repeated rows are packed
     each; other columns are ignored. The result doesn't depend on the layout.
     """
+    small_batches(docs.sparkSession)
     capacities = tuple(sorted(capacities))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     about = docs.agg(F.sum(F.floor(size / capacities[-1]) + 1)).first()[0] or 0

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetrina.llm.bilstm import Tagger
-from vetrina.llm.text import chunks
+from vetrina.llm.text import chunks, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS = 400
@@ -284,6 +284,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, limit: int = FIT_DOCS, steps: int = FIT_STEPS) -> Tagger:
     """A tagger for ``docs(doc_id, text)``; ``limit`` documents at most reach the driver, as short contexts."""
+    small_batches(docs.sparkSession)
     ids = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id").distinct().orderBy(
         F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(limit)
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("text").rlike("[0-9@]"))
@@ -319,6 +320,7 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     Null and empty texts have no spans. Offsets are code points. Repeated
     rows each get their row; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         _detect(tagger), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
@@ -347,6 +349,7 @@ def _redact(tagger: Tagger | None):
 def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by its kind in
     brackets; all columns and rows stay, a null text stays null."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_redact(tagger), docs.schema)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetrina.llm.langid import held_out
-from vetrina.llm.text import SPACED, Words, chunks, utf8
+from vetrina.llm.text import SPACED, Words, chunks, small_batches, utf8
 
 WORD_BITS = 15
 BINS = 12
@@ -192,6 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, steps: int =
     """A machine for ``docs(doc_id, text, n_chars)`` from
     ``labels(doc_id, quality)``; held-out ids are left out, as are null
     labels. Features of ``rows`` labelled rows at most reach the driver."""
+    small_batches(docs.sparkSession)
     known = (labels.select("doc_id", F.col("quality").cast("double").alias("y")).where(~held_out() & F.col("doc_id").isNotNull() & F.col("y").isin(0.0, 1.0))
              .distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "y").limit(rows))
     picked = docs.select("doc_id", "text", "n_chars").join(F.broadcast(known), "doc_id").drop("doc_id")
@@ -222,6 +223,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     bin of its own; without labels every score is 0.5. Repeated rows each get
     their row; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out().alias("held_out"), "text", "n_chars")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(_score(machine), f"doc_id {kind}, held_out boolean, score double")

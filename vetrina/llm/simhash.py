@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetrina.llm.components import components, smallest_labels
-from vetrina.llm.text import chunks, utf8
+from vetrina.llm.text import chunks, small_batches, utf8
 from vetrina.session import cut_lineage
 
 SHINGLE = 3
@@ -214,6 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     component_id is null only if no doc_id is reachable. Other columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     prints = cut_lineage(docs.select("doc_id", "text").mapInArrow(
         _fingerprint(shingle), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long"), "fingerprints")
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

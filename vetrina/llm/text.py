@@ -1,8 +1,9 @@
 """Vectorised text helpers for Arrow batches, shared by the operators.
 
-Everything works on the UTF-8 bytes of whole texts. Batches are cut into
-chunks of about ``CHUNK_BYTES`` of text, so a worker's memory is bounded by
-that size and by its longest single text.
+Everything works on the UTF-8 bytes of whole texts. Spark sends batches of
+about ``BATCH_BYTES`` (``small_batches``), and these are cut into chunks of
+about ``CHUNK_BYTES`` of text, so a worker's memory is bounded by these sizes
+and by its longest single text.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-CHUNK_BYTES = 2 << 20
-SEGMENT_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+CHUNK_BYTES = 512 << 10
+SEGMENT_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240917)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,6 +42,11 @@ SPACED = byte_set((0x20, 0x20), (0x09, 0x0D))
 ALNUM = byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send Python workers at most ``BATCH_BYTES`` at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes of ``column`` each
     (one row at least)."""

@@ -52,7 +52,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from vetrina.llm.text import chunks
+from vetrina.llm.text import chunks, small_batches
 from vetrina.session import checkpoint_dir
 
 MIN_REVISIT_BYTES = 0
@@ -373,6 +373,7 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 
 def register(spark: SparkSession) -> None:
     """Makes format ``warc`` known to the session, with filters pushed down."""
+    small_batches(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
