@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetrina.llm.text import chunks
+from vetrina.llm.text import chunks, small_batches
 from vetrina.session import cut_lineage
 
 MIN_PAGES = 5
@@ -149,10 +149,10 @@ def digest(root: Node) -> None:
         node.hash = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"), 7) - (1 << 63)
 
 
-def _walk(root: Node, cut) -> Iterator[tuple[Node, bool]]:
+def _walk(root: Node, cut, inside: bool = False) -> Iterator[tuple[Node, bool]]:
     """(element, within an article) from the top in page order; below
     elements that ``cut`` names nothing comes."""
-    todo = [(root, False)]
+    todo = [(root, inside)]
     while todo:
         node, within = todo.pop()
         if cut(node, within):
@@ -162,12 +162,16 @@ def _walk(root: Node, cut) -> Iterator[tuple[Node, bool]]:
         todo += [(x, within) for x in reversed(node.inside) if isinstance(x, Node)]
 
 
-def candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees that may be templates."""
-    return {n.hash for n, within in _walk(root, lambda n, w: n.tag in _RAW or n.tag in _VOID)
+def candidates(tops: list[tuple[Node, bool]], cut) -> set[int]:
+    """Hashes of the subtrees below ``tops`` that may be templates."""
+    return {n.hash for top, inside in tops for n, within in _walk(top, cut, inside)
             if n.tag not in _KEEP and n.tag not in _INLINE and not (within and n.tag in _TEXT) and not _holds_article(n)}
 
 
+def _unread(node: Node, within: bool) -> bool:
+    return node.tag in _RAW or node.tag in _VOID
+
+
 def _holds_article(node: Node) -> bool:
     return any(isinstance(x, Node) and x.holds for x in node.inside)
 
@@ -208,24 +212,31 @@ def _text(node: Node, cut) -> str:
     return " ".join("".join(out).split())
 
 
-def main_text(root: Node, templates: frozenset[int]) -> str:
-    """The page's article without templates and chrome, white space as one space."""
+def main_part(root: Node, templates: frozenset[int]) -> tuple[str, list[tuple[Node, bool]]]:
+    """The page's article without templates and chrome, white space as one
+    space; and the elements that it is taken from."""
     def cut(node: Node, within: bool) -> bool:
         return _chrome(node, within) or (node.hash in templates and node.tag not in _KEEP and not (within and node.tag in _TEXT))
 
     for tag in ("article", "main"):
         tops, skip = [], set()
         for node, _ in _walk(root, cut):
-            if id(node) in skip:
-                skip.update(id(x) for x in node.inside if isinstance(x, Node))
-            elif node.tag == tag or (tag == "main" and node.role == "main"):
-                tops.append(node)
+            top = node.tag == tag or (tag == "main" and node.role == "main")
+            if top and id(node) not in skip:
+                tops.append((node, False))
+            if top or id(node) in skip:
                 skip.update(id(x) for x in node.inside if isinstance(x, Node))
-        texts = [_text(n, cut) for n in tops]
+        texts = [_text(n, cut) for n, _ in tops]
         if any(texts):
-            longest = max(texts, key=len)
-            return longest if 2 * len(longest) >= sum(map(len, texts)) else " ".join(filter(None, texts))
-    return _text(root, cut)
+            longest = max(range(len(texts)), key=lambda i: len(texts[i]))
+            if 2 * len(texts[longest]) >= sum(map(len, texts)):
+                return texts[longest], [tops[longest]]
+            return " ".join(filter(None, texts)), tops
+    return _text(root, cut), [(root, False)]
+
+
+def main_text(root: Node, templates: frozenset[int]) -> str:
+    return main_part(root, templates)[0]
 
 
 # ---- over tables
@@ -240,15 +251,21 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page: a hash of its main text as one page alone shows it, its
+    candidates, and those that the main text holds."""
     for batch in chunks(batches, "html"):
-        content, found = [], []
+        content, found, live = [], [], []
         for page in batch.column("html").to_pylist():
             root = parse(page or "")
             digest(root)
-            content.append(xxhash.xxh64_intdigest(main_text(root, frozenset()).encode("utf-8", "surrogatepass"), 7) - (1 << 63))
-            found.append(sorted(candidates(root)))
+            text, tops = main_part(root, frozenset())
+            content.append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 7) - (1 << 63))
+            found.append(sorted(candidates([(root, False)], _unread)))
+            live.append(sorted(candidates(tops, _chrome)))
+        many = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "host", "row_key")] + [
-            pa.array(content, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["page_id", "host", "row_key", "content", "hashes"])
+            pa.array(content, pa.int64()), pa.array(found, many), pa.array(live, many)],
+            names=["page_id", "host", "row_key", "content", "hashes", "live"])
 
 
 def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -278,13 +295,17 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     host count as one host. Repeated rows each get their row; other columns
     are ignored.
     """
+    small_batches(pages.sparkSession)
     rows = _keyed(pages)
     kind = pages.schema["page_id"].dataType.simpleString()
-    subtrees = rows.drop("url").mapInArrow(_subtrees, f"page_id {kind}, host long, row_key long, content long, hashes array<long>")
-    subtrees = cut_lineage(subtrees, "subtrees")
-    gone = (subtrees.select("page_id", "row_key", "host", F.explode("hashes").alias("hash")).distinct()
-            .join(templates(subtrees, min_pages, min_share), ["host", "hash"])
-            .groupBy("page_id", "row_key").agg(F.collect_set("hash").alias("gone")))
+    subtrees = cut_lineage(rows.drop("url").mapInArrow(
+        _subtrees, f"page_id {kind}, host long, row_key long, content long, hashes array<long>, live array<long>"), "subtrees")
+    # only pages whose main text holds a template need another look; written, so that the planner knows how many
+    gone = cut_lineage(subtrees.select("page_id", "row_key", "host", "live", F.explode("hashes").alias("hash"))
+                       .select("page_id", "row_key", "host", "hash", F.array_contains("live", F.col("hash")).alias("live"))
+                       .join(templates(subtrees, min_pages, min_share), ["host", "hash"])
+                       .groupBy("page_id", "row_key").agg(F.collect_set("hash").alias("gone"), F.max("live").alias("live"))
+                       .where("live").drop("live"), "gone")
     found = rows.drop("host").alias("p").join(gone.alias("g"), F.expr("p.page_id <=> g.page_id AND p.row_key = g.row_key"), "left")
     return found.select("p.page_id", "url", "html", "gone").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
 
