@@ -74,7 +74,7 @@ def test_query_log_and_id_csv(spark, tmp):
     assert bad.count() == 1
     with open(f"{tmp}/ids.csv", "w") as f:
         f.write("5,3\n9,x,1\n")
-    r = IO.read_id_csv(spark, f"{tmp}/ids.csv").first()
+    r = IO.id_lists(IO.read_id_csv(spark, f"{tmp}/ids.csv")).first()
     assert r["ids"] == [1, 3, 5, 9]
 
 
@@ -148,3 +148,36 @@ def test_duplicate_attributes_keep_one_node(spark, tmp):
     out = E.enrich_typed(X.typed_products(_nodes(spark, docs)), filed).collect()
     assert [(r["category"], r["properties"][0]["value"]) for r in out] == [("Last", "30 ml")]
     assert E.enrich_nodes(_nodes(spark, docs), attrs.drop("pos")).count() == 1
+
+
+def test_graph_of_two_folders_keeps_blank_nodes_apart(spark, tmp):
+    from vetrina.operators import triples as TR
+    for name, price in (("a", 1), ("b", 2.5)):
+        os.makedirs(f"{tmp}/{name}")
+        with open(f"{tmp}/{name}/all_products.json", "w") as f:
+            json.dump({"@graph": [{"@type": ["Product", "Thing"], "@id": "http://p 1", "sku": 7, "new": True, "none": None,
+                                   "offers": [{"@type": "Offer", "price": price, "seller": {"@id": "http://s"}}]}]}, f)
+    nodes = IO.read_graph(spark, f"{tmp}/*/all_products.json")
+    t = {tuple(r) for r in TR.to_triples(nodes).collect()}
+    offers = {o for s, p, o, k, d in t if p == "http://schema.org/offers"}
+    assert len(offers) == 2
+    assert {(o, d.rpartition("#")[2]) for s, p, o, k, d in t if p == "http://schema.org/price"} == {("1", "integer"), ("2.5", "decimal")}
+    assert {o for s, p, o, k, d in t if s == "http://p 1" and p == TR.RDF_TYPE} == {"http://schema.org/Product", "http://schema.org/Thing"}
+    assert {(o, k) for s, p, o, k, d in t if p == "http://schema.org/seller"} == {("http://s", "iri")}
+    assert ("http://p 1", "http://schema.org/new", "true", "literal", TR.XSD + "boolean") in t
+    assert not any(p.endswith("none") for _, p, *_ in t)
+    lines = {r["value"] for r in TR.to_ntriples(TR.to_triples(nodes)).collect()}
+    assert '<http://p\\u00201> <http://schema.org/sku> "7"^^<http://www.w3.org/2001/XMLSchema#integer> .' in lines
+
+
+def test_equal_lines_stay_apart(spark, tmp):
+    with open(f"{tmp}/g.jsonl", "w") as f:
+        f.write('{"@type":"Product"}\n{"@type":"Product"}\nbroken\n')
+    assert IO.read_graph(spark, f"{tmp}/g.jsonl", lines=True).select("src", "pos").distinct().count() == 2
+
+
+def test_stream_rejects(spark, tmp):
+    rows = [("u1", 404, None), ("u2", 200, '<script type="application/ld+json">[1]</script>'), ("u3", 200, "x")]
+    spark.createDataFrame(rows, "url string, status int, html string").write.parquet(f"{tmp}/src")
+    ST.ingest_rejects(spark, f"{tmp}/src", f"{tmp}/bad", f"{tmp}/ckpt").awaitTermination()
+    assert sorted((r["url"], r["reason"]) for r in spark.read.parquet(f"{tmp}/bad").collect()) == [("u1", "status"), ("u2", "json")]

@@ -30,21 +30,32 @@ def f1(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
-def per_query(queries: DataFrame, truth: DataFrame, answers: DataFrame, systems: Sequence[str]) -> DataFrame:
-    """(query_id, system, n_truth, n_answer, tp, precision, recall, f1).
+def log_answers(log: DataFrame, systems: dict[str, str], keys: Sequence[str] = ("file", "query_id")) -> DataFrame:
+    """Saved entries to long answers (*keys, system, id): ``systems`` names
+    the ID list of each system. A missing or empty list gives no rows."""
+    pairs = F.array(*[F.struct(F.lit(s).alias("system"), F.col(field).alias("ids")) for s, field in systems.items()])
+    return log.select(*keys, F.inline(pairs)).select(*keys, "system", F.explode("ids").alias("id"))
 
-    ``truth``: (query_id, id); ``answers``: (query_id, system, id). Every
-    query appears once per system (an unanswered query scores 0).
+
+def per_query(queries: DataFrame, truth: DataFrame, answers: DataFrame, systems: Sequence[str],
+              keys: Sequence[str] = ("query_id",)) -> DataFrame:
+    """(*keys, system, n_truth, n_answer, tp, precision, recall, f1).
+
+    ``truth``: (*keys, id); ``answers``: (*keys, system, id); ``keys`` tell
+    queries apart, such as a log's file and query id. Every query appears once
+    per system (an unanswered query scores 0). ``answers`` is read twice:
+    write it before, where it is dear.
     """
-    t = as_id_set(truth, "query_id")
-    a = as_id_set(answers, "query_id", "system")
-    n_truth = t.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_truth"))
-    n_ans = a.groupBy("query_id", "system").agg(F.count(F.lit(1)).alias("n_answer"))
-    tp = a.join(t, ["query_id", "id"]).groupBy("query_id", "system").agg(F.count(F.lit(1)).alias("tp"))
-    grid = queries.select("query_id", F.explode(F.array(*[F.lit(s) for s in systems])).alias("system"))
-    j = (grid.join(n_truth, "query_id", "left").join(n_ans, ["query_id", "system"], "left")
-             .join(tp, ["query_id", "system"], "left")
-             .select("query_id", "system",
+    k = list(keys)
+    t = as_id_set(truth, *k)
+    a = as_id_set(answers, *k, "system")
+    n_truth = t.groupBy(*k).agg(F.count(F.lit(1)).alias("n_truth"))
+    n_ans = a.groupBy(*k, "system").agg(F.count(F.lit(1)).alias("n_answer"))
+    tp = a.join(t, [*k, "id"]).groupBy(*k, "system").agg(F.count(F.lit(1)).alias("tp"))
+    grid = queries.select(*k).distinct().select(*k, F.explode(F.array(*[F.lit(s) for s in systems])).alias("system"))
+    j = (grid.join(n_truth, k, "left").join(n_ans, [*k, "system"], "left")
+             .join(tp, [*k, "system"], "left")
+             .select(*k, "system",
                      *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_truth", "n_answer", "tp")]))
     p, r = ratio(F.col("tp"), F.col("n_answer")), ratio(F.col("tp"), F.col("n_truth"))
     return j.select("*", p.alias("precision"), r.alias("recall")).withColumn(

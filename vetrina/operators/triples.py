@@ -1,11 +1,15 @@
-"""RDF triples (B10) of product nodes.
-
-Bounded flatten of the product shape (node, brand, offers, properties: two
-levels) into ``(s, p, o, o_kind)`` rows. Blank node ids are a hash of source,
-block, position and path, so they are stable under task retries (never
-``monotonically_increasing_id``). ``distinct`` then gives RDF set semantics:
-equal literal triples of one IRI collapse, blank nodes of different copies
-do not. One projection + one explode + one aggregation per batch.
+"""RDF triples (B10) of graph nodes, and their N-Triples lines.
+
+Every key of a node becomes a triple: scalars are literals with the data type
+of their JSON value, ``@type`` gives ``rdf:type``, an object is the node that
+its ``@id`` names or else a blank node with triples of its own, and a list
+gives each of its items. Objects nest up to ``DEPTH`` levels.
+
+Blank node ids are a hash of source, block, position and path, so they are
+stable under task retries (never ``monotonically_increasing_id``). ``distinct``
+then gives RDF set semantics: equal literal triples of one IRI collapse, blank
+nodes of different copies do not. One projection + one explode + one
+aggregation.
 """
 
 from __future__ import annotations
@@ -15,72 +19,84 @@ from pyspark.sql import functions as F
 
 SCHEMA = "http://schema.org/"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+XSD = "http://www.w3.org/2001/XMLSchema#"
+DEPTH = 3
 
-_T = "struct<s:string,p:string,o:string,o_kind:string>"
+_T = "array<struct<s:string,p:string,o:string,o_kind:string,o_type:string>>"
 
 
 def _bnode(*path: Column) -> Column:
     return F.concat(F.lit("_:b"), F.substring(F.sha2(F.concat_ws("|", *path), 256), 1, 32))
 
 
-def _t(s: Column, p: str, o: Column, kind: str) -> Column:
-    return F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
-
-
-def _one(cond: Column, t: Column) -> Column:
-    return F.when(cond, F.array(t)).otherwise(F.array().cast(f"array<{_T}>"))
-
-
-def to_triples(products: DataFrame) -> DataFrame:
-    """Typed product rows (src, block, pos, uri, name, category, brand_type,
-    brand, offers, properties) -> distinct triples (s, p, o, o_kind)."""
-    key = [F.col("src").cast("string"), F.col("block").cast("string"), F.col("pos").cast("string")]
-    subj = F.coalesce(F.col("uri"), _bnode(*key, F.lit("")))
-    b = _bnode(*key, F.lit("brand"))
-    has_brand = F.col("brand").isNotNull() | F.col("brand_type").isNotNull()
-    head = [
-        F.array(_t(subj, RDF_TYPE, F.lit(SCHEMA + "Product"), "iri")),
-        _one(F.col("name").isNotNull(), _t(subj, SCHEMA + "name", F.col("name"), "literal")),
-        _one(F.col("category").isNotNull(), _t(subj, SCHEMA + "category", F.col("category"), "literal")),
-        _one(has_brand, _t(subj, SCHEMA + "brand", b, "bnode")),
-        _one(has_brand & F.col("brand_type").isNotNull(),
-             _t(b, RDF_TYPE, F.concat(F.lit(SCHEMA), F.col("brand_type")), "iri")),
-        _one(F.col("brand").isNotNull(), _t(b, SCHEMA + "name", F.col("brand"), "literal")),
-    ]
-
-    def offer(o, i):
-        n = _bnode(*key, F.concat(F.lit("offers/"), i.cast("string")))
-        return F.array(
-            _t(subj, SCHEMA + "offers", n, "bnode"),
-            F.when(o["price"].isNotNull(), _t(n, SCHEMA + "price", o["price"], "literal")),
-            F.when(o["priceCurrency"].isNotNull(), _t(n, SCHEMA + "priceCurrency", o["priceCurrency"], "literal")))
-
-    def prop(pv, i):
-        n = _bnode(*key, F.concat(F.lit("additionalProperty/"), i.cast("string")))
-        return F.array(
-            _t(subj, SCHEMA + "additionalProperty", n, "bnode"),
-            F.when(pv["@type"].isNotNull(), _t(n, RDF_TYPE, F.concat(F.lit(SCHEMA), pv["@type"]), "iri")),
-            F.when(pv["name"].isNotNull(), _t(n, SCHEMA + "name", pv["name"], "literal")),
-            F.when(pv["value"].isNotNull(), _t(n, SCHEMA + "value", pv["value"], "literal")))
-
-    empty = F.array().cast(f"array<{_T}>")
-    nested = F.concat(F.flatten(F.coalesce(F.transform("offers", offer), F.array(empty))),
-                      F.flatten(F.coalesce(F.transform("properties", prop), F.array(empty))))
-    all_t = F.filter(F.concat(*head, nested), lambda t: t.isNotNull())
-    return products.select(F.explode(all_t).alias("t")).select("t.*").distinct()
-
-
-def _nt_term(value: Column, kind: Column) -> Column:
-    esc = F.replace(F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
-                              F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
-    return (F.when(kind == "iri", F.concat(F.lit("<"), value, F.lit(">")))
-             .when(kind == "bnode", value)
-             .otherwise(F.concat(F.lit('"'), esc, F.lit('"'))))
+def _triple(s: Column, p: Column, o: Column, kind: str | Column, type_: Column | None = None) -> Column:
+    return F.struct(s.alias("s"), p.alias("p"), o.alias("o"), (F.lit(kind) if isinstance(kind, str) else kind).alias("o_kind"),
+                    (F.lit(None).cast("string") if type_ is None else type_).alias("o_type"))
+
+
+def _iri(name: Column) -> Column:
+    """A name of the schema vocabulary; names that are IRIs already stay."""
+    return F.when(name.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), name).otherwise(F.concat(F.lit(SCHEMA), name))
+
+
+def _items(value: Column) -> Column:
+    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+
+
+def _data_type(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    return (F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit(XSD + "integer")).when(kind.startswith("DECIMAL"), F.lit(XSD + "decimal"))
+             .when(kind.isin("DOUBLE", "FLOAT"), F.lit(XSD + "double")).when(kind == "BOOLEAN", F.lit(XSD + "boolean")))
+
+
+def _of_value(s: Column, key: Column, value: Column, path: Column, depth: int) -> Column:
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    text = F.try_variant_get(value, "$", "string")
+    ref = F.try_variant_get(value, '$["@id"]', "string")
+    child = F.coalesce(ref, _bnode(path))
+    link = F.array(_triple(s, _iri(key), child, F.when(ref.isNotNull(), F.lit("iri")).otherwise(F.lit("bnode"))))
+    nested = F.concat(link, _of_fields(child, fields, path, depth - 1)) if depth else link
+    scalar = F.when(text.isNotNull(), F.array(_triple(s, _iri(key), text, "literal", _data_type(value))))
+    type_ = F.when(text.isNotNull(), F.array(_triple(s, F.lit(RDF_TYPE), _iri(text), "iri")))
+    return F.coalesce(F.when(key == "@type", type_).when(fields.isNotNull(), nested).otherwise(scalar), F.array().cast(_T))
+
+
+def _of_fields(s: Column, fields: Column, path: Column, depth: int) -> Column:
+    entries = F.filter(F.map_entries(fields), lambda e: ~e["key"].isin("@id", "@context"))
+    return F.flatten(F.transform(entries, lambda e: F.flatten(F.transform(
+        _items(e["value"]), lambda x, i: _of_value(s, e["key"], x, F.concat_ws("|", path, e["key"], i.cast("string")), depth)))))
+
+
+def to_triples(nodes: DataFrame) -> DataFrame:
+    """Node rows (src, block, pos, node VARIANT) -> distinct triples
+    (s, p, o, o_kind, o_type); a node without ``@id`` is a blank node."""
+    path = F.concat_ws("|", F.col("src").cast("string"), F.col("block").cast("string"), F.col("pos").cast("string"))
+    subject = F.coalesce(F.try_variant_get("node", '$["@id"]', "string"), _bnode(path, F.lit("")))
+    fields = F.try_variant_get("node", "$", "map<string,variant>")
+    return nodes.select(F.inline(_of_fields(subject, fields, path, DEPTH - 1))).distinct()
+
+
+#: Characters that an N-Triples IRI may not hold, and a literal's escapes.
+_IRI_ESCAPES = {c: f"\\u{ord(c):04X}" for c in "\\<>\"{}|^` \n\r\t"}
+_TEXT_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r"}
+
+
+def _escaped(value: Column, escapes: dict[str, str]) -> Column:
+    for char, escape in escapes.items():  # the backslash comes first
+        value = F.replace(value, F.lit(char), F.lit(escape))
+    return value
+
+
+def _iri_term(value: Column) -> Column:
+    return F.concat(F.lit("<"), _escaped(value, _IRI_ESCAPES), F.lit(">"))
 
 
 def to_ntriples(triples: DataFrame) -> DataFrame:
     """One N-Triples line per triple (every N-Triples file is valid Turtle)."""
-    s_kind = F.when(F.col("s").startswith("_:"), F.lit("bnode")).otherwise(F.lit("iri"))
-    line = F.concat_ws(" ", _nt_term(F.col("s"), s_kind), F.concat(F.lit("<"), F.col("p"), F.lit(">")),
-                       _nt_term(F.col("o"), F.col("o_kind")), F.lit("."))
+    s, o, kind = F.col("s"), F.col("o"), F.col("o_kind")
+    text = F.concat(F.lit('"'), _escaped(o, _TEXT_ESCAPES), F.lit('"'))
+    if "o_type" in triples.columns:
+        text = F.concat(text, F.coalesce(F.concat(F.lit("^^"), _iri_term(F.col("o_type"))), F.lit("")))
+    line = F.concat_ws(" ", F.when(s.startswith("_:"), s).otherwise(_iri_term(s)), _iri_term(F.col("p")),
+                       F.when(kind == "iri", _iri_term(o)).when(kind == "bnode", o).otherwise(text), F.lit("."))
     return triples.select("p", line.alias("value"))

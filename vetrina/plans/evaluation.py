@@ -7,15 +7,20 @@ metrics, for any catalogue.
     slots  = match_queries(fill_slots(keywords), ...)     (E15-E19, E10)
     scores = per_query(...); slices(...)                  (F1-F10)
 
-The query log and its truth are written once (``cut_lineage``) because the
-three systems and the scorer all read them.
+The query log, its truth and all answers are written once (``cut_lineage``),
+because the systems and the scorer read them several times.
+
+The slot system sends ``fill_slots`` straight to E10. E16 and E18 guard and
+respell the replies of a model; the tagger's values come from the vocabulary,
+in the catalogue's own spelling, which E18 would only take from them.
+``resolve_replies`` has the full chain for replies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
@@ -43,11 +48,4 @@ def evaluate_catalogue(catalogue: DataFrame, products: DataFrame, mapping: DataF
     answers = (graph.select("query_id", F.lit("graph").alias("system"), "id")
                .unionByName(text.select("query_id", F.lit("text").alias("system"), "id"))
                .unionByName(slots.select("query_id", F.lit("slots").alias("system"), "id")))
-    return queries, EV.per_query(queries, truth, answers, SYSTEMS)
-
-
-def sliced_report(queries: DataFrame, scores: DataFrame, feature: str = "price") -> DataFrame:
-    """All / without / with ``feature`` per system, 3 decimals."""
-    has: Column = F.col(feature).isNotNull() & (F.col(feature) != "")
-    scored = scores.join(queries.select("query_id", "n_features", feature), "query_id")
-    return EV.report(EV.slices(scored, has, group=("n_features", "system")))
+    return queries, EV.per_query(queries, truth, cut_lineage(answers, "answers"), SYSTEMS)

@@ -26,6 +26,12 @@ def enriched_products(spark: SparkSession, sf: str) -> DataFrame:
     return E.enrich_typed(typed, C.attributes(spark, sf))
 
 
+def enriched_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The fixed nodes and every product node after C14, as VARIANT rows."""
+    nodes = X.assemble_graph(X.seed_nodes(spark, SEED), products(spark, sf))
+    return E.enrich_nodes(nodes, C.attributes(spark, sf))
+
+
 def id_mapping(spark: SparkSession, sf: str) -> DataFrame:
     """(permalink, id), last row per permalink wins."""
     cat = C.catalogue(spark, sf).select("permalink", "id")

@@ -536,8 +536,6 @@ def q_capitalise_slots(spark, sf):
 
 # ---------------------------------------------------------------- F1 - F10
 
-from ..session import cut_lineage  # noqa: E402
-
 SYSTEMS = ["graph", "text", "slots"]
 
 
@@ -741,7 +739,14 @@ from ..operators import triples as TR  # noqa: E402
 @register("triples", C.sql_with(C.PAGES_SQL) + """,
 ex AS (SELECT g.*, e.permalink || '/#richSnippet' AS uri FROM gp g JOIN ext e ON g.id = e.id),
 lit AS (SELECT DISTINCT uri, id, name, gcategory FROM ex),
+seed(s, type, p, o) AS (VALUES ('SHOP/#organization', 'Organization', 'name', 'Shop'), ('SHOP/#website', 'WebSite', 'url', 'SHOP')),
 t AS (
+  SELECT replace(s, 'SHOP', '""" + C.SHOP + """') AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://schema.org/' || type AS o,
+         'iri' AS o_kind FROM seed
+  UNION ALL SELECT replace(s, 'SHOP', '""" + C.SHOP + """'), 'http://schema.org/' || p, replace(o, 'SHOP', '""" + C.SHOP + """'), 'literal' FROM seed
+  UNION ALL SELECT uri, 'http://schema.org/sku', CAST(id AS VARCHAR), 'literal' FROM lit
+  UNION ALL SELECT '_:', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://schema.org/Offer', 'iri' FROM ex
+  UNION ALL
   SELECT uri AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://schema.org/Product' AS o,
          'iri' AS o_kind FROM lit
   UNION ALL SELECT uri, 'http://schema.org/name', name, 'literal' FROM lit
@@ -762,27 +767,22 @@ t AS (
             FROM ex WHERE gscent IS NOT NULL
   UNION ALL SELECT '_:', 'http://schema.org/name', 'Gruppo Olfattivo', 'literal' FROM ex WHERE gscent IS NOT NULL
   UNION ALL SELECT '_:', 'http://schema.org/value', gscent, 'literal' FROM ex WHERE gscent IS NOT NULL)
-SELECT s, p, o, o_kind FROM t""")
+SELECT s, p, o, o_kind, CAST(NULL AS VARCHAR) AS o_type FROM t""")
 def q_triples(spark, sf):
-    t = TR.to_triples(G.enriched_products(spark, sf))
+    t = TR.to_triples(G.enriched_graph(spark, sf))
 
     def blank(c):
         return F.when(F.col(c).startswith("_:"), F.lit("_:")).otherwise(F.col(c))
 
-    return t.select(blank("s").alias("s"), "p", blank("o").alias("o"), "o_kind")
+    return t.select(blank("s").alias("s"), "p", blank("o").alias("o"), "o_kind", "o_type")
 
 
 # ---------------------------------------------------------------- A3b, A8
 
-from ..session import checkpoint_dir  # noqa: E402
+from ..session import scratch_path as _scratch  # noqa: E402
 from ..sources import io as IO  # noqa: E402
 
 
-def _scratch(spark, name):
-    import uuid
-    return f"{checkpoint_dir(spark).rstrip('/')}/vetrina-{name}-{uuid.uuid4().hex}"
-
-
 @register("valid_entries", C.sql_with(_mined_queries_sql(2, 20)) + """
 SELECT query_id, support % 4 <> 0 AS valid
 FROM (SELECT query_id, count(*) AS support FROM mq0 GROUP BY query_id)""")
@@ -822,3 +822,14 @@ def q_ingest_stream(spark, sf):
     prods = spark.read.parquet(sink)
     return prods.select(T.strip_suffix("id").alias("permalink"),
                         F.get_json_object("node", "$.name").alias("name"))
+
+
+@register("ingest_rejects", ORACLES["extract_errors"])
+def q_ingest_rejects(spark, sf):
+    src, sink, ckpt = _scratch(spark, "pages"), _scratch(spark, "rejects"), _scratch(spark, "stream-ckpt")
+    C.product_pages(spark, sf).repartition(8).write.parquet(src)
+    ST.ingest_rejects(spark, src, sink, ckpt, max_files=5).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+from . import written  # noqa: E402, F401  (queries that write and read back)

@@ -7,7 +7,7 @@ read to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,37 +16,43 @@ from ..operators.triples import to_ntriples
 
 QUERY_TYPE = T.StructType([T.StructField(f, T.StringType()) for f in
                            ("brand", "category", "capacity", "olfactory_category", "olfactory category", "price")])
+#: ID lists of a log entry: the truth, then what each system answered.
+RESULT_FIELDS = ("results", "original_results", "true_results", "sparql_results", "text_results", "llm_results")
 LOG_SCHEMA = T.StructType([
     T.StructField("query", QUERY_TYPE),
-    T.StructField("results", T.ArrayType(T.LongType())),
-    T.StructField("_corrupt_record", T.StringType()),
+    *(T.StructField(f, T.ArrayType(T.LongType())) for f in RESULT_FIELDS),
+    *(T.StructField(f, T.StringType()) for f in ("sparql", "text_query", "llm_sparql", "_corrupt_record")),
 ])
 
 
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
-    """A1: header CSV, column ``permalink``, with its position in the file."""
+    """A1: header CSV, column ``permalink``; ``pos`` sorts rows as the files
+    have them, over any number of splits."""
     df = spark.read.option("header", True).csv(path)
-    return df.select(F.col("permalink"), F.monotonically_increasing_id().alias("pos"))
+    return df.select("permalink", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                           F.monotonically_increasing_id().alias("at")).alias("pos"))
 
 
 def read_graph(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A2: graph documents -> node rows (src, block, pos, id, type, node).
-
-    ``lines=False``: each file is one document with ``@graph`` (default []).
-    ``lines=True``: the scale form, one JSON node per line.
+    """A2: graph documents -> node rows (src, block, pos, id, type, node);
+    ``src`` is the file's full path.
+
+    ``lines=False``: each file is one document with ``@graph`` (default []);
+    a file is one row, so use it for small documents. ``lines=True``: the
+    scale form, one JSON node per line. A line's position is a hash of its
+    text and of its number among equal lines of the file, so it doesn't depend
+    on splits and retries.
     """
     if lines:
-        # Position: deterministic for a given file split, so stable under retries.
-        raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("src"),
-                                           F.monotonically_increasing_id().alias("pos"),
-                                           F.try_parse_json("value").alias("node"))
-        return raw.where(F.col("node").isNotNull()).select(
-            "src", F.lit(0).alias("block"), "pos", X.node_id().alias("id"), X.node_type().alias("type"), "node")
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("url"), F.lit(0).alias("block"), F.try_parse_json("value").alias("doc"))
-    nodes = X.explode_graph(docs)
-    return nodes.select(F.col("url").alias("src"), "block", "pos", X.node_id().alias("id"),
-                        X.node_type().alias("type"), "node")
+        raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("src"), "value")
+        same = Window.partitionBy("src", "value").orderBy("value")
+        raw = raw.withColumn("pos", F.xxhash64("value", F.row_number().over(same)))
+        nodes = raw.select("src", F.lit(0).alias("block"), "pos", F.try_parse_json("value").alias("node")).where(F.col("node").isNotNull())
+    else:
+        docs = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("url"), F.lit(0).alias("block"), F.try_parse_json("value").alias("doc"))
+        nodes = X.explode_graph(docs).withColumnRenamed("url", "src")
+    return nodes.select("src", "block", "pos", X.node_id().alias("id"), X.node_type().alias("type"), "node")
 
 
 def write_graph(nodes: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -82,12 +88,16 @@ def valid_entries(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_id_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A5: every cell of every row as BIGINT, sorted, per file. Bad cells are
+    """A5: every cell of every row as BIGINT, long: (file, id). Bad cells are
     dropped one by one (the reference keeps the prefix read before the first
-    bad cell)."""
-    df = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"),
-                                      F.explode(F.split("value", ",")).alias("cell"))
-    ids = df.select("file", F.trim("cell").try_cast("bigint").alias("id")).where(F.col("id").isNotNull())
+    bad cell). ``id_lists`` gathers small files."""
+    cells = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"),
+                                         F.explode(F.split("value", ",")).alias("cell"))
+    return cells.select("file", F.trim("cell").try_cast("bigint").alias("id")).where(F.col("id").isNotNull())
+
+
+def id_lists(ids: DataFrame) -> DataFrame:
+    """A5 as lists, for small files: (file, ids ARRAY<BIGINT> sorted)."""
     return ids.groupBy("file").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 

@@ -18,18 +18,36 @@ from ..operators import extract as X
 PAGE_SCHEMA = "url string, status int, html string"
 
 
+def _pages(spark: SparkSession, source: str, max_files: int) -> DataFrame:
+    return spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(source)
+
+
 def product_stream(spark: SparkSession, source: str, max_files: int = 5) -> DataFrame:
     """Streaming product nodes of the crawl tables arriving in ``source``."""
-    pages = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(source)
-    products, _ = X.extract_products(pages)
+    products, _ = X.extract_products(_pages(spark, source, max_files))
     return products.select("src", "block", "pos", "id", "type", F.to_json("node").alias("node"))
 
 
+def reject_stream(spark: SparkSession, source: str, max_files: int = 5) -> DataFrame:
+    """Streaming rejects (url, reason, detail) of the same crawl tables."""
+    return X.extract_products(_pages(spark, source, max_files))[1]
+
+
+def _start(rows: DataFrame, sink: str, checkpoint: str, available_now: bool) -> StreamingQuery:
+    w = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start(sink)
+
+
 def ingest_pages(spark: SparkSession, source: str, sink: str, checkpoint: str, max_files: int = 5,
                  available_now: bool = True) -> StreamingQuery:
     """Start (or resume) the ingestion; ``available_now`` processes what is
     there in batches of ``max_files`` files and stops."""
-    w = (product_stream(spark, source, max_files).writeStream.format("parquet")
-         .option("checkpointLocation", checkpoint).outputMode("append"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start(sink)
+    return _start(product_stream(spark, source, max_files), sink, checkpoint, available_now)
+
+
+def ingest_rejects(spark: SparkSession, source: str, sink: str, checkpoint: str, max_files: int = 5,
+                   available_now: bool = True) -> StreamingQuery:
+    """The same for rejected pages and blocks, into a sink and checkpoint of
+    their own."""
+    return _start(reject_stream(spark, source, max_files), sink, checkpoint, available_now)
