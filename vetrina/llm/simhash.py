@@ -234,6 +234,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id. Rows that
     repeat a doc_id stay or go together; rows without one stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    found = near_duplicates(docs)  # ids only, written so that the planner knows their size before it moves texts
+    gone = cut_lineage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
