@@ -80,6 +80,19 @@ def test_tagger_learns_held_out_spans(tagger, texts):
     assert both / sum(map(len, want)) > 0.7 and both / max(sum(map(len, got)), 1) > 0.8
 
 
+def test_added_spans(tagger):
+    """Variants that no base pattern has, and look-alikes that are none."""
+    cases = [("call me at (415) 555-0199 today", (3, "(415) 555-0199")), ("mail john.doe (at) example.org now", (0, "john.doe (at) example.org")),
+             ("card 4111.1111.1111.1111 ok", (2, "4111.1111.1111.1111")), ("the host 10[.]0[.]0[.]1 is up", (1, "10[.]0[.]0[.]1"))]
+    found = 0
+    for text, (kind, want) in cases:
+        base, spans = pii.all_spans([text], tagger)[0]
+        assert not base
+        found += [(k, text[s:e]) for k, s, e in spans] == [(kind, want)]
+    assert found >= 2
+    assert pii.all_spans(["on 2024-01-05 at 12:30:44 we paid 1,234,567.89 for v1.2.3"], tagger) == [([], [])]
+
+
 def test_windows_cover_every_mark(texts):
     for text in [t for _, t in texts] + ["x" * 300 + "1" + "y" * 500 + "@" + "2" * 1000, "1", ""]:
         spans = list(pii.windows(text))

@@ -2,9 +2,9 @@
 
 Base spans are exact: fixed patterns plus number checks, matched in time
 linear in the text. The tagger reads characters in overlapping windows around
-every digit and @ of a whole text. A span of any kind holds one of these, so
-text further than ``CONTEXT`` characters from all of them has none by rule and
-is not decoded. Spans found in overlapping windows are reconciled per text: a
+every mark of a whole text: digits, @ and a bracketed "at". A span of any kind
+holds one of these, so text further than ``CONTEXT`` characters from all of
+them has none by rule and is not decoded. Spans found in overlapping windows are reconciled per text: a
 span that a window's edge cuts is left to the window that holds it, and of
 overlapping spans the longest stays. The tagger's spans pass a check of their
 kind and stay where they overlap no base span.
@@ -43,7 +43,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]")
+_MARK = re.compile(r"[0-9@]|[\[({] ?(?:at|AT) ?[\])}]")
+_DATE = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}")
+_DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -82,7 +84,7 @@ def _small_parts(ip: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns, by kind, then start (code points)."""
     found = list(_emails(text)) if "@" in text else []
-    if not _MARK.search(text):
+    if not _DIGIT.search(text):
         return found
     found += [(1, *m.span()) for m in _IP.finditer(text) if _small_parts(m.group())]
     for m in _CARD.finditer(text):
@@ -163,6 +165,8 @@ def _plausible(kind: int, text: str) -> bool:
         return len(parts) == 4 and all(int(p) <= 255 for p in parts if len(p) <= 3) and max(map(len, parts)) <= 3
     if kind == 2:
         return 13 <= len(d) <= 19 and luhn(d) and not re.search(r"[A-Za-z]", text)
+    if _DATE.fullmatch(text):
+        return False
     return 8 <= len(d) <= 15 and not re.search(r"[^\d\s().+/-]", text) and bool(re.search(r"[ ().+/-]", text))
 
 
@@ -285,9 +289,9 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, limit: int = FIT_DOCS, steps: int = FIT_STEPS) -> Tagger:
     """A tagger for ``docs(doc_id, text)``; ``limit`` documents at most reach the driver, as short contexts."""
     small_batches(docs.sparkSession)
-    ids = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id").distinct().orderBy(
+    ids = docs.where(F.col("text").rlike(_MARK.pattern)).select("doc_id").distinct().orderBy(
         F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(limit)
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("text").rlike("[0-9@]"))
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("text").rlike(_MARK.pattern))
     rows = picked.mapInPandas(lambda batches: _contexts(batches), "text string").distinct().orderBy("text").limit(6 * limit)
     return train(rows.toPandas()["text"].tolist(), steps)
 
