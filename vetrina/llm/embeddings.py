@@ -83,7 +83,7 @@ def _visit(pivots: Pivots, radius: dict[tuple[int, int], np.ndarray], r: float):
 
 def _join(cosine: float):
     """Of one pair of blocks: (cls, null, links) and spanning edges (a, b, 0)."""
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["left"]], group[~group["left"]]
         same = key[3] == key[4]
         right = left if same else right

@@ -26,6 +26,8 @@ from vetrina.llm.text import chunks, small_batches, utf8
 CAPACITIES = (2048, 4096, 8192, 16384)
 #: Pieces in an average block. Each block leaves a few bins unfilled at most.
 BLOCK = 8192
+#: Bytes of text in an average block, where pieces carry theirs.
+BLOCK_BYTES = 24 << 20
 
 
 def cost(capacity: int) -> float:
@@ -141,12 +143,13 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, with_text: b
     small_batches(docs.sparkSession)
     capacities = tuple(sorted(capacities))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    about = docs.agg(F.sum(F.floor(size / capacities[-1]) + 1)).first()[0] or 0
+    pieces, nbytes = docs.agg(F.sum(F.floor(size / capacities[-1]) + 1), F.sum(size.cast("long"))).first()
+    blocks = max(-(-(pieces or 0) // block), -(-(nbytes or 0) // BLOCK_BYTES) if with_text else 0, 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = ", text string" if with_text else ""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
         _pieces(capacities[-1], with_text), f"doc_id {kind}, th long, piece int, start long, length long{text}")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "th", "piece"), F.lit(max(-(-about // block), 1))))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "th", "piece"), F.lit(blocks)))
     return rows.groupBy("block").applyInArrow(
         _pack(capacities), f"doc_id {kind}, piece int, start long, length long{text}, bin_id long, capacity int, offset long")
 

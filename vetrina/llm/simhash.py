@@ -187,7 +187,7 @@ def _groups(prefix: int, reach: int):
 
 
 def _group_edges(bits: int):
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         fp = group["fp"].to_numpy(np.int64).view(np.uint64)
         visits = group["visitor"].to_numpy(bool)
         a, b = spanning_edges(fp[~visits], fp[visits], int(key[0]) & 1, bits)
