@@ -41,8 +41,8 @@ SEED = 42
 #: Fingerprints in an average group; it sets the number of groups, not the result.
 GROUP = 2048
 SEGMENT = 8
-#: Node pairs that are compared at once.
-BLOCK = 1 << 20
+#: Node pairs that are compared at once; a pair of nodes has 65,536 pairs of children at most.
+BLOCK = 1 << 19
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -125,18 +125,20 @@ class Index:
     def close(self, other: Index, bits: int, front: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of positions (in self.codes, in other.codes) within ``bits``
         differences in all and ``front`` in the upper half."""
+        def near(level: int, a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+            done = SEGMENT * (level + 1)
+            diff = np.bitwise_count((self.codes[self.first[level][a]] ^ other.codes[other.first[level][b]]) >> np.uint64(64 - done))
+            keep = diff <= (front if done <= 32 else bits)  # upper bits stay within ``front`` from the levels above
+            if other is self:  # each pair once
+                keep &= a <= b
+            return level, a[keep], b[keep]
+
         if not len(self.codes) or not len(other.codes):
             return
-        top = [(0, a, np.zeros(len(self.first[0]), np.int64) + b) for b in range(len(other.first[0]))
-               for a in [np.arange(len(self.first[0]))]]
-        while top:
-            level, a, b = top.pop()
-            done = np.uint64(64 - SEGMENT * (level + 1))
-            diff = np.bitwise_count((self.codes[self.first[level][a]] ^ other.codes[other.first[level][b]]) >> done)
-            near = diff <= (front if SEGMENT * (level + 1) <= 32 else bits)  # upper bits stay within ``front`` from the levels above
-            if other is self:  # each pair once
-                near &= a <= b
-            a, b = a[near], b[near]
+        tops = len(other.first[0])
+        todo = [near(0, *np.divmod(np.arange(len(self.first[0]) * tops), tops))]
+        while todo:
+            level, a, b = todo.pop()
             if not len(a):
                 continue
             if level == 64 // SEGMENT - 1:
@@ -144,11 +146,13 @@ class Index:
                 continue
             (first_a, n_a), (first_b, n_b) = self.children(level), other.children(level)
             pairs = n_a[a] * n_b[b]
-            cuts = np.searchsorted(np.cumsum(pairs), np.arange(BLOCK, int(pairs.sum()), BLOCK))
-            for x, y, n in zip(*(np.split(v, cuts) for v in (a, b, pairs)), strict=True):
-                at = np.repeat(np.arange(len(x)), n)
-                i = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                top.append((level + 1, first_a[x][at] + i // n_b[y][at], first_b[y][at] + i % n_b[y][at]))
+            if pairs.sum() > BLOCK and len(a) > 1:
+                half = len(a) // 2
+                todo += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
+                continue
+            at = np.repeat(np.arange(len(a)), pairs)
+            i = np.arange(len(at)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+            todo.append(near(level + 1, first_a[a][at] + i // n_b[b][at], first_b[b][at] + i % n_b[b][at]))
 
 
 def spanning_edges(members: np.ndarray, visitors: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
