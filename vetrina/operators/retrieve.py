@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
-from ..session import bounded_broadcast, cut_lineage, table_bytes
+from ..session import bounded_broadcast, cut_lineage, row_bytes
 
 FACT_FEATURES = ["brand", "category", "capacity", "olfactory_category", "price"]
 DRIVE_ORDER = {"brand": 0, "capacity": 1, "olfactory_category": 2, "category": 3, "price": 4}
@@ -182,9 +182,10 @@ def substrings(s: Column, lengths: Sequence[int]) -> Column:
 U = ["u1", "u2"]
 
 
-def _resolve(values: DataFrame, facts: DataFrame) -> DataFrame:
+def _resolve(values: DataFrame, facts: DataFrame, nbytes: int) -> DataFrame:
     """(feature, value, vid): the fact values that each query value matches,
-    for ``values(vid, feature, value)``, without a cross join."""
+    for ``values(vid, feature, value)`` of ``nbytes`` at most, without a cross
+    join."""
     equal = values.where(~F.col("feature").isin(*CONTAINS)).select("feature", "value", "vid")
     parts = values.where(F.col("feature").isin(*CONTAINS)).select("feature", F.col("value").alias("part"), "vid")
     lengths = sorted(r[0] for r in parts.select(F.length("part")).distinct().collect())  # one number per length
@@ -192,7 +193,7 @@ def _resolve(values: DataFrame, facts: DataFrame) -> DataFrame:
         return equal
     held = facts.where(F.col("feature").isin(*CONTAINS)).select("feature", "value").distinct()
     subs = held.select("feature", "value", F.explode(F.array_distinct(substrings(F.col("value"), lengths))).alias("part"))
-    return equal.unionByName(subs.join(bounded_broadcast(parts), ["feature", "part"]).select("feature", "value", "vid"))
+    return equal.unionByName(subs.join(bounded_broadcast(parts, nbytes), ["feature", "part"]).select("feature", "value", "vid"))
 
 
 def _price_rows(facts: DataFrame, caps: Sequence) -> DataFrame:
@@ -220,15 +221,17 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
     """
     idx = products if isinstance(products, GraphIndex) else graph_index(products)
     features = cut_lineage(query_features(queries.select("query_id", *FACT_FEATURES).distinct(), keyed=True), "query-features")
-    log_bytes = table_bytes(features)  # bounds every query-side table below
+    # One pass over the written log: its size bounds every query-side table below.
+    log_bytes, caps, unasked = features.agg(
+        F.sum(row_bytes(features)), F.array_sort(F.collect_set("cap")), F.count(F.when(F.col("k") == 0, 1))).first()
+    log_bytes = log_bytes or 0
 
     # The log's distinct values, and the facts that match them.
     plain = features.where(F.col("feature").isNotNull() & (F.col("feature") != "price"))
     values = cut_lineage(plain.select("feature", "value").distinct().withColumn("vid", F.monotonically_increasing_id()), "values")
-    resolved = bounded_broadcast(cut_lineage(_resolve(values, idx.facts), "resolved"))
+    resolved = cut_lineage(_resolve(values, idx.facts, log_bytes), "resolved")  # the planner knows its size
     hits = cut_lineage(idx.facts.where(F.col("feature") != "price").join(resolved, ["feature", "value"])
                        .groupBy(*U, "vid").agg(F.sum("cnt").alias("cnt")), "hits")
-    caps = [r[0] for r in features.select("cap").where(F.col("cap").isNotNull()).distinct().orderBy("cap").collect()]
     prices = cut_lineage(_price_rows(idx.facts, caps), "prices") if caps else None
     capped = features.where((F.col("feature") == "price") & F.col("cap").isNotNull())
     rank = F.array_position(F.array(*[F.lit(c).cast(T.DECIMAL) for c in caps]), F.col("cap")).cast("int") - 1 if caps else F.lit(None).cast("int")
@@ -275,8 +278,8 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
                 .select(*U, "q", (F.col("mult") * F.when(F.col("cap_rank").isNull(), 1).otherwise(F.col("offers"))).alias("mult")))
     names = bounded_broadcast(asked.select("q", "query_id"), log_bytes)
     sol = good.join(names, "q").join(idx.nodes, U).select("query_id", "link", (F.col("mult") * F.col("n_names")).alias("solutions"))
-    empty = features.where(F.col("k") == 0).select("query_id", F.lit(1).alias("one"))
-    if empty.limit(1).count():  # every named product, for each such query
+    if unasked:  # every named product, for each such query
+        empty = features.where(F.col("k") == 0).select("query_id", F.lit(1).alias("one"))
         every = idx.nodes.withColumn("one", F.lit(1)).join(bounded_broadcast(empty, log_bytes), "one")
         sol = sol.unionByName(every.select("query_id", "link", F.col("n_names").alias("solutions")))
     if mapping is None:

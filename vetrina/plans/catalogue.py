@@ -43,18 +43,24 @@ TEST_LABELS = ["anvil", "blue", "bolt", "cold", "gear", "gizmo", "hot", "large",
                "rod", "small", "widget"]
 
 
+_scan_tasks: dict[tuple[str, str], int] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table. One that is a single scan task, as small files are, is
     spread over the default parallelism, else every CPU-heavy step (HTML
     patterns, JSON parsing, combination expansion) would be one task; that
     moves one split's bytes at most. A table of several splits stays as it is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
     try:
         n = spark.sparkContext.defaultParallelism
-        alone = df.rdd.getNumPartitions() == 1
+        key = (spark.sparkContext.applicationId, path)
+        if key not in _scan_tasks:
+            _scan_tasks[key] = df.rdd.getNumPartitions()
     except Exception:  # Spark Connect: no RDD view, leave the scan as it is
         return df
-    return df.repartition(n) if alone and n > 1 else df
+    return df.repartition(n) if _scan_tasks[key] == 1 and n > 1 else df
 
 
 def _title(k, name, size):

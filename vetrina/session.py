@@ -15,7 +15,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -95,16 +95,20 @@ def drop_intermediates(spark: SparkSession) -> int:
 BROADCAST_MAX_BYTES = 64 << 20
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Bytes of ``df``'s values (16 a row and 8 a column, and its texts), by
-    one aggregation. Meant for small written tables."""
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values: 16, 8 a column, and its texts."""
     row = F.lit(16 + 8 * len(df.columns)).cast("long")
     for f in df.schema.fields:
         if isinstance(f.dataType, StringType):
             row = row + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
         elif isinstance(f.dataType, ArrayType):
             row = row + F.coalesce(F.octet_length(F.to_json(F.col(f"`{f.name}`"))), F.lit(0))
-    return df.agg(F.sum(row)).first()[0] or 0
+    return row
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of ``df``'s values, by one aggregation. Meant for small written tables."""
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
 
 def bounded_broadcast(df: DataFrame, nbytes: int | None = None) -> DataFrame:
