@@ -68,7 +68,7 @@ def test_query_log_and_id_csv(spark, tmp):
                    {"results": [3]}], f)
     with open(f"{tmp}/log/b_SPARQL.json", "w") as f:
         f.write("[{ broken")
-    log = IO.read_query_log(spark, f"{tmp}/log", glob="*_LLM.json")
+    log = IO.read_query_log(spark, f"{tmp}/log", glob="*_LLM.json", multi_line=True)
     ok, bad = IO.valid_entries(log)
     assert [r["query"]["olfactory_category"] for r in ok.collect()] == ["Dolce"]
     assert bad.count() == 1

@@ -60,10 +60,11 @@ def write_graph(nodes: DataFrame, path: str, mode: str = "overwrite") -> None:
     nodes.select(F.to_json("node").alias("value")).write.mode(mode).text(path)
 
 
-def read_query_log(spark: SparkSession, path: str, glob: str | None = None, multi_line: bool = True,
+def read_query_log(spark: SparkSession, path: str, glob: str | None = None, multi_line: bool = False,
                    schema=LOG_SCHEMA) -> DataFrame:
-    """A3/A4: JSON arrays of entries (``multi_line``) or JSON Lines, one row
-    per entry, with the file name. ``glob`` filters by suffix (``*_LLM.json``)."""
+    """A3/A4: JSON Lines, or JSON arrays of entries with ``multi_line`` (a
+    task per file then, so for small files), one row per entry, with the file
+    name. ``glob`` filters by suffix (``*_LLM.json``)."""
     r = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record")
     if glob:
