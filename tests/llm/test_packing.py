@@ -47,6 +47,30 @@ def test_plan_is_the_cheapest_policy(lengths):
     assert sum(map(packing.cost, size)) == pytest.approx(min(totals))
 
 
+def test_policies_differ_with_the_real_sizes():
+    """Small pieces may open any size: 1401 bytes fill 2048 badly and 8192 well."""
+    lengths = [1401] * 23
+    loads = [packing.best_fit(lengths, packing.CAPACITIES, c)[2] for c in packing.CAPACITIES]
+    assert [len(x) for x in loads] == [23, 23, 5, 3]
+    assert packing.total(loads[3], packing.CAPACITIES) < packing.total(loads[2], packing.CAPACITIES) < packing.total(loads[0], packing.CAPACITIES)
+    assert packing.downsized(loads[2], packing.CAPACITIES) == [8192] * 5
+    *_, size = packing.pack_block(lengths)
+    assert sum(map(packing.cost, size)) < 0.9 * 23 * packing.cost(2048)
+
+
+def test_bins_are_downsized_with_the_real_sizes():
+    one = {2048: 16384}
+    load = packing.filled([1401] * 12, packing.CAPACITIES, one)[2]
+    assert load == [11 * 1401, 1401] and packing.downsized(load, packing.CAPACITIES) == [16384, 2048]
+    assert sorted(packing.pack_block([1401] * 11)[2]) != [2048] * 11
+
+
+def test_every_mix_of_sizes_is_a_policy():
+    assert len(list(packing.openings([100, 3000, 8000, 16000], packing.CAPACITIES, 16384))) == 24
+    assert list(packing.openings([100, 16000], packing.CAPACITIES, 4096)) == [{2048: 2048, 16384: 16384}, {2048: 4096, 16384: 16384}]
+    assert packing.pack_block([]) == ([], [], [])
+
+
 def check(spark, rows, capacities, **options):
     got = packing.pack(documents(spark, rows), capacities, with_text=True, **options).collect()
     by_doc, bins = {}, {}

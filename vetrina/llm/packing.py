@@ -4,17 +4,18 @@ A document is its UTF-8 bytes and an end mark; ``CAPACITIES`` are the permitted
 sequence lengths in these. A document longer than the largest is cut, at
 character boundaries, into pieces. Pieces are packed in blocks, dealt by a hash
 of the piece, best fit decreasing: a piece goes to the open bin that it leaves
-least room in, of whatever size; where none holds it, a new bin opens, of the
-size with the least cost a byte among those that hold the piece and the policy
-permits. Every policy (a largest size to open, unless a piece needs more) is
-tried, each bin is downsized at last to the smallest size that holds its
-contents, and the plan with the least total cost stays.
+least room in, of whatever size; where none holds it, a new bin opens. A policy
+names the size that opens, by the smallest size that holds the piece: that one
+or any larger. Every policy is tried (24 with four sizes), each bin is
+downsized at last to the smallest size that holds its contents, and the plan
+with the least total cost stays.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,20 @@ def cost(capacity: int) -> float:
     return capacity + capacity * capacity / 65536 + 64
 
 
-def best_fit(lengths: list[int], capacities: tuple[int, ...], largest: int) -> tuple[list[int], list[int], list[int]]:
+def openings(lengths: list[int], capacities: tuple[int, ...], largest: int) -> Iterator[dict[int, int]]:
+    """Every opening policy up to ``largest``: by the smallest size that holds
+    a piece, the size that opens for it. Pieces over ``largest`` open their own."""
+    own = sorted({capacities[bisect_left(capacities, x)] for x in lengths})
+    for opened in product(*([c for c in capacities if o <= c <= max(o, largest)] for o in own)):
+        yield dict(zip(own, opened, strict=True))
+
+
+def filled(lengths: list[int], capacities: tuple[int, ...], opened: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
     """(bin of each piece, its offset there, load of each bin) for pieces in
-    falling order of length, opening bins up to ``largest`` where it can."""
-    opened = {}
-    for length in set(lengths):
-        able = [c for c in capacities if c >= length]
-        opened[length] = min([c for c in able if c <= largest] or able[:1], key=lambda c: (cost(c) / c, c))
+    falling order of length, under one opening policy."""
     room: dict[int, list[int]] = {}  # bins by the room they have left
     rooms: list[int] = []
-    where, offset, load, size = [], [], [], []
+    where, offset, load = [], [], []
     for length in lengths:
         at = bisect_left(rooms, length)
         if at < len(rooms):
@@ -53,9 +58,8 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...], largest: int) -> t
             if not room[left]:
                 del room[left], rooms[at]
         else:
-            bin_, left = len(load), opened[length]
+            bin_, left = len(load), opened[capacities[bisect_left(capacities, length)]]
             load.append(0)
-            size.append(left)
         where.append(bin_)
         offset.append(load[bin_])
         load[bin_] += length
@@ -68,20 +72,26 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...], largest: int) -> t
     return where, offset, load
 
 
+def best_fit(lengths: list[int], capacities: tuple[int, ...], largest: int) -> tuple[list[int], list[int], list[int]]:
+    """(bin of each piece, its offset there, load of each bin) for pieces in
+    falling order of length: the cheapest plan, its bins downsized, of all
+    policies that open bins up to ``largest`` where they can."""
+    plans = (filled(lengths, capacities, opened) for opened in openings(lengths, capacities, largest))
+    return min(plans, key=lambda plan: total(plan[2], capacities))
+
+
 def downsized(load: list[int], capacities: tuple[int, ...]) -> list[int]:
     return [capacities[bisect_left(capacities, x)] for x in load]
 
 
+def total(load: list[int], capacities: tuple[int, ...]) -> float:
+    return sum(map(cost, downsized(load, capacities)))
+
+
 def pack_block(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
     """(bin of each piece, offset, capacity of each bin) of the cheapest plan."""
-    best = None
-    for largest in capacities:
-        where, offset, load = best_fit(lengths, capacities, largest)
-        size = downsized(load, capacities)
-        total = sum(map(cost, size))
-        if best is None or total < best[0]:
-            best = total, where, offset, size
-    return best[1:]
+    where, offset, load = best_fit(lengths, capacities, capacities[-1])
+    return where, offset, downsized(load, capacities)
 
 
 def _pieces(longest: int, with_text: bool):
