@@ -101,6 +101,54 @@ def test_windows_cover_every_mark(texts):
             assert any(s <= max(m.start() - pii.CONTEXT, 0) and m.end() <= e or s <= m.start() < e for s, e in spans)
 
 
+class Reader:
+    """A perfect tagger of what a window shows: spans by the look of the classes."""
+    LOOK = "\0" + "0aA \nx~" + pii._ALONE
+    SHAPES = ((0, re.compile(r"[a-z._%+-]+(?: ?@ ?| ?[\[(]aa[\])] ?)[a-z-]+(?:\.[a-z-]+)*")), (3, re.compile(r"\+?[0-9](?:[ -]*[0-9])*")))
+
+    def decode(self, x, barred):
+        import numpy as np
+
+        tags = np.zeros(x.shape, dtype=np.int64)
+        for row, out in zip(x, tags, strict=True):
+            shown = "".join(self.LOOK[c] for c in row)
+            for kind, shape in self.SHAPES:
+                for m in shape.finditer(shown):
+                    out[m.start()], out[m.start() + 1:m.end()] = 1 + 2 * kind, 2 + 2 * kind
+        return tags
+
+
+LONG = [(0, "webmaster (at) mathematik.uni-heidelberg.de"), (0, "x @ department-of-physics.example.edu"), (0, "firstname.middlename.lastname (at) x.org"),
+        (0, "a" * 70 + "." + "b" * 90 + " @ " + "c" * 300 + ".example.org"), (0, "some_one.with-a.long.name [at] " + "part-of.the." * 12 + "org"),
+        (3, "+49" + "   -   62" * 6), (3, "49" + " " * 150 + "622154")]
+
+
+@pytest.mark.parametrize("kind, span", LONG)
+@pytest.mark.parametrize("before", [0, 1, 23, 24, 47, 48, 95, 400])
+def test_no_span_is_lost_at_an_edge(kind, span, before):
+    digits = "; " + "7; " * 40  # further marks, so that regions are longer than a window
+    for text in (f"{'filler; ' * before}{span}; and so on; " + "filler; " * 30, f"{digits[:before]}; {span}{digits}"):
+        at = text.index(span)
+        assert (kind, at, at + len(span)) in pii.tagged_spans([text], Reader())[0]
+        assert (kind, at, at + len(span)) in pii.all_spans(["", text, "1"], Reader())[1][1]
+
+
+@pytest.mark.parametrize("text", ["1 " * 30_000, "a @ b.c " * 8_000, "a (at) b" * 8_000, "a@" * 20_000, ("1" + " " * 60) * 1_000, "1" + " " * 60_000 + "2", "@" * 40_000])
+def test_wider_windows_end(text):
+    windows = [*pii.windows(text), *pii.addresses(text)]
+    assert sum(e - s for s, e in windows) < 12 * len(text)
+    pii.tagged_spans([text], Reader())
+
+
+def test_tagger_reads_long_addresses(tagger):
+    found = 0
+    for _, want in LONG[:3]:
+        for frame in ("please write to {} for more about this", "Contact: {}.", "{}"):
+            text = frame.format(want)
+            found += (0, text.index(want), text.index(want) + len(want)) in pii.all_spans([text], tagger)[0][1]
+    assert found >= 5
+
+
 def test_reconcile():
     assert pii.reconcile({(0, 0, 5), (1, 3, 12), (2, 20, 25), (3, 24, 26)}, [(0, 25, 30)]) == [(1, 3, 12), (2, 20, 25)]
 

@@ -4,8 +4,11 @@ Base spans are exact: fixed patterns plus number checks, matched in time
 linear in the text. The tagger reads characters in overlapping windows around
 every mark of a whole text: digits, @ and a bracketed "at". A span of any kind
 holds one of these, so text further than ``CONTEXT`` characters from all of
-them has none by rule and is not decoded. Spans found in overlapping windows are reconciled per text: a
-span that a window's edge cuts is left to the window that holds it, and of
+them and from the addresses they may belong to has none by rule and is not
+decoded. An address that such a window may cut has a window of its own, as long
+as the longest address that can be read there and ``CONTEXT`` on either side.
+A span of digits that a window's edge cuts is left to the window that holds it
+or, where none does, decoded again in wider windows centred on it. Of
 overlapping spans the longest stays. The tagger's spans pass a check of their
 kind and stay where they overlap no base span.
 
@@ -35,8 +38,10 @@ FIT_STEPS = 320
 WINDOW = 96
 STRIDE = 48
 CONTEXT = 24
-#: Windows that are decoded at once.
+#: Windows of usual width that are decoded at once.
 ROWS = 2048
+#: Letters of each word of a written address, at most.
+WORD = 14
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,7 +49,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]|[\[({] ?(?:at|AT) ?[\])}]")
+_AT = re.compile(r"@|[\[({] ?(?:at|AT) ?[\])}]")
+_HOST = re.compile(r" ?[\w-]++(?:(?: ?\. ?| ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?)[\w-]++)++")
 _DATE = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}")
+_ALNUM = re.compile(r"[^\W_]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -156,6 +164,50 @@ def _cut(start: int, end: int) -> Iterator[tuple[int, int]]:
         start += STRIDE
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Windows that hold the longest address around an at-sign, with CONTEXT,
+    where other windows may cut it. No character is in more than a few."""
+    for m in _AT.finditer(text):
+        host = _HOST.match(text, m.end())
+        local = start = m.start() - (text[m.start() - 1:m.start()] == " ")
+        while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+            start -= 1
+        if host and start < local:
+            near = m.start() - CONTEXT < start and host.end() < m.end() + CONTEXT
+            if not near or host.end() - start >= WINDOW - STRIDE - 1:
+                yield max(start - CONTEXT, 0), min(host.end() + CONTEXT, len(text))
+
+
+def _may_grow(kind: int, text: str) -> bool:
+    """Whether a plausible span of digits can hold this part of it."""
+    if kind == 0:
+        return False  # ``addresses`` has a window for it
+    if kind == 2 and re.search(r"[A-Za-z]", text) or kind == 3 and re.search(r"[^\d\s().+/-]", text):
+        return False
+    return len(_digits(text)) <= (12, 19, 15)[kind - 1]
+
+
+def _to_edges(text: str, a: int, b: int, start: int, end: int) -> tuple[int, int]:
+    """The part of a span in a window, up to an edge that cuts it: one that it
+    touches, or reaches without a letter or digit between."""
+    return (start if start > 0 and not _ALNUM.search(text, start, a) else a,
+            end if end < len(text) and not _ALNUM.search(text, b, end) else b)
+
+
+def _wider(texts: list[str], cut: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text number, window, part) for the parts of spans that edges cut;
+    parts that overlap count as one span's."""
+    runs: list[list[int]] = []
+    for i, a, b in sorted(set(cut)):
+        if runs and runs[-1][0] == i and a <= runs[-1][2] and len(_digits(texts[i][runs[-1][1]:b])) <= 19:
+            runs[-1][2] = max(runs[-1][2], b)
+        else:
+            runs.append([i, a, b])
+    for i, a, b in runs:
+        pad = max(WINDOW // 2, 2 * (b - a))
+        yield i, max(a - pad, 0), min(b + pad, len(texts[i])), a, b
+
+
 def _plausible(kind: int, text: str) -> bool:
     d = _digits(text)
     if kind == 0:
@@ -189,21 +241,44 @@ def reconcile(found: set[Span], base: list[Span]) -> list[Span]:
     return kept
 
 
+def _decoded(texts: list[str], todo: list[tuple[int, int, int, int, int]], tagger: Tagger) -> Iterator[tuple[tuple[int, int, int, int, int], np.ndarray]]:
+    """Each window with its tags; windows of like width are decoded together."""
+    todo = sorted(todo, key=lambda w: (w[2] - w[1], w))
+    k = 0
+    while k < len(todo):
+        stop = k + 1
+        while stop < len(todo) and (stop + 1 - k) * (todo[stop][2] - todo[stop][1]) <= ROWS * WINDOW:
+            stop += 1
+        part = todo[k:stop]
+        x = np.zeros((len(part), part[-1][2] - part[-1][1]), dtype=np.int8)
+        for row, (i, s, e, *_) in zip(x, part, strict=True):
+            row[:e - s] = classes(texts[i][s:e])
+        for window, tags in zip(part, tagger.decode(x.astype(np.int64), _barred()), strict=True):
+            yield window, tags[:window[2] - window[1]]
+        k = stop
+
+
 def tagged_spans(texts: list[str], tagger: Tagger) -> list[set[Span]]:
     """Spans that the tagger finds in each text, before reconciling."""
     found: list[set[Span]] = [set() for _ in texts]
-    todo = [(i, s, e) for i, text in enumerate(texts) for s, e in windows(text)]
-    for k in range(0, len(todo), ROWS):
-        part = todo[k:k + ROWS]
-        x = np.zeros((len(part), max(e - s for _, s, e in part)), dtype=np.int8)
-        for row, (i, s, e) in zip(x, part, strict=True):
-            row[:e - s] = classes(texts[i][s:e])
-        for tags, (i, s, e) in zip(tagger.decode(x.astype(np.int64), _barred()), part, strict=True):
-            for kind, a, b in _spans_of(tags[:e - s]):
-                if (a == 0 and s > 0) or (s + b == e < len(texts[i])):
-                    continue  # cut by the window's edge; windows overlap by more than any span but absurd ones
-                if _plausible(kind, texts[i][s + a:s + b]):
-                    found[i].add((kind, s + a, s + b))
+    whole: list[set[Span]] = [set() for _ in texts]  # those that no edge may have cut
+    todo = [(i, s, e, s, e) for i, text in enumerate(texts) for s, e in {*windows(text), *addresses(text)}]
+    while todo:
+        cut = []
+        for (i, s, e, low, high), tags in _decoded(texts, todo, tagger):
+            for kind, a, b in _spans_of(tags):
+                a, b = s + a, s + b
+                fits = _plausible(kind, texts[i][a:b])
+                if fits and not (a == s > 0 or b == e < len(texts[i])):
+                    found[i].add((kind, a, b))
+                first, last = _to_edges(texts[i], a, b, s, e)
+                if first == s > 0 or last == e < len(texts[i]):
+                    if first < high and low < last and _may_grow(kind, texts[i][first:last]):
+                        cut.append((i, first, last, a, b))
+                elif fits:
+                    whole[i].add((kind, a, b))
+        left = [(i, low, high) for i, low, high, a, b in cut if not any(s <= a and b <= e for _, s, e in whole[i])]
+        todo = list(_wider(texts, left))  # each part is over twice as long as the one before, so this ends
     return found
 
 
@@ -230,9 +305,12 @@ def _written(rng: np.random.Generator, words: list[str]) -> tuple[int | None, st
 
     pick = rng.integers(16)
     if pick < 3:
-        at = [" @ ", "(at)", " [at] ", "@"][rng.integers(4)]
+        at = [" @ ", "(at)", " [at] ", "@", " (at) ", "[at]"][rng.integers(6)]
         dot = [".", "[.]", " [dot] ", "."][rng.integers(4)]
-        return 0, f"{word()}{['.', '_', ''][rng.integers(3)]}{num(rng.integers(0, 3))}{at}{word()}{dot}{['com', 'org', 'net'][rng.integers(3)]}"
+        local = [".", "_", "", "-"][rng.integers(4)].join(word()[:WORD] for _ in range([1, 1, 2, 3, 4][rng.integers(5)]))
+        labels = ["-".join(word()[:WORD] for _ in range([1, 1, 2, 3][rng.integers(4)])) for _ in range([1, 1, 2, 3][rng.integers(4)])]
+        labels.append(["com", "org", "net", "edu", "de", "ac.uk"][rng.integers(6)])
+        return 0, f"{local}{['.', '_', ''][rng.integers(3)]}{num(rng.integers(0, 3))}{at}{dot.join(labels)}"
     if pick < 5:
         return 1, ["{}.{}.{}.{}", "{}[.]{}[.]{}[.]{}", "{} . {} . {} . {}"][rng.integers(3)].format(*rng.integers(1, 256, 4))
     if pick < 7:
@@ -255,15 +333,16 @@ def training_rows(texts: list[str], seed: int = 7, written: int = 3) -> tuple[np
     for text in texts:
         base = base_spans(text)
         for s, e in windows(text):
-            rows.append((text[s:e], [(k, a - s, b - s) for k, a, b in base if s <= a and b <= e]))
-    for _ in range(written * max(len(texts), 100)):
+            rows.append((text[s:e], [(k, max(a, s) - s, min(b, e) - s) for k, a, b in base if a < e and s < b]))
+    for _ in range(written * max(len(texts), 500)):
         kind, made = _written(rng, words)
         before = " ".join(words[i] for i in rng.integers(0, len(words), 4))[-30:] + " "
         after = [" ", ".", ", ", "\n", " "][rng.integers(5)] + " ".join(words[i] for i in rng.integers(0, len(words), 4))[:20]
         rows.append((before + made + after, [] if kind is None else [(kind, len(before), len(before) + len(made))]))
-    x, y = np.zeros((len(rows), WINDOW), dtype=np.int64), np.zeros((len(rows), WINDOW), dtype=np.int64)
+    wide = min(max(len(text) for text, _ in rows), 2 * WINDOW)
+    x, y = np.zeros((len(rows), wide), dtype=np.int64), np.zeros((len(rows), wide), dtype=np.int64)
     for i, (text, spans) in enumerate(rows):
-        x[i, :len(text[:WINDOW])] = classes(text[:WINDOW])
+        x[i, :len(text[:wide])] = classes(text[:wide])
         for k, a, b in spans:
             y[i, a:a + 1], y[i, a + 1:b] = 1 + 2 * k, 2 + 2 * k
     return x, y
