@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetrina.llm import decontaminate, embeddings, extract_html, langid, packing, pii, quality, shard, simhash, warc
+from vetrina.llm import align, decontaminate, embeddings, extract_html, langid, negatives, packing, pii, quality, secrets, shard, simhash, warc
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -35,6 +35,9 @@ QUERIES = {name: importable(query) for name, query in {
     "op8_embeddings": embeddings.query,
     "op9_pii": pii.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_align": align.query,
+    "op12_secrets": secrets.query,
+    "op13_negatives": negatives.query,
 }.items()}
 
-ORACLES = {"op8_embeddings": embeddings.ORACLE}
+ORACLES = {"op8_embeddings": embeddings.ORACLE, "op13_negatives": negatives.ORACLE}
