@@ -181,3 +181,41 @@ def test_stream_rejects(spark, tmp):
     spark.createDataFrame(rows, "url string, status int, html string").write.parquet(f"{tmp}/src")
     ST.ingest_rejects(spark, f"{tmp}/src", f"{tmp}/bad", f"{tmp}/ckpt").awaitTermination()
     assert sorted((r["url"], r["reason"]) for r in spark.read.parquet(f"{tmp}/bad").collect()) == [("u1", "status"), ("u2", "json")]
+
+
+def test_triples_at_any_depth(spark):
+    from vetrina.operators import triples as TR
+    doc = {"@graph": [{"@id": "http://n", "a": {"b": [{"c": {"d": {"e": {"f": {"@id": "http://x", "g": {"h": 1}}}}}}, 2]}}, {"@id": "http://m", "a": 1}]}
+    t = {tuple(r) for r in TR.to_triples(_nodes(spark, [doc])).collect()}
+    by = {p.rpartition("/")[2]: (s, o, k) for s, p, o, k, _ in t if p != TR.SCHEMA + "a" and p != TR.SCHEMA + "b"}
+    assert set(by) == set("cdefgh") and by["g"][0] == "http://x" and by["h"][1:] == ("1", "literal") and by["f"][1:] == ("http://x", "iri")
+    for upper, lower in ("cd", "de", "ef", "gh"):  # each blank node is the next triple's subject
+        assert by[upper][1] == by[lower][0]
+    assert len(t) == 2 + 2 + 6
+    assert TR.to_triples(_nodes(spark, [{"@graph": []}])).collect() == []
+
+
+def test_lines_of_split_files(spark, tmp):
+    """A file of many splits keeps its order and its line numbers."""
+    os.makedirs(f"{tmp}/c")
+    for name, n in (("a", 5000), ("b", 3), ("c", 0)):
+        with open(f"{tmp}/c/{name}.csv", "w") as f:
+            f.write("".join(f"{i % 7},{name}{i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = spark.read.schema("k int, v string").csv(f"{tmp}/c")
+        assert df.rdd.getNumPartitions() > 5
+        last = E.latest_by_key(E.with_position(df), "k", order=["_pos"], columns=["v"]).collect()
+        assert {r["k"]: r["v"] for r in last} == {0: "b0", 1: "b1", 2: "b2", **{k: f"a{max(i for i in range(5000) if i % 7 == k)}" for k in (3, 4, 5, 6)}}
+        assert all(int(r["v"][1:]) == r["line"] for r in E.with_line_number(df).collect())
+        assert E.with_line_number(df).count() == 5003
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_labels_of_two_words(spark):
+    from vetrina.operators import labels as L
+    docs = spark.createDataFrame([(1, "uno Speziato, leggero!"), (2, "leggero speziato"), (3, "speziato"), (4, None), (5, ""), (6, "molto speziato leggero fresco dolce")], "id int, text string")
+    lex = spark.createDataFrame([("speziato leggero", "S"), ("Fresco", "F"), ("fresco dolce amaro", "A"), ("", "E"), ("!", "E")], "term string, label string")
+    got = {(r["id"], r["label"]): r["score"] for r in L.tag_labels(docs, lex, ["S", "F", "A", "E"]).collect()}
+    assert {k for k, v in got.items() if v} == {(1, "S"), (6, "S"), (6, "F")} and len(got) == 24

@@ -175,3 +175,31 @@ def test_top_pairs_tie_c10(spark):
     df = spark.createDataFrame([(i, l) for i, l in enumerate(labels)], "id long, labels array<string>")
     got = [r["pair"] for r in L.top_pairs(L.pair_counts(df, domain=None), 10).collect()]
     assert got == [f"a {chr(ord('b') + i)}" for i in range(10)]
+
+
+def test_only_elements_are_blocks_b2(spark):
+    def block(n):
+        return '{"@graph":[{"@type":"Product","@id":"%s"}]}' % n
+
+    html = (f'<!-- <script type="application/ld+json">{block("comment")}</script> --><script data-type="application/ld+json">{block("data")}</script>'
+            f'<script type="application/ld+json-patch">{block("patch")}</script><a title=\'<script type="application/ld+json">{block("quoted")}</script>\'>x</a>'
+            f'<script>var s = \'<script type="application/ld+json">{block("in script")}\';</script><textarea><script type="application/ld+json">{block("raw")}</script></textarea>'
+            f'<!--><script id="a>b" async TYPE=application/ld+json>{block("good")}</script ><script type="a" type="application/ld+json">{block("last")}</script>'
+            f'<p it\'s><script type = "application/ld+json" defer>{block("spaced")}</SCRIPT><script type="application/ld+json">{block("open")}')
+    pages = spark.createDataFrame([("u", 200, html), ("e", 200, ""), ("n", 200, None)], "url string, status int, html string")
+    blocks = X.ld_json_blocks(pages).collect()
+    assert [(r["url"], r["block"]) for r in blocks] == [("u", 0), ("u", 1), ("u", 2), ("u", 3)]
+    assert [r["id"] for r in X.extract_products(pages)[0].orderBy("block").collect()] == ["good", "last", "spaced", "open"]
+
+
+def test_html_tokens_b7(spark):
+    pages = ['<a title="x>y">z</a>', "<p it's>don't</p>", "a<!-->b<!--->c<!-- > -->d<!-- x --!>e", "<a href=x>1</a><a b='>'>2", '<a t="open>x', "3 < 4 > 2 <5",
+             "<style media='>'>p{}</style>s<script>'</p>'</scripty></script >t", "<div " + "a='b' " * 5000 + ">x", "<a " + "=" * 20000 + ">y"]
+    assert one(spark, T.html_to_text, pages) == ["z", "don't", "a b c d e", "1 2", "x", "3 < 4 > 2 <5", "s t", "x", "y"]
+
+
+def test_references_like_the_standard_b7(spark):
+    from html import unescape
+    text = ["&copy 2020 &nbsp x", "&#146;&#x80;&#129;&#150", "&notit; &notin; &copyx &COPY &amp&amp", "&#65 &#x41g &#x; &#; &# &", "&lt;p&gt; &quot;&apos;", "&#1;&#11;&#127;&#xFFFE;&#xFDD0;&#13;",
+            "&#99999999999999999999; &#x110000; &#0000000065;", "&aacute&eacute;&Eacutex", "&fjlig; &NotEqualTilde; &thetasym;", "a&b=c&amp;d&lang=x", "&" * 500, "&zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz;"]
+    assert one(spark, T.char_references, text) == [unescape(t) for t in text]

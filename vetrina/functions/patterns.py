@@ -4,8 +4,19 @@ Fixed values: these patterns decide which inputs are accepted, so they are
 kept together here, in plain text.
 """
 
-# Body of every <script type="application/ld+json"> element, any case, any quote.
-LD_JSON_BLOCK = r'''(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>'''
+# One token of HTML after the other, so that what looks like a tag in a comment,
+# a raw element or a quoted value is no tag. Quotes delimit a value only, after
+# "=". Possessive and lazy repetition keep the JVM stack flat.
+_INSIDE = r'''(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+'''
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\z))"
+_TAG = rf"<[a-z/!?]{_INSIDE}>"
+# Group 1: attributes, ">" and body of a script element; empty for other tokens.
+HTML_SCRIPT = (rf"(?is)<script(?=[\s/>])({_INSIDE}>.*?)(?:</script(?=[\s/>])|\z)|{_COMMENT}|"
+               rf"<(style|title|textarea|xmp|iframe|noembed|noframes)(?=[\s/>]){_INSIDE}>.*?(?:</\2(?=[\s/>])|\z)|{_TAG}")
+# The attributes of such a script and its body; an attribute's name and value.
+SCRIPT_PARTS = rf"(?s)\A({_INSIDE})>(.*)\z"
+ATTRIBUTE = r'''([^\s/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'][^\s]*))?'''
+LD_JSON = "application/ld+json"
 
 # A capacity in a product title: digits, optional space, "ml" in any case.
 # (?U) gives Unicode digits and spaces, like Python's str patterns.
@@ -32,12 +43,11 @@ SLOT_PRICE = r"\A< \d+\z"
 # Price phrase of a keyword query ("minori di 30 euro", "meno di 30 euro").
 PRICE_PHRASE = r"(?i)\b(?:minori|meno)\s+di\s+(\d+)(?:\s+euro)?\b"
 
-# HTML to text. A block that isn't closed runs to the end of the page. The
-# possessive run of tags keeps the JVM stack flat on pages with many tags.
-HTML_DROP_BLOCKS = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
-HTML_TAG_RUN = r"(?:<[A-Za-z/!?][^>]*>)++"
-# A character reference at the start of what follows an ampersand.
-CHAR_REFERENCE = r"\A(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# HTML to text: runs of comments, scripts, styles and tags. A block that isn't
+# closed runs to the end of the page.
+HTML_RUN = rf"(?is)(?:{_COMMENT}|<(script|style)(?=[\s/>]){_INSIDE}(?:>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\z)|\z)|\z)|{_TAG})++"
+# A character reference at the start of what follows an ampersand, with or without its semicolon.
+CHAR_REFERENCE = r"\A(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[^\t\n\f <&#;]{1,32};?)"
 TRIM_WS = r"\A[ \t\n\r\f]+|[ \t\n\r\f]+\z"
 
 # Suffix that the shop appends to product node ids.

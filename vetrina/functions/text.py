@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import zlib
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -41,34 +43,63 @@ def trim_ws(s) -> Column:
 
 
 def _code_point(number: Column) -> Column:
-    """The character of a code point; U+FFFD for one that has none."""
-    good = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    raw = F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(F.lit(0xFFFD))), 8, "0"))
-    return F.decode(raw, "UTF-32")
+    """The character that a numeric reference stands for: of 128 to 159 the
+    Windows one, U+FFFD for zero, surrogates and numbers past the last code
+    point, nothing for other controls and non-characters."""
+    windows = F.array(*(F.lit(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(0x80, 0xA0)))
+    raw = F.unhex(F.lpad(F.hex(number), 8, "0"))
+    none = (number.between(1, 8) | number.isin(0xB, 0x7F) | number.between(0xE, 0x1F) | number.between(0xFDD0, 0xFDEF)
+            | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
+    return (F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), F.lit("\ufffd"))
+             .when(number.between(0x80, 0x9F), F.element_at(windows, (number - 0x7F).cast("int")))
+             .when(none, F.lit("")).otherwise(F.decode(raw, "UTF-32")))
+
+
+#: Slots of the table of named references; about two names share one.
+_NAME_SLOTS = 1024
+#: The longest name that counts without its semicolon, also as a prefix.
+_LONGEST_BARE = max(len(k) for k in html5 if not k.endswith(";"))
+
+
+def _named() -> Callable[[Column], Column]:
+    """Look-up of a reference's name (with its semicolon, if it has one): a
+    hashed table, one constant of the plan."""
+    slots: list[dict[str, str]] = [{} for _ in range(_NAME_SLOTS)]
+    for name, value in html5.items():
+        slots[zlib.crc32(name.encode()) % _NAME_SLOTS][name] = value
+    table = F.from_json(F.lit(json.dumps(slots)), "array<map<string,string>>")
+    return lambda name: F.try_element_at(F.element_at(table, (F.crc32(name.cast("binary")) % _NAME_SLOTS + 1).cast("int")), name)
 
 
 def char_references(s) -> Column:
     """Decimal, hexadecimal and named (HTML5) character references decoded,
-    each once; anything else after an ampersand stays. The names are the
-    standard table; it is one constant of the plan."""
-    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    each once; names that may lack their semicolon also as the longest prefix
+    of what follows. Anything else after an ampersand stays."""
+    named = _named()
+
+    def numeric(ref):
+        digits = F.regexp_extract(ref, r"\A#[xX]?0*([0-9A-Fa-f]*)", 1)
+        number = F.when(F.length(digits) > 7, F.lit(1 << 30)).when(ref.rlike("\\A#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(
+            F.when(digits == "", F.lit(0)).otherwise(digits.cast("long")))
+        return _code_point(F.coalesce(number, F.lit(0)))
+
+    def prefix(ref, n):
+        value = named(F.substring(ref, 1, n))
+        return F.when(F.length(ref) > n, F.concat(value, F.substring(ref, n + 1, 33)))
 
     def part(x):
         ref = F.regexp_extract(x, P.CHAR_REFERENCE, 1)
-        char = (F.when(ref.rlike("^#[xX]"), _code_point(F.conv(F.substring(ref, 3, 8), 16, 10).cast("long")))
-                 .when(ref.startswith("#"), _code_point(F.substring(ref, 2, 8).cast("long")))
-                 .when(ref != "", F.try_element_at(names, ref)))
-        return F.coalesce(F.concat(char, F.substring(x, F.length(ref) + 2, F.length(x))), F.concat(F.lit("&"), x))
+        char = F.when(ref.startswith("#"), numeric(ref)).when(ref != "", F.coalesce(named(ref), *(prefix(ref, n) for n in range(_LONGEST_BARE, 1, -1))))
+        return F.coalesce(F.concat(char, F.substring(x, F.length(ref) + 1, F.length(x))), F.concat(F.lit("&"), x))
 
     parts = F.split(_c(s), "&", -1)
     return F.when(_c(s).contains("&"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), part), ""))).otherwise(_c(s))
 
 
 def html_to_text(html) -> Column:
-    """Drop comments, scripts and styles; each run of tags becomes one
-    space; decode character references; trim the ends. Non-HTML text passes."""
-    s = F.regexp_replace(_c(html), P.HTML_DROP_BLOCKS, "<!>")
-    return trim_ws(char_references(F.regexp_replace(s, P.HTML_TAG_RUN, " ")))
+    """Each run of comments, scripts, styles and tags becomes one space;
+    character references are decoded and the ends trimmed. Non-HTML text passes."""
+    return trim_ws(char_references(F.regexp_replace(_c(html), P.HTML_RUN, " ")))
 
 
 def parse_cap(price) -> Column:

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
-from ..session import cut_lineage
+from ..session import bounded_broadcast, cut_lineage
 from .extract import node_id
 
+
 def attach_facts(catalogue: DataFrame, facts: DataFrame, left_on: str = "permalink",
                  right_on: str = "link") -> DataFrame:
     """Catalogue left join facts; duplicate facts multiply rows; NULL
@@ -53,9 +54,28 @@ def latest_by_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
 
 
 def with_position(df: DataFrame) -> DataFrame:
-    """Row position of a file-based table: (file path, row index)."""
-    return df.withColumn("_pos", F.struct(F.col("_metadata.file_path").alias("file"),
-                                          F.col("_metadata.row_index").alias("row")))
+    """Row position of a file-based table, which sorts rows as the files have
+    them: (file path, row index) where the format counts rows, else (file
+    path, start of the split, number that rises within the split), as for CSV,
+    JSON and text. Take it before filters, on the table as it was read."""
+    path = F.col("_metadata.file_path").alias("file")
+    if "row_index" in df.select("_metadata").schema["_metadata"].dataType.names:
+        return df.withColumn("_pos", F.struct(path, F.col("_metadata.row_index").alias("row")))
+    return df.withColumn("_pos", F.struct(path, F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")))
+
+
+def with_line_number(df: DataFrame, name: str = "line") -> DataFrame:
+    """``df``, a table as it was read from line-based files, with each row's
+    number in its file, from 0. Rows are counted per split, and a split's
+    first number is the sum of those before it; no file is read as a whole by
+    one task, and the only sorted table has a row per split."""
+    placed = cut_lineage(with_position(df), "lines")
+    first = placed.groupBy(F.col("_pos.file").alias("_file"), F.col("_pos.split").alias("_split")).agg(
+        F.min("_pos.row").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = first.select("_file", "_split", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = placed.join(bounded_broadcast(starts), (F.col("_pos.file") == F.col("_file")) & (F.col("_pos.split") == F.col("_split")))
+    return numbered.select(*df.columns, (F.col("_pos.row") + F.col("_shift")).alias(name))
 
 
 def _attributes(attrs: DataFrame, key: str, capacity: str, scent: str, category: str,

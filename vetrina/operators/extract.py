@@ -30,9 +30,22 @@ def ok_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ld_json_blocks(pages: DataFrame) -> DataFrame:
-    """B2: (url, block, body) for every ld+json script, in document order."""
-    blocks = F.regexp_extract_all(F.col("html"), F.lit(P.LD_JSON_BLOCK), 1)
-    return pages.select("url", F.posexplode(blocks).alias("block", "body"))
+    """B2: (url, block, body) for every script element whose type attribute
+    (the last, if it repeats) is ld+json, in document order. Comments, raw
+    elements and quoted values hold no elements; a script that isn't closed
+    runs to the end of the page."""
+    scripts = F.regexp_extract_all(F.col("html"), F.lit(P.HTML_SCRIPT), 1)
+
+    def is_ld_json(script: Column) -> Column:
+        inside = F.regexp_extract(script, P.SCRIPT_PARTS, 1)
+        names = F.regexp_extract_all(inside, F.lit(P.ATTRIBUTE), 1)
+        values = F.regexp_extract_all(inside, F.lit(P.ATTRIBUTE), 2)
+        types = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda a: F.lower(a["name"]) == "type")
+        return F.regexp_replace(F.try_element_at(types, F.lit(-1))["value"], r"""\A["']|["']\z""", "") == P.LD_JSON
+
+    blocks = F.filter(scripts, lambda s: s.contains(P.LD_JSON) & is_ld_json(s))
+    return pages.select("url", F.posexplode(blocks).alias("block", "script")).select(
+        "url", "block", F.regexp_extract("script", P.SCRIPT_PARTS, 2).alias("body"))
 
 
 def parse_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:

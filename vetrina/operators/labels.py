@@ -153,16 +153,28 @@ def tag_labels(docs: DataFrame, lexicon: DataFrame, labels: Sequence[str] = tupl
                text: str = "text") -> DataFrame:
     """C2 (re-aimed): lexicon multi-label tagger.
 
-    ``lexicon`` is (term, label); a document has a label when any of the
-    label's terms is one of its tokens. (key, label, score), one row per
-    document and label of the domain: a document without hits, also one
-    without any text, is the zero vector. The lexicon is a fixed vocabulary,
-    broadcast after a size check; a text costs one row per distinct term, and
-    its labels (bounded by the domain) are gathered by a partial aggregation.
+    ``lexicon`` is (term, label); a document has a label when the words of
+    any of the label's terms follow each other among its tokens. (key, label,
+    score), one row per document and label of the domain: a document without
+    hits, also one without any text, is the zero vector.
+
+    The lexicon is a fixed vocabulary, broadcast after a size check and joined
+    by each term's first word; the rest is verified in place, against the few
+    tokens (as many as the longest term has) that a row carries. A text costs
+    one row per distinct run of that many tokens, and its labels (bounded by
+    the domain) are gathered by a partial aggregation.
     """
-    toks = docs.select(key, F.explode_outer(F.array_distinct(T.tokens(F.col(text)))).alias("term"))
-    lex = lexicon.select(F.lower("term").alias("term"), "label").where(F.col("label").isin(*labels)).distinct()
-    found = (toks.join(bounded_broadcast(lex), "term", "left")
+    lex = lexicon.select(T.tokens(F.col("term")).alias("words"), "label").where(F.col("label").isin(*labels) & (F.size("words") > 0)).distinct()
+    longest = lex.agg(F.max(F.size("words"))).first()[0] or 1
+    toks = T.tokens(F.col(text))
+    if longest == 1:
+        runs = docs.select(key, F.explode_outer(F.array_distinct(toks)).alias("term"))
+        hit = F.col("term") == F.col("words")[0]
+    else:
+        runs = docs.select(key, toks.alias("toks")).select(key, F.explode_outer(F.array_distinct(F.transform(
+            "toks", lambda _, i: F.slice("toks", i + 1, longest)))).alias("run")).select(key, F.try_element_at("run", F.lit(1)).alias("term"), "run")
+        hit = (F.col("term") == F.col("words")[0]) & (F.slice("run", 1, F.size("words")) == F.col("words"))
+    found = (runs.join(bounded_broadcast(lex), hit, "left")
                  .groupBy(key).agg(F.collect_set("label").alias("found")))
     vector = F.array(*[F.struct(F.lit(x).alias("label"), F.array_contains("found", x).cast("int").alias("score"))
                        for x in labels])

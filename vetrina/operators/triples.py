@@ -3,13 +3,15 @@
 Every key of a node becomes a triple: scalars are literals with the data type
 of their JSON value, ``@type`` gives ``rdf:type``, an object is the node that
 its ``@id`` names or else a blank node with triples of its own, and a list
-gives each of its items. Objects nest up to ``DEPTH`` levels.
+gives each of its items. Objects nest to any depth: one expression takes
+``DEPTH`` levels at once, and objects below them are the next round's nodes,
+until a round leaves none.
 
 Blank node ids are a hash of source, block, position and path, so they are
 stable under task retries (never ``monotonically_increasing_id``). ``distinct``
 then gives RDF set semantics: equal literal triples of one IRI collapse, blank
-nodes of different copies do not. One projection + one explode + one
-aggregation.
+nodes of different copies do not. A round is one projection and one explode;
+one aggregation follows them all.
 """
 
 from __future__ import annotations
@@ -17,21 +19,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SCHEMA = "http://schema.org/"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 DEPTH = 3
 
-_T = "array<struct<s:string,p:string,o:string,o_kind:string,o_type:string>>"
+_TRIPLE = ["s", "p", "o", "o_kind", "o_type"]
+_T = "array<struct<s:string,p:string,o:string,o_kind:string,o_type:string,path:string,rest:variant>>"
 
 
 def _bnode(*path: Column) -> Column:
     return F.concat(F.lit("_:b"), F.substring(F.sha2(F.concat_ws("|", *path), 256), 1, 32))
 
 
-def _triple(s: Column, p: Column, o: Column, kind: str | Column, type_: Column | None = None) -> Column:
+def _triple(s: Column, p: Column, o: Column, kind: str | Column, type_: Column | None = None, path: Column | None = None,
+            rest: Column | None = None) -> Column:
+    """A triple; with ``rest``, its object's fields are still to be read, from there."""
     return F.struct(s.alias("s"), p.alias("p"), o.alias("o"), (F.lit(kind) if isinstance(kind, str) else kind).alias("o_kind"),
-                    (F.lit(None).cast("string") if type_ is None else type_).alias("o_type"))
+                    (F.lit(None).cast("string") if type_ is None else type_).alias("o_type"),
+                    (F.lit(None).cast("string") if path is None else path).alias("path"),
+                    (F.lit(None).cast("variant") if rest is None else rest).alias("rest"))
 
 
 def _iri(name: Column) -> Column:
@@ -54,8 +63,11 @@ def _of_value(s: Column, key: Column, value: Column, path: Column, depth: int) -
     text = F.try_variant_get(value, "$", "string")
     ref = F.try_variant_get(value, '$["@id"]', "string")
     child = F.coalesce(ref, _bnode(path))
-    link = F.array(_triple(s, _iri(key), child, F.when(ref.isNotNull(), F.lit("iri")).otherwise(F.lit("bnode"))))
-    nested = F.concat(link, _of_fields(child, fields, path, depth - 1)) if depth else link
+    kind = F.when(ref.isNotNull(), F.lit("iri")).otherwise(F.lit("bnode"))
+    if depth:
+        nested = F.concat(F.array(_triple(s, _iri(key), child, kind)), _of_fields(child, fields, path, depth - 1))
+    else:
+        nested = F.array(_triple(s, _iri(key), child, kind, path=path, rest=value))
     scalar = F.when(text.isNotNull(), F.array(_triple(s, _iri(key), text, "literal", _data_type(value))))
     type_ = F.when(text.isNotNull(), F.array(_triple(s, F.lit(RDF_TYPE), _iri(text), "iri")))
     return F.coalesce(F.when(key == "@type", type_).when(fields.isNotNull(), nested).otherwise(scalar), F.array().cast(_T))
@@ -69,11 +81,19 @@ def _of_fields(s: Column, fields: Column, path: Column, depth: int) -> Column:
 
 def to_triples(nodes: DataFrame) -> DataFrame:
     """Node rows (src, block, pos, node VARIANT) -> distinct triples
-    (s, p, o, o_kind, o_type); a node without ``@id`` is a blank node."""
+    (s, p, o, o_kind, o_type); a node without ``@id`` is a blank node. Each
+    round is written, as the next one reads the objects that it leaves."""
     path = F.concat_ws("|", F.col("src").cast("string"), F.col("block").cast("string"), F.col("pos").cast("string"))
     subject = F.coalesce(F.try_variant_get("node", '$["@id"]', "string"), _bnode(path, F.lit("")))
+    level = nodes.select(subject.alias("s"), path.alias("path"), "node")
     fields = F.try_variant_get("node", "$", "map<string,variant>")
-    return nodes.select(F.inline(_of_fields(subject, fields, path, DEPTH - 1))).distinct()
+    done = None
+    while True:
+        rows = cut_lineage(level.select(F.inline(_of_fields(F.col("s"), fields, F.col("path"), DEPTH - 1))), "triples")
+        done = rows.select(*_TRIPLE) if done is None else done.unionAll(rows.select(*_TRIPLE))
+        level = rows.where("rest IS NOT NULL").select(F.col("o").alias("s"), "path", F.col("rest").alias("node"))
+        if level.isEmpty():
+            return done.distinct()
 
 
 #: Characters that an N-Triples IRI may not hold, and a literal's escapes.

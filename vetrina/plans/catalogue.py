@@ -19,7 +19,8 @@ Product pages (B1-B5): status 404 when k % 31 = 0; one JSON-LD block with an
 Organization and the Product node, except k % 23 = 0 (no block) and
 k % 17 = 0 (truncated JSON); ``@type`` is ``["Product"]`` when k % 13 = 0;
 a second, upper-case, single-quoted block holding the product again when
-k % 11 = 0. The page's own category is lower-case; the enrichment overwrites it.
+k % 11 = 0; what only looks like a block, in a comment when k % 19 = 0, with
+other attributes and in a quoted value when k % 29 = 0. The page's own category is lower-case; the enrichment overwrites it.
 
 Offers (E8): one per lineitem, see ``offers``.
 
@@ -129,8 +130,13 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('<script type="application/ld+json">'), doc, F.lit("</script>")))
     block2 = F.when(k % 11 == 0, F.concat(
         F.lit("<SCRIPT type='application/ld+json'>\n{\"@graph\":["), node, F.lit("]}\n</SCRIPT>"))).otherwise(F.lit(""))
+    ghost = '{"@graph":[{"@type":"Product","@id":"ghost"}]}</script>'
+    faults = F.concat(
+        F.when(k % 19 == 0, F.lit(f'<!-- <script type="application/ld+json">{ghost} -->')).otherwise(F.lit("")),
+        F.when(k % 29 == 0, F.lit(f'<script data-type="application/ld+json">{ghost}<script type="application/ld+json-patch">{ghost}'
+                                  f"<img alt='<script type=\"application/ld+json\">{ghost}' title=\"a>b\">")).otherwise(F.lit("")))
     html = F.concat(
-        F.lit("<!DOCTYPE html><html><head><title>"), title, F.lit("</title>"), block1,
+        F.lit("<!DOCTYPE html><html><head><title>"), title, F.lit("</title>"), faults, block1,
         F.lit('<script>var t="</p>";</script></head><body><h1>'), title, F.lit("</h1><div><p>"),
         F.col("p_name"), F.lit("</p><p>"), F.col("p_type"), F.lit(" &amp; "), F.col("p_brand"),
         F.lit("</p></div>"), block2, F.lit("</body></html>"))

@@ -695,6 +695,24 @@ def q_label_tagger(spark, sf):
     return L.tag_labels(docs, _lexicon(spark), ["en", "fr", "de", "es"], key="doc_id", text="text")
 
 
+#: Terms of one to three words; the documents' tokens decide which occur.
+PHRASE_LEXICON = [("of the", "en"), ("in the", "en"), ("and", "en"), ("de la", "fr"), ("et les", "fr"), ("in der", "de"), ("und die", "de"),
+                  ("und das die", "de"), ("de los", "es"), ("y el", "es"), ("que", "es")]
+
+_PHRASE_VALUES = ", ".join(f"('{t}', '{l}')" for t, l in PHRASE_LEXICON)
+
+
+@register("label_phrases", f"""
+SELECT d.doc_id, x.label, max(CAST(contains(toks, ' ' || x.term || ' ') AS INT)) AS score
+FROM (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{Nd}}#&'']+'), lambda t: t <> ''), ' ') || ' ' AS toks
+      FROM documents) d
+JOIN (VALUES {_PHRASE_VALUES}) x(term, label) ON TRUE GROUP BY d.doc_id, x.label""")
+def q_label_phrases(spark, sf):
+    """C2 with terms of several words."""
+    lexicon = spark.createDataFrame(PHRASE_LEXICON, "term string, label string")
+    return L.tag_labels(C.table(spark, sf, "documents"), lexicon, ["en", "fr", "de", "es"], key="doc_id", text="text")
+
+
 @register("unlabelled_only", """
 SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def q_unlabelled_only(spark, sf):
@@ -777,6 +795,31 @@ def q_triples(spark, sf):
     return t.select(blank("s").alias("s"), "p", blank("o").alias("o"), "o_kind", "o_type")
 
 
+@register("triples_deep", """
+WITH k AS (SELECT p_partkey AS id, p_name AS name FROM part), base AS (SELECT 'http://schema.org/' AS u)
+SELECT 'http://node/' || id AS s, u || 'part' AS p, '_:' AS o, 'bnode' AS o_kind, NULL::VARCHAR AS o_type FROM k, base
+UNION ALL SELECT '_:', u || x, '_:', 'bnode', NULL FROM k, base, (SELECT unnest(['of', 'a', 'very', 'deep', 'deep']) AS x)
+UNION ALL SELECT '_:', u || 'tree', 'http://leaf/' || id, 'iri', NULL FROM k, base
+UNION ALL SELECT 'http://leaf/' || id, u || 'name', name, 'literal', NULL FROM k, base
+UNION ALL SELECT '_:', u || 'size', CAST(id AS VARCHAR), 'literal', 'http://www.w3.org/2001/XMLSchema#integer' FROM k, base, range(2)""")
+def q_triples_deep(spark, sf):
+    """B10 over nodes whose objects nest seven levels deep, one of them in a list."""
+    k = F.col("p_partkey")
+    leaf = F.struct(F.concat(F.lit("http://leaf/"), k).alias("@id"), F.col("p_name").alias("name"))
+    some = F.array(F.struct(leaf.alias("tree"), k.alias("size")), F.struct(F.lit(None).cast("struct<`@id`:string,name:string>").alias("tree"), k.alias("size")))
+    node = F.struct(some.alias("deep"))
+    for name in ("very", "a", "of", "part"):
+        node = F.struct(node.alias(name))
+    body = F.struct(F.concat(F.lit("http://node/"), k).alias("@id"), node["part"].alias("part"))
+    nodes = C.table(spark, sf, "part").select(F.lit("deep").alias("src"), F.lit(0).alias("block"), k.alias("pos"), F.parse_json(F.to_json(body)).alias("node"))
+    t = TR.to_triples(nodes)
+
+    def blank(c):
+        return F.when(F.col(c).startswith("_:"), F.lit("_:")).otherwise(F.col(c))
+
+    return t.select(blank("s").alias("s"), "p", blank("o").alias("o"), "o_kind", "o_type")
+
+
 # ---------------------------------------------------------------- A3b, A8
 
 from ..session import scratch_path as _scratch  # noqa: E402

@@ -35,6 +35,44 @@ def q_seed_table(spark, sf):
     return IO.read_seed(spark, path).select("permalink")
 
 
+def _csv_by_key(spark, sf):
+    """``part`` as CSV files that hold its rows in the order of p_partkey."""
+    path = scratch_path(spark, "ordered")
+    part = C.table(spark, sf, "part").select("p_partkey", "p_size", "p_name")
+    IO.write_table(part.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey"), path, fmt="csv")
+    return spark.read.option("header", True).schema("p_partkey bigint, p_size int, p_name string").csv(path)
+
+
+@register("csv_last_row", "SELECT p_size, p_partkey, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY p_partkey DESC) = 1")
+def q_csv_last_row(spark, sf):
+    """C13 by file order: of each size the last row of a CSV table."""
+    rows = E.with_position(_csv_by_key(spark, sf))
+    return E.latest_by_key(rows, "p_size", order=["_pos"], columns=["p_partkey", "p_name"])
+
+
+@register("csv_line_numbers", "SELECT p_partkey, p_partkey AS by_line FROM part")
+def q_csv_line_numbers(spark, sf):
+    """A1 by file order: a line's number in its file, and the key that it must have there."""
+    rows = E.with_line_number(_csv_by_key(spark, sf).withColumn("file", F.col("_metadata.file_path")))
+    least = rows.groupBy("file").agg(F.min("p_partkey").alias("first"))
+    return rows.join(least, "file").select("p_partkey", (F.col("first") + F.col("line")).alias("by_line"))
+
+
+@register("added_columns", C.sql_with() + "SELECT id, title, upper(brand) AS shout, length(title) AS width FROM cat")
+def q_added_columns(spark, sf):
+    """Derived columns next to the row that they come from."""
+    cat = C.catalogue(spark, sf).select("id", "title", "brand")
+    return X.add_columns(cat, F.upper("brand").alias("shout"), F.length("title").cast("bigint").alias("width")).drop("brand")
+
+
+@register("moved_column", C.sql_with() + """
+SELECT id, 'id,capacity,title,brand' AS columns, title, brand, capacity FROM cat""")
+def q_moved_column(spark, sf):
+    """``capacity`` at the second place; ``columns`` has the order."""
+    moved = X.move_column(C.catalogue(spark, sf).select("id", "title", "brand", "capacity"), "capacity", 1)
+    return moved.withColumn("columns", F.lit(",".join(moved.columns)))
+
+
 @register("graph_round_trip", _EXT + """
 SELECT type, id, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT 'Product' AS type, permalink || '/#richSnippet' AS id FROM ext
@@ -80,12 +118,13 @@ def q_triple_lines(spark, sf):
 # ---------------------------------------------------------------- B7, C14, E15 - E17
 
 @register("html_faults", """
-SELECT p_partkey AS id, p_name || ' \u00e0 \u20ac\u2019\u2019 &lt; &bogus;' AS text FROM part""")
+SELECT p_partkey AS id, p_name || ' \u00e0 \u20ac\u2019\u2019 &lt; &bogus; \u00a92020 \u2019 \u00acit;  z' AS text FROM part""")
 def q_html_faults(spark, sf):
-    """Pages with thousands of adjacent tags, character references and blocks left open."""
+    """Pages with thousands of adjacent tags, character references of all
+    kinds, tags' ends and comments in quoted values, and blocks left open."""
     k = F.col("p_partkey")
     html = F.concat(F.repeat(F.lit("<p>"), F.when(k % 100 == 0, 20000).otherwise(1)), "p_name",
-                    F.lit(" &agrave; &euro;&#8217;&#x2019; &amp;lt; &bogus;"),
+                    F.lit(" &agrave; &euro;&#8217;&#x2019; &amp;lt; &bogus; &copy2020 &#146; &notit; <a title=\"x>y\" data-a='<!--' it's>z</a>"),
                     F.when(k % 3 == 0, F.lit("<script>if (a<b) x")).otherwise(F.lit("</p><!-- end -->")))
     return C.table(spark, sf, "part").select(k.alias("id"), T.html_to_text(html).alias("text"))
 
