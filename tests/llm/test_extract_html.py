@@ -66,3 +66,45 @@ def test_small_table(spark):
         article = re.search("<article>(.*?)</article>", r.html, re.S)[1]
         plain = re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)>", " ", article))
         assert got[r.page_id] == " ".join(html.unescape(plain).split())
+
+
+def neutral(i, host="n.example"):
+    """A page whose chrome has neutral tags and names."""
+    return (i, f"https://{host}/{i}", f"<div class=x1><div class=y><p>Start here, then go there</p></div><div class=z>Story {i}<p>tells of {i} things</p></div>"
+            f"<div class=q>Read on <a href=/{i % 3}>part {i % 3}</a></div><section><p>All of us wish you well</p></section></div>")
+
+
+def brute(rows, min_pages):
+    """Which texts remain where blocks (given as their plain texts) that recur on ``min_pages`` contents go."""
+    def blocks(i):
+        return ["Start here, then go there", f"Story {i}", f"tells of {i} things", f"Read on part {i % 3}", "All of us wish you well"]
+
+    count = {}
+    for i in {r[0] for r in rows}:
+        for b in blocks(i):
+            count[b] = count.get(b, 0) + 1
+    return sorted(((r[0], " ".join(b for b in blocks(r[0]) if count[b] < min_pages)) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("packed", [1 << 20, -1])
+def test_neutral_chrome_goes_by_templates_alone(spark, packed):
+    rows = [neutral(i) for i in range(40)] + [neutral(i) for i in range(5)]
+    got = run(spark, rows, packed=packed)
+    assert got == brute(rows, h.MIN_PAGES) and all(t == f"Story {i} tells of {i} things" for i, t in got)
+    few = [neutral(i, "few.example") for i in range(4)]
+    assert run(spark, few, packed=packed) == brute(few, h.MIN_PAGES)
+
+
+def test_a_template_goes_however_large_the_host(spark):
+    rows = [(i, f"https://big.example/{i}", f"<div>{'<div>now and then</div>' if i < 6 else ''}<p>page {i}</p></div>") for i in range(1500)]
+    assert run(spark, rows) == sorted([(i, f"page {i}") for i in range(1500)], key=str)
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<nav>" + "<b>" * 400 + "x</nav><p>Body text</p>", "Body text"), ("<p>" + "<i>" * 50 + "a<p>b", "a b"),
+    ("<article><p>one</p></article><article><p>" + "two " * 50 + "</p></article><article class=teaser>no</article>", "one " + "two " * 49 + "two"),
+    ('<article><section class="search-results-study"><p>a</p></section><p class="notice-period">b</p><div class="share-price">c</div><div class="share">d</div></article>', "a b c"),
+    ('<div class="login-howto">how to</div><div class="site-header">h</div><div id="cookieBanner">c</div>', "how to"),
+    ('<article><div class="site-header">h</div><div class="social-share">s</div></article>', "h")])
+def test_names_and_depth(page, want):
+    assert text_of(page) == want

@@ -3,14 +3,21 @@
 Each page becomes a light element tree. Every block element's subtree (tag,
 class, id, text, children) is hashed, and Spark counts on how many pages of a
 host each hash recurs; pages with the same content count once, so a group of
-copies doesn't turn an article into a template. Subtrees that recur on at least
-``MIN_PAGES`` pages and a ``MIN_SHARE`` of the host's are deleted from them.
-Paragraph-level blocks inside an article are content and never deleted that way.
-
-What one page alone shows goes too: elements whose tag, role, class or id says
-menu, header, footer, sidebar, notice, advert, form, script or comment, unless
-they hold the article. Of the rest, the article (or main) element is the text,
-where a page has one.
+copies doesn't turn an article into a template. Subtrees that recur on
+``MIN_PAGES`` contents of a host, however many pages it has, are deleted from
+all its pages. Paragraph-level blocks inside an article are content and never
+deleted that way.
+
+Of what no other page repeats, elements go whose tag or role says menu, header,
+footer, sidebar, notice, advert, form, script or comment, unless they hold the
+article, or whose class or id is such a name as a whole: every word of it
+outside an article may be a common filler ("site-header"), inside none. Of the
+rest, all article (or else main) elements that aren't teasers or comments are
+the text, in page order, where a page has any.
+
+The templates of all hosts travel with the tasks while they are ``PACKED`` at
+most (8 bytes each), so no html is shuffled; beyond that they are joined to the
+pages whose text holds any.
 """
 
 from __future__ import annotations
@@ -19,16 +26,17 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetrina.llm.text import chunks, small_batches
+from vetrina.llm.text import chunks, mix, small_batches
 from vetrina.session import cut_lineage
 
 MIN_PAGES = 5
-MIN_SHARE = 0.01
+PACKED = 1 << 20
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe title textarea noembed noframes xmp".split())
@@ -41,6 +49,8 @@ _NAMES = frozenset("ad ads adv advert adverts advertisement sponsor sponsored pr
                    "notification alert newsletter subscribe subscription signup menu nav navbar navigation breadcrumb breadcrumbs sidebar widget "
                    "widgets related recommended share sharing social comment comments disqus replies respond footer header masthead popup modal "
                    "overlay toolbar pagination pager login search skip copyright disclaimer hidden".split())
+_FILLER = frozenset("site page main global top bottom left right inner outer box bar block area wrapper wrap container content section group list item "
+                    "items link links button buttons icon icons form post posts entry text column col row panel card primary secondary".split())
 _NOT_ARTICLE = frozenset("ad ads advert comment comments promo promoted recommended related replies reply sponsored teaser widget".split())
 _CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
            "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
@@ -70,7 +80,17 @@ def parse(page: str) -> Node:
     Time is linear in the page, and there is no recursion."""
     root = Node("#page")
     open_ = [root]
+    places: dict[str, list[int]] = {}  # open elements of each tag
+    blocks = [0]  # open elements that aren't inline
     at, tag_pattern = 0, _TAG
+
+    def close(i: int) -> None:
+        for node in open_[i:]:
+            places[node.tag].pop()
+        del open_[i:]
+        while blocks[-1] >= i:
+            blocks.pop()
+
     while at < len(page):
         less = page.find("<", at)
         if less < 0:
@@ -101,20 +121,13 @@ def parse(page: str) -> Node:
         at = m.end()
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(open_) - 1, max(len(open_) - 200, 0), -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         while len(open_) > 1 and tag in _CLOSES.get(open_[-1].tag, ()):
-            open_.pop()
-        if tag not in _INLINE:  # a block ends a paragraph whose inline elements are still open
-            for i in range(len(open_) - 1, max(len(open_) - 20, 0), -1):
-                if tag in _CLOSES.get(open_[i].tag, ()):
-                    del open_[i:]
-                    break
-                if open_[i].tag not in _INLINE:
-                    break
+            close(len(open_) - 1)
+        if tag not in _INLINE and tag in _CLOSES.get(open_[blocks[-1]].tag, ()):
+            close(blocks[-1])  # a block ends a paragraph whose inline elements are still open
         node = Node(tag, m[3])
         open_[-1].inside.append(node)
         if tag in _RAW:
@@ -122,6 +135,9 @@ def parse(page: str) -> Node:
             at = page.find(">", end.start()) + 1 if end else len(page)
             at = at or len(page)
         elif tag not in _VOID and not m[3].endswith("/"):
+            places.setdefault(tag, []).append(len(open_))
+            if tag not in _INLINE:
+                blocks.append(len(open_))
             open_.append(node)
     return root
 
@@ -185,11 +201,17 @@ def _chrome(node: Node, within: bool) -> bool:
         return True
     if node.holds and node.tag != "head" and not (node.tag in ("footer", "aside", "nav") and not _holds_article(node)):
         return False
-    return node.tag in _CHROME or node.role in _ROLES or _named(node)
+    return node.tag in _CHROME or node.role in _ROLES or _named(node, _NAMES, within)
 
 
-def _named(node: Node, names: frozenset[str] = _NAMES) -> bool:
-    return any(w.lower() in names for w in _WORD.findall(node.names)) if node.names.strip() else False
+def _named(node: Node, names: frozenset[str], strict: bool = False) -> bool:
+    """Whether one of the element's names says so as a whole: all its words
+    are of ``names``; with fillers between them, unless ``strict``."""
+    for name in node.names.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        if words & names and words <= (names if strict else names | _FILLER):
+            return True
+    return False
 
 
 def _text(node: Node, cut) -> str:
@@ -228,9 +250,6 @@ def main_part(root: Node, templates: frozenset[int]) -> tuple[str, list[tuple[No
                 skip.update(id(x) for x in node.inside if isinstance(x, Node))
         texts = [_text(n, cut) for n, _ in tops]
         if any(texts):
-            longest = max(range(len(texts)), key=lambda i: len(texts[i]))
-            if 2 * len(texts[longest]) >= sum(map(len, texts)):
-                return texts[longest], [tops[longest]]
             return " ".join(filter(None, texts)), tops
     return _text(root, cut), [(root, False)]
 
@@ -268,26 +287,40 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["page_id", "host", "row_key", "content", "hashes", "live"])
 
 
-def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of subtrees that recur across many pages of their host."""
-    pages = subtrees.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    counts = (subtrees.select("host", "content", F.explode("hashes").alias("hash")).distinct()
-              .groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
-    return counts.join(pages, "host").where(F.col("n") >= min_share * F.col("of")).select("host", "hash")
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "html"):
-        texts = []
-        for page, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            root = parse(page or "")
-            digest(root)
-            texts.append(main_text(root, frozenset(gone or ())))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
-                                          pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, hash) of subtrees that recur on many contents of their host."""
+    return (subtrees.select("host", "content", F.explode("hashes").alias("hash")).distinct()
+            .groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "hash"))
+
+
+def packed_keys(host, hashes: np.ndarray) -> np.ndarray:
+    """One number for each pair of host and subtree hash."""
+    return mix(np.asarray(hashes, np.int64).view(np.uint64) ^ mix(np.atleast_1d(np.asarray(host, np.int64)).view(np.uint64)))
+
+
+def _extract(packed: np.ndarray | None):
+    """mapInArrow function: texts without the templates in ``packed`` (sorted
+    keys), or without those in the rows' own ``gone``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "html"):
+            texts = []
+            which = batch.column("gone" if packed is None else "host").to_pylist()
+            for page, of in zip(batch.column("html").to_pylist(), which, strict=True):
+                root = parse(page or "")
+                digest(root)
+                gone = of or ()
+                if packed is not None:
+                    found = np.array(sorted({n.hash for n in _after_children(root)}), np.int64)
+                    keys = packed_keys(of, found)
+                    at = np.searchsorted(packed, keys)
+                    gone = found[(at < len(packed)) & (packed[np.minimum(at, len(packed) - 1)] == keys)].tolist() if len(packed) else ()
+                texts.append(main_text(root, frozenset(gone)))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+                                              pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    return run
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, packed: int = PACKED) -> DataFrame:
     """Per row of ``pages(page_id, url, html)``: page_id, url, text, n_chars
     (code points of text).
 
@@ -300,14 +333,20 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     kind = pages.schema["page_id"].dataType.simpleString()
     subtrees = cut_lineage(rows.drop("url").mapInArrow(
         _subtrees, f"page_id {kind}, host long, row_key long, content long, hashes array<long>, live array<long>"), "subtrees")
+    recurring = cut_lineage(templates(subtrees, min_pages), "templates")
+    out = f"page_id {kind}, url string, text string, n_chars long"
+    if recurring.count() <= packed:
+        found = recurring.toPandas()
+        keys = np.sort(packed_keys(found["host"].to_numpy(np.int64), found["hash"].to_numpy(np.int64)))
+        return rows.select("page_id", "url", "html", "host").mapInArrow(_extract(keys), out)
     # only pages whose main text holds a template need another look; written, so that the planner knows how many
     gone = cut_lineage(subtrees.select("page_id", "row_key", "host", "live", F.explode("hashes").alias("hash"))
                        .select("page_id", "row_key", "host", "hash", F.array_contains("live", F.col("hash")).alias("live"))
-                       .join(templates(subtrees, min_pages, min_share), ["host", "hash"])
+                       .join(recurring, ["host", "hash"])
                        .groupBy("page_id", "row_key").agg(F.collect_set("hash").alias("gone"), F.max("live").alias("live"))
                        .where("live").drop("live"), "gone")
     found = rows.drop("host").alias("p").join(gone.alias("g"), F.expr("p.page_id <=> g.page_id AND p.row_key = g.row_key"), "left")
-    return found.select("p.page_id", "url", "html", "gone").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    return found.select("p.page_id", "url", "html", "gone").mapInArrow(_extract(None), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
