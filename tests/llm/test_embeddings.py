@@ -96,3 +96,11 @@ def test_small_table(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SMALL}/embeddings.parquet'")
     assert sorted(con.execute(ORACLE).fetchall(), key=str) == sorted((tuple(r) for r in embeddings.query(spark, SMALL).collect()), key=str)
     assert len(rows) > 0
+
+
+def test_one_id_at_different_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 1), (4, [0.02, 1.0], 1), (5, [0.0, 1.0], 1), (5, [1.0, 1.0], 1),
+            (None, [0.0, 1.0], 2), (None, [0.01, 1.0], 2), (7, [-1.0, 0.0], 0), (7, [-1.0, 0.0], 0), (6, [-1.0, 0.01], 0)]
+    got = run(spark, rows)
+    assert got == expected(rows)
+    assert {r[1] for r in got if r[0] == 1} == {1, 3}

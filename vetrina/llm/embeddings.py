@@ -142,18 +142,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Vectors that are null, empty, zero or hold a null or non-finite component,
     and those with a null label, link with nothing; vectors of different
-    dimensions don't link. Repeated rows are vectors of their own. A null
-    vec_id links others, and is its component's id only where there is no other.
+    dimensions don't link. Repeated rows are vectors of their own, and
+    so are rows that share a vec_id. A null vec_id links others, and is its
+    component's id only where there is no other.
     """
     e = F.col("embedding").cast("array<double>")
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists(e, lambda x: x != 0)
     rows = vectors.select("vec_id", "label", "embedding", F.coalesce(good, F.lit(False)).alias("good"),
                           F.xxhash64("embedding").alias("k1"), F.xxhash64(F.reverse("embedding"), F.lit(11)).alias("k2"))
-    # a class is named by its smallest vec_id, or by its hash where it has none
+    # a class has a number of its own, since one vec_id may stand at several vectors
     classes = cut_lineage(rows.where("good").groupBy("label", F.size("embedding").alias("dim"), "k1", "k2").agg(
-        F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-        .withColumn("cls", F.coalesce(F.col("cls").cast("long"), F.col("k1"))), "classes")
+        F.min("vec_id").cast("long").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+        .withColumn("cls", F.monotonically_increasing_id()), "classes")
     pivots = _choose(classes)
     own = classes.schema
     kinds = f"label {own['label'].dataType.simpleString()}, dim int, cls long, copies long, embedding {own['embedding'].dataType.simpleString()}, cell long"
@@ -166,10 +167,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = cut_lineage(_blocks(dealt).groupBy("label", "dim", "cell", "i", "j").applyInPandas(_join(cosine), "a long, b long, n long"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
-    named = (classes.select("label", "k1", "k2", "cls", "copies").join(links, "cls", "left")
-             .join(roots, F.col("cls") == F.col("node"), "left")
+    rooted = cut_lineage(classes.select("label", "k1", "k2", "cls", "copies", "least").join(links, "cls", "left")
+                         .join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
+    named = (rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
              .select(F.col("label").alias("of_label"), F.col("k1").alias("of_k1"), F.col("k2").alias("of_k2"),
-                     (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cls").alias("component_id")))
+                     (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
     out = rows.drop("embedding").join(named, F.expr("good AND label = of_label AND k1 = of_k1 AND k2 = of_k2"), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id")).withColumn(
