@@ -186,3 +186,26 @@ def test_stage_redacts(spark, monkeypatch):
 
 def test_redacted_merges_overlaps():
     assert pii.redacted("abcdefghij", [(0, 1, 5), (3, 4, 7), (2, 7, 8)]) == "a[EMAIL][CARD]ij"
+
+
+def test_reconcile_like_pairwise_and_quick():
+    import random
+    import time
+
+    from vetrina.llm.pii import reconcile
+
+    def pairwise(found, base):
+        kept = []
+        for span in sorted(found, key=lambda x: (x[1] - x[2], x[1], x[0])):
+            if not any(span[1] < e and s < span[2] for _, s, e in [*base, *kept]):
+                kept.append(span)
+        return kept
+
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = {(rng.randrange(4), s, s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(rng.randrange(15)))}
+        base = [(0, s, s + rng.randrange(1, 12)) for s in (rng.randrange(60) for _ in range(rng.randrange(5)))]
+        assert reconcile(spans, base) == pairwise(spans, base)
+    start = time.time()
+    assert len(reconcile({(3, 12 * i, 12 * i + 10) for i in range(50_000)}, [(1, 12 * i, 12 * i + 3) for i in range(0, 50_000, 2)])) == 25_000
+    assert time.time() - start < 5

@@ -34,3 +34,24 @@ def test_each_stage_does_its_part(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "piece", "start", "length", "text", "bin_id", "capacity", "offset"]
+
+
+def test_stages_judge_rows_not_ids(spark, tmp):
+    """Null and repeated ids: each row goes or stays by its own text."""
+    from tests.llm.conftest import documents
+    from vetrina.llm import decontaminate, simhash
+
+    bad = "the quick brown fox jumps over the lazy dog again and again today"
+    spark.createDataFrame([("b1", bad)], "item_id string, text string").write.parquet(f"{tmp}/benchmark.parquet")
+    rows = [(None, bad), (None, "clean words"), (7, "well " + bad), (7, "clean as well"), (8, "clean")]
+    kept = decontaminate.stage(spark, documents(spark, rows, "th long, bad_th long, bad_id int"), tmp)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, "clean words"), (7, "clean as well"), (8, "clean")], key=str)
+    assert kept.columns == [*"doc_id text lang source n_chars".split(), "th", "bad_th", "bad_id"]
+
+    one, two, odd = "some words that are copied here many times over", "another text which stands alone in this small table", "and a third one that has no copy anywhere at all"
+    rows = [(None, one), (None, one), (1, one), (1, one), (2, one), (2, two), (3, odd), (None, ""), (None, None), (9, "   "), (None, two + " x" * 40), (None, two + " x" * 40)]
+    kept = simhash.stage(spark, documents(spark, rows, "th long, root long, of_th long, n int"), tmp)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, one), (2, two), (3, odd), (9, "   "), (None, two + " x" * 40)], key=str)
+    assert kept.columns == [*"doc_id text lang source n_chars".split(), "th", "root", "of_th", "n"]
+    assert simhash.stage(spark, documents(spark, [], "th long"), tmp).collect() == []

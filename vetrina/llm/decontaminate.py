@@ -134,7 +134,7 @@ def shared_windows(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit (words inside a shared
+    """``scored`` without the texts' hashes: per row of ``docs``: doc_id, n_words, n_hit (words inside a shared
     window), n_items (items sharing a window), items_sha256 (of their ids,
     sorted as strings, comma-joined), contaminated (n_hit > 0).
 
@@ -142,6 +142,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     repeated item counts once per id; repeated documents each get their row;
     null ids are kept as a value of their own. Other columns are ignored.
     """
+    return scored(docs, items, span, k).drop("th")
+
+
+def scored(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+    """``decontaminate``'s rows with th, the hash of the row's text."""
     rows, found = shared_windows(docs, items, span, k)
     found = cut_lineage(found, "windows")
     runs = found.select("doc_id", "th", "start", (F.col("start") + F.col("span")).alias("end")).distinct()
@@ -154,7 +159,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
         "h.doc_id", "h.th", "n_hit", "n_items", "ids")
     zero = F.lit(0).cast("bigint")
     return rows.alias("d").join(hit.alias("h"), F.expr("d.doc_id <=> h.doc_id AND d.th = h.th"), "left").select(
-        "d.doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        "d.doc_id", "d.th", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
 
 
@@ -169,7 +174,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = cut_lineage(found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """Documents without any benchmark window. A row is judged by its own
+    text, also where its doc_id is null or repeats."""
+    found = scored(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = cut_lineage(found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th")).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_th"]), "left_anti")

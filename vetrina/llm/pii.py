@@ -19,7 +19,9 @@ and written variants of the kinds (``_written``) in the same contexts.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -235,8 +237,16 @@ def _spans_of(tags: np.ndarray) -> Iterator[Span]:
 def reconcile(found: set[Span], base: list[Span]) -> list[Span]:
     """Of overlapping spans the longest, then the first; none over a base span."""
     kept: list[Span] = []
+    taken: list[tuple[int, int]] = []  # disjoint, in order
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if taken and s < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(taken[-1][1], e)
+        else:
+            taken.append((s, e))
     for span in sorted(found, key=lambda x: (x[1] - x[2], x[1], x[0])):
-        if not any(span[1] < e and s < span[2] for _, s, e in [*base, *kept]):
+        at = bisect.bisect_left(taken, (span[2], span[2]))  # the first that starts behind this span
+        if at == 0 or taken[at - 1][1] <= span[1]:
+            taken.insert(at, (span[1], span[2]))
             kept.append(span)
     return kept
 
@@ -277,7 +287,15 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[set[Span]]:
                         cut.append((i, first, last, a, b))
                 elif fits:
                     whole[i].add((kind, a, b))
-        left = [(i, low, high) for i, low, high, a, b in cut if not any(s <= a and b <= e for _, s, e in whole[i])]
+        starts: dict[int, tuple[list[int], list[int]]] = {}  # of each text: starts of whole spans, and the furthest end so far
+        for i in {c[0] for c in cut}:
+            spans = sorted((s, e) for _, s, e in whole[i])
+            starts[i] = [s for s, _ in spans], list(itertools.accumulate((e for _, e in spans), max))
+        left = []
+        for i, low, high, a, b in cut:
+            at = bisect.bisect_right(starts[i][0], a)
+            if not at or starts[i][1][at - 1] < b:  # no whole span holds it
+                left.append((i, low, high))
         todo = list(_wider(texts, left))  # each part is over twice as long as the one before, so this ends
     return found
 

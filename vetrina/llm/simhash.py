@@ -88,7 +88,7 @@ def _fingerprint(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             found = fingerprints(*utf8(batch.column("text")), shingle).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(found)], names=["doc_id", "th", "fp"])
     return run
 
 
@@ -218,17 +218,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     component_id is null only if no doc_id is reachable. Other columns are
     ignored.
     """
+    prints, rooted = linked(docs, shingle, bits)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
+    return prints.join(named, prints["fp"] == named["of"]).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def linked(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th = hash of the text, fp) of every row, and (fp, least =
+    smallest doc_id, root = a fingerprint of its component) of every distinct
+    fingerprint; both written."""
     small_batches(docs.sparkSession)
-    prints = cut_lineage(docs.select("doc_id", "text").mapInArrow(
-        _fingerprint(shingle), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long"), "fingerprints")
+    prints = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
+        _fingerprint(shingle), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long"), "fingerprints")
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = link_fingerprints(distinct, bits)
     rooted = cut_lineage(distinct.join(roots, distinct["fp"] == roots["node"], "left")
                          .select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    return prints.join(named, prints["fp"] == named["of"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints, rooted
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +244,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Rows that
-    repeat a doc_id stay or go together; rows without one stay."""
-    found = near_duplicates(docs)  # ids only, written so that the planner knows their size before it moves texts
-    gone = cut_lineage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One row of each group: that with the smallest doc_id (rows without one
+    come last), then the smallest hash of its text. A row is judged by its own
+    text, also where its doc_id is null or repeats; of rows that repeat both,
+    one stays."""
+    prints, rooted = linked(docs)
+    rows = prints.join(rooted.select(F.col("fp").alias("of"), "root"), F.col("fp") == F.col("of")).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    rows = cut_lineage(rows, "rows")  # ids and hashes only, written so that the planner knows their size before it moves texts
+    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("one"))
+    stays = F.expr("doc_id <=> one.doc_id AND th = one.th")
+    judged = rows.join(first, "root").select(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th"), "n", stays.alias("stays"))
+    gone = cut_lineage(judged.where("NOT stays OR n > 1"), "gone")
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["of_id"]) & (F.xxhash64(docs["text"]) == gone["of_th"]), "left_anti")
+    repeated = gone.where("stays").select("of_id", "of_th")
+    if repeated.isEmpty():
+        return kept
+    whole = docs.select(F.struct("*").alias("d"))  # its own columns may have any names
+    one = whole.join(repeated, F.col("d.doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("d.text") == F.col("of_th")))
+    return kept.unionByName(one.dropDuplicates(["of_id", "of_th"]).select("d.*"))  # partial aggregation: a row a task at most
