@@ -251,7 +251,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prints, rooted = linked(docs)
     rows = prints.join(rooted.select(F.col("fp").alias("of"), "root"), F.col("fp") == F.col("of")).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
     rows = cut_lineage(rows, "rows")  # ids and hashes only, written so that the planner knows their size before it moves texts
-    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("one"))
+    first = cut_lineage(rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("one")), "first")
     stays = F.expr("doc_id <=> one.doc_id AND th = one.th")
     judged = rows.join(first, "root").select(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th"), "n", stays.alias("stays"))
     gone = cut_lineage(judged.where("NOT stays OR n > 1"), "gone")
