@@ -219,3 +219,26 @@ def test_labels_of_two_words(spark):
     lex = spark.createDataFrame([("speziato leggero", "S"), ("Fresco", "F"), ("fresco dolce amaro", "A"), ("", "E"), ("!", "E")], "term string, label string")
     got = {(r["id"], r["label"]): r["score"] for r in L.tag_labels(docs, lex, ["S", "F", "A", "E"]).collect()}
     assert {k for k, v in got.items() if v} == {(1, "S"), (6, "S"), (6, "F")} and len(got) == 24
+
+
+def test_logs_by_suffix(spark, tmp):
+    """Files and folders, lines and arrays; a broken log is reported and the others are read."""
+    entry = {"query": {"brand": "b", "olfactory category": "x"}, "results": [1, 2]}
+    os.makedirs(f"{tmp}/l/3_LLM.json")
+    for name, text in (("2_LLM.json", json.dumps([entry, {"results": [3]}], indent=1)), ("2_SPARQL.json", json.dumps([entry])), ("bad_LLM.json", '[{"query": {'),
+                       ("3_LLM.json/part-0.json", json.dumps([entry]))):
+        with open(f"{tmp}/l/{name}", "w") as f:
+            f.write(text)
+    good, bad = IO.valid_entries(IO.read_logs(spark, f"{tmp}/l", multi_line=True))
+    assert sorted((r["file"], r["query"]["olfactory_category"], r["results"]) for r in good.collect()) == [("2_LLM.json", "x", [1, 2]), ("3_LLM.json", "x", [1, 2])]
+    assert sorted(r["file"] for r in bad.collect()) == ["2_LLM.json", "bad_LLM.json"]
+
+
+def test_ranked_answers(spark):
+    from vetrina.operators import search as S
+    docs = spark.createDataFrame([(1, "rose rose oil"), (2, "rose oil and many other words that make it long"), (3, "oil"), (4, None), (5, "rose oil"), (6, "rose oil")], "id long, text string")
+    q = spark.createDataFrame([("q", "rose oil"), ("e", ""), ("o", "oil")], "query_id string, text_query string")
+    answers = S.keyword_search(q, docs)
+    got = [(r["query_id"], r["id"], r["rank"]) for r in S.ranked(q, docs, answers, k=3).orderBy("query_id", "rank").collect()]
+    assert got == [("o", 3, 1), ("o", 5, 2), ("o", 6, 3), *got[3:]] and got[3:] == [("q", 1, 1), ("q", 5, 2), ("q", 6, 3)]
+    assert S.ranked(q, docs, answers.limit(0)).collect() == []

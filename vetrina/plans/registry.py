@@ -436,6 +436,7 @@ _EVAL_BASE = C.sql_with(_mined_queries_sql(2, 20), C.PAGES_SQL) + _KW_SQL.join([
 # ---------------------------------------------------------------- E14
 
 from ..operators import search as S  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
 from ..operators import slots as SL  # noqa: E402
 from ..operators import evaluate as EV  # noqa: E402
 
@@ -456,6 +457,24 @@ def q_keyword_search(spark, sf):
                             prices=C.catalogue(spark, sf).select("id", "price"))
 
 
+@register("keyword_top10", _EVAL_BASE + _text_sql() + f""",
+words AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, brand, category, {sql_html_to_text('content')})), '[^\\p{{L}}\\p{{Nd}}#&'']+'),
+                                 lambda t: t <> '') AS w FROM cat),
+st AS (SELECT count(*) AS big_n, avg(len(w)) AS mean FROM words),
+tf AS (SELECT id, len AS length, t AS term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS t FROM words) GROUP BY ALL),
+wt AS (SELECT term, ln(1 + (big_n - count(*) + 0.5) / (count(*) + 0.5)) AS weight FROM tf, st GROUP BY term, big_n),
+sc AS (SELECT ta.query_id, ta.id, round(sum(weight * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score
+       FROM ta JOIN (SELECT query_id, unnest(qt) AS term FROM kq) q USING (query_id) JOIN tf ON tf.id = ta.id AND tf.term = q.term JOIN wt ON wt.term = q.term, st
+       GROUP BY ALL)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, round(score, 4) AS score
+FROM sc QUALIFY rank <= 10""")
+def q_keyword_top10(spark, sf):
+    """E14 with a rank: the ten best products of each keyword query."""
+    words, docs = cut_lineage(_keywords(spark, sf), "words"), _docs(spark, sf)
+    answers = S.keyword_search(words, docs, prices=C.catalogue(spark, sf).select("id", "price"))
+    return S.ranked(words, docs, answers).withColumn("score", F.round("score", 4))
+
+
 # ---------------------------------------------------------------- E15 - E19
 
 def _vocab(spark, sf):

@@ -184,43 +184,59 @@ def q_slot_replies(spark, sf):
 # ---------------------------------------------------------------- A3, A8, E12, E13, F1 - F10 over saved logs
 
 SIZES = ((2, 20), (3, 20), (4, 5))
-_SAVED = {"graph": "sparql_results", "text": "text_results"}
+_SAVED = {"graph": "sparql_results", "text": "text_results", "slots": "llm_results"}
 
 
 def _saved_logs(spark, sf) -> str:
-    """The logs of all query sizes with the truth and two systems' answers, one folder per size."""
+    """The logs of all query sizes with the truth and three systems' answers,
+    and next to them a log of another suffix and one that is cut off."""
     path = scratch_path(spark, "logs")
     cat = C.catalogue(spark, sf)
     index = R.graph_index(G.enriched_products(spark, sf))
-    mapping, docs = G.id_mapping(spark, sf), REG._docs(spark, sf)
+    mapping, docs, vocab = G.id_mapping(spark, sf), REG._docs(spark, sf), cut_lineage(REG._vocab(spark, sf), "vocabulary")
     for n, support in SIZES:
         queries, truth = M.mine_queries(cat, n, categories=C.TEST_CATEGORIES, caps=C.TEST_CAPS, min_support=support, labels=C.TEST_LABELS)
         words = queries.select("query_id", R.to_keywords(queries).alias("text_query"))
         answers = {"results": truth, "sparql_results": R.match_queries(queries, index, mapping),
-                   "text_results": S.keyword_search(words, docs, prices=cat.select("id", "price"))}
-        IO.write_query_log(queries, answers, f"{path}/{n}_LLM", lists=True)
+                   "text_results": S.keyword_search(words, docs, prices=cat.select("id", "price")),
+                   "llm_results": R.match_queries(SL.fill_slots(words, vocab), index, mapping)}
+        IO.write_query_log(queries, answers, f"{path}/{n}_LLM.json", lists=True)
+    _other_logs(spark, sf, path)
     return path
 
 
+def _other_logs(spark, sf, path) -> None:
+    entry = F.concat(F.lit('{"query": {"brand": "'), "p_brand", F.lit('"}, "results": ['), "p_partkey", F.lit("]}"))
+    part = C.table(spark, sf, "part")
+    part.select(entry).write.text(f"{path}/2_SPARQL.json")
+    part.where("p_partkey % 10 = 0").select(F.left(entry, F.lit(25))).write.text(f"{path}/cut_LLM.json")
+
+
 def _read_logs(spark, path):
     schema = Ty.StructType([*IO.LOG_SCHEMA.fields, Ty.StructField("query_id", Ty.StringType())])
-    logs = None
-    for n, _ in SIZES:
-        log, _ = IO.valid_entries(IO.read_query_log(spark, f"{path}/{n}_LLM", glob="*.json", multi_line=False, schema=schema))
-        log = log.drop("n_features").withColumn("file", F.lit(f"{n}_LLM"))
-        logs = log if logs is None else logs.unionByName(log)
-    return logs
+    log, _ = IO.valid_entries(IO.read_logs(spark, path, schema=schema))
+    return log
+
+
+@register("log_errors", "SELECT 'cut_LLM.json' AS file, CAST(count(*) AS BIGINT) AS n, max(length(p_brand)) * 0 + 25 AS width FROM part WHERE p_partkey % 10 = 0")
+def q_log_errors(spark, sf):
+    """Entries that can't be parsed, by the log that has them; a log of another suffix isn't read."""
+    path = scratch_path(spark, "logs")
+    _other_logs(spark, sf, path)
+    _, errors = IO.valid_entries(IO.read_logs(spark, path))
+    return errors.groupBy("file").agg(F.count("*").alias("n"), F.max(F.length("error")).alias("width"))
 
 
 def _log_sql(n: int, support: int) -> str:
     return (C.sql_with(REG._mined_queries_sql(n, support), C.PAGES_SQL) + REG._KW_SQL.join([",", ""]) + REG._text_sql()
-            + REG._match_sql("mq", "ga"))
+            + REG._slots_sql() + REG._match_sql("mq", "ga") + REG._match_sql("fs", "sa"))
 
 
 @register("saved_answers", " UNION ALL ".join(f"""
-SELECT '{n}_LLM' AS file, query_id, system, CAST(count(*) AS BIGINT) AS n, CAST(sum(id) AS BIGINT) AS total FROM (
+SELECT '{n}_LLM.json' AS file, query_id, system, CAST(count(*) AS BIGINT) AS n, CAST(sum(id) AS BIGINT) AS total FROM (
   {_log_sql(n, s)} SELECT query_id, 'graph' AS system, id FROM (SELECT query_id, id, unnest(range(solutions)) FROM ga)
-  UNION ALL SELECT query_id, 'text', id FROM ta) GROUP BY ALL""" for n, s in SIZES))
+  UNION ALL SELECT query_id, 'text', id FROM ta
+  UNION ALL SELECT query_id, 'slots', id FROM (SELECT query_id, id, unnest(range(solutions)) FROM sa)) GROUP BY ALL""" for n, s in SIZES))
 def q_saved_answers(spark, sf):
     log = _read_logs(spark, _saved_logs(spark, sf))
     answers = EV.log_answers(log, _SAVED)
@@ -230,24 +246,25 @@ def q_saved_answers(spark, sf):
 def _file_metrics_sql(n: int, support: int) -> str:
     return _log_sql(n, support) + """,
 truth AS (SELECT DISTINCT query_id, id FROM mq0),
-ans AS (SELECT DISTINCT query_id, 'graph' AS system, id FROM ga UNION SELECT DISTINCT query_id, 'text', id FROM ta),
+ans AS (SELECT DISTINCT query_id, 'graph' AS system, id FROM ga UNION SELECT DISTINCT query_id, 'text', id FROM ta
+        UNION SELECT DISTINCT query_id, 'slots', id FROM sa),
 nt AS (SELECT query_id, count(*) AS n FROM truth GROUP BY ALL),
 na AS (SELECT query_id, system, count(*) AS n FROM ans GROUP BY ALL),
 np AS (SELECT query_id, system, count(*) AS n FROM ans JOIN truth USING (query_id, id) GROUP BY ALL),
 pr AS (SELECT q.query_id, q.price, s.system, COALESCE(np.n / na.n, 0.0) AS precision, COALESCE(np.n / nt.n, 0.0) AS recall
-       FROM mq q JOIN (VALUES ('graph'), ('text')) s(system) ON TRUE LEFT JOIN nt USING (query_id)
+       FROM mq q JOIN (VALUES ('graph'), ('text'), ('slots')) s(system) ON TRUE LEFT JOIN nt USING (query_id)
        LEFT JOIN na ON na.query_id = q.query_id AND na.system = s.system
        LEFT JOIN np ON np.query_id = q.query_id AND np.system = s.system),
 pf AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pr),
-sl AS (SELECT *, unnest(['all', CASE WHEN price IS NULL THEN 'without' ELSE 'with' END]) AS slice FROM pf),
+sliced AS (SELECT *, unnest(['all', CASE WHEN price IS NULL THEN 'without' ELSE 'with' END]) AS slice FROM pf),
 grid AS (SELECT DISTINCT system, unnest(['all', 'with', 'without']) AS slice FROM pf)
 SELECT system, slice, COALESCE(avg(precision), 0.0) AS precision, COALESCE(avg(recall), 0.0) AS recall,
        COALESCE(avg(f1), 0.0) AS f1, CAST(count(query_id) AS BIGINT) AS query_count
-FROM grid LEFT JOIN sl USING (system, slice) GROUP BY ALL"""
+FROM grid LEFT JOIN sliced USING (system, slice) GROUP BY ALL"""
 
 
 @register("metrics_by_file", " UNION ALL ".join(f"""
-SELECT '{n}_LLM' AS file, slice, system, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, query_count
+SELECT '{n}_LLM.json' AS file, slice, system, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, query_count
 FROM ({_file_metrics_sql(n, s)})""" for n, s in SIZES))
 def q_metrics_by_file(spark, sf):
     """Logs of all sizes saved, read back and scored per file."""

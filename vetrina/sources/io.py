@@ -7,6 +7,8 @@ read to the driver.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +71,22 @@ def read_query_log(spark: SparkSession, path: str, glob: str | None = None, mult
         .option("columnNameOfCorruptRecord", "_corrupt_record")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.json(path).withColumn("file", F.col("_metadata.file_name"))
+    return _entries(r.json(path), F.col("_metadata.file_name"))
+
+
+def read_logs(spark: SparkSession, path: str, suffix: str = "_LLM.json", multi_line: bool = False, schema=LOG_SCHEMA) -> DataFrame:
+    """A4: all logs below ``path`` whose name ends in ``suffix``, each a file
+    or a folder of part files; ``file`` is the name that was found. What can't
+    be parsed comes as rows with ``_corrupt_record`` (see ``valid_entries``),
+    so a broken log is reported and the others are read."""
+    r = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE") \
+        .option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True)  # logs differ in their folders
+    name = F.regexp_extract(F.col("_metadata.file_path"), "/([^/]*" + re.escape(suffix) + ")(?:/|$)", 1)
+    return _entries(r.json(f"{path.rstrip('/')}/*{suffix}"), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))
+
+
+def _entries(log: DataFrame, file) -> DataFrame:
+    df = log.withColumn("file", file)
     q = F.col("query")
     # Q15: the slot name may be written with a space.
     fixed = F.when(q.isNotNull(), F.struct(
