@@ -70,6 +70,22 @@ def test_chains_across_groups(spark, monkeypatch):
     assert [root.get(i, i) for i in ids] == want
 
 
+@pytest.mark.parametrize("split", [50, 7])
+def test_large_groups_are_dealt_in_blocks(spark, split):
+    """A family of like fingerprints and some others, in a single group that many pairs of blocks share."""
+    rng = np.random.default_rng(11)
+    family = int(rng.integers(1 << 62))
+    prints = {family ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(250)}
+    prints = sorted(prints | {0} | set(rng.integers(0, 1 << 63, 30, dtype=np.uint64).tolist()))
+    ids = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in ids], "fp long")
+    dealt = df.mapInPandas(simhash._groups(0, 1), "grp long, fp long, visitor boolean")
+    tasks = simhash._tasks(dealt, split).groupBy("grp", "i", "j").count().collect()
+    assert len(tasks) > 2 and all(t["i"] < t["j"] for t in tasks) and max(t["count"] for t in tasks) < 4 * split
+    root = {r.node: r.root for r in simhash.link_fingerprints(df, 3, split).collect()}
+    assert [root.get(i, i) for i in ids] == reach(ids, prints, 3)
+
+
 @settings(deadline=None, max_examples=30)
 @given(st.lists(st.integers(0, (1 << 64) - 1), max_size=40), st.integers(0, 6), st.randoms())
 def test_index_finds_exactly_the_close_pairs(codes, bits, rnd):

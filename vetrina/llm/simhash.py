@@ -14,8 +14,10 @@ number of nodes visited near-linear.
 
 Spark deals out the uppermost nodes: the first ``prefix`` bits in an order
 name a group, a fingerprint belongs to one group and visits those groups whose
-pattern is within the front limit. A pair is looked for in one group only.
-Groups give back spanning edges, never all their pairs.
+pattern is within the front limit. A pair is looked for in one group only. A
+group of over ``SPLIT`` fingerprints, as a template in a third of all documents
+makes it, is dealt in blocks by hash, and each two blocks are a task of their
+own. Tasks give back spanning edges, never all their pairs.
 """
 
 from __future__ import annotations
@@ -33,13 +35,15 @@ from pyspark.sql import functions as F
 
 from vetrina.llm.components import components, smallest_labels
 from vetrina.llm.text import chunks, small_batches, utf8
-from vetrina.session import cut_lineage
+from vetrina.session import bounded_broadcast, cut_lineage
 
 SHINGLE = 3
 BITS = 3
 SEED = 42
 #: Fingerprints in an average group; it sets the number of groups, not the result.
 GROUP = 2048
+#: Fingerprints that one task compares, on average; a larger group is dealt in blocks.
+SPLIT = 1 << 16
 SEGMENT = 8
 #: Node pairs that are compared at once; a pair of nodes has 65,536 pairs of children at most.
 BLOCK = 1 << 19
@@ -199,13 +203,30 @@ def _group_edges(bits: int):
     return run
 
 
-def link_fingerprints(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+def _tasks(dealt: DataFrame, split: int) -> DataFrame:
+    """``dealt`` with columns i, j: a group of over ``split`` rows has blocks
+    of about half as many, and a row goes to each pair i < j that has its
+    block. Every two rows of the group meet there. Other groups have i = j = 0."""
+    n = F.count(F.lit(1))
+    large = cut_lineage(dealt.groupBy("grp").agg(n.alias("n")).where(F.col("n") > split)
+                        .select("grp", F.ceil(F.col("n") * 2 / split).cast("int").alias("blocks")), "large-groups")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own"))
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    placed = dealt.join(bounded_broadcast(large), "grp", "left").withColumn("own", own)
+    return placed.select("grp", "fp", "visitor", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(pairs)).alias("at")).select(
+        "grp", "at.i", "at.j", "fp", "visitor")
+
+
+def link_fingerprints(distinct: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
     """(node, root) of the components of ``distinct(fp)`` under links of
-    ``bits`` or fewer differing bits; fingerprints without links don't appear."""
+    ``bits`` or fewer differing bits; fingerprints without links don't appear.
+    ``split`` bounds what one task compares, not the result."""
     n = distinct.count()
     prefix = min(max(math.ceil(math.log2(max(n, 1) / GROUP)), 0), 24)
     dealt = distinct.select("fp").mapInPandas(_groups(prefix, bits // 2), "grp long, fp long, visitor boolean")
-    edges = dealt.groupBy("grp").applyInPandas(_group_edges(bits), "a long, b long")
+    edges = _tasks(dealt, split).groupBy("grp", "i", "j").applyInPandas(_group_edges(bits), "a long, b long")
     return components(edges)
 
 
