@@ -242,3 +242,33 @@ def test_ranked_answers(spark):
     got = [(r["query_id"], r["id"], r["rank"]) for r in S.ranked(q, docs, answers, k=3).orderBy("query_id", "rank").collect()]
     assert got == [("o", 3, 1), ("o", 5, 2), ("o", 6, 3), *got[3:]] and got[3:] == [("q", 1, 1), ("q", 5, 2), ("q", 6, 3)]
     assert S.ranked(q, docs, answers.limit(0)).collect() == []
+
+
+def test_json_arrays_in_many_splits(spark, tmp):
+    """Arrays on one line and indented ones, with brackets, quotes and backslashes in strings, cut anywhere."""
+    import random
+
+    rnd = random.Random(5)
+    odd = ["}", "{", "]", "[", '"', "\\", "\\\\", ",", "\n", "é", "}{", "a b", '\\"']
+    word = lambda: "".join(rnd.choices(odd, k=rnd.randrange(9)))
+    files = {}
+    for i, indent in enumerate((None, 1, None, None, None)):
+        n = (150, 100, 0, 1, 3)[i]
+        files[f"{i}_LLM.json"] = [{"query": {"brand": word(), "price": word()}, "results": [k, i], "sparql": word(), "more": [{word(): [{}]}]} for k in range(n)]
+        os.makedirs(f"{tmp}/a", exist_ok=True)
+        with open(f"{tmp}/a/{i}_LLM.json", "w") as f:
+            json.dump(files[f"{i}_LLM.json"], f, indent=indent, ensure_ascii=i == 1)
+    for name, text in (("cut_LLM.json", '[{"query": {"brand": "x"}}, {"query": {"brand": "y'), ("none_LLM.json", ""), ("a_TEXT.json", "[{}]")):
+        with open(f"{tmp}/a/{name}", "w") as f:
+            f.write(text)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        log = IO.read_log_arrays(spark, f"{tmp}/a", glob="*_LLM.json")
+        rows = log.select("file", "_pos", "query.brand", "query.price", "results", "sparql", "_corrupt_record").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    got = {(r["file"], r["_pos"]): (r["brand"], r["price"], r["results"], r["sparql"]) for r in rows if not r["_corrupt_record"]}
+    want = {(f, k): (e["query"]["brand"], e["query"]["price"], e["results"], e["sparql"]) for f, es in files.items() for k, e in enumerate(es)}
+    assert got == want | {("cut_LLM.json", 0): ("x", None, None, None)}
+    assert [(r["file"], r["_pos"]) for r in rows if r["_corrupt_record"]] == [("cut_LLM.json", 1)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import labels as L
@@ -870,6 +870,24 @@ def q_valid_entries(spark, sf):
               .unionByName(read.where(F.col("query").isNull()).select("query_id", F.lit(False).alias("valid"))))
 
 
+@register("log_arrays", ORACLES["valid_entries"])
+def q_log_arrays(spark, sf):
+    cat = C.catalogue(spark, sf)
+    queries, _ = M.mine_queries(cat, 2, categories=C.TEST_CATEGORIES, caps=C.TEST_CAPS, min_support=20, labels=C.TEST_LABELS)
+    # The stand-in log: one array on one line, with the faults of ``valid_entries``.
+    query = F.when(F.col("support") % 4 != 0, F.struct("brand", "category", "capacity", "olfactory_category", "price"))
+    lines = queries.select(F.row_number().over(Window.orderBy("query_id")).alias("n"), F.to_json(F.struct("query_id", query.alias("query"))).alias("entry"))
+    lines = lines.select("n", F.concat(F.when(F.col("n") == 1, F.lit("[")).otherwise(F.lit(", ")), "entry").alias("value"))
+    lines = lines.unionByName(lines.agg((F.count("*") + 1).alias("n"), F.lit("]").alias("value")))
+    path = _scratch(spark, "log-array")
+    lines.repartition(1).sortWithinPartitions("n").select("value").write.option("lineSep", " ").text(path)
+    from pyspark.sql import types as TY
+    read = IO.read_log_arrays(spark, path, schema=TY.StructType(IO.LOG_SCHEMA.fields + [TY.StructField("query_id", TY.StringType())]))
+    ok, _ = IO.valid_entries(read)
+    return (ok.select("query_id", F.lit(True).alias("valid"))
+              .unionByName(read.where(F.col("query").isNull()).select("query_id", F.lit(False).alias("valid"))))
+
+
 # ---------------------------------------------------------------- A10
 
 from ..streaming import ingest as ST  # noqa: E402

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators import extract as X
 from ..operators.triples import to_ntriples
+from .arrays import array_elements
 
 QUERY_TYPE = T.StructType([T.StructField(f, T.StringType()) for f in
                            ("brand", "category", "capacity", "olfactory_category", "olfactory category", "price")])
@@ -65,8 +66,8 @@ def write_graph(nodes: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_query_log(spark: SparkSession, path: str, glob: str | None = None, multi_line: bool = False,
                    schema=LOG_SCHEMA) -> DataFrame:
     """A3/A4: JSON Lines, or JSON arrays of entries with ``multi_line`` (a
-    task per file then, so for small files), one row per entry, with the file
-    name. ``glob`` filters by suffix (``*_LLM.json``)."""
+    task per file then; ``read_log_arrays`` splits them), one row per entry,
+    with the file name. ``glob`` filters by suffix (``*_LLM.json``)."""
     r = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record")
     if glob:
@@ -85,6 +86,16 @@ def read_logs(spark: SparkSession, path: str, suffix: str = "_LLM.json", multi_l
     return _entries(r.json(f"{path.rstrip('/')}/*{suffix}"), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))
 
 
+def read_log_arrays(spark: SparkSession, path: str, glob: str | None = None, schema=LOG_SCHEMA) -> DataFrame:
+    """A3 at scale: as ``read_query_log`` for files that hold one JSON array
+    each, of any size; an array's splits are read by different tasks (see
+    ``arrays.array_elements``). ``_pos`` is the entry's number in its file."""
+    entry = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = array_elements(spark, path, glob).select("path", "pos", entry.alias("_e"))
+    name = F.url_decode(F.replace(F.substring_index("path", "/", -1), F.lit("+"), F.lit("%2B")))
+    return _entries(rows.select("_e.*", name.alias("_name"), F.col("pos").alias("_pos")), F.col("_name")).drop("_name")
+
+
 def _entries(log: DataFrame, file) -> DataFrame:
     df = log.withColumn("file", file)
     q = F.col("query")
