@@ -77,6 +77,48 @@ def test_prices_by_cap(spark):
     assert {(r["query_id"], r["id"]): r["solutions"] for r in got.collect()} == want and len(want) > 20
 
 
+def test_many_caps(spark, monkeypatch):
+    """More caps than a block holds, alone and with a brand; the plan holds none of them."""
+    monkeypatch.setattr(R, "BLOCK", 16)
+    rnd = random.Random(5)
+    rows = [("s", 0, i, f"u{i % 20}", "N", "c", "Brand", "AB"[i % 2], [(str(rnd.randint(0, 3000)), "EUR")], []) for i in range(40)]
+    asked = [(f"p{c}", None, None, None, None, f"< {c}") for c in range(0, 3000, 7)]
+    asked += [(f"b{c}", "A", None, None, None, f"< {c}.5") for c in range(0, 3000, 11)]
+    want = {}
+    for q, b, *_, cap in asked:
+        for u in {r[3] for r in rows}:
+            mine = [r for r in rows if r[3] == u]
+            n = sum(float(r[8][0][0]) < float(cap[2:]) for r in mine) * (sum(r[7] == b for r in mine) if b else 1)
+            if n:
+                want[q, u] = n
+    prods = R.graph_index(spark.createDataFrame(rows, PROD))
+    got = R.match_queries(spark.createDataFrame(asked, Q), prods)
+    assert {(r["query_id"], r["id"]): r["solutions"] for r in got.collect()} == want
+    size = [len(R.match_queries(spark.createDataFrame(asked[:n], Q), prods)._jdf.queryExecution().optimizedPlan().toString())
+            for n in (200, len(asked))]
+    assert size[1] < 1.2 * size[0]
+
+
+def test_contains_by_grams(spark):
+    """Query values of any length, with repeated grams, characters of several bytes, or longer than any value."""
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("aàb€ ") for _ in range(n))
+    facts = [(f, word(rnd.randint(0, 12))) for f in ("category", "olfactory_category") for _ in range(60)]
+    asked = sorted({(f, w) for f in ("category", "olfactory_category") for w in
+                    [word(rnd.randint(1, 6)) for _ in range(80)] + ["aaaaaaaaaaaaaaaaaaaa", "zzz", "z"]}) + [("brand", "a")]
+    values = spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "vid long, feature string, value string")
+    got = R._resolve(values, spark.createDataFrame(facts, "feature string, value string"), 1 << 20).collect()
+    want = {(f, v, i) for i, (f, w) in enumerate(asked) for g, v in facts if f == g and w in v} | {("brand", "a", len(asked) - 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 300
+
+
+def test_queries_without_features_by_parts(spark, monkeypatch):
+    """Too many such queries to broadcast: the products are taken in parts."""
+    monkeypatch.setattr(R, "BROADCAST_MAX_BYTES", 0)
+    assert answers(spark, [("all", "", None, None, "", None), ("any", None, None, None, None, None)]) == [
+        (q, u, 1) for q in ("all", "any") for u in ("u1", "u2")]
+
+
 def test_matching_against_brute_force(spark):
     rnd = random.Random(8)
     pick = lambda *x: rnd.choice(x)

@@ -11,36 +11,45 @@ below N) is answered for a whole query log at once, as a relational division:
   (``cnt``): the bag multiplicity of the SPARQL answer is the product of the
   per-feature counts times the number of names.
 * The log's distinct values are resolved against the facts once: equal values,
-  and for CONTAINS the fact values that hold a query value (an equi-join on
-  substrings of just those lengths that query values have). What is left is
-  *hits* ``(node, vid, cnt)``, the facts of the log's values only.
-* Prices go to the tightest cap of the log above them and add up per node and
-  cap by a partial aggregation, so a node has at most one row per cap however
-  many offers it has.
+  and for CONTAINS the fact values that hold a query value (a q-gram index: a
+  query value meets the fact values that share its rarest gram, then each pair
+  is verified). What is left is *hits* ``(node, vid, cnt)``, the facts of the
+  log's values only.
+* The log's caps are a table. Distinct prices and caps are put in one order
+  by a range partitioning, whose running counts give each price the place of the
+  tightest cap above it. Prices add up per node and place by a partial
+  aggregation, so a node has at most one row per cap however many offers it has.
 * Each query is driven by its most selective feature, price included, by the
   number of nodes that have it. One chain checks the others: a candidate's
   other values are joined with hits by (node, vid), its cap with its node's
-  price rows. The fan-out is bounded by the candidates.
+  price rows. The fan-out is bounded by the candidates. Queries that price
+  drives meet a node's prices at places of driving caps only, so each row
+  made for them is an answer of that driving feature.
 * Queries without features are set apart, and only where there are any: each
   gets every named product.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
-from ..session import bounded_broadcast, cut_lineage, row_bytes
+from ..session import BROADCAST_MAX_BYTES, bounded_broadcast, cut_lineage, row_bytes
 
 FACT_FEATURES = ["brand", "category", "capacity", "olfactory_category", "price"]
 DRIVE_ORDER = {"brand": 0, "capacity": 1, "olfactory_category": 2, "category": 3, "price": 4}
 CONTAINS = ("category", "olfactory_category")
+#: Longest gram of the CONTAINS index; shorter query values are grams themselves.
+GRAM = 3
+#: Places of the cap order whose running sums one window group holds.
+BLOCK = 4096
+#: Parts of the products where the queries without features are too many to broadcast.
+SALTS = 256
 
 
 # ---------------------------------------------------------------- E1, E2
@@ -185,23 +194,65 @@ U = ["u1", "u2"]
 def _resolve(values: DataFrame, facts: DataFrame, nbytes: int) -> DataFrame:
     """(feature, value, vid): the fact values that each query value matches,
     for ``values(vid, feature, value)`` of ``nbytes`` at most, without a cross
-    join."""
+    join.
+
+    CONTAINS goes over a q-gram index of the distinct fact values: their grams
+    of 1 to ``GRAM`` characters, only those that query values ask for. A query
+    value of ``GRAM`` characters or more asks for its grams of that length, a
+    shorter one for itself. It meets the holders of the gram that fewest
+    values hold, and each pair is verified; a gram that no value holds leaves
+    no pair. Rows of the index grow with the fact values' length, whatever
+    lengths the query values have.
+    """
     equal = values.where(~F.col("feature").isin(*CONTAINS)).select("feature", "value", "vid")
     parts = values.where(F.col("feature").isin(*CONTAINS)).select("feature", F.col("value").alias("part"), "vid")
-    lengths = sorted(r[0] for r in parts.select(F.length("part")).distinct().collect())  # one number per length
-    if not lengths:
-        return equal
+    own = F.when(F.length("part") >= GRAM, substrings(F.col("part"), [GRAM])).otherwise(F.array("part"))
+    wanted = parts.select("feature", "part", "vid", F.explode(F.array_distinct(own)).alias("gram"))
     held = facts.where(F.col("feature").isin(*CONTAINS)).select("feature", "value").distinct()
-    subs = held.select("feature", "value", F.explode(F.array_distinct(substrings(F.col("value"), lengths))).alias("part"))
-    return equal.unionByName(subs.join(bounded_broadcast(parts, nbytes), ["feature", "part"]).select("feature", "value", "vid"))
-
-
-def _price_rows(facts: DataFrame, caps: Sequence) -> DataFrame:
+    index = held.select("feature", "value", F.explode(F.array_distinct(substrings(F.col("value"), range(1, GRAM + 1)))).alias("gram"))
+    # A value of n characters asks for n grams of GRAM characters at most.
+    grams = bounded_broadcast(wanted.select("feature", "gram").distinct(), (GRAM + 2) * nbytes)
+    index = index.join(grams, ["feature", "gram"], "left_semi")
+    holders = index.groupBy("feature", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (wanted.join(holders, ["feature", "gram"], "left").groupBy("feature", "part", "vid")
+                    .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("key"))
+                    .where(F.col("key.n") > 0).select("feature", "part", "vid", F.col("key.gram").alias("gram")))
+    found = index.join(bounded_broadcast(rarest, 2 * nbytes), ["feature", "gram"]).where(F.col("value").contains(F.col("part")))
+    return equal.unionByName(found.select("feature", "value", "vid"))
+
+
+def _running(rows: DataFrame, place: str, n: Column, by: Column | None = None) -> DataFrame:
+    """``rows`` with ``upto``: the sum of ``n`` over all rows whose ``place``
+    (distinct) is not beyond their own. Each group of ``by``, consecutive places,
+    adds up its own rows; one sum a group is carried over. Without ``by`` the
+    places are gapless integers from 0, in groups of ``BLOCK``."""
+    rows = rows.withColumn("_n", n).withColumn("_by", F.floor(F.col(place) / BLOCK) if by is None else by)
+    before = (rows.groupBy("_by").agg(F.sum("_n").alias("_s"))
+                  .select("_by", F.coalesce(F.sum("_s").over(Window.orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b")))
+    inside = F.sum("_n").over(Window.partitionBy("_by").orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_i", inside).join(before, "_by").withColumn("upto", F.col("_i") + F.col("_b")).drop("_n", "_by", "_i", "_b")
+
+
+def _cap_places(facts: DataFrame, caps: DataFrame) -> DataFrame:
+    """(value, asked, place, above): the distinct prices and caps of ``caps(cap)``;
+    for caps (``asked``) their place from 0 in rising order (else null), and for
+    each value the place of the tightest cap above it (the number of caps, where none is)."""
+    points = (facts.where(F.col("feature") == "price").select(F.col("price").alias("value"), F.lit(False).alias("priced"))
+              .unionByName(caps.select(F.col("cap").alias("value"), F.lit(True).alias("priced")))
+              .groupBy("value").agg(F.max("priced").alias("asked")))
+    # Written, so that a point's part of the order is the same each time it is read.
+    parts = cut_lineage(points.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "points")
+    run = _running(parts, "value", F.col("asked").cast("int"), F.col("part"))
+    place = F.when(F.col("asked"), F.col("upto") - 1).cast("int")
+    return run.select("value", "asked", place.alias("place"), F.col("upto").cast("int").alias("above"))
+
+
+def _price_rows(facts: DataFrame, points: DataFrame, n_caps: int) -> DataFrame:
     """(u1, u2, rank, cnt): offers by the place of the tightest cap above
-    their price; ``caps`` in rising order."""
-    edges = F.array(*[F.lit(c).cast(T.DECIMAL) for c in caps]) if caps else F.array().cast(f"array<{T.DECIMAL}>")
-    rank = F.size(F.filter(edges, lambda c: c <= F.col("price")))
-    return (facts.where(F.col("feature") == "price").select(*U, rank.alias("rank"), "cnt").where(F.col("rank") < len(caps))
+    their price."""
+    ranks = points.where(F.col("above") < n_caps).select(F.col("value").alias("price"), F.col("above").alias("rank"))
+    return (facts.where(F.col("feature") == "price").select(*U, "price", "cnt")
+                 .join(ranks, "price")  # a written table: the planner knows its size
                  .groupBy(*U, "rank").agg(F.sum("cnt").alias("cnt")))
 
 
@@ -217,13 +268,14 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
 
     Small tables are written while the plan is built (the log's features, its
     values' hits); ``session.drop_intermediates`` removes them. Driver-side
-    values are the log's distinct caps and value lengths, and counts.
+    values are counts and sizes only, and the plan is the same for any number
+    of values and caps.
     """
     idx = products if isinstance(products, GraphIndex) else graph_index(products)
     features = cut_lineage(query_features(queries.select("query_id", *FACT_FEATURES).distinct(), keyed=True), "query-features")
     # One pass over the written log: its size bounds every query-side table below.
-    log_bytes, caps, unasked = features.agg(
-        F.sum(row_bytes(features)), F.array_sort(F.collect_set("cap")), F.count(F.when(F.col("k") == 0, 1))).first()
+    log_bytes, n_caps, unasked = features.agg(
+        F.sum(row_bytes(features)), F.count_distinct("cap"), F.count(F.when(F.col("k") == 0, 1))).first()
     log_bytes = log_bytes or 0
 
     # The log's distinct values, and the facts that match them.
@@ -232,19 +284,24 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
     resolved = cut_lineage(_resolve(values, idx.facts, log_bytes), "resolved")  # the planner knows its size
     hits = cut_lineage(idx.facts.where(F.col("feature") != "price").join(resolved, ["feature", "value"])
                        .groupBy(*U, "vid").agg(F.sum("cnt").alias("cnt")), "hits")
-    prices = cut_lineage(_price_rows(idx.facts, caps), "prices") if caps else None
     capped = features.where((F.col("feature") == "price") & F.col("cap").isNotNull())
-    rank = F.array_position(F.array(*[F.lit(c).cast(T.DECIMAL) for c in caps]), F.col("cap")).cast("int") - 1 if caps else F.lit(None).cast("int")
+    prices = edges = None
+    if n_caps:
+        points = cut_lineage(_cap_places(idx.facts, capped.select("cap").distinct()), "places")
+        prices = cut_lineage(_price_rows(idx.facts, points, n_caps), "prices")
+        # Each cap with its place and the price rows that it or a lower one is the tightest for.
+        at = prices.groupBy("rank").agg(F.count(F.lit(1)).alias("rows"))
+        edges = (points.where("asked").select(F.col("value").alias("cap"), F.col("place").alias("rank"))
+                       .join(at, "rank", "left"))
+        edges = cut_lineage(_running(edges, "rank", F.coalesce("rows", F.lit(0))).withColumnRenamed("upto", "n"), "caps")
 
     # The driving feature: the one that fewest nodes have.
-    each = plain.join(values, ["feature", "value"]).select("q", "feature", "vid", F.lit(None).cast("int").alias("cap_rank"))
-    each = each.unionByName(capped.select("q", "feature", F.lit(None).cast("bigint").alias("vid"), rank.alias("cap_rank")))
     n_vid = hits.groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
-    each = each.join(n_vid, "vid", "left")
-    if caps:
-        at = {r[0]: r[1] for r in prices.groupBy("rank").agg(F.count(F.lit(1))).collect()}  # a row a cap
-        below = list(itertools.accumulate(at.get(i, 0) for i in range(len(caps))))
-        each = each.withColumn("n", F.when(F.col("vid").isNull(), F.try_element_at(F.array(*map(F.lit, below)), F.col("cap_rank") + 1)).otherwise(F.col("n")))
+    each = (plain.join(values, ["feature", "value"]).join(n_vid, "vid", "left")
+                 .select("q", "feature", "vid", F.lit(None).cast("int").alias("cap_rank"), "n"))
+    if n_caps:
+        each = each.unionByName(capped.join(bounded_broadcast(edges, log_bytes), "cap")
+                                .select("q", "feature", F.lit(None).cast("bigint").alias("vid"), F.col("rank").alias("cap_rank"), "n"))
     order = F.create_map(*[x for k, v in DRIVE_ORDER.items() for x in (F.lit(k), F.lit(v))])
     one = F.struct(F.coalesce("n", F.lit(0)).alias("n"), order[F.col("feature")].alias("o"), "vid", "cap_rank")
     asked = features.where(F.col("feature").isNotNull()).groupBy("q").agg(F.first("query_id").alias("query_id"), F.first("k").alias("k"))
@@ -257,10 +314,22 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
 
     # Candidates, then one chain of checks.
     cand = hits.join(plan.where(F.col("vid").isNotNull()), "vid").select(*U, "q", "others", "cap_rank", "cnt")
-    if caps:
-        driving = plan.where(F.col("vid").isNull()).select("q", "others", "cap_rank", "drive_rank")
-        reach = prices.select(*U, "cnt", F.explode(F.sequence("rank", F.lit(len(caps) - 1))).alias("drive_rank"))
-        cand = cand.unionByName(reach.join(driving, "drive_rank").groupBy(*U, "q", "others", "cap_rank").agg(F.sum("cnt").alias("cnt")))
+    if n_caps:
+        driving = plan.where(F.col("vid").isNull()).select("q", "others", "cap_rank", F.col("drive_rank").alias("rank"))
+        drives = driving.select("rank").distinct().withColumn("drives", F.lit(1))
+        # The driving caps have places of their own; a price goes to the first of them at or above its cap.
+        own = _running(edges.select("rank").join(drives, "rank", "left"), "rank", F.coalesce("drives", F.lit(0)))
+        own = own.select("rank", "drives", (F.col("upto") - F.coalesce("drives", F.lit(0))).cast("int").alias("place"))
+        own = cut_lineage(own, "driving-caps")
+        n_drives = own.where(F.col("drives") == 1).count()
+        if n_drives:
+            small = bounded_broadcast(own, 2 * log_bytes)
+            reach = (prices.join(small.select("rank", "place"), "rank").where(F.col("place") < n_drives)
+                           .groupBy(*U, "place").agg(F.sum("cnt").alias("cnt"))
+                           .select(*U, "cnt", F.explode(F.sequence("place", F.lit(n_drives - 1))).alias("place")))
+            reach = reach.groupBy(*U, "place").agg(F.sum("cnt").alias("cnt"))
+            by_place = driving.join(small.where(F.col("drives") == 1), "rank").select("q", "others", "cap_rank", "place")
+            cand = cand.unionByName(reach.join(bounded_broadcast(by_place, log_bytes), "place").select(*U, "q", "others", "cap_rank", "cnt"))
     # One row a candidate and other value; none of them is lost if it has no others.
     asked_of = cand.select(*U, "q", "cap_rank", "cnt", F.size("others").alias("n_others"), F.explode_outer("others").alias("vid"))
     found = hits.select(*U, "vid", F.col("cnt").alias("hit"))
@@ -270,7 +339,7 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
             .agg(F.count("hit").alias("n_hit"), F.coalesce(F.product("hit"), F.lit(1.0)).cast("bigint").alias("mult"))
             .where(F.col("n_hit") == F.col("n_others"))
             .select(*U, "q", "cap_rank", (F.col("cnt") * F.col("mult")).alias("mult")))
-    if caps:
+    if n_caps:
         within = prices.select(*U, "rank", F.col("cnt").alias("offers"))
         good = (good.join(within, U, "left").groupBy(*U, "q", "cap_rank", "mult")
                 .agg(F.sum(F.when(F.col("rank") <= F.col("cap_rank"), F.col("offers"))).alias("offers"))
@@ -279,8 +348,11 @@ def match_queries(queries: DataFrame, products: DataFrame | GraphIndex, mapping:
     names = bounded_broadcast(asked.select("q", "query_id"), log_bytes)
     sol = good.join(names, "q").join(idx.nodes, U).select("query_id", "link", (F.col("mult") * F.col("n_names")).alias("solutions"))
     if unasked:  # every named product, for each such query
-        empty = features.where(F.col("k") == 0).select("query_id", F.lit(1).alias("one"))
-        every = idx.nodes.withColumn("one", F.lit(1)).join(bounded_broadcast(empty, log_bytes), "one")
+        # Beyond a broadcast's size each part of the products meets its own copy of these queries.
+        salts = 1 if log_bytes <= BROADCAST_MAX_BYTES else SALTS
+        empty = (features.where(F.col("k") == 0)
+                         .select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt")))
+        every = idx.nodes.withColumn("salt", F.pmod(F.xxhash64(*U), F.lit(salts))).join(bounded_broadcast(empty, log_bytes), "salt")
         sol = sol.unionByName(every.select("query_id", "link", F.col("n_names").alias("solutions")))
     if mapping is None:
         out = sol.withColumnRenamed("link", "id")
