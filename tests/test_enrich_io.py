@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from vetrina.operators import enrich as E
@@ -94,6 +95,34 @@ def test_stream_restart_equals_batch(spark, tmp):
     assert len(first) == 12
 
 
+def test_recrawled_page_replaces_its_products(spark, tmp):
+    html = '<script type="application/ld+json">{"@graph":[{"@type":"Product","@id":"%s"},{"@type":"Other"}]}</script>'
+
+    def crawl(rows):
+        spark.createDataFrame(rows, "url string, status int, html string").coalesce(1).write.mode("append").parquet(f"{tmp}/src")
+        ST.ingest_crawl(spark, f"{tmp}/src", f"{tmp}/sink", f"{tmp}/ckpt", max_files=1).awaitTermination()
+        products, rejects = ST.current(spark, f"{tmp}/sink")
+        return (sorted((str(r["src"]), r["id"]) for r in products.collect()),
+                sorted((r["url"], r["reason"], r["detail"]) for r in rejects.collect()))
+
+    first = [("a", 200, html % "a1"), ("b", 200, html % "b1"), ("c", 404, None), ("d", 200, html % "d1" + html % "d2"),
+             ("e", 200, html % "e1"), ("e", 200, html % "e2"), (None, 200, html % "n1"), (None, 200, html % "n2"), ("f", None, None)]
+    kept = [("None", "n1"), ("None", "n2")]
+    assert crawl(first) == (kept + [("a", "a1"), ("b", "b1"), ("d", "d1"), ("d", "d2"), ("e", "e2")], [("c", "status", "404"), ("f", "status", None)])
+    # b is gone, c came back, d has one product and a broken block, a has no block any more
+    second = [("b", 410, None), ("c", 200, html % "c1"), ("d", 200, html % "d3" + '<script type="application/ld+json">{</script>'), ("a", 200, "x")]
+    want = (kept + [("c", "c1"), ("d", "d3"), ("e", "e2")], [("b", "status", "410"), ("d", "json", "1"), ("f", "status", None)])
+    assert crawl(second) == want
+    # Nothing new: the same table.
+    ST.ingest_crawl(spark, f"{tmp}/src", f"{tmp}/sink", f"{tmp}/ckpt").awaitTermination()
+    assert ST.current(spark, f"{tmp}/sink")[0].count() == len(want[0])
+    # A start after the first file, and one past the end.
+    ST.ingest_crawl(spark, f"{tmp}/src", f"{tmp}/sink2", f"{tmp}/ckpt2", start=1).awaitTermination()
+    assert sorted(r["id"] for r in ST.current(spark, f"{tmp}/sink2")[0].collect()) == ["c1", "d3"]
+    with pytest.raises(ValueError):
+        ST.ingest_crawl(spark, f"{tmp}/src", f"{tmp}/sink3", f"{tmp}/ckpt3", start=3)
+
+
 def test_seed_table_and_log_writers(spark, tmp):
     with open(f"{tmp}/seed.csv", "w") as f:
         f.write("permalink,other\nhttp://a,1\nhttp://b,2\n")

@@ -29,8 +29,8 @@ def ok_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, bad
 
 
-def ld_json_blocks(pages: DataFrame) -> DataFrame:
-    """B2: (url, block, body) for every script element whose type attribute
+def ld_json_blocks(pages: DataFrame, *keep: str) -> DataFrame:
+    """B2: (url, block, body) and the columns ``keep`` for every script element whose type attribute
     (the last, if it repeats) is ld+json, in document order. Comments, raw
     elements and quoted values hold no elements; a script that isn't closed
     runs to the end of the page."""
@@ -44,8 +44,14 @@ def ld_json_blocks(pages: DataFrame) -> DataFrame:
         return F.regexp_replace(F.try_element_at(types, F.lit(-1))["value"], r"""\A["']|["']\z""", "") == P.LD_JSON
 
     blocks = F.filter(scripts, lambda s: s.contains(P.LD_JSON) & is_ld_json(s))
-    return pages.select("url", F.posexplode(blocks).alias("block", "script")).select(
-        "url", "block", F.regexp_extract("script", P.SCRIPT_PARTS, 2).alias("body"))
+    return pages.select("url", *keep, F.posexplode(blocks).alias("block", "script")).select(
+        "url", *keep, "block", F.regexp_extract("script", P.SCRIPT_PARTS, 2).alias("body"))
+
+
+def is_object(doc="doc", body="body") -> Column:
+    """Whether a parsed body is a JSON object. The first character tells an
+    object from a list or scalar; no walk over the document."""
+    return F.coalesce(F.col(doc).isNotNull() & F.regexp_like(body, F.lit(r"\A\s*\{")), F.lit(False))
 
 
 def parse_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,8 +59,7 @@ def parse_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     (truncated, empty, a top-level list) is reported and skipped."""
     doc = F.try_parse_json(F.col("body"))
     parsed = blocks.select("url", "block", "body", doc.alias("doc"))
-    # The first character tells an object from a list or scalar; no walk over the document.
-    is_obj = F.coalesce(F.col("doc").isNotNull() & F.regexp_like("body", F.lit(r"\A\s*\{")), F.lit(False))
+    is_obj = is_object()
     good = parsed.where(is_obj).select("url", "block", "doc")
     bad = parsed.where(~is_obj).select("url", F.lit("json").alias("reason"),
                                        F.col("block").cast("string").alias("detail"))

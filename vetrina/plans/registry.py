@@ -912,4 +912,28 @@ def q_ingest_rejects(spark, sf):
     return spark.read.parquet(sink)
 
 
+@register("ingest_recrawl", C.sql_with(C.PAGES_SQL) + f"""
+SELECT permalink AS url, CASE WHEN id % 10 = 5 THEN 'New ' || title ELSE title END AS name, CAST(NULL AS VARCHAR) AS reason
+FROM ext WHERE id % 10 <> 0
+UNION ALL SELECT '{C.SHOP}/p/' || CAST(p_partkey AS VARCHAR), NULL, 'status'
+FROM part WHERE p_partkey % 31 = 0 OR p_partkey % 10 = 0
+UNION ALL SELECT '{C.SHOP}/p/' || CAST(p_partkey AS VARCHAR), NULL, 'json'
+FROM part WHERE p_partkey % 31 <> 0 AND p_partkey % 17 = 0 AND p_partkey % 23 <> 0 AND p_partkey % 10 <> 0""")
+def q_ingest_recrawl(spark, sf):
+    """A10 over two crawls: of those crawled again, pages that are gone lose
+    their products and pages with a new name replace them."""
+    src, sink, ckpt = _scratch(spark, "pages"), _scratch(spark, "crawl"), _scratch(spark, "stream-ckpt")
+    pages = C.product_pages(spark, sf)
+    pages.repartition(8).write.parquet(src)
+    ST.ingest_crawl(spark, src, sink, ckpt).awaitTermination()
+    renamed = F.replace(F.col("html"), F.lit('/#richSnippet","name":"'), F.lit('/#richSnippet","name":"New '))
+    again = pages.where(F.col("url").endswith("5")).withColumn("html", renamed).unionByName(
+        pages.where(F.col("url").endswith("0")).withColumn("status", F.lit(404)))
+    again.write.mode("append").parquet(src)
+    ST.ingest_crawl(spark, src, sink, ckpt).awaitTermination()  # resumes after the first crawl
+    products, rejects = ST.current(spark, sink)
+    return (products.select(T.strip_suffix("src").alias("url"), F.get_json_object("node", "$.name").alias("name"), F.lit(None).cast("string").alias("reason"))
+                    .unionByName(rejects.select("url", F.lit(None).cast("string").alias("name"), "reason")))
+
+
 from . import written  # noqa: E402, F401  (queries that write and read back)
