@@ -64,7 +64,8 @@ def fill_slots(texts: DataFrame, vocab: DataFrame, key: str = "query_id", text:
         F.when(price_n != "", F.concat(F.lit("< "), price_n)).otherwise(F.lit("")).alias("price"),
         F.when(cap_n != "", F.concat(cap_n, F.lit(" ml"))).otherwise(F.lit("")).alias("capacity"),
         F.filter(F.split(F.trim(rest), " "), lambda w: w != "").alias("words"))
-    grams = base.select(key, F.explode(_ngrams(F.col("words"), lengths)).alias("g")).select(key, "g.*")
+    # An outer explode, as an inner one comes with a filter that makes the n-grams a second time.
+    grams = base.select(key, F.explode_outer(_ngrams(F.col("words"), lengths)).alias("g")).where(F.col("g").isNotNull()).select(key, "g.*")
     rank = F.create_map(*[x for i, s in enumerate(SLOT_ORDER) for x in (F.lit(s), F.lit(i))])
     hits = (grams.join(bounded_broadcast(vocab), "phrase")
                  .select(key, F.struct(rank[F.col("slot")].alias("r"), (-F.col("len")).alias("nl"),
@@ -118,7 +119,10 @@ REPLY_PAIR = (r'''(?s)\[\s*(?:"((?:[^"\\]|\\.)*+)"|'((?:[^'\\]|\\.)*+)')'''
 def reply_pairs(reply) -> Column:
     """ARRAY<STRUCT<name, value>> of a reply, in order; NULL when not a list
     of string pairs."""
-    r = F.col(reply) if isinstance(reply, str) else reply
+    return T.once(F.col(reply) if isinstance(reply, str) else reply, _pairs)
+
+
+def _pairs(r: Column) -> Column:
     n1 = F.regexp_extract_all(r, F.lit(REPLY_PAIR), 1)
     n2 = F.regexp_extract_all(r, F.lit(REPLY_PAIR), 2)
     v1 = F.regexp_extract_all(r, F.lit(REPLY_PAIR), 3)
@@ -136,12 +140,13 @@ def reply_pairs(reply) -> Column:
 def valid_slots(reply) -> Column:
     """Exactly five pairs; capacity '' or 'N ml'; price '' or '< N';
     names other than capacity and price are not checked."""
-    pairs = reply_pairs(reply)
-    ok = F.forall(pairs, lambda p: (
-        F.when(p["name"] == "capacity", (p["value"] == "") | p["value"].rlike(P.SLOT_CAPACITY))
-         .when(p["name"] == "price", (p["value"] == "") | p["value"].rlike(P.SLOT_PRICE))
-         .otherwise(F.lit(True))))
-    return F.coalesce(pairs.isNotNull() & (F.size(pairs) == 5) & ok, F.lit(False))
+    def ok(pairs):
+        return pairs.isNotNull() & (F.size(pairs) == 5) & F.forall(pairs, lambda p: (
+            F.when(p["name"] == "capacity", (p["value"] == "") | p["value"].rlike(P.SLOT_CAPACITY))
+             .when(p["name"] == "price", (p["value"] == "") | p["value"].rlike(P.SLOT_PRICE))
+             .otherwise(F.lit(True))))
+
+    return F.coalesce(T.once(reply_pairs(reply), ok), F.lit(False))
 
 
 def capitalise_slots(pairs) -> Column:
@@ -156,7 +161,8 @@ def capitalise_slots(pairs) -> Column:
 
 def pairs_to_query(pairs) -> list[Column]:
     """The five slot columns; the last pair of a name wins; names are
-    normalised ('olfactory category' -> 'olfactory_category')."""
+    normalised ('olfactory category' -> 'olfactory_category'). Each column
+    evaluates ``pairs``: where they are dear, give the name of a column."""
     p = F.col(pairs) if isinstance(pairs, str) else pairs
     norm = F.transform(p, lambda x: F.struct(F.replace(F.trim(x["name"]), F.lit(" "), F.lit("_")).alias("name"),
                                              x["value"].alias("value")))
@@ -176,7 +182,8 @@ def resolve_replies(replies: DataFrame, texts: DataFrame, vocab: DataFrame, key:
     quarantine table and their texts are filled by the dictionary tagger (E15).
     """
     ok = valid_slots(reply)
-    good = replies.where(ok).select(key, *pairs_to_query(capitalise_slots(reply_pairs(reply))))
+    parsed = replies.where(ok).select(key, capitalise_slots(reply_pairs(reply)).alias("_pairs"))
+    good = parsed.select(key, *pairs_to_query("_pairs"))
     bad = replies.where(~ok).select(key, reply)
     fallback = fill_slots(texts.join(bad.select(key), key, "left_semi"), vocab, key=key, text=text)
     return good.unionByName(fallback), bad
