@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..session import cut_lineage
 
 SCHEMA = "http://schema.org/"
@@ -53,24 +54,37 @@ def _items(value: Column) -> Column:
 
 
 def _data_type(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
+    return once(F.schema_of_variant(value), _xsd_type)
+
+
+def _xsd_type(kind: Column) -> Column:
     return (F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit(XSD + "integer")).when(kind.startswith("DECIMAL"), F.lit(XSD + "decimal"))
              .when(kind.isin("DOUBLE", "FLOAT"), F.lit(XSD + "double")).when(kind == "BOOLEAN", F.lit(XSD + "boolean")))
 
 
 def _of_value(s: Column, key: Column, value: Column, path: Column, depth: int) -> Column:
-    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    """The triples of one value. What several of them use, such as the object's
+    name and path, is evaluated once (``once``)."""
+    def of_object(o):
+        first = _triple(s, _iri(key), o["child"], o["kind"], **({} if depth else {"path": o["path"], "rest": value}))
+        return F.concat(F.array(first), _of_fields(o["child"], o["fields"], o["path"], depth - 1)) if depth else F.array(first)
+
+    def nested(fields):
+        def named(o):
+            return once(F.struct(fields.alias("fields"), o["path"].alias("path"), F.coalesce(o["ref"], _bnode(o["path"])).alias("child"),
+                                 F.when(o["ref"].isNotNull(), F.lit("iri")).otherwise(F.lit("bnode")).alias("kind")), of_object)
+        return once(F.struct(F.try_variant_get(value, '$["@id"]', "string").alias("ref"), path.alias("path")), named)
+
+    def scalar(text):
+        return F.when(text.isNotNull(), F.array(_triple(s, _iri(key), text, "literal", _data_type(value))))
+
+    def type_(text):
+        return F.when(text.isNotNull(), F.array(_triple(s, F.lit(RDF_TYPE), _iri(text), "iri")))
+
     text = F.try_variant_get(value, "$", "string")
-    ref = F.try_variant_get(value, '$["@id"]', "string")
-    child = F.coalesce(ref, _bnode(path))
-    kind = F.when(ref.isNotNull(), F.lit("iri")).otherwise(F.lit("bnode"))
-    if depth:
-        nested = F.concat(F.array(_triple(s, _iri(key), child, kind)), _of_fields(child, fields, path, depth - 1))
-    else:
-        nested = F.array(_triple(s, _iri(key), child, kind, path=path, rest=value))
-    scalar = F.when(text.isNotNull(), F.array(_triple(s, _iri(key), text, "literal", _data_type(value))))
-    type_ = F.when(text.isNotNull(), F.array(_triple(s, F.lit(RDF_TYPE), _iri(text), "iri")))
-    return F.coalesce(F.when(key == "@type", type_).when(fields.isNotNull(), nested).otherwise(scalar), F.array().cast(_T))
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    of_key = once(fields, lambda f: F.when(f.isNotNull(), nested(f)).otherwise(once(text, scalar)))
+    return F.coalesce(F.when(key == "@type", once(text, type_)).otherwise(of_key), F.array().cast(_T))
 
 
 def _of_fields(s: Column, fields: Column, path: Column, depth: int) -> Column:
@@ -89,7 +103,7 @@ def to_triples(nodes: DataFrame) -> DataFrame:
     fields = F.try_variant_get("node", "$", "map<string,variant>")
     done = None
     while True:
-        rows = cut_lineage(level.select(F.inline(_of_fields(F.col("s"), fields, F.col("path"), DEPTH - 1))), "triples")
+        rows = cut_lineage(level.select(F.inline_outer(_of_fields(F.col("s"), fields, F.col("path"), DEPTH - 1))).where(F.col("p").isNotNull()), "triples")
         done = rows.select(*_TRIPLE) if done is None else done.unionAll(rows.select(*_TRIPLE))
         level = rows.where("rest IS NOT NULL").select(F.col("o").alias("s"), "path", F.col("rest").alias("node"))
         if level.isEmpty():
