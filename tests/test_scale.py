@@ -51,3 +51,23 @@ def test_once_keeps_one_copy_of_its_value(spark, capsys):
     assert [line.count("sha2(") for line in plan.splitlines() if "Filter" in line] == [1]
     null = spark.createDataFrame([(None,), ("a",)], "h string").select(T.once(F.col("h"), lambda h: F.coalesce(h, F.lit("-"))).alias("x"))
     assert [r["x"] for r in null.collect()] == ["-", "a"]
+
+
+def test_contained_sets_of_mixed_sizes(spark):
+    from vetrina.operators.subsets import contained
+
+    rows = spark.createDataFrame([(1, [("a", 2), ("b", 3), ("c", 1)]), (2, [("b", 5)]), (3, [(x, 1) for x in "abcdefg"])], "id int, hits array<struct<item:string,cnt:bigint>>")
+    need = [("x", ["a"]), ("y", ["a", "b"]), ("z", ["a", "b"]), ("w", ["b", "c"]), ("v", list("abcdef")), ("u", list("abcdeh"))]
+    sets = spark.createDataFrame([(n, q) for q, n in need], "need array<string>, ask string")
+    got = {(r["id"], a, r["mult"]) for r in contained(rows, sets, 1000).collect() for a in r["asks"]}
+    assert got == {(1, "x", 2), (1, "y", 6), (1, "z", 6), (1, "w", 3), (3, "x", 1), (3, "y", 1), (3, "z", 1), (3, "w", 1), (3, "v", 1)}
+    assert contained(rows, sets.limit(0), 1000).count() == 0
+
+
+def test_answers_are_not_shuffled(spark, capsys):
+    from vetrina.operators.subsets import contained
+
+    rows = spark.createDataFrame([(1, [("a", 1)])], "id int, hits array<struct<item:string,cnt:bigint>>").repartition(3, "id")
+    contained(rows, spark.createDataFrame([(["a"], 1)], "need array<string>, ask int"), 100).groupBy("id", "mult").count().explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(id") == 1 and "hashpartitioning(id, mult" not in plan and "hashpartitioning(id#" in plan

@@ -7,9 +7,9 @@ whose price is below N.
 
 Plan: only terms of the log matter, so the texts are tokenised once, their
 tokens semi-joined with the log's distinct terms, and that is written. Each
-query is driven by its rarest term; its other terms travel with the candidate
-and are checked by one equi-join on (term, id), so a very common term never
-fans out across queries.
+text's terms are gathered into one row, which meets the queries that it holds
+all terms of (``subsets.contained``): queries share what they have in common,
+and a common term never fans out across queries. Prices are compared in the row.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..session import bounded_broadcast, cut_lineage, table_bytes
+from .subsets import contained
 
 
 def product_postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -51,21 +52,32 @@ def keyword_search(queries: DataFrame, docs: DataFrame, prices: DataFrame | None
     asked = bounded_broadcast(qt.select("term").distinct(), log_bytes)
     post = cut_lineage(product_postings(docs, key, text).join(asked, "term", "left_semi"), "postings")
     dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")))
-    plan = (qt.join(dfreq, "term", "left").groupBy("query_id", "cap").agg(rarest.alias("ts"))
-              .select("query_id", "cap", F.col("ts")[0]["term"].alias("term"),
-                      F.transform(F.slice("ts", 2, F.size("ts")), lambda t: t["term"]).alias("rest")))
-    cand = post.join(bounded_broadcast(plan, log_bytes), "term")
-    rows = cand.select("query_id", key, "cap", F.size("rest").alias("n_rest"), F.explode_outer("rest").alias("term"))
-    out = (rows.join(post.withColumn("has", F.lit(1)), ["term", key], "left")
-               .groupBy("query_id", key, "cap", "n_rest").agg(F.count("has").alias("n_has"))
-               .where(F.col("n_has") == F.col("n_rest")))
-    if prices is not None:
-        out = (out.join(prices.select(key, F.col("price").alias("_price")), key, "left")
-                  .where(F.col("cap").isNull() | (F.col("_price") < F.col("cap"))))
+    asks = (qt.join(dfreq, "term", "left").groupBy("query_id", "cap")
+              .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("ts")))
+    asks = cut_lineage(asks.select("query_id", "cap", F.transform("ts", lambda t: t["term"]).alias("ts")), "asks")
+
+    # A row per id: its terms in the same order, how many texts of the id hold each, and its price.
+    ordered = F.array_sort(F.collect_list(F.struct("df", "term", "cnt")))
+    rows = (post.groupBy("term", key).agg(F.count(F.lit(1)).alias("cnt")).join(bounded_broadcast(dfreq, log_bytes), "term").groupBy(key)
+                .agg(F.transform(ordered, lambda h: F.struct(h["term"].alias("item"), h["cnt"].alias("cnt"))).alias("hits")))
+    if prices is None:
+        rows = rows.withColumn("_price", F.lit(None).cast(T.DECIMAL))
     else:
-        out = out.where(F.col("cap").isNull())
-    return out.select("query_id", key)
+        rows = rows.join(prices.select(key, F.col("price").alias("_price")), key, "left")
+    rows = rows.withColumn("_one", F.col(key).isNotNull() & F.forall("hits", lambda h: h["cnt"] == 1))
+    within = lambda a: a["cap"].isNull() | (F.col("_price") < a["cap"])
+
+    # An id of one text: all terms of the query are among its own.
+    sets = asks.select(F.array_distinct("ts").alias("need"), F.struct("query_id", "cap").alias("ask"))
+    found = contained(rows.where("_one").select(key, "_price", "hits"), sets, log_bytes)
+    out = found.select(key, F.explode_outer(F.filter("asks", within)).alias("ask")).where(F.col("ask").isNotNull()).select("ask.query_id", key)
+    # Ids of several texts are matched by the numbers of texts: the rarest term's times each other's add up to the other terms' number.
+    first = asks.select("query_id", "cap", F.col("ts")[0].alias("term"), F.slice("ts", 2, F.size("ts")).alias("rest"))
+    many = rows.where(~F.col("_one")).select(key, "_price", F.map_from_entries("hits").alias("has"), F.explode_outer("hits").alias("h")).where(F.col("h").isNotNull())
+    many = many.join(bounded_broadcast(first, log_bytes), F.col("h.item") == F.col("term"))
+    n_has = F.aggregate("rest", F.lit(0).cast("bigint"), lambda n, t: n + F.when(F.col(key).isNull(), 0).otherwise(F.coalesce(F.try_element_at("has", t), F.lit(0)) * F.col("h.cnt")))
+    many = many.where((n_has == F.size("rest")) & (F.col("cap").isNull() | (F.col("_price") < F.col("cap"))))
+    return out.unionByName(many.select("query_id", key))
 
 
 #: Saturation of a term's count and weight of a text's length in a score (BM25).
