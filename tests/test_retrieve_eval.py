@@ -146,6 +146,25 @@ def test_matching_against_brute_force(spark):
     assert {(r["query_id"], r["id"]): r["solutions"] for r in got.collect()} == want and len(want) > 100
 
 
+def test_answer_lists_in_parts(spark, monkeypatch):
+    """A long list is cut, also within the copies of one id; short ones are one part, empty ones too."""
+    monkeypatch.setattr(R, "LIST_IDS", 10)
+    monkeypatch.setattr(R, "COPIES", 4)
+    rnd = random.Random(9)
+    rows = [("long", i, rnd.choice((1, 1, 2))) for i in range(-20, 60)] + [("copies", 3, 50), ("copies", 4, 1)]
+    rows += [(f"s{q}", i, 1 + i % 2) for q in range(20) for i in range(q % 7)] + [("void", None, 2)]
+    rnd.shuffle(rows)
+    want = {q: sorted(i for r, i, n in rows if r == q and i is not None for _ in range(n)) for q in {r[0] for r in rows} | {"none", "s0", "s7", "s14"}}
+    queries = spark.createDataFrame([(q,) for q in want], "query_id string")
+    got = R.answers_to_lists(spark.createDataFrame(rows, "query_id string, id long, solutions long"), queries, "ids").collect()
+    parts = {}
+    for r in sorted(got, key=lambda r: r["part"]):
+        parts.setdefault(r["query_id"], []).append(r["ids"])
+    assert {q: sum(p, []) for q, p in parts.items()} == want
+    assert max(len(p) for ps in parts.values() for p in ps) <= 2 * 10 and len(parts["long"]) > 5 and len(parts["copies"]) > 2
+    assert all(len(ps) == 1 for q, ps in parts.items() if len(want[q]) <= 10) and want["none"] == want["void"] == []
+
+
 def test_metrics_edges(spark):
     queries = spark.createDataFrame([("q1", None), ("q2", "<30"), ("q3", None), ("q4", None)],
                                     "query_id string, price string")
