@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -104,6 +105,20 @@ def test_edges(spark):
     check(spark, [], (16,))
 
 
+def test_texts_of_a_block_are_not_copied():
+    """The text column of a block leaves as it came, in its own buffers; only the places are new."""
+    texts = [["a" * 5, "b" * 9], ["c" * 9, "d" * 2, "e" * 14]]
+    batches = [pa.RecordBatch.from_pydict({
+        "doc_id": [len(t) * 10 + i for t in part], "th": [7] * len(part), "piece": pa.array([0] * len(part), pa.int32()), "start": [0] * len(part),
+        "length": [len(t) + 1 for t in part], "text": part, "block": [3] * len(part)}) for i, part in enumerate(texts)]
+    out = packing._pack(SIZES)((pa.scalar(3),), pa.Table.from_batches(batches))
+    assert out.column_names == ["doc_id", "piece", "start", "length", "text", "bin_id", "capacity", "offset"]
+    assert [c.buffers()[2].address for c in out.column("text").chunks] == [b.column("text").buffers()[2].address for b in batches]
+    rows = sorted(out.to_pylist(), key=lambda r: (-r["length"], r["doc_id"]))
+    where, offset, size = packing.pack_block([r["length"] for r in rows], SIZES)
+    assert [(r["bin_id"], r["offset"], r["capacity"]) for r in rows] == [((3 << 32) + b, o, size[b]) for b, o in zip(where, offset, strict=True)]
+
+
 def test_small_table(spark, texts):
     got = check(spark, texts, packing.CAPACITIES)
     used = {r.bin_id: r.capacity for r in got}

@@ -52,6 +52,15 @@ def test_empty_table(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_links_are_written_before_they_are_joined(spark, monkeypatch, texts):
+    """No stage has two Python steps, each with a worker of its own."""
+    given_ = []
+    monkeypatch.setattr(simhash, "components", lambda edges: given_.append(edges) or components(edges))
+    check(spark, texts[:50])
+    plan = given_[0]._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and not re.search("Pandas|Python|Arrow", plan)
+
+
 def test_small_table(spark, texts):
     check(spark, texts)
 

@@ -19,6 +19,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,11 +133,16 @@ def _pieces(longest: int, with_text: bool):
 
 def _pack(capacities: tuple[int, ...]):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("th", "ascending"), ("piece", "ascending")])
-        where, offset, size = pack_block(group.column("length").to_pylist(), capacities)
-        bins = np.array(where, np.int64)
+        # rows stay where they are and only their keys are sorted, so the texts of a block aren't copied
+        order = pc.sort_indices(group.select(["length", "doc_id", "th", "piece"]), sort_keys=[
+            ("length", "descending"), ("doc_id", "ascending"), ("th", "ascending"), ("piece", "ascending")]).to_numpy()
+        where, offset, size = pack_block(group.column("length").to_numpy()[order].tolist(), capacities)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        bins = np.array(where, np.int64)[place]
         return (group.drop_columns(["block", "th"]).append_column("bin_id", pa.array((key[0].as_py() << 32) + bins))
-                .append_column("capacity", pa.array(np.array(size, np.int32)[bins])).append_column("offset", pa.array(offset, pa.int64())))
+                .append_column("capacity", pa.array(np.array(size, np.int32)[bins]))
+                .append_column("offset", pa.array(np.array(offset, np.int64)[place])))
     return run
 
 

@@ -227,7 +227,9 @@ def link_fingerprints(distinct: DataFrame, bits: int = BITS, split: int = SPLIT)
     prefix = min(max(math.ceil(math.log2(max(n, 1) / GROUP)), 0), 24)
     dealt = distinct.select("fp").mapInPandas(_groups(prefix, bits // 2), "grp long, fp long, visitor boolean")
     edges = _tasks(dealt, split).groupBy("grp", "i", "j").applyInPandas(_group_edges(bits), "a long, b long")
-    return components(edges)
+    # written, as ``components`` starts with a Python step: in one stage the two would take two workers a core,
+    # and an executor that has started a worker uses it, and its memory, in all later stages
+    return components(cut_lineage(edges, "links"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
