@@ -71,3 +71,71 @@ def test_answers_are_not_shuffled(spark, capsys):
     contained(rows, spark.createDataFrame([(["a"], 1)], "need array<string>, ask int"), 100).groupBy("id", "mult").count().explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange hashpartitioning(id") == 1 and "hashpartitioning(id, mult" not in plan and "hashpartitioning(id#" in plan
+
+
+def test_scores_read_each_table_once(spark, tmp_path, capsys):
+    from vetrina.operators import evaluate as EV
+
+    ids = [("f", "a", "s", 1), ("f", "b", "s", 2)]
+    for name, cols in (("queries", 2), ("truth", 4), ("answers", 4)):
+        spark.createDataFrame([r[:cols] for r in ids], ["file", "q", "system", "id"][:cols]).write.parquet(f"{tmp_path}/{name}")
+    queries, truth, answers = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("queries", "truth", "answers"))
+    EV.per_query(queries, truth.drop("system"), answers, ["s", "t"], ["file", "q"]).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan parquet") == 3 and plan.count("hashpartitioning(_u1") == 2
+
+
+@pytest.mark.parametrize("bits", [62, 2])
+def test_scores_of_odd_rows(spark, monkeypatch, bits):
+    """Repeated and null ids, null and unknown keys, unknown systems, ids as numbers and as texts."""
+    from vetrina.operators import evaluate as EV
+
+    monkeypatch.setattr(EV, "BITS", bits, raising=False)
+    queries = [("f", "a"), ("f", "a"), ("g", "a"), ("f", None), ("f", "none")]
+    truth = [("f", "a", 1), ("f", "a", 1), ("f", "a", 2), ("f", "a", None), ("g", "a", 3), ("f", None, 1), ("x", "a", 1)]
+    answers = [("f", "a", "s", 1), ("f", "a", "s", 1), ("f", "a", "s", None), ("f", "a", "t", 2), ("f", "a", "t", 7), ("g", "a", "v", 3),
+               ("f", None, "s", 1), ("f", "a", None, 1), ("f", "a", "w", 1), ("x", "a", "s", 1)]
+    want = {("f", "a", "s"): (3, 2, 1), ("f", "a", "t"): (3, 2, 1), ("f", "a", "v"): (3, 0, 0), ("g", "a", "s"): (1, 0, 0), ("g", "a", "t"): (1, 0, 0),
+            ("g", "a", "v"): (1, 1, 1)} | {("f", q, s): (0, 0, 0) for q in (None, "none") for s in "stv"}
+    for t in ("long", "string"):
+        got = EV.per_query(spark.createDataFrame(queries, "file string, q string"),
+                           spark.createDataFrame(truth, "file string, q string, id long"),
+                           spark.createDataFrame(answers, "file string, q string, system string, id long").withColumn("id", F.col("id").cast(t)), ["s", "t", "v"], ["file", "q"]).collect()
+        assert {(r["file"], r["q"], r["system"]): (r["n_truth"], r["n_answer"], r["tp"]) for r in got} == want and len(got) == len(want)
+
+
+def test_steps_of_contained_are_compiled(spark, capsys):
+    from vetrina.operators.subsets import contained
+
+    rows = spark.createDataFrame([(1, [("a", 1), ("b", 1)])], "id int, hits array<struct<item:string,cnt:bigint>>").repartition(3, "id")
+    contained(rows, spark.createDataFrame([(["a"], 1), (["a", "b"], 2)], "need array<string>, ask int"), 100).explain()
+    plan = capsys.readouterr().out
+    steps = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(steps) == 2 and not any("lambda" in line for line in steps)
+
+
+def test_terms_are_dealt_once_by_rows(spark, capsys):
+    """Texts that make many answers of few bytes don't end in few tasks."""
+    from vetrina.operators import search as S
+
+    docs = spark.createDataFrame([(i, f"red ring {i}") for i in range(40)], "id long, text string")
+    got = S.keyword_search(spark.createDataFrame([("q", "red ring")], "query_id string, text_query string"), docs)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(id" in plan and "REPARTITION_BY_NUM" in plan and "hashpartitioning(term" not in plan.split("Union")[-1].split("BroadcastExchange")[0]
+    assert sorted(r["id"] for r in got.collect()) == list(range(40))
+
+
+def test_log_lists_of_all_systems(spark, tmp_path):
+    from vetrina.sources import io as IO
+
+    queries = spark.createDataFrame([(f"brand=B#{i}", 1, f"B#{i}", None, None, None, None) for i in range(300)],
+                                    "query_id string, n_features int, brand string, category string, capacity string, olfactory_category string, price string")
+    rows = [(f"brand=B#{i}", j) for i in range(300) for j in range(i % 4)] + [("unknown", 1), (None, 2)]
+    one = spark.createDataFrame(rows, "query_id string, id long")
+    IO.write_query_log(queries, {"results": one, "text_results": one.where("id > 0").withColumn("solutions", F.lit(2).cast("bigint"))}, f"{tmp_path}/log", lists=True)
+    got = {r["query"]["brand"]: (r["results"], r["text_results"]) for r in IO.read_query_log(spark, f"{tmp_path}/log").collect()}
+    assert got == {f"B#{i}": (list(range(i % 4)), [x for x in range(1, i % 4) for _ in "12"]) for i in range(300)}
+    numbers = queries.where("query_id = 'brand=B#3'").withColumn("query_id", F.lit(3))
+    IO.write_query_log(numbers, {"results": spark.range(2).select(F.lit(3).cast("bigint").alias("query_id"), "id")}, f"{tmp_path}/numbers", lists=True)
+    assert [r["results"] for r in IO.read_query_log(spark, f"{tmp_path}/numbers").collect()] == [[0, 1]]

@@ -22,6 +22,9 @@ from ..functions import text as T
 from ..session import bounded_broadcast, cut_lineage, table_bytes
 from .subsets import contained
 
+#: Terms of texts that a task has which looks for the queries they answer.
+PART_TERMS = 100_000
+
 
 def product_postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(term, id): distinct tokens of every document."""
@@ -57,20 +60,23 @@ def keyword_search(queries: DataFrame, docs: DataFrame, prices: DataFrame | None
     asks = cut_lineage(asks.select("query_id", "cap", F.transform("ts", lambda t: t["term"]).alias("ts")), "asks")
 
     # A row per id: its terms in the same order, how many texts of the id hold each, and its price.
+    # The number of tasks goes by the rows, not the bytes, as each row makes many.
     ordered = F.array_sort(F.collect_list(F.struct("df", "term", "cnt")))
-    rows = (post.groupBy("term", key).agg(F.count(F.lit(1)).alias("cnt")).join(bounded_broadcast(dfreq, log_bytes), "term").groupBy(key)
+    session = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = post.repartition(max(session, -(-post.count() // PART_TERMS)), key)
+    rows = (dealt.groupBy("term", key).agg(F.count(F.lit(1)).alias("cnt")).join(bounded_broadcast(dfreq, log_bytes), "term").groupBy(key)
                 .agg(F.transform(ordered, lambda h: F.struct(h["term"].alias("item"), h["cnt"].alias("cnt"))).alias("hits")))
     if prices is None:
         rows = rows.withColumn("_price", F.lit(None).cast(T.DECIMAL))
     else:
         rows = rows.join(prices.select(key, F.col("price").alias("_price")), key, "left")
     rows = rows.withColumn("_one", F.col(key).isNotNull() & F.forall("hits", lambda h: h["cnt"] == 1))
-    within = lambda a: a["cap"].isNull() | (F.col("_price") < a["cap"])
 
     # An id of one text: all terms of the query are among its own.
     sets = asks.select(F.array_distinct("ts").alias("need"), F.struct("query_id", "cap").alias("ask"))
     found = contained(rows.where("_one").select(key, "_price", "hits"), sets, log_bytes)
-    out = found.select(key, F.explode_outer(F.filter("asks", within)).alias("ask")).where(F.col("ask").isNotNull()).select("ask.query_id", key)
+    within = F.col("ask.cap").isNull() | (F.col("_price") < F.col("ask.cap"))
+    out = found.select(key, "_price", F.explode("asks").alias("ask")).where(within).select("ask.query_id", key)
     # Ids of several texts are matched by the numbers of texts: the rarest term's times each other's add up to the other terms' number.
     first = asks.select("query_id", "cap", F.col("ts")[0].alias("term"), F.slice("ts", 2, F.size("ts")).alias("rest"))
     many = rows.where(~F.col("_one")).select(key, "_price", F.map_from_entries("hits").alias("has"), F.explode_outer("hits").alias("h")).where(F.col("h").isNotNull())

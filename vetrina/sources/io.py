@@ -169,14 +169,21 @@ def write_query_log(queries: DataFrame, answers: dict[str, DataFrame], path: str
             sol.select("query_id", "id", "solutions").join(sizes, "query_id") \
                 .write.mode(mode).partitionBy("n_features").parquet(f"{path}/{name}")
         return
-    out = queries
+    # One aggregation gathers all lists. Query ids that are texts begin alike, so rows are sorted by their hash.
+    texts = all(t.schema["query_id"].dataType == T.StringType() for t in (queries, *answers.values()))
+    h = (F.xxhash64("query_id") if texts else F.lit(0).cast("bigint")).alias("_h")
+    rows = None
     for name, ans in answers.items():
         reps = ans
         if "solutions" in ans.columns:
             reps = ans.select("query_id", F.explode(F.array_repeat("id", F.col("solutions").cast("int"))).alias("id"))
-        lists = reps.groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias(name))
-        out = out.join(lists, "query_id", "left").withColumn(
-            name, F.coalesce(F.col(name), F.array().cast("array<bigint>")))
+        reps = reps.select(h, "query_id", F.col("id").alias(name))
+        rows = reps if rows is None else rows.unionByName(reps, allowMissingColumns=True)
+    out = queries
+    if rows is not None:
+        lists = rows.groupBy("_h", "query_id").agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in answers])
+        out = queries.withColumn("_h", h).join(lists, ["_h", "query_id"], "left").select(
+            *queries.columns, *[F.coalesce(name, F.array().cast("array<bigint>")).alias(name) for name in answers])
     query = F.struct(*[F.col(f) for f in feats])
     cols = [c for c in answers]
     out.select("n_features", "query_id", query.alias("query"), *cols).write.mode(mode) \
