@@ -82,7 +82,9 @@ def test_scores_read_each_table_once(spark, tmp_path, capsys):
     queries, truth, answers = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("queries", "truth", "answers"))
     EV.per_query(queries, truth.drop("system"), answers, ["s", "t"], ["file", "q"]).explain()
     plan = capsys.readouterr().out
-    assert plan.count("FileScan parquet") == 3 and plan.count("hashpartitioning(_u1") == 2
+    assert plan.count("FileScan parquet") == 3 and plan.count("hashpartitioning(_u1") == 2  # ids, then a row per query
+    EV.per_query(queries, truth.drop("system"), answers, ["s", "t"], ["file", "q"], rows=100 * EV.PART_IDS).explain()
+    assert ", 100), REPARTITION_BY_NUM" in capsys.readouterr().out
 
 
 @pytest.mark.parametrize("bits", [62, 2])

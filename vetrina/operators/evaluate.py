@@ -19,6 +19,8 @@ from pyspark.sql import types as Ty
 
 #: Systems that one aggregation scores: bits of a mark besides the truth's.
 BITS = 62
+#: Rows of truth and answers that a task compares, about.
+PART_IDS = 2_000_000
 
 
 def _whole(*tables: DataFrame) -> bool:
@@ -53,17 +55,20 @@ def log_answers(log: DataFrame, systems: dict[str, str], keys: Sequence[str] = (
 
 
 def per_query(queries: DataFrame, truth: DataFrame, answers: DataFrame, systems: Sequence[str],
-              keys: Sequence[str] = ("query_id",)) -> DataFrame:
+              keys: Sequence[str] = ("query_id",), rows: int | None = None) -> DataFrame:
     """(*keys, system, n_truth, n_answer, tp, precision, recall, f1).
 
     ``truth``: (*keys, id); ``answers``: (*keys, system, id); ``keys`` tell
     queries apart, such as a log's file and query id. Every query appears once
     per system (an unanswered query scores 0). ``truth`` and ``answers`` are read
     once, and ids are shuffled once, for all systems. Keys that are texts travel
-    as a 96-bit hash (xxhash64 and murmur3).
+    as a 96-bit hash (xxhash64 and murmur3). ``rows``: how many ``truth`` and
+    ``answers`` have, where that is known; the number of tasks goes by it then.
+    Equal ids meet after that one shuffle, not in front of it also, where a task
+    of a few long lists would hold all of their ids at once.
     """
     if len(systems) > BITS:
-        some = [per_query(queries, truth, answers, systems[i:i + BITS], keys) for i in range(0, len(systems), BITS)]
+        some = [per_query(queries, truth, answers, systems[i:i + BITS], keys, rows) for i in range(0, len(systems), BITS)]
         return reduce(DataFrame.unionByName, some)
     k = list(keys)
     grid, by, own = queries.select(*k).distinct(), k, k
@@ -82,7 +87,9 @@ def per_query(queries: DataFrame, truth: DataFrame, answers: DataFrame, systems:
         return F.count_if(F.col("mark").bitwiseAND(F.lit(mask).cast("bigint")) == mask)
 
     both = F.col("id").isNotNull()  # a null id counts where it is, and is equal to none
-    found = as_id_set(marked, *by, mark="mark").groupBy(*by).agg(
+    session = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = [max(session, -(-rows // PART_IDS))] if rows is not None else []
+    found = as_id_set(marked.repartition(*dealt, *by, "id"), *by, mark="mark").groupBy(*by).agg(
         n(1).alias("n_truth"), *[n(b).alias(f"_n{b}") for b in bits.values()],
         *[F.count_if(both & (F.col("mark").bitwiseAND(F.lit(b | 1).cast("bigint")) == b | 1)).alias(f"_tp{b}") for b in bits.values()])
     each = F.inline(F.array(*[F.struct(F.lit(s).alias("system"), F.col(f"_n{bits[s]}").alias("n_answer"), F.col(f"_tp{bits[s]}").alias("tp")) for s in systems]))

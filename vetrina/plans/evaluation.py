@@ -48,4 +48,5 @@ def evaluate_catalogue(catalogue: DataFrame, products: DataFrame, mapping: DataF
     answers = (graph.select("query_id", F.lit("graph").alias("system"), "id")
                .unionByName(text.select("query_id", F.lit("text").alias("system"), "id"))
                .unionByName(slots.select("query_id", F.lit("slots").alias("system"), "id")))
-    return queries, EV.per_query(queries, truth, cut_lineage(answers, "answers"), SYSTEMS)
+    answers = cut_lineage(answers, "answers")
+    return queries, EV.per_query(queries, truth, answers, SYSTEMS, rows=truth.count() + answers.count())
